@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import mixing, sharding
+from shelfmark.llm import decontaminate, licenses, mixing, sharding
 
 #: Target weights of the mixture: the large crawl source at twice the weight of any other.
 MIX_WEIGHTS = {"src0": 2.0}
@@ -38,11 +38,23 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of all documents."""
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test items that any document contains."""
+    return decontaminate.scan(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
     """Query by name."""
     return {
         "op1_poisson_mixture": op1,
+        "op3_license_scan": op3,
         "op6_stratified_shards": op6,
+        "op10_containment_search": op10,
     }
 
 
@@ -50,4 +62,5 @@ def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by query name."""
     return {
         "op1_poisson_mixture": mixing.oracle(MIX_WEIGHTS),
+        "op3_license_scan": licenses.oracle(),
     }
