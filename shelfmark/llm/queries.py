@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import decontaminate, licenses, mixing, sharding
+from shelfmark.llm import decontaminate, langid, licenses, mixing, sharding
 
 #: Target weights of the mixture: the large crawl source at twice the weight of any other.
 MIX_WEIGHTS = {"src0": 2.0}
@@ -43,6 +43,15 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
 
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents, learnt from three quarters of the labelled ones."""
+    docs = _table(spark, sf_dir, "documents")
+    held_out = langid.fold(F.col("doc_id"), 4) == 2
+    model = langid.fit(docs.filter(~held_out))
+    out = langid.predict(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Test items that any document contains."""
     return decontaminate.scan(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -53,6 +62,7 @@ def queries() -> dict:
     return {
         "op1_poisson_mixture": op1,
         "op3_license_scan": op3,
+        "op5_output_codes": op5,
         "op6_stratified_shards": op6,
         "op10_containment_search": op10,
     }
