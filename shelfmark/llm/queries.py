@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import decontaminate, langid, licenses, mixing, sharding
+from shelfmark.llm import decontaminate, langid, licenses, mixing, sharding, toxicity
 
 #: Target weights of the mixture: the large crawl source at twice the weight of any other.
 MIX_WEIGHTS = {"src0": 2.0}
@@ -52,6 +52,15 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learnt from four fifths of the labelled ones."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = langid.fold(F.col("doc_id"), 5) == 0
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels").filter(~held_out))
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Test items that any document contains."""
     return decontaminate.scan(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -64,6 +73,7 @@ def queries() -> dict:
         "op3_license_scan": op3,
         "op5_output_codes": op5,
         "op6_stratified_shards": op6,
+        "op7_recurrent_toxicity": op7,
         "op10_containment_search": op10,
     }
 
