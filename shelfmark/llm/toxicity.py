@@ -2,8 +2,9 @@
 
 A text is a sequence of words; each word enters the network through a word input
 (how much more often that word stands in toxic texts) and character inputs (the
-same for its 4-, 6- and 8-byte pieces: the largest and the mean over the word,
-so that unseen forms of a word are known by their parts), plus its length. Two
+same for its first 4, 5 and 7 bytes and, the largest over the word, for its
+6-byte pieces, so that unseen forms of a word are known by their parts), plus
+its length. Two
 gated recurrent layers read a window in both directions, an attention layer
 weighs the states, and a logistic unit scores the weighted sum. All overlapping
 windows of the whole text are scored; the text takes the largest score.
@@ -37,10 +38,11 @@ from pyspark.sql import types as T
 from shelfmark.llm import textops
 
 WINDOW, STRIDE = 48, 32
-PER_CLASS, MOST_CHARS = 400, 20_000
+PER_CLASS, MOST_CHARS = 600, 20_000
 HIDDEN, ATTENTION, INPUTS = 8, 8, 6
 BUCKETS = 1 << 16
-PIECES = (4, 6, 8)
+#: Character pieces of a word: its first so many bytes, or each run of so many.
+PIECES = (("first", 4), ("first", 5), ("first", 7), ("each", 6))
 SMOOTH = 4.0
 RUN_BYTES = 1 << 19
 BATCH = 2048
@@ -69,17 +71,18 @@ def words_of(texts: list[str]) -> Words:
     ends = gap[np.searchsorted(gap, starts)] if len(starts) else starts
     size = (ends - starts)[first]
     begin = starts[first]
-    padded = np.concatenate((buf, np.zeros(max(PIECES), np.uint8))).astype(np.uint64)
+    padded = np.concatenate((buf, np.zeros(16, np.uint8))).astype(np.uint64)
     grams = []
-    for n in PIECES:
-        count = np.maximum(size - n + 1, 1)  # a word shorter than the piece is its own piece
+    for j, (kind, n) in enumerate(PIECES):
+        # A word shorter than the piece is its own piece.
+        count = np.maximum(size - n + 1, 1) if kind == "each" else np.ones(len(distinct), np.int64)
         who = np.repeat(np.arange(len(distinct)), count)
         at = np.repeat(begin, count) + np.arange(len(who)) - np.repeat(np.cumsum(count) - count, count)
         span = np.minimum(size, n)[who]
         key = span.astype(np.uint64)
-        for j in range(n):
-            key = key * np.uint64(0x100000001B3) + np.where(j < span, padded[at + j], 0).astype(np.uint64)
-        grams.append((who, (textops.mix(key + np.uint64(n)) >> np.uint64(48)).astype(np.int64)))
+        for i in range(n):
+            key = key * np.uint64(0x100000001B3) + np.where(i < span, padded[at + i], 0).astype(np.uint64)
+        grams.append((who, (textops.mix(key + np.uint64(j << 8)) >> np.uint64(48)).astype(np.int64)))
     return Words(distinct, size, grams, [number[cut[i] : cut[i + 1]] for i in range(len(texts))])
 
 
@@ -119,8 +122,6 @@ def inputs(words: Words, tables: list[np.ndarray]) -> np.ndarray:
             value = tables[j + 1][bucket]
             start = np.searchsorted(who, np.arange(n))
             x[:n, 1 + j] = np.maximum.reduceat(value, start)
-            if PIECES[j] == 6:
-                x[:n, 4] = np.add.reduceat(value, start) / np.diff(np.append(start, len(who)))
         x[:n, 5] = np.minimum(words.lengths, 16) / 8.0 - 1
     return x
 
@@ -253,11 +254,12 @@ class Model:
         return out
 
 
-def train(texts: list[str], labels: list[int], epochs: int = 12, seed: int = 5, rate: float = 0.02) -> Model:
-    """Fit tables and network on a sample of texts."""
+def train(texts: list[str], labels: list[int], share: float | None = None, epochs: int = 8, seed: int = 5, rate: float = 0.02) -> Model:
+    """Fit tables and network on a sample of texts; ``share`` is that of toxic texts among all, if the sample's differs."""
     y = np.array(labels, np.float32)
+    prior = share if share is not None else float(y.mean()) if len(y) else 0.0
     if not len(y) or y.min() == y.max():
-        return Model(float(y.mean()) if len(y) else 0.0)
+        return Model(prior)
     rng = np.random.default_rng(seed)
     words = words_of(texts)
     seen, tenth = counts(words), rng.integers(0, 10, len(texts))
@@ -289,14 +291,14 @@ def train(texts: list[str], labels: list[int], epochs: int = 12, seed: int = 5,
     index = np.concatenate([np.where(r == n, pad, r + f[:, None] * n) if len(r) else r for r, f in rows])
     owner = np.concatenate(owner)
     if not len(index):
-        return Model(float(y.mean()))
+        return Model(prior)
 
     net = Net.fresh(seed)
-    strength = x[index, :4].sum(2).max(1)  # before there is a network: the strongest word
+    strength = x[index, :5].sum(2).max(1)  # before there is a network: the strongest word
     means, squares = [np.zeros_like(p) for p in net.params()], [np.zeros_like(p) for p in net.params()]
     step, per_class = 0, {c: 0.5 / max(1, (y == c).sum()) for c in (0, 1)}
     for epoch in range(epochs):
-        if epoch in (2, 5, 8):
+        if epoch in (2, 5):
             strength = np.concatenate([net.run(x, index[a : a + BATCH]) for a in range(0, len(index), BATCH)])
         order = np.lexsort((strength, owner))
         last = np.flatnonzero(np.append(owner[order][1:] != owner[order][:-1], True))
@@ -313,18 +315,20 @@ def train(texts: list[str], labels: list[int], epochs: int = 12, seed: int = 5,
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
                 p -= (rate * 0.85**epoch) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-7)
-    return Model(float(y.mean()), net, tables)
+    net.c += np.float32(np.log(prior / (1 - prior)))  # both classes weighed the same in training
+    return Model(prior, net, tables)
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most_chars: int = MOST_CHARS) -> Model:
     """Fit on labelled rows; the caller has left out the held-out ones from ``labels`` (doc_id, toxic)."""
     one = labels.select("doc_id", "toxic").filter("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    many = {r["toxic"]: r["count"] for r in one.groupBy("toxic").count().collect()}  # two rows at most
     h = F.xxhash64("doc_id")
     picked = [one.filter(F.col("toxic") == c).orderBy(h, "doc_id").limit(2 * per_class) for c in (0, 1)]
     sample = F.broadcast(picked[0].union(picked[1]))  # 4 * per_class rows at most
     rows = docs.select("doc_id", "text").filter(F.length("text") <= most_chars).join(sample, "doc_id")
     got = [r for c in (0, 1) for r in rows.filter(F.col("toxic") == c).orderBy(h, "doc_id", "text").limit(per_class).collect()]
-    return train([r["text"] for r in got], [r["toxic"] for r in got])
+    return train([r["text"] for r in got], [r["toxic"] for r in got], many.get(1, 0) / max(1, sum(many.values())))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
