@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import decontaminate, langid, licenses, mixing, sharding, toxicity
+from shelfmark.llm import decontaminate, langid, licenses, mixing, neighbours, sharding, toxicity
 
 #: Target weights of the mixture: the large crawl source at twice the weight of any other.
 MIX_WEIGHTS = {"src0": 2.0}
@@ -61,6 +61,12 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty nearest of every vector whose id 20 divides."""
+    vectors = neighbours.usable(_table(spark, sf_dir, "embeddings"))
+    return neighbours.search(vectors, vectors.filter(F.col("vec_id") % 20 == 0))
+
+
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Test items that any document contains."""
     return decontaminate.scan(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -74,6 +80,7 @@ def queries() -> dict:
         "op5_output_codes": op5,
         "op6_stratified_shards": op6,
         "op7_recurrent_toxicity": op7,
+        "op8_learned_partitions": op8,
         "op10_containment_search": op10,
     }
 
