@@ -5,11 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import decontaminate, langid, licenses, mixing, neighbours, sharding, toxicity
+from shelfmark.llm import decontaminate, langid, licenses, mixing, neighbours, sharding, toxicity, urlfilter, wrappers
 
 #: Target weights of the mixture: the large crawl source at twice the weight of any other.
 MIX_WEIGHTS = {"src0": 2.0}
 SHARDS = 8
+#: The rules that urls are judged by.
+URL_RULES = [
+    urlfilter.Rule("block", "com", "/en/"),
+    urlfilter.Rule("allow", "example.com", "/en/7"),
+    urlfilter.Rule("allow", "net", "/de/"),
+    urlfilter.Rule("block", "example.net", "/de/8"),
+    urlfilter.Rule("block", "org", "/es/"),
+]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +51,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
 
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on all urls."""
+    return urlfilter.judge(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of all documents, learnt from three quarters of the labelled ones."""
     docs = _table(spark, sf_dir, "documents")
@@ -67,6 +80,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(vectors, vectors.filter(F.col("vec_id") % 20 == 0))
 
 
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return wrappers.main_text(_table(spark, sf_dir, "pages"))
+
+
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Test items that any document contains."""
     return decontaminate.scan(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -77,10 +95,12 @@ def queries() -> dict:
     return {
         "op1_poisson_mixture": op1,
         "op3_license_scan": op3,
+        "op4_link_propagation": op4,
         "op5_output_codes": op5,
         "op6_stratified_shards": op6,
         "op7_recurrent_toxicity": op7,
         "op8_learned_partitions": op8,
+        "op9_page_wrappers": op9,
         "op10_containment_search": op10,
     }
 
