@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import decontaminate, langid, licenses, mixing, neighbours, sharding, toxicity, urlfilter, wrappers
+from shelfmark.llm import decontaminate, jaccard, langid, licenses, mixing, neighbours, sharding, toxicity, urlfilter, wrappers
 
 #: Target weights of the mixture: the large crawl source at twice the weight of any other.
 MIX_WEIGHTS = {"src0": 2.0}
@@ -46,6 +46,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    return jaccard.classify(_table(spark, sf_dir, "documents"))
+
+
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licences of all documents."""
     return licenses.scan(_table(spark, sf_dir, "documents"))
@@ -94,6 +99,7 @@ def queries() -> dict:
     """Query by name."""
     return {
         "op1_poisson_mixture": op1,
+        "op2_signature_trees": op2,
         "op3_license_scan": op3,
         "op4_link_propagation": op4,
         "op5_output_codes": op5,
@@ -109,5 +115,6 @@ def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by query name."""
     return {
         "op1_poisson_mixture": mixing.oracle(MIX_WEIGHTS),
+        "op2_signature_trees": op2,
         "op3_license_scan": licenses.oracle(),
     }
