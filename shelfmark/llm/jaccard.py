@@ -20,8 +20,8 @@ overlap that its sizes ask for, or when all its classes are in one component
 already. Pairs of leaves that remain are candidates. A block of more than
 ``block_rows`` classes is cut into chunks, and every pair of chunks is a task.
 
-Rounds. First only each block's smallest class is paired with the others (one
-row each, no tree), verified, and connected. What the trees then compare are
+Rounds. First only each block's centre is paired with the others (one row each,
+no tree), verified, and connected. What the trees then compare are
 classes of different components, so a group of thousands of near copies isn't
 expanded into all its pairs. Candidates are verified on whole shingle sets; the
 links of both rounds give the components.
@@ -52,6 +52,8 @@ WIDTH, THRESHOLD = 4, 0.85
 SKETCH_BITS, SLICES = 19, 8
 WORDS = 16  # 64-bit words of a bitmap: 1,024 bits
 FANOUT, BLOCK_ROWS, FRONTIER = 8, 2_000, 1 << 18
+#: Rows of small blocks that a task takes together.
+GROUP_ROWS = 4_000
 BLOOM_BITS = 25
 
 
@@ -90,7 +92,8 @@ def _sketch(docs: DataFrame, width: int) -> np.ndarray:
         counts = np.zeros(size, np.int64)
         for batch in batches:
             held, n = [], 0
-            for _, tokens in textops.doc_shingles(batch.column(0).to_pylist(), width):
+            for _, words in textops.doc_words(batch.column(0).to_pylist()):
+                tokens = textops.shingles(words, width, distinct=False)  # repeats only shift the order
                 held.append(tokens)
                 n += len(tokens)
                 if n > 1 << 20:
@@ -259,29 +262,35 @@ def pairs_of(a: Tree, b: Tree | None, threshold: float) -> Iterator[tuple[np.nda
 
 
 def _block_pairs(blocks: DataFrame, threshold: float) -> DataFrame:
-    """Candidates (src, dst) of each block of ``blocks`` (token, i, j, chunk, key, n, bits, component)."""
+    """Candidates (src, dst) of the blocks in ``blocks`` (group, i, j, token, chunk, key, n, bits, component).
+
+    A group holds many small blocks, or one pair of chunks of a large one.
+    """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["component", "n", "key"])
         codes = pd.factorize(rows["component"])[0].astype(np.int64)
-
-        def tree(mask: np.ndarray) -> Tree:
-            some = rows[mask]
-            bits = np.frombuffer(b"".join(some["bits"]), np.uint64).reshape(-1, WORDS)
-            return Tree(bits, some["n"].to_numpy(), codes[mask])
-
+        n, tokens, chunk = rows["n"].to_numpy(), rows["token"].to_numpy(), rows["chunk"].to_numpy()
+        keys = rows["key"].to_numpy()
+        bits = np.frombuffer(b"".join(rows["bits"]), np.uint64).reshape(-1, WORDS)
+        order = np.lexsort((n, codes, tokens))
+        edges = np.flatnonzero(np.append(True, np.diff(tokens[order]) != 0))
         i, j = int(rows["i"].iloc[0]), int(rows["j"].iloc[0])
-        chunk, keys = rows["chunk"].to_numpy(), rows["key"].to_numpy()
-        first, second = chunk == i, chunk == j
-        out_a, out_b = [], []
-        if first.any() and second.any():
-            for x, y in pairs_of(tree(first), None if i == j else tree(second), threshold):
-                a, b = keys[first][x], keys[second][y]
-                out_a += [min(p, q) for p, q in zip(a, b, strict=True)]
-                out_b += [max(p, q) for p, q in zip(a, b, strict=True)]
-        return pd.DataFrame({"src": pd.Series(out_a, dtype=object), "dst": pd.Series(out_b, dtype=object)})
-
-    return blocks.groupBy("token", "i", "j").applyInPandas(run, "src binary, dst binary").distinct()
+        out: set[tuple[bytes, bytes]] = set()
+        for at in np.split(order, edges[1:]):
+            first = at[chunk[at] == i]
+            second = None if i == j else at[chunk[at] == j]
+            if not len(first) or second is not None and not len(second):
+                continue
+            tree = Tree(bits[first], n[first], codes[first])
+            other = None if second is None else Tree(bits[second], n[second], codes[second])
+            to = first if second is None else second
+            for x, y in pairs_of(tree, other, threshold):
+                a, b = keys[first[x]], keys[to[y]]
+                out.update((min(p, q), max(p, q)) for p, q in zip(a, b, strict=True))
+        src, dst = zip(*out, strict=True) if out else ((), ())
+        return pd.DataFrame({"src": pd.Series(src, dtype=object), "dst": pd.Series(dst, dtype=object)})
+
+    return blocks.groupBy("group", "i", "j").applyInPandas(run, "src binary, dst binary").distinct()
 
 
 def join(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
@@ -298,26 +307,35 @@ def join(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, bloc
     posts = classes.select("key", "p.n", F.posexplode("p.prefix").alias("pos", "token"), "p.indexed")
     posts = posts.select("token", "key", "n", (F.col("pos") < F.col("indexed")).alias("indexed"))
     block = Window.partitionBy("token")
-    met = posts.select("*", F.count(F.lit(1)).over(block).alias("size"), F.max("indexed").over(block).alias("any"), F.min("key").over(block).alias("first"))
-    met = store.written(met.filter("size > 1 AND any").select("token", "key", "n", "indexed", "size", "first"), "blocks")
+    met = posts.select("*", F.count(F.lit(1)).over(block).alias("size"), F.max("indexed").over(block).alias("any"))
+    met = store.written(met.filter("size > 1 AND any").select("token", "key", "n", "size"), "blocks")
     sets = store.written(_sets(docs, width, met.select("key").distinct()), "sets")
 
-    # Round 1: every class of a block with the block's smallest key.
-    stars = met.filter("key <> first").select(F.col("first").alias("src"), F.col("key").alias("dst")).distinct()
+    # Round 1: every class of a block with the block's centre. Centres are drawn for each
+    # block anew, so the blocks of one group of near copies connect it from many sides.
+    centre = met.groupBy("token").agg(F.min(F.struct(F.xxhash64("token", "key").alias("draw"), "key")).getField("key").alias("first"))
+    stars = met.join(centre, "token").filter("key <> first").select(F.least("first", "key").alias("src"), F.greatest("first", "key").alias("dst")).distinct()
     small = sets.select("key", "n", "bits")
     stars = stars.join(small.select(F.col("key").alias("src"), F.col("n").alias("na"), F.col("bits").alias("ba")), "src")
     stars = stars.join(small.select(F.col("key").alias("dst"), F.col("n").alias("nb"), F.col("bits").alias("bb")), "dst")
     links1 = store.written(_verified(_possible(stars, threshold), sets, threshold), "links")
 
-    # Round 2: trees over blocks that still hold several components.
+    # Round 2: trees over blocks that still hold several components. Blocks of two
+    # are done, and of blocks with equal members one stands for all.
     labels = components(links1)
     known = met.join(labels.select(F.col("id").alias("key"), "component"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    spread = known.groupBy("token").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo <> _hi").select("token")
-    open_ = known.join(spread, "token", "left_semi")
+    members = known.filter("size > 2").groupBy("token").agg(
+        F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("size").alias("size"),
+        F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y"),
+    )
+    spread = members.filter("lo <> hi").groupBy("size", "x", "y").agg(F.min("token").alias("token")).select("token")
+    open_ = store.written(known.join(spread, "token", "left_semi").select("token", "key", "n", "size", "component"), "open")
+    groups = max(1, open_.count() // GROUP_ROWS)
     chunks = F.ceil(F.col("size") / block_rows).cast("int")
     open_ = open_.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
     each = F.explode(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(F.least("chunk", c).alias("i"), F.greatest("chunk", c).alias("j"))))
-    blocks = open_.withColumn("pair", each).select("token", "pair.i", "pair.j", "chunk", "key", "n", "component")
+    group = F.when(F.col("chunks") > 1, F.col("token")).otherwise(F.pmod(F.xxhash64("token"), F.lit(groups)))
+    blocks = open_.withColumn("pair", each).select(group.alias("group"), "pair.i", "pair.j", "token", "chunk", "key", "n", "component")
     blocks = blocks.join(sets.select("key", "bits"), "key")
     pairs = store.written(_block_pairs(blocks, threshold), "pairs")
     links2 = store.written(_verified(pairs, sets, threshold), "links")
