@@ -42,7 +42,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.llm import store, textops
@@ -72,6 +72,11 @@ def index_length(n: int, threshold: float) -> int:
     return n - max(1, math.ceil(2 * threshold / (1 + threshold) * n - 1e-9)) + 1
 
 
+def text_key(text: Column) -> Column:
+    """128-bit key of a text."""
+    return F.unhex(F.md5(text.cast("binary")))
+
+
 def class_key(tokens: np.ndarray) -> bytes:
     """128-bit key of a sorted shingle set."""
     return xxhash.xxh3_128_digest(tokens.tobytes())
@@ -119,7 +124,7 @@ def _sketch(docs: DataFrame, width: int) -> np.ndarray:
 
 
 def _profiles(docs: DataFrame, width: int, threshold: float, sketch) -> DataFrame:
-    """Per row: doc_id, class key, set size and the prefix of its set in the global order."""
+    """Per row: doc_id, text key, class key, set size and the prefix of its set in the global order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = sketch.value
@@ -139,11 +144,12 @@ def _profiles(docs: DataFrame, width: int, threshold: float, sketch) -> DataFram
                 prefixes.append(tokens[order].view(np.int64))
                 indexed.append(index_length(n, threshold))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(indexed, pa.int32())],
-                names=["doc_id", "key", "n", "prefix", "indexed"],
+                [batch.column(0), batch.column(2), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(indexed, pa.int32())],
+                names=["doc_id", "text_key", "key", "n", "prefix", "indexed"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, key binary, n long, prefix array<long>, indexed int")
+    rows = docs.select("doc_id", "text", text_key(F.col("text")).alias("text_key"))
+    return rows.mapInArrow(run, "doc_id long, text_key binary, key binary, n long, prefix array<long>, indexed int")
 
 
 def _sets(docs: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
@@ -296,7 +302,7 @@ def _block_pairs(blocks: DataFrame, threshold: float) -> DataFrame:
 def join(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
     """Classes of all rows and the links found between them.
 
-    Returns (profiles, links): profiles has doc_id, key and n per row of ``docs``
+    Returns (profiles, links): profiles has doc_id, text_key, key and n per row of ``docs``
     (doc_id, text); links has verified pairs (src, dst) of class keys that
     connect all classes which links of the full join connect.
     """
@@ -361,17 +367,42 @@ def classify(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD,
     n_links counts the row's links that were found and kept: enough to connect
     its component, not all pairs of it.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    small, named = _named(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), width, threshold, block_rows)
+    return small.join(named, "key", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"),
+        F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+    )
+
+
+def _named(docs: DataFrame, width: int, threshold: float, block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, text_key, key, n) and classes (key, component, component_id, n_links)."""
     profiles, links = join(docs, width, threshold, block_rows)
     labels = components(links)
     degree = links.select(F.explode(F.array("src", "dst")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n_links"))
-    small = profiles.select("doc_id", "key", "n")
+    small = profiles.select("doc_id", "text_key", "key", "n")
     classes = small.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("first_id"))
     classes = classes.join(labels.withColumnRenamed("id", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     ids = classes.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = store.written(classes.join(ids, "component").join(degree, "key", "left").select("key", "component_id", "n_links"), "classes")
-    return small.join(named, "key", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"),
-        F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+    return small, store.written(classes.join(ids, "component").join(degree, "key", "left").select("key", "component", "component_id", "n_links"), "classes")
+
+
+def deduplicate(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """One row of each component of ``docs`` (doc_id, text and others), with all its columns.
+
+    It is a row of the smallest doc_id (null ids last), of that the least text
+    key, of repeated rows any one. Rows without shingles all stay.
+    """
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    small, named = _named(slim, width, threshold, block_rows)
+    pick = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("m")
+    kept = small.filter("n > 0").join(named.select("key", "component"), "key").groupBy("component").agg(pick)
+    kept = store.written(kept.select(F.coalesce("m.doc_id", F.lit(0)).alias("_id"), F.col("m.none").alias("_none"), F.col("m.text_key").alias("_key")), "kept")
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    id_ = F.col("doc_id").cast("long")
+    rows = docs.filter(worded).select(
+        F.coalesce(id_, F.lit(0)).alias("_id"), id_.isNull().alias("_none"), text_key(F.col("text")).alias("_key"), F.struct(*docs.columns).alias("_row")
     )
+    # Repeated rows meet in a partial aggregate before they are dealt out.
+    one = rows.join(kept, ["_id", "_none", "_key"], "left_semi").groupBy("_id", "_none", "_key").agg(F.first("_row").alias("_row"))
+    return one.select("_row.*").unionByName(docs.filter(~worded))
