@@ -6,8 +6,7 @@ similarity reaches the threshold t; the join is exact up to 64-bit hashes.
 
 Blocks. Shingles are put in one global order, rare ones first; a set of n then
 links with another only if they share one of its first n - ceil(t n) + 1
-shingles (and, of the smaller set, one of its first n - ceil(2t/(1+t) n) + 1).
-Rarity comes from a counting sketch of fixed size over all texts; it only
+shingles. Rarity comes from a counting sketch of fixed size over all texts; it only
 chooses the order, and any order is exact. So passages that a large part of all
 texts share are last and make no blocks.
 
@@ -50,7 +49,7 @@ from shelfmark.llm.components import components
 
 WIDTH, THRESHOLD = 4, 0.85
 SKETCH_BITS, SLICES = 19, 8
-WORDS = 16  # 64-bit words of a bitmap: 1,024 bits
+WORDS, MOST_WORDS = 16, 1_024  # 64-bit words of a bitmap: 1,024 to 65,536 bits
 FANOUT, BLOCK_ROWS, FRONTIER = 8, 2_000, 1 << 18
 #: Rows of small blocks that a task takes together.
 GROUP_ROWS = 4_000
@@ -67,11 +66,6 @@ def probe_length(n: int, threshold: float) -> int:
     return n - least_overlap(n, threshold) + 1
 
 
-def index_length(n: int, threshold: float) -> int:
-    """The same, of the smaller set of a link."""
-    return n - max(1, math.ceil(2 * threshold / (1 + threshold) * n - 1e-9)) + 1
-
-
 def text_key(text: Column) -> Column:
     """128-bit key of a text."""
     return F.unhex(F.md5(text.cast("binary")))
@@ -82,13 +76,28 @@ def class_key(tokens: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(tokens.tobytes())
 
 
-def bitmap(tokens: np.ndarray) -> np.ndarray:
-    """Token bitmap: a bit for each shingle by its hash."""
-    bits = np.zeros(WORDS * 64, bool)
-    bits[(textops.mix(tokens) >> np.uint64(64 - 10)).astype(np.int64)] = True
+def wide_bitmap(tokens: np.ndarray) -> np.ndarray:
+    """Token bitmap of the set's own width: four bits a shingle, from WORDS to MOST_WORDS words.
+
+    Bits are hashes modulo a power of two, so a wider bitmap folds to a narrower
+    one by OR.
+    """
+    width = 1 << int(min(max(4 * len(tokens) - 1, WORDS * 64 - 1), MOST_WORDS * 64 - 1)).bit_length()
+    bits = np.zeros(width, bool)
+    bits[(textops.mix(tokens) & np.uint64(width - 1)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little").view(np.uint64)
 
 
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """A bitmap folded to so many words."""
+    return np.bitwise_or.reduce(bits.reshape(-1, words), axis=0)
+
+
+def bitmap(tokens: np.ndarray) -> np.ndarray:
+    """Token bitmap of WORDS words, as trees hold it."""
+    return folded(wide_bitmap(tokens), WORDS)
+
+
 def _sketch(docs: DataFrame, width: int) -> np.ndarray:
     """Counts of shingles by hash bucket over all texts: a vector of fixed size."""
     size, part = 1 << SKETCH_BITS, (1 << SKETCH_BITS) // SLICES
@@ -124,77 +133,75 @@ def _sketch(docs: DataFrame, width: int) -> np.ndarray:
 
 
 def _profiles(docs: DataFrame, width: int, threshold: float, sketch) -> DataFrame:
-    """Per row: doc_id, text key, class key, set size and the prefix of its set in the global order."""
+    """Per row: doc_id, text key, class key, set size, the prefix of its set in the global order, token bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = sketch.value
         for batch in batches:
-            keys, sizes, prefixes, indexed = [], [], [], []
+            keys, sizes, prefixes, bits = [], [], [], []
             for _, tokens in textops.doc_shingles(batch.column(1).to_pylist(), width):
                 n = len(tokens)
                 sizes.append(n)
                 if not n:
                     keys.append(None)
                     prefixes.append([])
-                    indexed.append(0)
+                    bits.append((None, None))
                     continue
                 keys.append(class_key(tokens))
                 heavy = weight[(tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                 order = np.argsort(heavy, kind="stable")[: probe_length(n, threshold)]  # ties by hash
                 prefixes.append(tokens[order].view(np.int64))
-                indexed.append(index_length(n, threshold))
+                wide = wide_bitmap(tokens)
+                bits.append((folded(wide, WORDS).tobytes(), wide.tobytes()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(indexed, pa.int32())],
-                names=["doc_id", "text_key", "key", "n", "prefix", "indexed"],
+                [batch.column(0), batch.column(2), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), *(pa.array([b[i] for b in bits], pa.binary()) for i in (0, 1))],
+                names=["doc_id", "text_key", "key", "n", "prefix", "bits", "wide"],
             )
 
     rows = docs.select("doc_id", "text", text_key(F.col("text")).alias("text_key"))
-    return rows.mapInArrow(run, "doc_id long, text_key binary, key binary, n long, prefix array<long>, indexed int")
+    return rows.mapInArrow(run, "doc_id long, text_key binary, key binary, n long, prefix array<long>, bits binary, wide binary")
+
+
+def _row_hash() -> Column:
+    return F.xxhash64("text_key", "doc_id")
 
 
 def _sets(docs: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
-    """(key, n, tokens, bits) of the wanted classes, read from their texts.
+    """(key, tokens) of the wanted classes (key, doc_id, text_key), read from the one text that stands for each.
 
-    A Bloom filter of fixed size, built by the executors, spares the others the
-    way through the shuffle; the exact semi-join decides.
+    A Bloom filter of fixed size spares the other texts the work and the way
+    through the shuffle; the exact semi-join decides.
     """
-    h = F.xxhash64("key")
-    words = wanted.select(F.explode(F.array(*[F.pmod(F.shiftright(h, s), F.lit(1 << BLOOM_BITS)) for s in (0, 21)])).alias("bit"))
-    words = words.groupBy(F.shiftright("bit", 5).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(pmod(bit, 32) AS INT))")).alias("m"))
+    spots = [F.pmod(F.shiftright(_row_hash(), s), F.lit(1 << BLOOM_BITS)) for s in (0, 21)]
+    words = wanted.select(F.explode(F.array(*spots)).alias("bit")).groupBy(F.shiftright("bit", 5).cast("int").alias("w"))
+    got = words.agg(F.bit_or(F.expr("shiftleft(1L, CAST(pmod(bit, 32) AS INT))")).alias("m")).toArrow()  # at most 2^20 rows, whatever the input
     bloom = np.zeros(1 << (BLOOM_BITS - 5), np.int64)
-    got = words.toArrow()  # at most 2^20 rows, whatever the input
     bloom[got["w"].to_numpy()] = got["m"].to_numpy()
     shared = docs.sparkSession.sparkContext.broadcast(bloom)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filled = shared.value
         for batch in batches:
-            for a in range(0, batch.num_rows, 512):
-                rows = []
-                for _, tokens in textops.doc_shingles(batch.column(0).slice(a, 512).to_pylist(), width):
-                    if len(tokens):
-                        key = class_key(tokens)
-                        own = _spark_hash(key)
-                        spots = [(own >> s) % (1 << BLOOM_BITS) for s in (0, 21)]
-                        if all(filled[b >> 5] >> (b & 31) & 1 for b in spots):
-                            rows.append((key, len(tokens), tokens.tobytes(), bitmap(tokens).tobytes()))
-                if rows:
-                    columns = list(zip(*rows, strict=True))
-                    types = [pa.binary(), pa.int64(), pa.binary(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["key", "n", "tokens", "bits"])
-
-    found = docs.select("text").mapInArrow(run, "key binary, n long, tokens binary, bits binary")
-    return found.join(wanted, "key", "left_semi").dropDuplicates(["key"])
-
-
-def _spark_hash(key: bytes) -> int:
-    """What Spark's xxhash64 gives for a binary value, as a signed number."""
-    h = xxhash.xxh64_intdigest(key, seed=42)
-    return h - (1 << 64) if h >> 63 else h
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+            h = batch.column(1).to_numpy()
+            hit = np.ones(len(h), bool)
+            for s in (0, 21):
+                bit = (h >> s) & ((1 << BLOOM_BITS) - 1)
+                hit &= (filled[bit >> 5] >> (bit & 31) & 1).astype(bool)
+            texts = batch.column(0).filter(pa.array(hit))
+            for a in range(0, len(texts), 512):
+                found = [t for _, t in textops.doc_shingles(texts.slice(a, 512).to_pylist(), width) if len(t)]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([class_key(t) for t in found], pa.binary()), pa.array([t.tobytes() for t in found], pa.binary())], names=["key", "tokens"])
+
+    rows = docs.select("doc_id", "text", text_key(F.col("text")).alias("text_key")).select("text", _row_hash().alias("h"))
+    return rows.mapInArrow(run, "key binary, tokens binary").join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"])
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, threshold: float) -> DataFrame:
     """The pairs (src, dst) whose sets reach the threshold."""
+    keys = pairs.select(F.explode(F.array("src", "dst")).alias("key")).distinct()
+    wanted = store.written(classes.select("key", "rep.doc_id", "rep.text_key").join(keys, "key", "left_semi"), "wanted")
+    sets = store.written(_sets(docs, width, wanted), "sets")
     left = pairs.join(sets.select(F.col("key").alias("src"), F.col("tokens").alias("a")), "src")
     both = left.join(sets.select(F.col("key").alias("dst"), F.col("tokens").alias("b")), "dst").select("src", "dst", "a", "b")
 
@@ -308,23 +315,22 @@ def join(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, bloc
     """
     spark = docs.sparkSession
     sketch = spark.sparkContext.broadcast(_sketch(docs, width))
-    profiles = store.written(_profiles(docs, width, threshold, sketch), "profiles")
-    classes = profiles.filter("n > 0").groupBy("key").agg(F.first(F.struct("n", "prefix", "indexed")).alias("p"))
-    posts = classes.select("key", "p.n", F.posexplode("p.prefix").alias("pos", "token"), "p.indexed")
-    posts = posts.select("token", "key", "n", (F.col("pos") < F.col("indexed")).alias("indexed"))
-    block = Window.partitionBy("token")
-    met = posts.select("*", F.count(F.lit(1)).over(block).alias("size"), F.max("indexed").over(block).alias("any"))
-    met = store.written(met.filter("size > 1 AND any").select("token", "key", "n", "size"), "blocks")
-    sets = store.written(_sets(docs, width, met.select("key").distinct()), "sets")
+    full = store.written(_profiles(docs, width, threshold, sketch), "full")
+    profiles = store.written(full.select("doc_id", "text_key", "key", "n"), "profiles")
+    by_class = full.filter("n > 0").groupBy("key").agg(F.first(F.struct("n", "prefix", "bits", "wide")).alias("p"), F.min(F.struct("doc_id", "text_key")).alias("rep"))
+    classes = store.written(by_class.select("key", "p.*", "rep"), "classes")
+    store.drop(full)
+    posts = classes.select(F.explode("prefix").alias("token"), "key", "n")
+    met = posts.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("token")))
+    met = store.written(met.filter("size > 1"), "blocks")
 
     # Round 1: every class of a block with the block's centre. Centres are drawn for each
     # block anew, so the blocks of one group of near copies connect it from many sides.
-    centre = met.groupBy("token").agg(F.min(F.struct(F.xxhash64("token", "key").alias("draw"), "key")).getField("key").alias("first"))
-    stars = met.join(centre, "token").filter("key <> first").select(F.least("first", "key").alias("src"), F.greatest("first", "key").alias("dst")).distinct()
-    small = sets.select("key", "n", "bits")
-    stars = stars.join(small.select(F.col("key").alias("src"), F.col("n").alias("na"), F.col("bits").alias("ba")), "src")
-    stars = stars.join(small.select(F.col("key").alias("dst"), F.col("n").alias("nb"), F.col("bits").alias("bb")), "dst")
-    links1 = store.written(_verified(_possible(stars, threshold), sets, threshold), "links")
+    centre = met.groupBy("token").agg(F.min(F.struct(F.xxhash64("token", "key").alias("draw"), "key", "n")).alias("c")).select("token", F.col("c.key").alias("first"), F.col("c.n").alias("m"))
+    near = F.least("n", "m") >= threshold * F.greatest("n", "m") - 1e-9
+    stars = met.join(centre, "token").filter(near & (F.col("key") != F.col("first"))).select(F.least("first", "key").alias("src"), F.greatest("first", "key").alias("dst")).distinct()
+    pairs = store.written(_possible(stars, classes, threshold), "pairs")
+    links1 = store.written(_verified(pairs, docs, classes, width, threshold), "links")
 
     # Round 2: trees over blocks that still hold several components. Blocks of two
     # are done, and of blocks with equal members one stands for all.
@@ -335,30 +341,39 @@ def join(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, bloc
         F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y"),
     )
     spread = members.filter("lo <> hi").groupBy("size", "x", "y").agg(F.min("token").alias("token")).select("token")
-    open_ = store.written(known.join(spread, "token", "left_semi").select("token", "key", "n", "size", "component"), "open")
+    open_ = store.written(known.join(spread, "token", "left_semi").select("token", "key", "size", "component"), "open")
     groups = max(1, open_.count() // GROUP_ROWS)
     chunks = F.ceil(F.col("size") / block_rows).cast("int")
     open_ = open_.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
     each = F.explode(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(F.least("chunk", c).alias("i"), F.greatest("chunk", c).alias("j"))))
     group = F.when(F.col("chunks") > 1, F.col("token")).otherwise(F.pmod(F.xxhash64("token"), F.lit(groups)))
-    blocks = open_.withColumn("pair", each).select(group.alias("group"), "pair.i", "pair.j", "token", "chunk", "key", "n", "component")
-    blocks = blocks.join(sets.select("key", "bits"), "key")
-    pairs = store.written(_block_pairs(blocks, threshold), "pairs")
-    links2 = store.written(_verified(pairs, sets, threshold), "links")
+    blocks = open_.withColumn("pair", each).select(group.alias("group"), "pair.i", "pair.j", "token", "chunk", "key", "component")
+    blocks = blocks.join(classes.select("key", "n", "bits"), "key")
+    pairs = store.written(_possible(_block_pairs(blocks, threshold), classes, threshold), "pairs")
+    links2 = store.written(_verified(pairs, docs, classes, width, threshold), "links")
     return profiles, links1.union(links2)
 
 
-def _possible(pairs: DataFrame, threshold: float) -> DataFrame:
-    """Pairs with sizes and bitmaps (na, ba, nb, bb) that could reach the threshold."""
+def _possible(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (src, dst) that sizes and wide bitmaps leave open."""
+    wide = classes.select("key", "n", "wide")
+    both = pairs.join(wide.select(F.col("key").alias("src"), F.col("n").alias("na"), F.col("wide").alias("wa")), "src")
+    both = both.join(wide.select(F.col("key").alias("dst"), F.col("n").alias("nb"), F.col("wide").alias("wb")), "dst").select("src", "dst", "na", "wa", "nb", "wb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, WORDS) for c in ("ba", "bb"))
-            most = np.minimum(na - np.bitwise_count(a & ~b).sum(1, dtype=np.int64), nb - np.bitwise_count(b & ~a).sum(1, dtype=np.int64))
-            yield batch.filter(pa.array(most >= threshold / (1 + threshold) * (na + nb) - 1e-9)).select(["src", "dst"])
+            na, wa, nb, wb = (batch.column(i) for i in range(2, 6))
+            keep = np.zeros(batch.num_rows, bool)
+            for i in range(batch.num_rows):
+                a, b = np.frombuffer(wa[i].as_buffer(), np.uint64), np.frombuffer(wb[i].as_buffer(), np.uint64)
+                words = min(len(a), len(b))
+                a, b = folded(a, words), folded(b, words)
+                x, y = na[i].as_py(), nb[i].as_py()
+                most = min(x - int(np.bitwise_count(a & ~b).sum()), y - int(np.bitwise_count(b & ~a).sum()))
+                keep[i] = most >= threshold / (1 + threshold) * (x + y) - 1e-9
+            yield batch.filter(pa.array(keep)).select(["src", "dst"])
 
-    return pairs.select("src", "dst", "na", "ba", "nb", "bb").mapInArrow(run, "src binary, dst binary")
+    return both.mapInArrow(run, "src binary, dst binary")
 
 
 def classify(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, block_rows: int = BLOCK_ROWS) -> DataFrame:

@@ -26,6 +26,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.llm import store
+
 #: Hex digits of a hash that make a uniform number: 52 bits, exact in a double.
 HEX, BITS = 13, 52
 ADDED = ("rate", "copies", "replica", "shuffle_key")
@@ -96,7 +98,8 @@ def mix_sources(
     Adds ``rate`` (the source's mean), ``copies`` (the row's draw), ``replica``
     (0 to copies - 1) and ``shuffle_key`` (the hash that orders the output).
     """
-    rates = source_rates(docs, weights, default_weight, total, source)
+    # Written, so that the planner knows the size of the table when it chooses the join.
+    rates = store.written(source_rates(docs, weights, default_weight, total, source), "rates")
     kept = [c for c in docs.columns if c not in ADDED]
     key = F.coalesce(F.col(doc_id).cast("string"), F.concat(F.lit("t"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))))
     rows = docs.select(*[F.col(f"`{c}`") for c in kept], key.alias("_key"))
