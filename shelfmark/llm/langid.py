@@ -36,16 +36,19 @@ DIM = 4096
 PER_LANG, MOST_LANGS = 400, 256
 AMBIGUOUS_MARGIN = 0.05
 PAD = b"    "
-RUN_BYTES = 1 << 19
+#: A task predicts texts in runs of about so many characters, and so many texts at most.
+RUN_CHARS, RUN_TEXTS = 1 << 19, 256
 _LETTER = re.compile(r"[^\W\d_]")
 
 
 def features(texts: list[bytes]) -> np.ndarray:
-    """Hashed counts of 2- to 4-byte n-grams, square-rooted and of unit length: a row for each text."""
-    buf = np.frombuffer(PAD.join(texts) + PAD, np.uint8).astype(np.uint32)
-    lengths = np.array([len(t) + len(PAD) for t in texts])
-    row = np.repeat(np.arange(len(texts)), lengths)[: len(buf) - 3]
-    a, b, c, d = buf[:-3], buf[1:-2], buf[2:-1], buf[3:]
+    """Hashed counts of 2- to 4-byte n-grams, square-rooted and of unit length: a row for each text.
+
+    Every text lies between blanks of its own, so no n-gram reaches into another text.
+    """
+    buf = np.frombuffer(b"".join(PAD + t + PAD for t in texts) + PAD, np.uint8).astype(np.uint32)
+    row = np.repeat(np.arange(len(texts)), [len(t) + 2 * len(PAD) for t in texts])
+    a, b, c, d = (buf[i : len(row) + i] for i in range(4))
     two = a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA77)
     three = two + c * np.uint32(0xC2B2AE3D)
     four = three + d * np.uint32(0x27D4EB2F)
@@ -93,7 +96,7 @@ class Model:
         """Best language, its score and the gap of the loss to the second, for each row of features."""
         if len(self.langs) == 1:
             return np.zeros(len(x), int), np.ones(len(x)), np.full(len(x), np.inf)
-        z = x @ self.weights + self.bias
+        z = x.astype(np.float64) @ self.weights + self.bias
         loss = np.stack([(np.logaddexp(0, -z * c) * t).sum(1) for c, t in zip(self.code, self.trust, strict=True)], 1)
         ordered = np.sort(loss, 1)
         p = np.exp(ordered[:, :1] - loss)
@@ -176,7 +179,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", ambiguous_
                 if model and t and _LETTER.search(t):
                     run.append(i)
                     size += len(t)
-                if run and (size >= RUN_BYTES or i == len(texts)):
+                if run and (size >= RUN_CHARS or len(run) >= RUN_TEXTS or i == len(texts)):
                     best, p, gap = model.decode(features([_lowered(texts[j]) for j in run]))
                     for j, b in zip(run, best, strict=True):
                         lang[j] = model.langs[b]
