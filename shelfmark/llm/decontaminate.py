@@ -203,7 +203,7 @@ def _scan_joined(rows: DataFrame, items: DataFrame, threshold: float) -> DataFra
     on = (wanted["text_key"] == held["text_key"]) & wanted["doc_id"].eqNullSafe(held["_d"]) & (wanted["width"] == held["width"]) & (wanted["token"] == held["token"])
     shared = wanted.join(held, on, "left_semi").groupBy("doc_id", "text_key", "item_id", "set_id", "n").agg(F.count(F.lit(1)).cast("int").alias("shared"))
     enough = F.col("shared") >= F.greatest(F.lit(1), F.ceil(threshold * F.col("n") - 1e-9))
-    return shared.filter(enough).select("doc_id", "item_id", F.col("n").alias("item_shingles"), "shared")
+    return shared.filter(enough).select("doc_id", "text_key", "item_id", F.col("n").alias("item_shingles"), "shared")
 
 
 def remove_contaminated(
