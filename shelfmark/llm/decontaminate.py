@@ -235,3 +235,17 @@ def remove_contaminated(
     by_text = docs.select(F.hash(F.col(f"`{text}`")).cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).distinct()
     dirty = _scan_joined(by_text, items, threshold).select("text_key").distinct()
     return docs.join(dirty, key.eqNullSafe(dirty["text_key"]), "left_anti")
+
+
+def oracle(width: int = WIDTH, threshold: float = THRESHOLD) -> str:
+    """The links of ``documents`` and ``benchmark`` in DuckDB SQL, by a join of all shingles."""
+    words = "regexp_extract_all(lower(text), '[a-z0-9\\x{80}-\\x{10FFFF}]+')"
+    cut = lambda m: f"list_transform(range(1, len(w) - {m} + 2), lambda i: array_to_string(w[i:i + {m} - 1], ' '))"
+    return f"""
+WITH q AS (SELECT item_id, w, least(len(w), {width}) AS m FROM (SELECT DISTINCT item_id, {words} AS w FROM benchmark) WHERE len(w) > 0),
+i AS (SELECT DISTINCT item_id, m, unnest({cut("m")}) AS g FROM q), s AS (SELECT item_id, count(*) AS n FROM i GROUP BY 1),
+d AS (SELECT doc_id, {words} AS w FROM documents), k AS (SELECT DISTINCT m FROM q),
+t AS (SELECT DISTINCT doc_id, m, unnest({cut("m")}) AS g FROM d, k WHERE len(w) >= m)
+SELECT doc_id, item_id, any_value(n)::INTEGER AS item_shingles, count(*)::INTEGER AS shared, count(*) / any_value(n) AS containment
+FROM t JOIN i USING (m, g) JOIN s USING (item_id) GROUP BY doc_id, item_id HAVING count(*) >= greatest(1, ceil({threshold} * any_value(n) - 1e-9))
+""".strip()

@@ -421,3 +421,17 @@ def deduplicate(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOL
     # Repeated rows meet in a partial aggregate before they are dealt out.
     one = rows.join(kept, ["_id", "_none", "_key"], "left_semi").groupBy("_id", "_none", "_key").agg(F.first("_row").alias("_row"))
     return one.select("_row.*").unionByName(docs.filter(~worded))
+
+
+def oracle(width: int = WIDTH, percent: int = 85) -> str:
+    """doc_id, n_shingles and component_id over ``documents`` in DuckDB SQL: every pair that shares a shingle is compared."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(text, '{upper}', '{lower}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(2, len(w) - {width - 2})), lambda i: array_to_string(w[i:i + {width - 1}], ' '))) AS g FROM w WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= {percent} * (x.n + y.n - shared)),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc_id, e.b FROM reach JOIN e ON e.a = reach.other)
+SELECT r.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(r.other) AS component_id FROM reach r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
+""".strip()

@@ -48,7 +48,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
-    return jaccard.classify(_table(spark, sf_dir, "documents"))
+    return jaccard.classify(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,6 +115,8 @@ def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by query name."""
     return {
         "op1_poisson_mixture": mixing.oracle(MIX_WEIGHTS),
-        "op2_signature_trees": op2,
+        "op2_signature_trees": jaccard.oracle(),
         "op3_license_scan": licenses.oracle(),
+        "op6_stratified_shards": sharding.oracle(SHARDS),
+        "op10_containment_search": decontaminate.oracle(),
     }

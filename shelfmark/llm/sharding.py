@@ -86,3 +86,31 @@ def interleave(
         placed.withColumn("position", position).withColumn("shard", shard)
         .withColumn("slot", F.col("position") - start).select(*kept, "position", "shard", "slot")
     )
+
+
+def crc32_sql(table: str, key: str, text: str) -> str:
+    """DuckDB SQL: (key, crc32) of every row of ``table``, by four bits at a time over the UTF-8 bytes (null text: null)."""
+    half = list(range(16))
+    for _ in range(4):
+        half = [(v >> 1) ^ (0xEDB88320 if v & 1 else 0) for v in half]
+    t = "[" + ", ".join(map(str, half)) + "]::UBIGINT[]"
+    four = lambda x: f"xor({x} >> 4, ({t})[({x} & 15)::INT + 1])"
+    return f"""
+SELECT {key}, CASE WHEN {text} IS NOT NULL THEN xor(list_reduce(
+  list_transform(range(1, octet_length(encode({text})) + 1), lambda i: ('0x' || substr(hex(encode({text})), 2 * i - 1, 2))::UBIGINT),
+  lambda c, b: {four(four("xor(c, b)"))}, 4294967295::UBIGINT), 4294967295::UBIGINT)::BIGINT END AS text_crc32 FROM {table}
+""".strip()
+
+
+def oracle(shards: int = 8, seed: str = "shard") -> str:
+    """The query over ``documents`` in DuckDB SQL, by whole-table windows in place of buckets."""
+    return f"""
+WITH c AS ({crc32_sql("documents", "doc_id", "text")}),
+d AS (SELECT doc_id, source, octet_length(encode(coalesce(text, '')))::BIGINT + 1 AS size, text_crc32 FROM documents JOIN c USING (doc_id)),
+h AS (SELECT *, coalesce('s' || source, 'n') AS s,
+      md5(concat_ws('|', '{seed}', coalesce(doc_id::VARCHAR, ''), coalesce(text_crc32::VARCHAR, ''), coalesce(size::VARCHAR, ''))) AS h FROM d),
+r AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY h, doc_id, text_crc32, size) AS r, count(*) OVER (PARTITION BY s) AS n, count(*) OVER () AS total FROM h),
+p AS (SELECT *, row_number() OVER (ORDER BY (2 * r - 1)::DOUBLE / (2 * n)::DOUBLE, s, r) - 1 AS position FROM r),
+q AS (SELECT *, ((position * {shards}) // total)::INTEGER AS shard FROM p)
+SELECT doc_id, size, text_crc32, '{LAW}' AS law, shard, position - (shard * total + {shards - 1}) // {shards} AS slot, NULL::INTEGER AS grown_shard, source FROM q
+""".strip()
