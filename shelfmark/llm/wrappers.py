@@ -11,9 +11,12 @@ slots, without unions. A label is the tag with its class, id and role words.
 The wrapper then tells which slots hold the article: those below ``article``,
 ``main`` or an element of that role; where a host has none, below the element to
 which most of the slots' text leads, leaving out texts that are the same on all
-pages. Slots below menus, headers, footers, sidebars, notices, adverts, forms
-and comments are left out by tag and label. Every page is read with its host's
-wrapper; text is dropped for no other reason.
+pages. That is told only where articles differ: the host has three or more pages
+of different text (copies count once) and its heaviest block is not the same on
+all of them. Slots below menus, headers, footers, sidebars, notices, adverts,
+forms and comments are left out by tag and by whole class, id or role words;
+an ``article`` or ``main`` never is. Every page is read with its host's wrapper;
+text is dropped for no other reason.
 
 Alignment is associative enough to reduce as a tree: tasks align the pages of
 each host they hold, partial wrappers meet by (host, salt), those of the salts
@@ -29,6 +32,7 @@ expression; repeated rows give repeated results; extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
@@ -42,6 +46,8 @@ from pyspark.sql import functions as F
 from shelfmark.llm import store
 
 SALTS, MOST_HOSTS, PERIODS = 32, 2_000, 4
+#: So many pages of different text show which texts are a host's own.
+DIFFERING = 3
 #: Elements by their role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title".split())
@@ -51,12 +57,14 @@ SAME_ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",
 STOPS = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 DROPPED = frozenset("head nav footer aside form script style noscript template iframe button select textarea svg dialog menu object canvas".split())
 ARTICLE = frozenset(("article", "main"))
-#: Label words of what is not the article.
-AWAY = re.compile(
-    r"(?:^|[.#@_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|sidebar|side|footer|header|masthead|comments?|commentlist|"
+#: Label words of what is not the article; words of layout may stand beside them ("site-footer").
+_AWAY = (
+    r"(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav[^\W_]*|menu[^\W_]*|breadcrumbs?|sidebar|side|footer|header|masthead|comments?|commentlist|"
     r"repl(?:y|ies)|disqus|respond|notices?|cookies?|consent|gdpr|alert|newsletter|subscribe|shar(?:e|ing)|social|related|recommend\w*|popup|modal|"
-    r"widget|skip|login|search|contentinfo|complementary|navigation)(?=$|[.#@_-])"
+    r"widget|skip|login|search|contentinfo|complementary|navigation)"
 )
+_LAYOUT = r"(?:site|page|main|global|primary|secondary|top|bottom|left|right|bar|box|list|links?|area|wrap(?:per)?|container|inner|outer|block|section|form|slot|unit)"
+AWAY = re.compile(rf"(?:^|[.#@])(?:{_LAYOUT}[_-]+)*{_AWAY}(?:[_-]+(?:{_AWAY}|{_LAYOUT}))*[_-]*(?=$|[.#@])")
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 SPACE = re.compile(r"\s+")
@@ -125,15 +133,20 @@ def walk(page: str) -> Iterator[tuple[str, list, str]]:
         yield "pop", stack, stack.pop()[0]
 
 
-# An expression node: [label, optional, repeated, children, text, mass, linked].
+# An expression node: [label, optional, repeated, children, text, mass, linked, same].
 # text is the node's own text if it was the same wherever seen, else None (a slot);
-# mass and linked are characters of own text, and of such inside links.
-LABEL, OPTIONAL, REPEATED, CHILDREN, TEXT, MASS, LINKED = range(7)
+# mass and linked are characters of own text, and of such inside links; same is a
+# digest of the texts that one page has for the node, None if pages differ in it.
+LABEL, OPTIONAL, REPEATED, CHILDREN, TEXT, MASS, LINKED, SAME = range(8)
 GROUP = "()"
 
 
 def _node(label: str) -> list:
-    return [label, False, False, [], "", 0, 0]
+    return [label, False, False, [], "", 0, 0, ""]
+
+
+def _digest(text: str) -> str:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
 
 
 def _key(node: list) -> str:
@@ -141,21 +154,26 @@ def _key(node: list) -> str:
     return node[LABEL] if node[LABEL] != GROUP else GROUP + "".join(f"<{_key(c)}>" for c in node[CHILDREN])
 
 
-def merge(a: list, b: list) -> list:
-    """Align two nodes of one key."""
+def merge(a: list, b: list, within: bool = False) -> list:
+    """Align two nodes of one key: of two pages, or ``within`` one page."""
     text = a[TEXT] if a[TEXT] == b[TEXT] else None
-    return [a[LABEL], a[OPTIONAL] or b[OPTIONAL], a[REPEATED] or b[REPEATED], align(a[CHILDREN], b[CHILDREN]), text, a[MASS] + b[MASS], a[LINKED] + b[LINKED]]
+    if not within or a[SAME] is None or b[SAME] is None:
+        same = a[SAME] if a[SAME] == b[SAME] else None
+    else:
+        same = _digest(f"{a[SAME]} {b[SAME]}") if a[SAME] or b[SAME] else ""
+    children = align(a[CHILDREN], b[CHILDREN], within)
+    return [a[LABEL], a[OPTIONAL] or b[OPTIONAL], a[REPEATED] or b[REPEATED], children, text, a[MASS] + b[MASS], a[LINKED] + b[LINKED], same]
 
 
 def _maybe(node: list) -> list:
     return [node[LABEL], True, *node[REPEATED:]]
 
 
-def align(a: list, b: list) -> list:
+def align(a: list, b: list, within: bool = False) -> list:
     """Align two sequences along a longest common subsequence of keys; the rest becomes optional."""
     ka, kb = [_key(n) for n in a], [_key(n) for n in b]
     if ka == kb:
-        return [merge(x, y) for x, y in zip(a, b, strict=True)]
+        return [merge(x, y, within) for x, y in zip(a, b, strict=True)]
     table = [[0] * (len(kb) + 1) for _ in range(len(ka) + 1)]
     for i in range(len(ka) - 1, -1, -1):
         for j in range(len(kb) - 1, -1, -1):
@@ -163,7 +181,7 @@ def align(a: list, b: list) -> list:
     out, i, j = [], 0, 0
     while i < len(ka) or j < len(kb):
         if i < len(ka) and j < len(kb) and ka[i] == kb[j]:
-            out.append(merge(a[i], b[j]))
+            out.append(merge(a[i], b[j], within))
             i, j = i + 1, j + 1
         elif j == len(kb) or i < len(ka) and table[i + 1][j] >= table[i][j + 1]:
             out.append(_maybe(a[i]))
@@ -191,38 +209,48 @@ def fold(nodes: list) -> list:
             units = [nodes[i + j * period : i + (j + 1) * period] for j in range(n)]
             first = units[0]
             for unit in units[1:]:
-                first = [merge(x, y) for x, y in zip(first, unit, strict=True)]
+                first = [merge(x, y, True) for x, y in zip(first, unit, strict=True)]
             if period == 1:
                 first[0][REPEATED], first[0][OPTIONAL] = True, all(u[0][OPTIONAL] for u in units)
                 out += first
             else:
-                out.append([GROUP, False, True, first, "", 0, 0])
+                out.append([GROUP, False, True, first, "", 0, 0, ""])
             i += n * period
         nodes = out
     return nodes
 
 
+def _close(node: list) -> None:
+    """Fold a whole node's children; a long text stands as its beginning and the digest of all of it."""
+    node[CHILDREN] = fold(node[CHILDREN])
+    text = " ".join(node[TEXT])
+    node[SAME] = _digest(text) if text else ""
+    node[TEXT] = text if len(text) <= 200 else f"{text[:200]}\0{node[SAME]}"
+
+
 def expression(page: str) -> list:
     """The expression of one page."""
     root, path = _node("#"), []
+    root[TEXT] = []
     path.append(root)
     links = 0
     for kind, stack, value in walk(page):
         if kind == "push":
             node = _node(stack[-1][1])
+            node[TEXT] = []
             path[-1][CHILDREN].append(node)
             path.append(node)
             links += value == "a"
         elif kind == "pop":
             node = path.pop()
-            node[CHILDREN] = fold(node[CHILDREN])
+            _close(node)
             links -= value == "a"
         elif text := SPACE.sub(" ", value).strip():
             node = path[-1]
-            node[TEXT] = f"{node[TEXT]} {text}"[:200] if node[TEXT] else text[:200]  # enough to tell fixed text from a slot
+            node[TEXT].append(text)
             node[MASS] += len(text)
             node[LINKED] += len(text) if links else 0
-    root[CHILDREN] = fold(root[CHILDREN])
+    _close(root)
     return root
 
 
@@ -230,6 +258,8 @@ def _is_away(label: str, in_article: bool) -> bool:
     tag = re.split(r"[.#@]", label, maxsplit=1)[0]
     if tag in DROPPED or tag == "header" and not in_article:
         return True
+    if _is_article(label):
+        return False
     return tag not in ("html", "body") and tag != label and bool(AWAY.search(label[len(tag) :]))
 
 
@@ -245,8 +275,25 @@ def _members(node: list) -> Iterator[list]:
             yield child
 
 
-def plan(wrapper: list, pages: int) -> dict:
-    """What a page is read by: the article's label paths, and paths of fixed text to leave out."""
+def page_key(node: list) -> str:
+    """Digest of a page's text outside menus and the like: the same for copies."""
+    out: list[str] = []
+
+    def gather(at: list) -> None:
+        out.append(at[SAME] or "")
+        for child in _members(at):
+            if not _is_away(child[LABEL], False):
+                gather(child)
+
+    gather(node)
+    return _digest(" ".join(x for x in out if x))
+
+
+def plan(wrapper: list, differing: int) -> dict:
+    """What a page is read by: the article's label paths, and paths of fixed text to leave out.
+
+    ``differing`` is the number of pages of different text that the wrapper was met on.
+    """
     roots: list[str] = []
 
     def find(node: list, path: str) -> None:
@@ -264,9 +311,16 @@ def plan(wrapper: list, pages: int) -> dict:
         return {"roots": sorted(set(roots)), "fixed": []}
     fixed: list[str] = []
 
+    def heaviest(node: list) -> list:
+        inner = [heaviest(c) for c in _members(node) if not _is_away(c[LABEL], False)]
+        return max([node, *inner], key=lambda n: n[MASS] - n[LINKED])
+
+    top = heaviest(wrapper)
+    articles_differ = differing >= DIFFERING and (top[SAME] is None or top[OPTIONAL])
+
     def weigh(node: list, path: str) -> float:
         own = max(0, node[MASS] - node[LINKED])
-        if node[TEXT] and pages >= 3 and not node[OPTIONAL]:
+        if node[TEXT] and articles_differ and not node[OPTIONAL]:
             fixed.append(path)
             own = 0
         return own + sum(weigh(c, f"{path}/{c[LABEL]}") for c in _members(node) if not _is_away(c[LABEL], False))
@@ -332,24 +386,34 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(rest, r"\A([^/?#]*)", 1), F.lit(""))
 
 
+SCHEMA = "host string, wrapper string, pages long, keys array<string>"
+
+
+def _few(keys: set[str]) -> list[str]:
+    """The smallest DIFFERING keys: enough to tell whether there are so many."""
+    return sorted(keys)[:DIFFERING]
+
+
 def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Align the pages of each host that this task holds."""
     held: dict[str, list] = {}
 
     def out() -> pa.RecordBatch:
-        rows = [(h, json.dumps(w), n) for h, (w, n) in held.items()]
+        rows = [(h, json.dumps(w), n, k) for h, (w, n, k) in held.items()]
         held.clear()
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["host", "wrapper", "pages"])
+        types = (pa.string(), pa.string(), pa.int64(), pa.list_(pa.string()))
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["host", "wrapper", "pages", "keys"])
 
     for batch in batches:
         for host, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if page:
                 own = expression(page)
+                key = page_key(own)
                 if host in held:
-                    wrapper, n = held[host]
-                    held[host] = [merge(wrapper, own), n + 1]
+                    wrapper, n, keys = held[host]
+                    held[host] = [merge(wrapper, own), n + 1, _few({*keys, key})]
                 else:
-                    held[host] = [own, 1]
+                    held[host] = [own, 1, [key]]
             if len(held) >= MOST_HOSTS:
                 yield out()
     if held:
@@ -362,35 +426,35 @@ def _joined(rows: pd.DataFrame) -> pd.DataFrame:
     for text in rows["wrapper"]:
         own = json.loads(text)
         wrapper = own if wrapper is None else merge(wrapper, own)
-    return pd.DataFrame({"host": [rows["host"].iloc[0]], "wrapper": [json.dumps(wrapper)], "pages": [int(rows["pages"].sum())]})
+    keys = _few({k for own in rows["keys"] for k in own})
+    return pd.DataFrame({"host": [rows["host"].iloc[0]], "wrapper": [json.dumps(wrapper)], "pages": [int(rows["pages"].sum())], "keys": [keys]})
 
 
 def infer(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(host, wrapper, pages): one wrapper per host, as JSON."""
+    """(host, wrapper, pages, keys): one wrapper per host, as JSON; keys are at most DIFFERING page keys."""
     rows = pages.select(host_of(F.col(url)).alias("host"), F.col(html).alias("html"))
-    partial = rows.mapInArrow(_partial, "host string, wrapper string, pages long")
+    partial = rows.mapInArrow(_partial, SCHEMA)
     salted = partial.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
-    schema = "host string, wrapper string, pages long"
-    met = salted.groupBy("host", "salt").applyInPandas(_joined, schema)
-    return met.groupBy("host").applyInPandas(_joined, schema)
+    met = salted.groupBy("host", "salt").applyInPandas(_joined, SCHEMA)
+    return met.groupBy("host").applyInPandas(_joined, SCHEMA)
 
 
 def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
     wrappers = store.written(infer(pages, url, html), "wrappers")
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"), host_of(F.col(url)).alias("host"))
-    joined = rows.join(wrappers, "host", "left").select("page_id", "url", "html", "wrapper", "pages")
+    joined = rows.join(wrappers, "host", "left").select("page_id", "url", "html", "wrapper", F.size("keys").alias("differing"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plans: dict[str, dict] = {}
+        plans: dict[tuple[str, int], dict] = {}
         for batch in batches:
             out = []
             for page, wrapper, n in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
-                if wrapper is not None and wrapper not in plans:
+                if wrapper is not None and (wrapper, n) not in plans:
                     if len(plans) >= MOST_HOSTS:
                         plans.clear()
-                    plans[wrapper] = plan(json.loads(wrapper), n)
-                out.append(extract(page, plans.get(wrapper)))
+                    plans[wrapper, n] = plan(json.loads(wrapper), n)
+                out.append(extract(page, plans.get((wrapper, n))))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"]
             )
