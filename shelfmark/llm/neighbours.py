@@ -4,12 +4,13 @@ On a bounded sample the neighbour graph (each vector's nearest by inner product)
 is cut into balanced parts by capacity-bound label propagation, and a small
 network (one hidden layer) learns to tell the part of a vector and of its
 neighbours. Every vector is indexed under its most probable part; a query is
-routed to several most probable parts, as many as reach ``target`` recall on the
-sample (and at least ``k`` candidates), and is reranked there exactly.
+routed to several most probable parts, as many as reach ``target`` recall on
+vectors held out of the sample (and at least ``k`` candidate ids), and is
+reranked there exactly.
 
 Parts are searched in blocks of ``block_rows`` candidates by ``block_queries``
 queries, so a part that holds a third of all rows is many tasks. A block keeps
-each query's k nearest, and the nearest of all blocks are merged by a window of
+each query's k nearest ids, and the nearest of all blocks are merged by a window of
 k rows a block. Scores are double-precision sums over the original components in
 their order, so equal vectors get equal scores; ties go to the smaller vec_id.
 
@@ -30,6 +31,8 @@ from pyspark.sql import functions as F
 
 K = 20
 SAMPLE, GRAPH_K, HIDDEN = 4096, 12, 64
+#: One in so many vectors of the sample is held out to choose the number of probes.
+HELD_OUT = 4
 ROWS_PER_PART, FEWEST_PARTS, MOST_PARTS = 4_000, 8, 128
 TARGET = 0.95
 BLOCK_ROWS, BLOCK_QUERIES = 8_192, 1_024
@@ -153,19 +156,21 @@ def fit(vectors: DataFrame, total: int, k: int = K, sample: int = SAMPLE, target
     rows = vectors.filter(F.pmod(h, F.lit(1 << 20)) <= int(share * (1 << 20))).orderBy(h, "vec_id", "v").limit(sample)
     got = rows.select("v").collect()
     # Copies of one vector teach nothing about the others.
-    x = np.unique(np.array([r["v"] for r in got], float), axis=0) if got else np.zeros((0, 1))
-    if len(x) < 4 * parts:
+    distinct = np.unique(np.array([r["v"] for r in got], float), axis=0) if got else np.zeros((0, 1))
+    if len(distinct) < 4 * parts:
         return Index(None, 1, 1)
+    held = np.random.default_rng(2).permutation(len(distinct)) < len(distinct) // HELD_OUT
+    x, unseen = distinct[~held], distinct[held]
     graph = nearest(x, min(GRAPH_K, len(x) - 1))
     label = balanced_parts(x, graph, parts)
     near = np.concatenate((np.arange(len(x))[:, None], graph), 1)
     soft = np.zeros((len(x), parts))
     np.add.at(soft, (np.repeat(np.arange(len(x)), near.shape[1]), label[near].ravel()), 1.0 / near.shape[1])
     router = train_router(x, soft)
-    odds = router.parts(x)
-    rank = np.argsort(np.argsort(-odds, 1, kind="stable"), 1)  # of each part, for each row as a query
-    home = odds.argmax(1)
-    truth = nearest(x, min(k, len(x) - 1))
+    # The router has seen none of the held-out vectors: neither the queries nor their neighbours among them.
+    rank = np.argsort(np.argsort(-router.parts(unseen), 1, kind="stable"), 1)  # of each part, for each row as a query
+    home = router.parts(distinct).argmax(1)
+    truth = nearest(distinct, min(k, len(distinct) - 1))[held]
     at = np.take_along_axis(rank, home[truth], 1)
     probes = next((p for p in range(1, parts + 1) if (at < p).mean() >= target), parts)
     return Index(router, parts, probes)
@@ -187,9 +192,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, index: Index | No
         return pd.Series(own.router.parts(np.stack(v.to_numpy())).argmax(1).astype(np.int32))
 
     homed = vectors.withColumn("part", F.pandas_udf(home, "int")("v"))
-    sizes = np.zeros(index.parts, np.int64)
-    for r in homed.groupBy("part").count().collect():  # a row for each part
-        sizes[r["part"]] = r["count"]
+    # Rows of each part, and its ids that no other part has: so many candidates are sure.
+    sizes, sure = np.zeros(index.parts, np.int64), np.zeros(index.parts, np.int64)
+    spread = homed.groupBy("vec_id", "part").count().groupBy("vec_id").agg(F.collect_list(F.struct("part", "count")).alias("at"))
+    spread = spread.select((F.size("at") == 1).alias("only"), F.explode("at").alias("at")).groupBy("at.part")
+    for r in spread.agg(F.sum("at.count").alias("n"), F.count_if("only").alias("sure")).collect():  # a row for each part
+        sizes[r["part"]], sure[r["part"]] = r["n"], r["sure"]
 
     def route(v: pd.Series) -> pd.Series:
         own = shared.value
@@ -197,7 +205,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, index: Index | No
             return pd.Series([], dtype=object)
         odds = np.zeros((len(v), 1)) if own.router is None else own.router.parts(np.stack(v.to_numpy()))
         order = np.argsort(-odds, 1, kind="stable")
-        enough = (np.cumsum(sizes[order], 1) < k + 1).sum(1) + 1  # parts until there are k candidates
+        enough = (np.cumsum(sure[order], 1) < k + 1).sum(1) + 1  # parts until there are k candidates
         return pd.Series([o[: max(own.probes, e)].astype(np.int32) for o, e in zip(order, enough, strict=True)])
 
     # Blocks: candidates are dealt to salts by hash, queries to chunks; each pair of them is one group.
@@ -217,15 +225,22 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, index: Index | No
             return empty
         x, q = np.stack(left["v"].to_numpy()), np.stack(right["v"].to_numpy())
         ids, asked_by = left["vec_id"].to_numpy(), right["vec_id"].to_numpy()
+        by_id = np.argsort(ids, kind="stable")
+        x, ids = x[by_id], ids[by_id]
+        first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))  # of each id's rows
         rough = q @ x.T
         rough[asked_by[:, None] == ids[None]] = -np.inf
         out = []
         for row, vector, who in zip(rough, q, asked_by, strict=True):
-            edge = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -np.inf
+            tops = row if len(first) == len(row) else np.maximum.reduceat(row, first)  # the best of each id
+            edge = np.partition(tops, len(tops) - k)[len(tops) - k] if len(tops) > k else -np.inf
             # Matrix products differ in their last bits by position: all within reach are summed anew.
             reach = np.flatnonzero((row >= edge - 1e-9 * max(1.0, abs(edge)) if np.isfinite(edge) else row > -np.inf) & np.isfinite(row))
             exact = (x[reach] * vector).sum(1)
-            best = reach[np.lexsort((ids[reach], -exact))][:k]
+            best = reach[np.lexsort((ids[reach], -exact))]
+            if len(first) < len(row):
+                best = best[np.sort(np.unique(ids[best], return_index=True)[1])]
+            best = best[:k]
             out.append(pd.DataFrame({"query_id": who, "vec_id": ids[best], "score": (x[best] * vector).sum(1)}))
         return pd.concat(out) if out else empty
 
