@@ -14,10 +14,14 @@ named. Edges are the distinct pairs of page host and host of an absolute link in
 the page; links inside a host carry nothing. Every node divides its score evenly
 among its edges; scores that reach a node without edges end there.
 
-Ranks are propagated by joins and sums over (host, rank) tables, at most
-``rounds`` times or until nothing moves by more than ``tolerance``; every second
-round is written to the shared folder to cut lineage. Nothing but a count and
-the largest change reaches the driver.
+Ranks are propagated by joins and sums over (host, rank) tables until no new host
+is reached and no host's rank grows by more than ``settled`` of itself in two
+rounds, however small it is and however many rounds that takes. Verdicts are
+those of the settled ranks; the columns trust and distrust give the ranks after
+``rounds`` rounds (0 for hosts reached later). Every second round is written to
+the shared folder to cut lineage. Nothing but a count and the largest change
+reaches the driver. A host that only distrust reaches has share 1, even where its
+rank is too small for a double.
 
 Defined results: a null url, or one without ``://``, has empty host and path and
 fits no rule; it is judged by the host "" like any other. Null html has no
@@ -27,6 +31,7 @@ give no rows. Extra columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -36,6 +41,8 @@ from shelfmark.llm import store
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 DAMPING, ROUNDS, TOLERANCE, THRESHOLD = 0.85, 20, 1e-6, 0.5
+#: Largest growth of a rank in two rounds, as a share of it, at which it is settled.
+SETTLED = 1e-4
 LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?(?:https?:)?//([^/?#"'\s>]+)"""
 
 
@@ -83,28 +90,41 @@ def links(pages: DataFrame) -> DataFrame:
     return pairs.filter((F.col("src") != "") & (F.col("src") != F.col("dst"))).distinct()
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
-    """Personalised PageRank: (host, rank) from ``seeds`` (host, seed >= 0) along ``edges`` (src, dst)."""
+def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = TOLERANCE, settled: float = SETTLED) -> DataFrame:
+    """Personalised PageRank: (host, rank, settled) from ``seeds`` (host, seed >= 0) along ``edges`` (src, dst).
+
+    ``rank`` is that after ``rounds`` rounds, or before where no rank grows by more than ``tolerance`` of itself.
+    """
     total = seeds.agg(F.sum("seed").alias("total"))
     base = store.written(seeds.crossJoin(F.broadcast(total)).select("host", (F.col("seed") / F.col("total")).alias("seed")), "seeds")  # one row of totals
     degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
     shares = store.written(edges.join(degree, "src").select("src", "dst", (damping / F.col("degree")).alias("share")), "edges")
     rank = base.select("host", ((1 - damping) * F.col("seed")).alias("rank"))
     if not shares.limit(1).count():
-        return rank
-    last = base.select("host", F.lit(0.0).alias("rank"))
-    for i in range(rounds):
+        return rank.withColumn("settled", F.col("rank"))
+    last, early = base.select("host", F.lit(0.0).alias("rank")), None
+    for i in itertools.count():
         moved = shares.join(rank, shares["src"] == rank["host"]).select(F.col("dst").alias("host"), (F.col("share") * F.col("rank")).alias("rank"))
         start = base.select("host", ((1 - damping) * F.col("seed")).alias("rank"))
         new = moved.unionByName(start).groupBy("host").agg(F.sum("rank").alias("rank"))
-        if i % 2:
+        if i % 2 or i + 1 == rounds:
             new = store.written(new, "rank")
-            change = new.alias("n").join(last.alias("l"), "host", "full").agg(F.max(F.abs(F.coalesce("n.rank", F.lit(0.0)) - F.coalesce("l.rank", F.lit(0.0)))).alias("c"))
-            if (change.first()["c"] or 0.0) <= tolerance:
-                return new
+        if i + 1 == rounds:
+            early = new
+        if i % 2:
+            # Ranks only grow, and a host once reached stays: hosts not in ``last`` are new.
+            grown = F.when(F.col("l.rank").isNull(), F.lit(1.0)).when(F.col("n.rank") > 0, (F.col("n.rank") - F.col("l.rank")) / F.col("n.rank")).otherwise(F.lit(0.0))
+            change = new.alias("n").join(last.alias("l"), "host", "left").agg(F.max(grown).alias("c")).first()["c"] or 0.0
+            if change <= (settled if early is not None else tolerance):
+                break
+            if i > 1 and last is not early:
+                store.drop(last)
             last = new
         rank = new
-    return rank
+    if early is None:
+        return new.withColumn("settled", F.col("rank"))
+    early = early.select("host", F.col("rank").alias("early"))
+    return new.join(early, "host", "left").select("host", F.coalesce("early", F.lit(0.0)).alias("rank"), F.col("rank").alias("settled"))
 
 
 def judge(
@@ -140,9 +160,11 @@ def judge(
     trust = propagate(seeds.filter("good > 0").select("host", F.col("good").alias("seed")), edges, damping, rounds)
     against = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     distrust = propagate(seeds.filter("bad > 0").select("host", F.col("bad").alias("seed")), against, damping, rounds)
-    scores = trust.select("host", F.col("rank").alias("trust")).join(distrust.select("host", F.col("rank").alias("distrust")), "host", "full")
-    scores = store.written(scores, "scores")
+    trust = trust.select("host", F.col("rank").alias("trust"), F.col("settled").alias("_good"))
+    distrust = distrust.select("host", F.col("rank").alias("distrust"), F.col("settled").alias("_bad"))
+    scores = store.written(trust.join(distrust, "host", "full"), "scores")
     joined = narrow.join(scores, "host", "left")
-    good, bad = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
-    by_graph = F.when((good + bad > 0) & (bad > threshold * (good + bad)), F.lit("block")).otherwise(F.lit("allow"))
-    return joined.select("page_id", "host", "path", "rule", F.coalesce("_by_rule", by_graph).alias("verdict"), good.alias("trust"), bad.alias("distrust"))
+    good, bad = F.coalesce("_good", F.lit(0.0)), F.coalesce("_bad", F.lit(0.0))
+    only_bad = F.col("_good").isNull() & F.col("_bad").isNotNull() & (F.lit(threshold) < 1)
+    by_graph = F.when(only_bad | (good + bad > 0) & (bad > threshold * (good + bad)), F.lit("block")).otherwise(F.lit("allow"))
+    return joined.select("page_id", "host", "path", "rule", F.coalesce("_by_rule", by_graph).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
