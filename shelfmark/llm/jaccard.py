@@ -8,22 +8,23 @@ Blocks. Shingles are put in one global order, rare ones first; a set of n then
 links with another only if they share one of its first n - ceil(t n) + 1
 shingles. Rarity comes from a counting sketch of fixed size over all texts; it only
 chooses the order, and any order is exact. So passages that a large part of all
-texts share are last and make no blocks.
-
-Signature trees. The classes of a block (those that share a shingle so) form a
-tree: a leaf holds a class's token bitmap and size, a node the OR and the AND of
-its children's bitmaps, and their size range. Two trees, or a tree and itself,
-are walked together from the root: a pair of nodes is dropped when its sizes are
-too far apart, when the largest overlap that the bitmaps leave open is under the
-overlap that its sizes ask for, or when all its classes are in one component
-already. Pairs of leaves that remain are candidates. A block of more than
-``block_rows`` classes is cut into chunks, and every pair of chunks is a task.
-
-Rounds. First only each block's centre is paired with the others (one row each,
-no tree), verified, and connected. What the trees then compare are
-classes of different components, so a group of thousands of near copies isn't
-expanded into all its pairs. Candidates are verified on whole shingle sets; the
-links of both rounds give the components.
+texts share are last and make no blocks. Shingles with one least holder make one
+block, so a group of near copies is in few of them.
+
+Signature trees. The classes of a block form a tree for each bitmap width (four
+bits a shingle): a leaf holds a class's token bitmap and size, a node the OR and
+the AND of its children's bitmaps, and their size range. Two trees, or a tree and
+itself, are walked together from the root: a pair of nodes is dropped when its
+sizes are too far apart, when the largest overlap that the bitmaps leave open is
+under the overlap that its sizes ask for, or when all its classes are connected
+already. Pairs of leaves that remain are candidates.
+
+Two walks. The first, on bitmaps, only tells which classes of a block have a
+candidate at all. The second goes with the whole shingle sets of those, verifies
+each candidate where it is met and returns a forest: a link only if it connects
+two classes that earlier ones do not. Both return fewer rows than they take, so a
+group of thousands of near copies is never expanded into all its pairs. Blocks
+beyond a bound of rows or shingles are cut into chunks (see :func:`_walked`).
 
 Defined results: null or wordless texts have no shingles and link with nothing;
 their component is their own doc_id. Rows of one doc_id and different texts
@@ -41,16 +42,19 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm import store, textops
 from shelfmark.llm.components import components
 
 WIDTH, THRESHOLD = 4, 0.85
-SKETCH_BITS, SLICES = 19, 8
+SKETCH_BITS, SLICES, SALTS = 19, 32, 512
 WORDS, MOST_WORDS = 16, 1_024  # 64-bit words of a bitmap: 1,024 to 65,536 bits
-FANOUT, BLOCK_ROWS, FRONTIER = 8, 2_000, 1 << 18
+#: Bitmap words that a step of a walk compares, and shingles that a step verifies.
+FANOUT, FRONTIER_WORDS, RUN_TOKENS = 8, 1 << 21, 1 << 20
+#: Bounds of a block that one task walks: classes, and shingles in all of them.
+BLOCK_ROWS, BLOCK_TOKENS = 2_000, 1 << 21
 #: Rows of small blocks that a task takes together.
 GROUP_ROWS = 4_000
 BLOOM_BITS = 25
@@ -94,7 +98,7 @@ def folded(bits: np.ndarray, words: int) -> np.ndarray:
 
 
 def bitmap(tokens: np.ndarray) -> np.ndarray:
-    """Token bitmap of WORDS words, as trees hold it."""
+    """Token bitmap of the least width."""
     return folded(wide_bitmap(tokens), WORDS)
 
 
@@ -125,7 +129,9 @@ def _sketch(docs: DataFrame, width: int) -> np.ndarray:
             out += np.frombuffer(r, np.int32)
         return pd.DataFrame({"slice": [rows["slice"].iloc[0]], "counts": [np.minimum(out, 2**31 - 1).astype(np.int32).tobytes()]})
 
-    parts = docs.select("text").mapInArrow(tally, "slice int, counts binary").groupBy("slice").applyInPandas(add, "slice int, counts binary")
+    parts = docs.select("text").mapInArrow(tally, "slice int, counts binary").withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+    # Added in two levels, so that no group grows with the number of tasks beyond its share.
+    parts = parts.groupBy("slice", "salt").applyInPandas(add, "slice int, counts binary").groupBy("slice").applyInPandas(add, "slice int, counts binary")
     out = np.zeros((SLICES, part), np.int32)
     for r in parts.collect():  # SLICES rows, two megabytes in all
         out[r["slice"]] = np.frombuffer(r["counts"], np.int32)
@@ -138,28 +144,27 @@ def _profiles(docs: DataFrame, width: int, threshold: float, sketch) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = sketch.value
         for batch in batches:
-            keys, sizes, prefixes, bits = [], [], [], []
+            keys, sizes, prefixes, wide = [], [], [], []
             for _, tokens in textops.doc_shingles(batch.column(1).to_pylist(), width):
                 n = len(tokens)
                 sizes.append(n)
                 if not n:
                     keys.append(None)
                     prefixes.append([])
-                    bits.append((None, None))
+                    wide.append(None)
                     continue
                 keys.append(class_key(tokens))
                 heavy = weight[(tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                 order = np.argsort(heavy, kind="stable")[: probe_length(n, threshold)]  # ties by hash
                 prefixes.append(tokens[order].view(np.int64))
-                wide = wide_bitmap(tokens)
-                bits.append((folded(wide, WORDS).tobytes(), wide.tobytes()))
+                wide.append(wide_bitmap(tokens).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), *(pa.array([b[i] for b in bits], pa.binary()) for i in (0, 1))],
-                names=["doc_id", "text_key", "key", "n", "prefix", "bits", "wide"],
+                [batch.column(0), batch.column(2), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(wide, pa.binary())],
+                names=["doc_id", "text_key", "key", "n", "prefix", "wide"],
             )
 
     rows = docs.select("doc_id", "text", text_key(F.col("text")).alias("text_key"))
-    return rows.mapInArrow(run, "doc_id long, text_key binary, key binary, n long, prefix array<long>, bits binary, wide binary")
+    return rows.mapInArrow(run, "doc_id long, text_key binary, key binary, n long, prefix array<long>, wide binary")
 
 
 def _row_hash() -> Column:
@@ -197,33 +202,42 @@ def _sets(docs: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "key binary, tokens binary").join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"])
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, threshold: float) -> DataFrame:
-    """The pairs (src, dst) whose sets reach the threshold."""
-    keys = pairs.select(F.explode(F.array("src", "dst")).alias("key")).distinct()
-    wanted = store.written(classes.select("key", "rep.doc_id", "rep.text_key").join(keys, "key", "left_semi"), "wanted")
-    sets = store.written(_sets(docs, width, wanted), "sets")
-    left = pairs.join(sets.select(F.col("key").alias("src"), F.col("tokens").alias("a")), "src")
-    both = left.join(sets.select(F.col("key").alias("dst"), F.col("tokens").alias("b")), "dst").select("src", "dst", "a", "b")
+def _flat(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    starts = np.concatenate(([0], np.cumsum([len(p) for p in parts])[:-1]))
+    return np.concatenate(parts), starts
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            a, b = batch.column(2), batch.column(3)
-            for i in range(batch.num_rows):
-                x, y = np.frombuffer(a[i].as_buffer(), np.uint64), np.frombuffer(b[i].as_buffer(), np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                at[at == len(y)] = 0
-                shared = int((y[at] == x).sum())
-                keep[i] = shared >= threshold * (len(x) + len(y) - shared) - 1e-9
-            yield batch.filter(pa.array(keep)).select(["src", "dst"])
 
-    return both.mapInArrow(run, "src binary, dst binary")
+def similar(own: np.ndarray, others: list[np.ndarray], threshold: float) -> np.ndarray:
+    """Which of the other sets reach the threshold with this one; sets are sorted and hold something."""
+    out = []
+    first = size = 0
+    for i, other in enumerate(others):
+        size += len(other)
+        if size < RUN_TOKENS and i + 1 < len(others):
+            continue
+        tokens, starts = _flat(others[first : i + 1])
+        at = np.searchsorted(own, tokens)
+        at[at == len(own)] = 0
+        shared = np.add.reduceat((own[at] == tokens).astype(np.int64), starts)
+        n = np.array([len(o) for o in others[first : i + 1]])
+        out.append(shared >= threshold * (len(own) + n - shared) - 1e-9)
+        first, size = i + 1, 0
+    return np.concatenate(out) if out else np.zeros(0, bool)
+
+
+def possible(n: int, wide: np.ndarray, m: np.ndarray, others: list[np.ndarray], threshold: float) -> np.ndarray:
+    """Which of the other sets can reach the threshold with this one, by sizes and bitmaps."""
+    keep = np.minimum(n, m) >= threshold * np.maximum(n, m) - 1e-9
+    for i in np.flatnonzero(keep):
+        words = min(len(wide), len(others[i]))
+        a, b = folded(wide, words), folded(others[i], words)
+        most = min(n - int(np.bitwise_count(a & ~b).sum()), m[i] - int(np.bitwise_count(b & ~a).sum()))
+        keep[i] = most >= threshold / (1 + threshold) * (n + m[i]) - 1e-9
+    return keep
 
 
 class Tree:
-    """A signature tree over the classes of a block, level by level from the leaves."""
+    """A signature tree over classes, level by level from the leaves."""
 
     def __init__(self, bits: np.ndarray, n: np.ndarray, component: np.ndarray):
         """Classes are expected in the order in which they are to be leaves."""
@@ -242,6 +256,7 @@ def pairs_of(a: Tree, b: Tree | None, threshold: float) -> Iterator[tuple[np.nda
     """Leaf pairs that bitmaps, sizes and components leave open; of one tree if b is None."""
     own, b = b is None, b or a
     ratio = threshold / (1 + threshold)
+    step = max(1, FRONTIER_WORDS // a.levels[0][0].shape[1] // (FANOUT * FANOUT))
     depth = max(len(a.levels), len(b.levels)) - 1
     stack = [(depth, np.zeros(1, np.int64), np.zeros(1, np.int64))]
     while stack:
@@ -260,12 +275,13 @@ def pairs_of(a: Tree, b: Tree | None, threshold: float) -> Iterator[tuple[np.nda
         if level == 0:
             if own:
                 i, j = i[i < j], j[i < j]
-            yield i, j
+            if len(i):
+                yield i, j
             continue
         na, nb = len(a.levels[min(level - 1, len(a.levels) - 1)][2]), len(b.levels[min(level - 1, len(b.levels) - 1)][2])
         fa, fb = (FANOUT if la == level else 1), (FANOUT if lb == level else 1)
-        for s in range(0, len(i), FRONTIER // (FANOUT * FANOUT)):
-            x, y = i[s : s + FRONTIER // (FANOUT * FANOUT)], j[s : s + FRONTIER // (FANOUT * FANOUT)]
+        for s in range(0, len(i), step):
+            x, y = i[s : s + step], j[s : s + step]
             xi = (x[:, None, None] * fa + np.arange(fa)[None, :, None] + np.zeros((1, 1, fb), np.int64)).ravel()
             yj = (y[:, None, None] * fb + np.arange(fb)[None, None, :] + np.zeros((1, fa, 1), np.int64)).ravel()
             fits = (xi < na) & (yj < nb)
@@ -274,39 +290,199 @@ def pairs_of(a: Tree, b: Tree | None, threshold: float) -> Iterator[tuple[np.nda
             stack.append((level - 1, xi[fits], yj[fits]))
 
 
-def _block_pairs(blocks: DataFrame, threshold: float) -> DataFrame:
-    """Candidates (src, dst) of the blocks in ``blocks`` (group, i, j, token, chunk, key, n, bits, component).
+def open_pairs(left: np.ndarray, right: np.ndarray | None, n: np.ndarray, wide: list[np.ndarray], code: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row pairs of ``left`` with ``right`` (or of ``left`` with itself) that a walk over signature trees leaves open.
 
-    A group holds many small blocks, or one pair of chunks of a large one.
+    Sets whose bitmaps have one width make one tree; trees of two widths meet at
+    the narrower one. Rows of one code never pair.
     """
+    width = np.array([len(w) for w in wide])
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        codes = pd.factorize(rows["component"])[0].astype(np.int64)
-        n, tokens, chunk = rows["n"].to_numpy(), rows["token"].to_numpy(), rows["chunk"].to_numpy()
-        keys = rows["key"].to_numpy()
-        bits = np.frombuffer(b"".join(rows["bits"]), np.uint64).reshape(-1, WORDS)
-        order = np.lexsort((n, codes, tokens))
-        edges = np.flatnonzero(np.append(True, np.diff(tokens[order]) != 0))
-        i, j = int(rows["i"].iloc[0]), int(rows["j"].iloc[0])
-        out: set[tuple[bytes, bytes]] = set()
-        for at in np.split(order, edges[1:]):
-            first = at[chunk[at] == i]
-            second = None if i == j else at[chunk[at] == j]
-            if not len(first) or second is not None and not len(second):
+    def trees(rows: np.ndarray) -> dict[int, np.ndarray]:
+        return {int(w): (at := rows[width[rows] == w])[np.lexsort((n[at], code[at]))] for w in np.unique(width[rows])}
+
+    def tree(rows: np.ndarray, words: int) -> Tree:
+        return Tree(np.stack([folded(wide[r], words) for r in rows]), n[rows], code[rows])
+
+    a, b = trees(left), None if right is None else trees(right)
+    for w, x in a.items():
+        for v, y in (a if b is None else b).items():
+            if b is None and v < w or n[x].max() < threshold * n[y].min() - 1e-9 or n[y].max() < threshold * n[x].min() - 1e-9:
                 continue
-            tree = Tree(bits[first], n[first], codes[first])
-            other = None if second is None else Tree(bits[second], n[second], codes[second])
-            to = first if second is None else second
-            for x, y in pairs_of(tree, other, threshold):
-                a, b = keys[first[x]], keys[to[y]]
-                out.update((min(p, q), max(p, q)) for p, q in zip(a, b, strict=True))
-        src, dst = zip(*out, strict=True) if out else ((), ())
-        return pd.DataFrame({"src": pd.Series(src, dtype=object), "dst": pd.Series(dst, dtype=object)})
+            words, same = min(w, v), b is None and v == w
+            for i, j in pairs_of(tree(x, words), None if same else tree(y, words), threshold):
+                yield x[i], y[j]
+
+
+def may_link(left: np.ndarray, right: np.ndarray | None, n: np.ndarray, wide: list[np.ndarray], code: np.ndarray, threshold: float) -> np.ndarray:
+    """Which rows have a partner that bitmaps leave open; rows of code 0 are known to have one."""
+    out = code == 0
+    for i, j in open_pairs(left, right, n, wide, code, threshold):
+        out[i] = out[j] = True
+    return out
+
+
+def forest(left: np.ndarray, right: np.ndarray | None, n: np.ndarray, tokens: list[np.ndarray], code: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Verified links that connect all rows which links connect; codes tell what is connected already."""
+    parent = {int(c): int(c) for c in code}
+
+    def root(c: int) -> int:
+        while parent[c] != c:
+            parent[c] = c = parent[parent[c]]
+        return c
+
+    links = []
+    for i, j in open_pairs(left, right, n, [wide_bitmap(t) for t in tokens], code, threshold):
+        order = np.lexsort((j, i))
+        i, j = i[order], j[order]
+        for at in np.split(np.arange(len(i)), np.flatnonzero(np.diff(i)) + 1):
+            x = int(i[at[0]])
+            own = root(int(code[x]))
+            to = [int(y) for y in j[at] if root(int(code[y])) != own]
+            good = similar(tokens[x], [tokens[y] for y in to], threshold)
+            for y, g in zip(to, good, strict=True):
+                p, q = root(int(code[x])), root(int(code[y]))
+                if g and p != q:
+                    parent[max(p, q)] = min(p, q)
+                    links.append((x, y))
+    return links
+
+
+def _loads(column: pd.Series) -> list[np.ndarray]:
+    return [np.frombuffer(b, np.uint64) for b in column]
+
+
+def _codes(keys: np.ndarray, linked: np.ndarray) -> np.ndarray:
+    """0 for rows that the block's centre connects, else a number of the class."""
+    return np.where(linked, 0, pd.factorize(keys)[0] + 1)
+
+
+def _starred(n: np.ndarray, loads: list[np.ndarray], centre: int, exact: bool, threshold: float) -> np.ndarray:
+    """Which rows link with the centre (exact), or may."""
+    if exact:
+        fits = np.minimum(n, n[centre]) >= threshold * np.maximum(n, n[centre]) - 1e-9
+        fits[fits] = similar(loads[centre], [loads[i] for i in np.flatnonzero(fits)], threshold)
+        return fits
+    return possible(int(n[centre]), loads[centre], n, loads, threshold)
+
+
+def _result(rows: pd.DataFrame, found, exact: bool) -> pd.DataFrame:
+    if exact:
+        keys = rows["key"].to_numpy()
+        return pd.DataFrame({"src": pd.Series([min(keys[i], keys[j]) for i, j in found], dtype=object), "dst": pd.Series([max(keys[i], keys[j]) for i, j in found], dtype=object)})
+    return rows[["block", "key", "n"]][found]
+
 
-    return blocks.groupBy("group", "i", "j").applyInPandas(run, "src binary, dst binary").distinct()
+RESULT = {True: "src binary, dst binary", False: "block long, key binary, n long"}
 
 
-def join(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
+def _small_blocks(threshold: float, exact: bool):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("block", kind="stable").reset_index(drop=True)
+        keys, n, loads, block, hashes = rows["key"].to_numpy(), rows["n"].to_numpy(), _loads(rows["load"]), rows["block"].to_numpy(), rows["h"].to_numpy()
+        found = [] if exact else np.zeros(len(rows), bool)
+        for at in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(block)) + 1):
+            own, m = [loads[i] for i in at], n[at]
+            centre = int(hashes[at].argmin())
+            star = _starred(m, own, centre, exact, threshold)
+            linked = star & (star.sum() > 1)
+            code, rest = _codes(keys[at], linked), np.arange(len(at))
+            if exact:
+                found += [(int(at[centre]), int(at[i])) for i in np.flatnonzero(star) if i != centre]
+                found += [(int(at[i]), int(at[j])) for i, j in forest(rest, None, m, own, code, threshold)]
+            else:
+                found[at] = may_link(rest, None, m, own, code, threshold)
+        return _result(rows, found, exact)
+
+    return run
+
+
+def _chunk_pairs(threshold: float, exact: bool):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        keys, n, loads, linked = rows["key"].to_numpy(), rows["n"].to_numpy(), _loads(rows["load"]), rows["linked"].to_numpy()
+        code, side = _codes(keys, linked), rows["side"].to_numpy()
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        if not len(left) or not len(right):
+            return _result(rows, [] if exact else np.zeros(len(rows), bool), exact)
+        found = (forest if exact else may_link)(left, right, n, loads, code, threshold)
+        return _result(rows, found if exact else found & ~linked, exact)
+
+    return run
+
+
+def _star_of_large(threshold: float, exact: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = batch.column(2).to_numpy(), batch.column(5).to_numpy()
+            keep = np.zeros(batch.num_rows, bool)
+            for i in range(batch.num_rows):
+                a, b = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in (3, 6))
+                keep[i] = _starred(np.array([m[i], n[i]]), [b, a], 0, exact, threshold)[1]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), batch.column(4), pa.array(keep)], names=["block", "key", "n", "centre", "linked"])
+
+    return run
+
+
+def _walked(
+    blocks: DataFrame, loads: DataFrame, exact: bool, threshold: float, block_rows: int, block_tokens: int, scratch: store.Scratch
+) -> DataFrame:
+    """A walk over the trees of all ``blocks`` (block, key, n), of bitmaps or, if ``exact``, of whole shingle sets (key, load).
+
+    Bitmaps leave the rows (block, key, n) that may link; whole sets give verified
+    links (src, dst), fewer than rows. A block's centre, its least class hash, is
+    compared with all its rows first: what it connects is one component to the
+    trees. Blocks over a bound of rows or shingles are cut: every chunk of the rows
+    that the centre doesn't connect meets every chunk of the block, each pair in a task.
+    """
+    sizes = scratch.written(blocks.groupBy("block").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("total")), "sizes")
+    large = (F.col("size") > block_rows) | (F.col("total") > block_tokens)
+    share, hot = sizes.agg(F.greatest(F.sum("size") / GROUP_ROWS, F.sum("total") / block_tokens), F.count_if(large)).first()
+    groups = max(1, math.ceil(share or 0))
+    h = F.xxhash64("key").alias("h")
+    small = blocks
+    if hot:
+        chunks = F.ceil(F.greatest(F.col("size") / block_rows, F.col("total") / block_tokens)).cast("int")
+        hot_sizes = scratch.written(sizes.filter(large).select("block", chunks.alias("chunks")), "large")
+        small = blocks.join(hot_sizes, "block", "left_anti")
+    grouped = small.join(loads, "key").select(F.pmod(F.xxhash64("block"), F.lit(groups)).alias("group"), "block", "key", "n", "load", h)
+    out = grouped.groupBy("group").applyInPandas(_small_blocks(threshold, exact), RESULT[exact])
+    if not hot:
+        return out
+
+    rows = scratch.written(blocks.join(hot_sizes, "block"), "rows")
+    first = rows.groupBy("block").agg(F.min(F.struct(h, "key", "n")).alias("c")).select("block", F.col("c.key").alias("centre"), F.col("c.n").alias("m"))
+    first = scratch.written(first.join(loads.select(F.col("key").alias("centre"), F.col("load").alias("centre_load")), "centre"), "centres")
+    star = rows.join(loads, "key").join(first, "block").select("block", "key", "n", "load", "centre", "m", "centre_load")
+    star = scratch.written(star.mapInArrow(_star_of_large(threshold, exact), "block long, key binary, n long, centre binary, linked boolean"), "stars")
+    rest = star.filter("NOT linked").groupBy("block").agg(F.count(F.lit(1)).alias("r"), F.sum("n").alias("rn"))
+    cuts = F.ceil(F.greatest(F.col("r") / block_rows, F.col("rn") / block_tokens)).cast("int").alias("cuts")
+    counted = star.join(scratch.written(rest.join(hot_sizes, "block").select("block", "chunks", cuts), "rest"), "block")
+    i, j = F.pmod(F.xxhash64("key", F.lit(1)), F.col("cuts")).cast("int"), F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int")
+    columns = ["block", "key", "n", "linked"]
+    left = counted.filter("NOT linked").select(*columns, i.alias("i"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("j"), F.lit(0).alias("side"))
+    right = counted.select(*columns, F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("i"), j.alias("j"), F.lit(1).alias("side"))
+    pairs = left.unionByName(right).join(loads, "key").groupBy("block", "i", "j").applyInPandas(_chunk_pairs(threshold, exact), RESULT[exact])
+    if exact:
+        met = star.filter(F.col("linked") & (F.col("key") != F.col("centre")))
+        return out.union(pairs).union(met.select(F.least("centre", "key").alias("src"), F.greatest("centre", "key").alias("dst")))
+    return out.union(pairs.distinct()).union(star.filter("linked").select("block", "key", "n"))
+
+
+def _blocks(classes: DataFrame, threshold: float) -> DataFrame:
+    """(block, key, n): classes that share a shingle of their prefixes, under the least class hash among its holders.
+
+    Blocks of shingles with the same least holder are one: it is near to all
+    their members. A shingle's holders are counted by partial sums, never gathered.
+    """
+    posts = classes.select(F.explode("prefix").alias("token"), "key", "n")
+    held = posts.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.min(F.xxhash64("key")).alias("block"))
+    fits = (F.col("size") > 2) | (F.col("size") == 2) & (F.col("lo") >= threshold * F.col("hi") - 1e-9)
+    return posts.join(held.filter(fits).select("token", "block"), "token").select("block", "key", "n").distinct()
+
+
+def join(
+    docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, block_rows: int = BLOCK_ROWS, block_tokens: int = BLOCK_TOKENS
+) -> tuple[DataFrame, DataFrame]:
     """Classes of all rows and the links found between them.
 
     Returns (profiles, links): profiles has doc_id, text_key, key and n per row of ``docs``
@@ -317,63 +493,19 @@ def join(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, bloc
     sketch = spark.sparkContext.broadcast(_sketch(docs, width))
     full = store.written(_profiles(docs, width, threshold, sketch), "full")
     profiles = store.written(full.select("doc_id", "text_key", "key", "n"), "profiles")
-    by_class = full.filter("n > 0").groupBy("key").agg(F.first(F.struct("n", "prefix", "bits", "wide")).alias("p"), F.min(F.struct("doc_id", "text_key")).alias("rep"))
+    by_class = full.filter("n > 0").groupBy("key").agg(F.first(F.struct("n", "prefix", "wide")).alias("p"), F.min(F.struct("doc_id", "text_key")).alias("rep"))
     classes = store.written(by_class.select("key", "p.*", "rep"), "classes")
     store.drop(full)
-    posts = classes.select(F.explode("prefix").alias("token"), "key", "n")
-    met = posts.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("token")))
-    met = store.written(met.filter("size > 1"), "blocks")
-
-    # Round 1: every class of a block with the block's centre. Centres are drawn for each
-    # block anew, so the blocks of one group of near copies connect it from many sides.
-    centre = met.groupBy("token").agg(F.min(F.struct(F.xxhash64("token", "key").alias("draw"), "key", "n")).alias("c")).select("token", F.col("c.key").alias("first"), F.col("c.n").alias("m"))
-    near = F.least("n", "m") >= threshold * F.greatest("n", "m") - 1e-9
-    stars = met.join(centre, "token").filter(near & (F.col("key") != F.col("first"))).select(F.least("first", "key").alias("src"), F.greatest("first", "key").alias("dst")).distinct()
-    pairs = store.written(_possible(stars, classes, threshold), "pairs")
-    links1 = store.written(_verified(pairs, docs, classes, width, threshold), "links")
-
-    # Round 2: trees over blocks that still hold several components. Blocks of two
-    # are done, and of blocks with equal members one stands for all.
-    labels = components(links1)
-    known = met.join(labels.select(F.col("id").alias("key"), "component"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    members = known.filter("size > 2").groupBy("token").agg(
-        F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("size").alias("size"),
-        F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y"),
-    )
-    spread = members.filter("lo <> hi").groupBy("size", "x", "y").agg(F.min("token").alias("token")).select("token")
-    open_ = store.written(known.join(spread, "token", "left_semi").select("token", "key", "size", "component"), "open")
-    groups = max(1, open_.count() // GROUP_ROWS)
-    chunks = F.ceil(F.col("size") / block_rows).cast("int")
-    open_ = open_.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
-    each = F.explode(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(F.least("chunk", c).alias("i"), F.greatest("chunk", c).alias("j"))))
-    group = F.when(F.col("chunks") > 1, F.col("token")).otherwise(F.pmod(F.xxhash64("token"), F.lit(groups)))
-    blocks = open_.withColumn("pair", each).select(group.alias("group"), "pair.i", "pair.j", "token", "chunk", "key", "component")
-    blocks = blocks.join(classes.select("key", "n", "bits"), "key")
-    pairs = store.written(_possible(_block_pairs(blocks, threshold), classes, threshold), "pairs")
-    links2 = store.written(_verified(pairs, docs, classes, width, threshold), "links")
-    return profiles, links1.union(links2)
-
-
-def _possible(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (src, dst) that sizes and wide bitmaps leave open."""
-    wide = classes.select("key", "n", "wide")
-    both = pairs.join(wide.select(F.col("key").alias("src"), F.col("n").alias("na"), F.col("wide").alias("wa")), "src")
-    both = both.join(wide.select(F.col("key").alias("dst"), F.col("n").alias("nb"), F.col("wide").alias("wb")), "dst").select("src", "dst", "na", "wa", "nb", "wb")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            na, wa, nb, wb = (batch.column(i) for i in range(2, 6))
-            keep = np.zeros(batch.num_rows, bool)
-            for i in range(batch.num_rows):
-                a, b = np.frombuffer(wa[i].as_buffer(), np.uint64), np.frombuffer(wb[i].as_buffer(), np.uint64)
-                words = min(len(a), len(b))
-                a, b = folded(a, words), folded(b, words)
-                x, y = na[i].as_py(), nb[i].as_py()
-                most = min(x - int(np.bitwise_count(a & ~b).sum()), y - int(np.bitwise_count(b & ~a).sum()))
-                keep[i] = most >= threshold / (1 + threshold) * (x + y) - 1e-9
-            yield batch.filter(pa.array(keep)).select(["src", "dst"])
-
-    return both.mapInArrow(run, "src binary, dst binary")
+    blocks = store.written(_blocks(classes, threshold), "blocks")
+    bitmaps = classes.select("key", F.col("wide").alias("load"))
+    scratch = store.Scratch()
+    left_open = store.written(_walked(blocks, bitmaps, False, threshold, block_rows, block_tokens, scratch), "open")
+    store.drop(blocks)
+    wanted = store.written(classes.select("key", "rep.doc_id", "rep.text_key").join(left_open.select("key").distinct(), "key", "left_semi"), "wanted")
+    sets = store.written(_sets(docs, width, wanted).withColumnRenamed("tokens", "load"), "sets")
+    links = store.written(_walked(left_open, sets, True, threshold, block_rows, block_tokens, scratch), "links")
+    scratch.clear(classes, left_open, wanted, sets)
+    return profiles, links
 
 
 def classify(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, block_rows: int = BLOCK_ROWS) -> DataFrame:

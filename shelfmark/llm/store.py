@@ -11,9 +11,17 @@ _LOCAL: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; one of our own only where it is unset (tests)."""
+    """The folder in ``spark.checkpoint.dir``, or the context's checkpoint folder.
+
+    Where neither is set, one of our own on a local master; on a cluster that
+    would be a folder of each machine, so it is an error.
+    """
     if root := spark.conf.get("spark.checkpoint.dir", None):
         return root.rstrip("/")
+    if (own := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
+        return own.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _LOCAL:
         _LOCAL.append(tempfile.mkdtemp(prefix="shelfmark-"))
     return f"file://{_LOCAL[0]}"
@@ -26,11 +34,43 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.shelfmark_path = path
+    _LIVE[path] = out
     return out
 
 
+#: Tables written and not deleted yet, by path.
+_LIVE: dict[str, DataFrame] = {}
+
+
 def drop(df: DataFrame) -> None:
     """Delete a table made by :func:`written` once nothing reads it any more."""
     jvm, spark = df.sparkSession._jvm, df.sparkSession
     path = jvm.org.apache.hadoop.fs.Path(df.shelfmark_path)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _LIVE.pop(df.shelfmark_path, None)
+
+
+class Scratch:
+    """Tables that are deleted together."""
+
+    def __init__(self) -> None:
+        """Nothing yet; tables live before are not its own."""
+        self._before = set(_LIVE)
+        self._own: list[DataFrame] = []
+
+    def written(self, df: DataFrame, tag: str) -> DataFrame:
+        """As :func:`written`, and remembered."""
+        self._own.append(written(df, tag))
+        return self._own[-1]
+
+    def clear(self, *others: DataFrame) -> None:
+        """Delete the tables remembered, and ``others``."""
+        for df in (*self._own, *others):
+            drop(df)
+        self._own = []
+
+    def clear_all(self) -> None:
+        """Delete every table written since this was made."""
+        for path in [p for p in _LIVE if p not in self._before]:
+            drop(_LIVE[path])
+        self._own = []
