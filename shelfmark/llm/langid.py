@@ -21,24 +21,25 @@ Repeated rows give repeated results; extra columns pass through ``predict``.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 UNDETERMINED = "und"
 DIM = 4096
-PER_LANG, MOST_LANGS = 400, 256
+#: Texts of each language that are learnt from, and the most vectors of all together (two a text).
+PER_LANG, MOST_VECTORS = 400, 24_576
 AMBIGUOUS_MARGIN = 0.05
 PAD = b"    "
 #: A task predicts texts in runs of about so many characters, and so many texts at most.
 RUN_CHARS, RUN_TEXTS = 1 << 19, 256
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def features(texts: list[bytes]) -> np.ndarray:
@@ -139,22 +140,23 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def fit(docs: DataFrame, lang: str = "lang", text: str = "text", per_lang: int = PER_LANG, most_langs: int = MOST_LANGS) -> Model | None:
-    """Fit on the labelled rows of ``docs``; the caller has left out the held-out ones."""
+def fit(docs: DataFrame, lang: str = "lang", text: str = "text", per_lang: int = PER_LANG, most_vectors: int = MOST_VECTORS) -> Model | None:
+    """Fit on the labelled rows of ``docs``; the caller has left out the held-out ones.
+
+    Many languages share ``most_vectors``; each keeps two texts at least.
+    """
     rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")).filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()}
+    # Texts count once, however often they are repeated.
+    h = F.xxhash64("text")
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct(h).alias("n")).collect()}  # a row a language
     if not counts:
         return None
     langs = sorted(counts)
-    # A hash-chosen share of each language leaves about 1.5 * per_lang rows of it, of which per_lang stay.
-    share = F.lit(0.0)
-    for name, n in counts.items():
-        share = F.when(F.col("lang") == name, F.lit(min(1.0, (1.5 * per_lang + 50) / n))).otherwise(share)
-    h = F.xxhash64("text")
-    picked = (
-        rows.withColumn("h", h).filter(F.pmod("h", F.lit(1 << 20)) < share * (1 << 20))
-        .withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).filter(F.col("r") <= per_lang)
-    )
+    per_lang = max(2, min(per_lang, most_vectors // (2 * len(langs))))
+    # A hash-chosen share of each language leaves about 1.5 * per_lang texts of it, of which per_lang stay.
+    shares = docs.sparkSession.createDataFrame([(name, min(1.0, (1.5 * per_lang + 50) / max(1, n))) for name, n in counts.items()], "lang string, share double")
+    picked = rows.join(F.broadcast(shares), "lang").withColumn("h", h).filter(F.pmod("h", F.lit(1 << 20)) < F.col("share") * (1 << 20))
+    picked = picked.dropDuplicates(["lang", "h"]).withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= per_lang)
     got = picked.select("lang", "text", F.pmod(F.hash("text"), F.lit(1 << 20)).cast("long").alias("spot")).mapInArrow(_featurised, "lang string, x binary").collect()
     x = np.stack([np.frombuffer(r["x"], np.float16) for r in got]).astype(np.float32)
     y = np.array([langs.index(r["lang"]) for r in got])
@@ -162,6 +164,23 @@ def fit(docs: DataFrame, lang: str = "lang", text: str = "text", per_lang: int =
     return train(x[order], y[order], langs)
 
 
+def _named(model: Model | None, texts: list, ambiguous_margin: float) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, score and ambiguity of each text, in runs of bounded size."""
+    lang, score, vague = [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
+    run, size = [], 0
+    for i, t in enumerate([*texts, None]):
+        if model and t and _LETTER.search(t):
+            run.append(i)
+            size += len(t)
+        if run and (size >= RUN_CHARS or len(run) >= RUN_TEXTS or i == len(texts)):
+            best, p, gap = model.decode(features([_lowered(texts[j]) for j in run]))
+            for j, b in zip(run, best, strict=True):
+                lang[j] = model.langs[b]
+            score[run], vague[run] = p, gap < ambiguous_margin
+            run, size = [], 0
+    return lang, score, vague
+
+
 def predict(docs: DataFrame, model: Model | None, text: str = "text", ambiguous_margin: float = AMBIGUOUS_MARGIN) -> DataFrame:
     """Add ``lang_pred``, ``score`` and ``ambiguous`` to every row."""
     kept = [c for c in docs.columns if c not in ("lang_pred", "score", "ambiguous")]
@@ -170,21 +189,20 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", ambiguous_
     shared, at = docs.sparkSession.sparkContext.broadcast(model), kept.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            lang, score, vague = [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
-            run, size = [], 0
-            for i, t in enumerate([*texts, None]):
-                if model and t and _LETTER.search(t):
-                    run.append(i)
-                    size += len(t)
-                if run and (size >= RUN_CHARS or len(run) >= RUN_TEXTS or i == len(texts)):
-                    best, p, gap = model.decode(features([_lowered(texts[j]) for j in run]))
-                    for j, b in zip(run, best, strict=True):
-                        lang[j] = model.langs[b]
-                    score[run], vague[run] = p, gap < ambiguous_margin
-                    run, size = [], 0
+            lang, score, vague = _named(shared.value, batch.column(at).to_pylist(), ambiguous_margin)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang), pa.array(score), pa.array(vague)], names=schema.names)
 
     return docs.mapInArrow(run, schema)
+
+
+def keep_known(docs: DataFrame, model: Model | None, text: str = "text", ambiguous_margin: float = AMBIGUOUS_MARGIN) -> DataFrame:
+    """The rows of ``docs`` whose text has a language that is not ambiguous, with all their columns as they are."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lang, _, vague = _named(shared.value, batch.column(at).to_pylist(), ambiguous_margin)
+            yield batch.filter(pa.array([name != UNDETERMINED and not v for name, v in zip(lang, vague, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

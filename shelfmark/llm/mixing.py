@@ -3,8 +3,9 @@
 Each source gets a mean repetition rate so that its expected share of the
 output is its target weight. Every row draws its own count from a Poisson
 distribution with that mean: a hash of the row and the seed gives a uniform
-number, which is inverted through the distribution function. Rows are exploded
-by their count and dealt over the cluster by a second hash, in its order.
+number, which is inverted through the distribution function, tabled once for
+each source. Rows are exploded by their count and dealt over the cluster by a
+second hash, in its order.
 
 Only DataFrame functions are used. One shuffle counts rows per source (with
 map-side partial sums) and one deals out the result; the counts join back by
@@ -15,8 +16,8 @@ Defined results: a null source is a source of its own (``weights[None]``); a
 source absent from ``weights`` takes ``default_weight``; a weight of 0 drops a
 source. Null or empty texts are rows like any other. Repeated rows with equal
 ``doc_id`` draw equal counts; a null ``doc_id`` draws by its text. No rows give
-no rows. Extra columns pass through; the added columns overwrite columns of
-the same names.
+no rows. Extra columns pass through, whatever their names; the added columns
+overwrite columns of the same names, and without ``describe`` none is added.
 """
 
 from __future__ import annotations
@@ -38,25 +39,26 @@ def _uniform(seed: str, key: Column) -> Column:
     return (F.conv(digits, 16, 10).cast("long").cast("double") + F.lit(0.5)) / F.lit(float(2**BITS))
 
 
-def poisson_count(rate: Column, uniform: Column) -> Column:
-    """Smallest k with P(Poisson(rate) <= k) >= uniform, by walking the distribution function.
+def poisson_steps(rate: Column) -> Column:
+    """Values of the distribution function of Poisson(rate) at 0, 1, ... as far as a uniform number can pass them.
 
-    The walk ends at rate + 12 sqrt(rate) + 60, beyond which no 52-bit uniform
+    The sum ends at rate + 12 sqrt(rate) + 60, beyond which no 52-bit uniform
     number reaches. Rates over 500 are split into equal parts by the caller.
     """
     last = F.ceil(rate + 12.0 * F.sqrt(rate) + 60.0).cast("int")
-    start = F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("cdf"), F.lit(0).alias("n"))
+    start = F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("cdf"), F.array(F.exp(-rate)).alias("all"))
 
     def step(acc: Column, k: Column) -> Column:
         p = acc["p"] * rate / k.cast("double")
-        going = acc["cdf"] < uniform
-        return F.struct(
-            p.alias("p"),
-            F.when(going, acc["cdf"] + p).otherwise(acc["cdf"]).alias("cdf"),
-            (acc["n"] + going.cast("int")).alias("n"),
-        )
+        return F.struct(p.alias("p"), (acc["cdf"] + p).alias("cdf"), F.array_append(acc["all"], acc["cdf"] + p).alias("all"))
 
-    return F.aggregate(F.sequence(F.lit(1), last), start, step, lambda acc: acc["n"])
+    highest = (2.0**BITS - 0.5) / 2.0**BITS
+    return F.filter(F.aggregate(F.sequence(F.lit(1), last), start, step, lambda acc: acc["all"]), lambda c: c < highest)
+
+
+def poisson_count(steps: Column, uniform: Column) -> Column:
+    """Smallest k with P(Poisson <= k) >= uniform, from the distribution function's ``steps``."""
+    return F.size(F.filter(steps, lambda c: c < uniform))
 
 
 def source_rates(
@@ -66,20 +68,23 @@ def source_rates(
     total: float | None,
     source: str = "source",
 ) -> DataFrame:
-    """One row per source: its rows and mean repetition rate for ``total`` expected output rows."""
+    """One row per source: (src, rate, parts, steps), the rate being its mean repetition for ``total`` expected output rows.
+
+    A draw is the sum of ``parts`` draws of equal rates, whose distribution function is ``steps``.
+    """
     if weights and any(w < 0 for w in weights.values()) or default_weight < 0:
         raise ValueError("weights must not be negative")
-    counts = docs.groupBy(F.col(source).alias("_src")).agg(F.count(F.lit(1)).alias("_rows"))
+    counts = docs.groupBy(F.col(f"`{source}`").alias("src")).agg(F.count(F.lit(1)).alias("rows"))
     weight = F.lit(float(default_weight))
     for name, w in (weights or {}).items():
-        weight = F.when(F.col("_src").eqNullSafe(F.lit(name)), F.lit(float(w))).otherwise(weight)
-    counts = counts.withColumn("_weight", weight)
-    sums = counts.agg(F.sum("_weight").alias("_all"), F.sum("_rows").alias("_n"))
-    target = F.col("_n").cast("double") if total is None else F.lit(float(total))
-    share = F.when(F.col("_all") > 0, F.col("_weight") / F.col("_all")).otherwise(0.0)
-    return counts.crossJoin(F.broadcast(sums)).select(  # one row of totals
-        "_src", (target * share / F.col("_rows")).alias("_rate")
-    )
+        weight = F.when(F.col("src").eqNullSafe(F.lit(name)), F.lit(float(w))).otherwise(weight)
+    counts = counts.withColumn("weight", weight)
+    sums = counts.agg(F.sum("weight").alias("all"), F.sum("rows").alias("n"))
+    target = F.col("n").cast("double") if total is None else F.lit(float(total))
+    share = F.when(F.col("all") > 0, F.col("weight") / F.col("all")).otherwise(0.0)
+    rates = counts.crossJoin(F.broadcast(sums)).select("src", (target * share / F.col("rows")).alias("rate"))  # one row of totals
+    parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / 500.0).cast("int"))
+    return rates.withColumn("parts", parts).withColumn("steps", poisson_steps(F.col("rate") / F.col("parts")))
 
 
 def mix_sources(
@@ -92,32 +97,34 @@ def mix_sources(
     doc_id: str = "doc_id",
     text: str = "text",
     partitions: int | None = None,
+    describe: bool = True,
 ) -> DataFrame:
     """Replicate rows so that sources meet their target weights, in globally shuffled order.
 
     Adds ``rate`` (the source's mean), ``copies`` (the row's draw), ``replica``
-    (0 to copies - 1) and ``shuffle_key`` (the hash that orders the output).
+    (0 to copies - 1) and ``shuffle_key`` (the hash that orders the output);
+    without ``describe`` nothing is added and every column stays as it is.
     """
     # Written, so that the planner knows the size of the table when it chooses the join.
     rates = store.written(source_rates(docs, weights, default_weight, total, source), "rates")
-    kept = [c for c in docs.columns if c not in ADDED]
-    key = F.coalesce(F.col(doc_id).cast("string"), F.concat(F.lit("t"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))))
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], key.alias("_key"))
-    rows = rows.join(rates, rows[source].eqNullSafe(rates["_src"]), "left")
-    # A Poisson draw of a large rate is the sum of draws of its equal parts.
-    parts = F.greatest(F.lit(1), F.ceil(F.col("_rate") / 500.0).cast("int"))
+    key = F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.concat(F.lit("t"), F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary"))))
+    # The row travels as one struct: no column of ours can meet one of its own.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{source}`").alias("own"), key.alias("key"))
+    rows = rows.join(rates, rows["own"].eqNullSafe(rates["src"]), "left")
     draws = F.transform(
-        F.sequence(F.lit(1), parts),
-        lambda i: poisson_count(F.col("_rate") / parts, _uniform(seed, F.concat(F.col("_key"), F.lit("#"), i.cast("string")))),
+        F.sequence(F.lit(1), F.col("parts")),
+        lambda i: poisson_count(F.col("steps"), _uniform(seed, F.concat(F.col("key"), F.lit("#"), i.cast("string")))),
     )
     copies = F.aggregate(draws, F.lit(0), lambda a, x: a + x)
-    drawn = rows.withColumn("copies", copies).filter(F.col("copies") > 0)
+    drawn = rows.select("row", "key", "rate", copies.alias("copies")).filter(F.col("copies") > 0)
     copied = drawn.withColumn("replica", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    order = F.md5(F.concat(F.lit(f"{seed}/order:"), F.col("_key"), F.lit("#"), F.col("replica").cast("string")).cast("binary"))
-    dealt = copied.withColumn("shuffle_key", order).withColumnRenamed("_rate", "rate").drop("_src", "_key")
+    order = F.md5(F.concat(F.lit(f"{seed}/order:"), F.col("key"), F.lit("#"), F.col("replica").cast("string")).cast("binary"))
+    dealt = copied.withColumn("shuffle_key", order).drop("key")
     # The key is a uniform hash: dealing by it needs no sampling pass, as a range would.
     n = [partitions] if partitions else []
-    return dealt.repartition(*n, "shuffle_key").sortWithinPartitions("shuffle_key", "replica").select(*kept, *ADDED)
+    dealt = dealt.repartition(*n, "shuffle_key").sortWithinPartitions("shuffle_key", "replica")
+    kept = [c for c in docs.columns if not describe or c not in ADDED]
+    return dealt.select(*[F.col("row")[c].alias(c) for c in kept], *(ADDED if describe else ()))
 
 
 def oracle(weights: Mapping[str, float], default_weight: float = 1.0, seed: str = "mix") -> str:

@@ -6,30 +6,44 @@ fraction, so that every stretch of the order holds the sources in proportion.
 The order is cut into equal stretches: shard = floor(position * shards / rows).
 Row counts of shards differ by at most one (law ``rows``).
 
-Neither rank is a window over a whole source or over all rows. The first counts
-rows by (source, hash bucket) and numbers rows inside a bucket, so a source that
-holds a third of all rows is dealt over all buckets. The second needs no count:
-how many of a source's fractions lie below a bucket border follows from n alone.
-Both bucket numbers follow the row count, so a bucket holds ``bucket_rows`` rows
-on average whatever the input. Only DataFrame functions are used.
+Neither rank is a window over a whole source or over all rows. Both count rows by
+bucket (of the hash within a source, then of the fraction over all), sum the
+counts before each bucket, and number rows inside a bucket only. A source that
+holds a third of all rows is so dealt over all buckets, and a bucket holds
+``bucket_rows`` rows on average whatever the input. Only DataFrame functions are
+used.
 
 Defined results: a null source is a stratum of its own; null and empty texts and
 null ids are rows like any other; repeated rows (equal in all order columns)
 take neighbouring ranks in no set order, which leaves equal results; no rows
-give no rows. Extra columns pass through; added columns overwrite the same names.
+give no rows. Extra columns pass through, whatever their names; added columns
+overwrite the same names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LAW = "rows"
-#: Average rows of a bucket, and the most buckets: their table stays under a proven size.
-BUCKET_ROWS, MOST_BUCKETS = 2_000, 65_536
+#: Average rows of a bucket.
+BUCKET_ROWS = 2_000
 DIGITS = 8  # hex digits of the hash that choose a bucket
 
 
+def file_position(rows: DataFrame) -> DataFrame | None:
+    """(row, place): each row of a Parquet table and the number of its file and its place there; None for other tables.
+
+    The place tells replicas of one row apart, the same in every attempt of a task.
+    """
+    part = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1)
+    try:
+        return rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), F.concat_ws(":", part, F.col("_metadata.row_index").cast("string")).alias("place"))
+    except AnalysisException:
+        return None
+
+
 def interleave(
     rows: DataFrame,
     shards: int = 8,
@@ -37,55 +51,48 @@ def interleave(
     order: tuple[str, ...] = ("doc_id",),
     seed: str = "shard",
     bucket_rows: int = BUCKET_ROWS,
+    spread_repeats: bool = False,
 ) -> DataFrame:
     """Add ``position`` (from 0, over all rows), ``shard`` and ``slot`` (from 0 in its shard).
 
-    ``order`` names the columns whose text is hashed and then breaks ties.
+    ``order`` names the columns whose text is hashed and then breaks ties. With
+    ``spread_repeats``, repeated rows of a Parquet table are hashed by their place
+    in it too, so they are dealt apart.
     """
     kept = [c for c in rows.columns if c not in ("position", "shard", "slot")]
-    hashed = F.md5(F.concat_ws("|", F.lit(seed), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in order]).cast("binary"))
-    stratum = F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("n"))
-    base = rows.select(*[F.col(f"`{c}`") for c in kept], stratum.alias("_s"), hashed.alias("_h"))
-
-    # Buckets follow the row count of all input; counted once per (source, finest bucket).
-    fine = F.conv(F.substring("_h", 1, DIGITS), 16, 10).cast("long")
+    # The row travels as one struct: no column of ours can meet one of its own.
+    packed = file_position(rows) if spread_repeats else None
+    tell: list[Column] = [F.col("place")] if packed is not None else []
+    if packed is None:
+        packed = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"))
+    ties = [F.col("row")[c] for c in order]
+    hashed = F.md5(F.concat_ws("|", F.lit(seed), *[F.coalesce(c.cast("string"), F.lit("")) for c in [*ties, *tell]]).cast("binary"))
+    stratum = F.coalesce(F.concat(F.lit("s"), F.col("row")[source].cast("string")), F.lit("n"))
     total = rows.count()
-    buckets = max(1, min(MOST_BUCKETS, -(-total // bucket_rows)))
+    buckets = max(1, -(-total // bucket_rows))
     span = 16**DIGITS
-    base = base.withColumn("_b", F.floor(fine * F.lit(buckets) / F.lit(span)).cast("int"))
-    counts = base.groupBy("_s", "_b").agg(F.count(F.lit(1)).alias("_c"))
-    by_source = Window.partitionBy("_s")
-    below = by_source.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(
-        F.col("_s").alias("_s2"), F.col("_b").alias("_b2"),
-        F.coalesce(F.sum("_c").over(below), F.lit(0)).alias("_before"),
-        F.sum("_c").over(by_source).alias("_n"),
-    )
-    ranked = base.join(starts, (base["_s"] == starts["_s2"]) & (base["_b"] == starts["_b2"]), "left")
-    inside = Window.partitionBy("_s", "_b").orderBy("_h", *[F.col(c) for c in order])
-    ranked = ranked.withColumn("_r", F.col("_before") + F.row_number().over(inside)).drop("_s2", "_b2", "_before", "_b", "_h")
-
-    # Fraction x = (2r - 1) / 2n; its bucket is floor(x * buckets), in whole numbers.
-    bucket = F.expr(f"CAST(((2 * _r - 1) * {buckets}L) DIV (2 * _n) AS INT)")
-    ranked = ranked.withColumn("_x", bucket)
-    per_source = starts.groupBy("_s2").agg(F.max("_n").alias("_n"))
-    # Fractions of a source below border b: those with (2r - 1) * buckets < 2nb.
-    under = F.expr(f"GREATEST(0L, (2 * _n * _x + {buckets}L + {2 * buckets - 1}L) DIV {2 * buckets}L - 1)")
-    borders = (
-        per_source.withColumn("_x", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
-        .groupBy(F.col("_x").alias("_x2")).agg(F.sum(under).alias("_before"))
-    )
-    placed = ranked.join(borders, ranked["_x"] == borders["_x2"], "left")
-    across = Window.partitionBy("_x").orderBy(
-        ((2 * F.col("_r") - 1).cast("double") / (2 * F.col("_n")).cast("double")), F.col("_s"), F.col("_r")
-    )
-    position = (F.col("_before") + F.row_number().over(across) - 1).cast("long")
+    fine = F.floor(F.conv(F.substring(hashed, 1, DIGITS), 16, 10).cast("long") * F.lit(buckets) / F.lit(span)).cast("int")
+    base = packed.select("row", stratum.alias("s"), hashed.alias("h"), fine.alias("b"), F.struct(*[c.alias(f"t{i}") for i, c in enumerate([*ties, *tell])]).alias("t"))
+
+    counts = base.groupBy("s", "b").agg(F.count(F.lit(1)).alias("c"))
+    by_source = Window.partitionBy("s")
+    below = by_source.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("s", "b", F.coalesce(F.sum("c").over(below), F.lit(0)).alias("before"), F.sum("c").over(by_source).alias("n"))
+    inside = Window.partitionBy("s", "b").orderBy("h", "t")
+    ranked = base.join(starts, ["s", "b"], "left").withColumn("r", F.col("before") + F.row_number().over(inside))
+    # Fraction (2r - 1) / 2n; its bucket is floor(fraction * buckets), in whole numbers.
+    ranked = ranked.select("row", "s", "r", "n", F.expr(f"CAST(((2 * r - 1) * {buckets}L) DIV (2 * n) AS INT)").alias("x"))
+
+    sizes = ranked.groupBy("x").agg(F.count(F.lit(1)).alias("c"))
+    earlier = Window.orderBy("x").rowsBetween(Window.unboundedPreceding, -1)  # one row a bucket
+    borders = sizes.select("x", F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias("before"))
+    across = Window.partitionBy("x").orderBy((2 * F.col("r") - 1).cast("double") / (2 * F.col("n")).cast("double"), "s", "r")
+    position = (F.col("before") + F.row_number().over(across) - 1).cast("long")
+    placed = ranked.join(borders, "x", "left").select("row", position.alias("position"))
     shard = F.expr(f"CAST((position * {shards}) DIV {max(total, 1)}L AS INT)")
     start = F.expr(f"(shard * {max(total, 1)}L + {shards - 1}) DIV {shards}")
-    return (
-        placed.withColumn("position", position).withColumn("shard", shard)
-        .withColumn("slot", F.col("position") - start).select(*kept, "position", "shard", "slot")
-    )
+    placed = placed.withColumn("shard", shard).withColumn("slot", F.col("position") - start)
+    return placed.select(*[F.col("row")[c].alias(c) for c in kept], "position", "shard", "slot")
 
 
 def crc32_sql(table: str, key: str, text: str) -> str:

@@ -31,3 +31,23 @@ def messy(spark):
 @pytest.fixture(scope="session")
 def none(spark):
     return spark.createDataFrame([], SCHEMA)
+
+
+#: Names that operators use inside, or add.
+CLASHING = (
+    "row key own src rate parts steps copies replica shuffle_key place s h b t r n x before position shard slot c _key _src _rate _s _h _b _r _x _id _none _row "
+    "token block load text_key lang_pred score2 ambiguous width item_shingles licenses verdict rule"
+).split()
+
+
+@pytest.fixture(scope="session")
+def clashing(messy):
+    """The messy rows with columns of such names, whose values tell whether they were kept."""
+    from pyspark.sql import functions as F
+
+    return messy.select("*", *[F.lit(f"keep {n}").alias(n) for n in CLASHING]).repartition(3).cache()
+
+
+def kept_whole(rows):
+    """Whether every clashing column still has its value."""
+    return all(r[n] == f"keep {n}" for r in rows for n in CLASHING)
