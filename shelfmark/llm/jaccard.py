@@ -9,7 +9,10 @@ links with another only if they share one of its first n - ceil(t n) + 1
 shingles. Rarity comes from a counting sketch of fixed size over all texts; it only
 chooses the order, and any order is exact. So passages that a large part of all
 texts share are last and make no blocks. Shingles with one least holder make one
-block, so a group of near copies is in few of them.
+block, so a group of near copies is in few of them. A shingle that the sketch
+shows to be rare enough (its holders are fewer than one in HOT_SHARE of all
+shingles, so less than a task's share) finds its holders in one shuffle; the
+few others are counted by partial sums, and their counts sent to the holders.
 
 Signature trees. The classes of a block form a tree for each bitmap width (four
 bits a shingle): a leaf holds a class's token bitmap and size, a node the OR and
@@ -42,7 +45,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.llm import store, textops
@@ -55,6 +58,8 @@ WORDS, MOST_WORDS = 16, 1_024  # 64-bit words of a bitmap: 1,024 to 65,536 bits
 FANOUT, FRONTIER_WORDS, RUN_TOKENS = 8, 1 << 21, 1 << 20
 #: Bounds of a block that one task walks: classes, and shingles in all of them.
 BLOCK_ROWS, BLOCK_TOKENS = 2_000, 1 << 21
+#: A shingle with more than one in so many of all shingles is counted apart.
+HOT_SHARE = 8_192
 #: Rows of small blocks that a task takes together.
 GROUP_ROWS = 4_000
 BLOOM_BITS = 25
@@ -139,32 +144,36 @@ def _sketch(docs: DataFrame, width: int) -> np.ndarray:
 
 
 def _profiles(docs: DataFrame, width: int, threshold: float, sketch) -> DataFrame:
-    """Per row: doc_id, text key, class key, set size, the prefix of its set in the global order, token bitmap."""
+    """Per row: doc_id, text key, class key, set size, the prefix of its set in the global order (common shingles apart), token bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = sketch.value
+        bound = weight.sum(dtype=np.int64) // HOT_SHARE
         for batch in batches:
-            keys, sizes, prefixes, wide = [], [], [], []
+            keys, sizes, prefixes, hot, wide = [], [], [], [], []
             for _, tokens in textops.doc_shingles(batch.column(1).to_pylist(), width):
                 n = len(tokens)
                 sizes.append(n)
                 if not n:
                     keys.append(None)
                     prefixes.append([])
+                    hot.append([])
                     wide.append(None)
                     continue
                 keys.append(class_key(tokens))
                 heavy = weight[(tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                 order = np.argsort(heavy, kind="stable")[: probe_length(n, threshold)]  # ties by hash
-                prefixes.append(tokens[order].view(np.int64))
+                many = heavy[order] > bound
+                prefixes.append(tokens[order[~many]].view(np.int64))
+                hot.append(tokens[order[many]].view(np.int64))
                 wide.append(wide_bitmap(tokens).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(wide, pa.binary())],
-                names=["doc_id", "text_key", "key", "n", "prefix", "wide"],
+                [batch.column(0), batch.column(2), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), *(pa.array(p, pa.list_(pa.int64())) for p in (prefixes, hot)), pa.array(wide, pa.binary())],
+                names=["doc_id", "text_key", "key", "n", "prefix", "hot", "wide"],
             )
 
     rows = docs.select("doc_id", "text", text_key(F.col("text")).alias("text_key"))
-    return rows.mapInArrow(run, "doc_id long, text_key binary, key binary, n long, prefix array<long>, wide binary")
+    return rows.mapInArrow(run, "doc_id long, text_key binary, key binary, n long, prefix array<long>, hot array<long>, wide binary")
 
 
 def _row_hash() -> Column:
@@ -370,10 +379,10 @@ def _result(rows: pd.DataFrame, found, exact: bool) -> pd.DataFrame:
     if exact:
         keys = rows["key"].to_numpy()
         return pd.DataFrame({"src": pd.Series([min(keys[i], keys[j]) for i, j in found], dtype=object), "dst": pd.Series([max(keys[i], keys[j]) for i, j in found], dtype=object)})
-    return rows[["block", "key", "n"]][found]
+    return rows[["block", "h", "n"]][found]
 
 
-RESULT = {True: "src binary, dst binary", False: "block long, key binary, n long"}
+RESULT = {True: "src binary, dst binary", False: "block long, h long, n long"}
 
 
 def _small_blocks(threshold: float, exact: bool):
@@ -418,7 +427,7 @@ def _star_of_large(threshold: float, exact: bool):
             for i in range(batch.num_rows):
                 a, b = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in (3, 6))
                 keep[i] = _starred(np.array([m[i], n[i]]), [b, a], 0, exact, threshold)[1]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), batch.column(4), pa.array(keep)], names=["block", "key", "n", "centre", "linked"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (0, 1, 2, 4, 7)), pa.array(keep)], names=["block", "key", "n", "centre", "h", "linked"])
 
     return run
 
@@ -426,10 +435,11 @@ def _star_of_large(threshold: float, exact: bool):
 def _walked(
     blocks: DataFrame, loads: DataFrame, exact: bool, threshold: float, block_rows: int, block_tokens: int, scratch: store.Scratch
 ) -> DataFrame:
-    """A walk over the trees of all ``blocks`` (block, key, n), of bitmaps or, if ``exact``, of whole shingle sets (key, load).
+    """A walk over the trees of all ``blocks`` (block, h, n), of bitmaps or, if ``exact``, of whole shingle sets; ``loads`` are (h, key, load).
 
-    Bitmaps leave the rows (block, key, n) that may link; whole sets give verified
-    links (src, dst), fewer than rows. A block's centre, its least class hash, is
+    Bitmaps leave the rows (block, h, n) that may link; whole sets give verified
+    links (src, dst), fewer than rows. h is a hash of the class key: classes that
+    share one go the same ways, each for itself. A block's centre, its least hash, is
     compared with all its rows first: what it connects is one component to the
     trees. Blocks over a bound of rows or shingles are cut: every chunk of the rows
     that the centre doesn't connect meets every chunk of the block, each pair in a task.
@@ -438,46 +448,51 @@ def _walked(
     large = (F.col("size") > block_rows) | (F.col("total") > block_tokens)
     share, hot = sizes.agg(F.greatest(F.sum("size") / GROUP_ROWS, F.sum("total") / block_tokens), F.count_if(large)).first()
     groups = max(1, math.ceil(share or 0))
-    h = F.xxhash64("key").alias("h")
     small = blocks
     if hot:
         chunks = F.ceil(F.greatest(F.col("size") / block_rows, F.col("total") / block_tokens)).cast("int")
         hot_sizes = scratch.written(sizes.filter(large).select("block", chunks.alias("chunks")), "large")
         small = blocks.join(hot_sizes, "block", "left_anti")
-    grouped = small.join(loads, "key").select(F.pmod(F.xxhash64("block"), F.lit(groups)).alias("group"), "block", "key", "n", "load", h)
+    grouped = small.join(loads, "h").select(F.pmod(F.xxhash64("block"), F.lit(groups)).alias("group"), "block", "key", "n", "load", "h")
     out = grouped.groupBy("group").applyInPandas(_small_blocks(threshold, exact), RESULT[exact])
     if not hot:
         return out
 
     rows = scratch.written(blocks.join(hot_sizes, "block"), "rows")
-    first = rows.groupBy("block").agg(F.min(F.struct(h, "key", "n")).alias("c")).select("block", F.col("c.key").alias("centre"), F.col("c.n").alias("m"))
-    first = scratch.written(first.join(loads.select(F.col("key").alias("centre"), F.col("load").alias("centre_load")), "centre"), "centres")
-    star = rows.join(loads, "key").join(first, "block").select("block", "key", "n", "load", "centre", "m", "centre_load")
-    star = scratch.written(star.mapInArrow(_star_of_large(threshold, exact), "block long, key binary, n long, centre binary, linked boolean"), "stars")
+    first = rows.groupBy("block").agg(F.min(F.struct("h", "n")).alias("c")).select("block", F.col("c.h").alias("h"), F.col("c.n").alias("m"))
+    first = first.join(loads, "h").select("block", "m", F.col("key").alias("centre"), F.col("load").alias("centre_load")).dropDuplicates(["block"])
+    first = scratch.written(first, "centres")
+    star = rows.join(loads, "h").join(first, "block").select("block", "key", "n", "load", "centre", "m", "centre_load", "h")
+    star = scratch.written(star.mapInArrow(_star_of_large(threshold, exact), "block long, key binary, n long, centre binary, h long, linked boolean"), "stars")
     rest = star.filter("NOT linked").groupBy("block").agg(F.count(F.lit(1)).alias("r"), F.sum("n").alias("rn"))
     cuts = F.ceil(F.greatest(F.col("r") / block_rows, F.col("rn") / block_tokens)).cast("int").alias("cuts")
     counted = star.join(scratch.written(rest.join(hot_sizes, "block").select("block", "chunks", cuts), "rest"), "block")
     i, j = F.pmod(F.xxhash64("key", F.lit(1)), F.col("cuts")).cast("int"), F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int")
-    columns = ["block", "key", "n", "linked"]
+    columns = ["block", "h", "key", "n", "linked"]
     left = counted.filter("NOT linked").select(*columns, i.alias("i"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("j"), F.lit(0).alias("side"))
     right = counted.select(*columns, F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("i"), j.alias("j"), F.lit(1).alias("side"))
-    pairs = left.unionByName(right).join(loads, "key").groupBy("block", "i", "j").applyInPandas(_chunk_pairs(threshold, exact), RESULT[exact])
+    pairs = left.unionByName(right).join(loads, ["h", "key"]).groupBy("block", "i", "j").applyInPandas(_chunk_pairs(threshold, exact), RESULT[exact])
     if exact:
         met = star.filter(F.col("linked") & (F.col("key") != F.col("centre")))
         return out.union(pairs).union(met.select(F.least("centre", "key").alias("src"), F.greatest("centre", "key").alias("dst")))
-    return out.union(pairs.distinct()).union(star.filter("linked").select("block", "key", "n"))
+    return out.union(pairs.distinct()).union(star.filter("linked").select("block", "h", "n"))
 
 
 def _blocks(classes: DataFrame, threshold: float) -> DataFrame:
-    """(block, key, n): classes that share a shingle of their prefixes, under the least class hash among its holders.
+    """(block, h, n): classes that share a shingle of their prefixes, under the least class hash h among its holders.
 
     Blocks of shingles with the same least holder are one: it is near to all
-    their members. A shingle's holders are counted by partial sums, never gathered.
+    their members.
     """
-    posts = classes.select(F.explode("prefix").alias("token"), "key", "n")
-    held = posts.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.min(F.xxhash64("key")).alias("block"))
+    met = (F.count(F.lit(1)), F.min("n"), F.max("n"), F.min("h"))
+    names = ("size", "lo", "hi", "block")
+    holders = Window.partitionBy("token")
+    rare = classes.select(F.explode("prefix").alias("token"), "h", "n").select("h", "n", *[c.over(holders).alias(name) for c, name in zip(met, names, strict=True)])
+    posts = classes.select(F.explode("hot").alias("token"), "h", "n")
+    counts = posts.groupBy("token").agg(*[c.alias(name) for c, name in zip(met, names, strict=True)])
+    common = posts.join(counts, "token").select("h", "n", *names)
     fits = (F.col("size") > 2) | (F.col("size") == 2) & (F.col("lo") >= threshold * F.col("hi") - 1e-9)
-    return posts.join(held.filter(fits).select("token", "block"), "token").select("block", "key", "n").distinct()
+    return rare.union(common).filter(fits).select("block", "h", "n").distinct()
 
 
 def join(
@@ -493,16 +508,16 @@ def join(
     sketch = spark.sparkContext.broadcast(_sketch(docs, width))
     full = store.written(_profiles(docs, width, threshold, sketch), "full")
     profiles = store.written(full.select("doc_id", "text_key", "key", "n"), "profiles")
-    by_class = full.filter("n > 0").groupBy("key").agg(F.first(F.struct("n", "prefix", "wide")).alias("p"), F.min(F.struct("doc_id", "text_key")).alias("rep"))
-    classes = store.written(by_class.select("key", "p.*", "rep"), "classes")
+    by_class = full.filter("n > 0").groupBy("key").agg(F.first(F.struct("n", "prefix", "hot", "wide")).alias("p"), F.min(F.struct("doc_id", "text_key")).alias("rep"))
+    classes = store.written(by_class.select("key", F.xxhash64("key").alias("h"), "p.*", "rep"), "classes")
     store.drop(full)
     blocks = store.written(_blocks(classes, threshold), "blocks")
-    bitmaps = classes.select("key", F.col("wide").alias("load"))
+    bitmaps = classes.select("h", "key", F.col("wide").alias("load"))
     scratch = store.Scratch()
     left_open = store.written(_walked(blocks, bitmaps, False, threshold, block_rows, block_tokens, scratch), "open")
     store.drop(blocks)
-    wanted = store.written(classes.select("key", "rep.doc_id", "rep.text_key").join(left_open.select("key").distinct(), "key", "left_semi"), "wanted")
-    sets = store.written(_sets(docs, width, wanted).withColumnRenamed("tokens", "load"), "sets")
+    wanted = store.written(classes.select("h", "key", "rep.doc_id", "rep.text_key").join(left_open.select("h").distinct(), "h", "left_semi").drop("h"), "wanted")
+    sets = store.written(_sets(docs, width, wanted).select(F.xxhash64("key").alias("h"), "key", F.col("tokens").alias("load")), "sets")
     links = store.written(_walked(left_open, sets, True, threshold, block_rows, block_tokens, scratch), "links")
     scratch.clear(classes, left_open, wanted, sets)
     return profiles, links

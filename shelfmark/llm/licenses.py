@@ -7,9 +7,16 @@ against ordered rules: each rule is a sequence of identifiers; the first rule
 that fits takes its sentences away, the next works on what is left. Sentences
 left over are reported as unknown.
 
-Everything is DataFrame functions over one row at a time: no shuffle. Sentences
-are only mapped where the text holds one of the words that every known sentence
-has, a test that drops no match.
+Licence texts are mostly hard-wrapped and often inside comments. Comment marks at
+line starts are taken off, blank lines part paragraphs, and the lines of a
+paragraph are joined before it is cut at stops. A paragraph that so gives no known
+sentence, or only one of an unnamed licence, is cut at its line ends too (a
+title over a copyright line; a licence line amid lines without stops). The
+sentence of an SPDX identifier gives an identifier for each licence it names.
+
+Everything is DataFrame functions over one row at a time: no shuffle. Only texts,
+and of them paragraphs and sentences, that hold one of the words that every known
+sentence has are looked at, a test that drops no match.
 
 Defined results: a null, empty or licence-free text gives licence ``NONE`` and
 no identifiers; sentences known but in no rule give ``UNKNOWN``; repeated rows
@@ -24,74 +31,199 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+_UNDER = r"(?:this (?:work|software|project|file|program|library|code|document) is )?(?:dual )?(?:released|licen[cs]ed|distributed|available|provided|published) under (?:the |a |an )?(?:terms of the )?"
+_MAY = r"(?:this (?:program|library|file|package|software)(?: \w+)? is free software )?you can redistribute it and or modify it under the terms of the "
 #: Known licence sentences after normalisation, as patterns that the whole sentence fits.
 SENTENCES = [
-    ("MitRelease", r"(?:this (?:work|software|project|file) is )?(?:released|licensed|distributed|available) under the (?:terms of the )?mit licen[cs]e"),
+    ("MitRelease", _UNDER + r"mit licen[cs]e"),
     ("MitTitle", r"(?:the )?mit licen[cs]e(?: mit)?"),
     ("MitPermission", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files .*"),
-    ("MitNotice", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("MitNotice", r"the above copyright notice and this permission notice(?: including the next paragraph)? shall be included in all copies or substantial portions of the software"),
     ("AsIs", r"(?:the|this) software is provided as is without warranty of any kind .*"),
-    ("ApacheLicensed", r"licensed under the apache licen[cs]e version 2 0(?: the license)?"),
-    ("ApacheComply", r"you may not use this file except in compliance with the licen[cs]e"),
-    ("ApacheCopy", r"you may obtain a copy of the licen[cs]e at .*"),
-    ("GplWork3", r"(?:this (?:work|software|program) is )?licensed under the gnu general public licen[cs]e version 3(?: 0)?"),
-    ("GplWork2", r"(?:this (?:work|software|program) is )?licensed under the gnu general public licen[cs]e version 2(?: 0)?"),
-    ("GplFree3Later", r"this program is free software you can redistribute it and or modify it under the terms of the gnu general public licen[cs]e .* either version 3 .* any later version"),
-    ("GplFree2Later", r"this program is free software you can redistribute it and or modify it under the terms of the gnu general public licen[cs]e .* either version 2 .* any later version"),
-    ("GplHope", r"this program is distributed in the hope that it will be useful but without any warranty .*"),
-    ("CcByNc4", r"(?:this work is )?licensed under (?:a )?(?:the )?(?:cc by nc 4 0|creative commons attribution noncommercial 4 0 .*)"),
-    ("CcBySa4", r"(?:this work is )?licensed under (?:a )?(?:the )?(?:cc by sa 4 0|creative commons attribution sharealike 4 0 .*)"),
-    ("CcBy4", r"(?:this work is )?licensed under (?:a )?(?:the )?(?:cc by 4 0|creative commons attribution 4 0 .*)"),
+    ("IscTitle", r"(?:the )?isc licen[cs]e(?: isc)?"),
+    ("IscRelease", _UNDER + r"isc licen[cs]e"),
+    ("IscPermission", r"permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted .*"),
+    ("IscAsIs", r"the software is provided as is and .* disclaims all warranties .*"),
+    ("ApacheLicensed", _UNDER + r"apache licen[cs]e version 2 0(?: the licen[cs]e)?"),
+    ("ApacheComply", r"you may not use (?:this file|these files|this work) except in compliance with the licen[cs]e"),
+    ("ApacheCopy", r"you may obtain a copy of the licen[cs]e at(?: .*)?"),
+    ("ApacheAsIs", r"unless required by applicable law or agreed to in writing software distributed under the licen[cs]e is distributed on an as is basis .*"),
+    ("ApacheSee", r"see the licen[cs]e for the specific language governing permissions and limitations(?: under the licen[cs]e)?"),
+    ("ApacheTitle", r"apache licen[cs]e(?: version)? 2 0(?: january 2004.*)?"),
+    ("AgplFree3Later", _MAY + r"gnu affero general public licen[cs]e .* either version 3 .* any later version"),
+    ("AgplWork3", _UNDER + r"gnu affero general public licen[cs]e (?:version |v)?3(?: 0)?"),
+    ("LgplFree3Later", _MAY + r"gnu (?:lesser|library) general public licen[cs]e .* either version 3 .* any later version"),
+    ("LgplFree21Later", _MAY + r"gnu (?:lesser|library) general public licen[cs]e .* either version 2(?: 1)? .* any later version"),
+    ("LgplWork3", _UNDER + r"gnu lesser general public licen[cs]e (?:version |v)?3(?: 0)?"),
+    ("LgplWork21", _UNDER + r"gnu lesser general public licen[cs]e (?:version |v)?2 1"),
+    ("GplFree3Later", _MAY + r"gnu general public licen[cs]e .* either version 3 .* any later version"),
+    ("GplFree2Later", _MAY + r"gnu general public licen[cs]e .* either version 2 .* any later version"),
+    ("GplWork3", _UNDER + r"gnu general public licen[cs]e (?:version |v)?3(?: 0)?"),
+    ("GplWork2", _UNDER + r"gnu general public licen[cs]e (?:version |v)?2(?: 0)?"),
+    ("GplHope", r"this (?:program|library|file|package|software)(?: \w+)? is distributed in the hope that it will be useful but without any warranty.*"),
+    ("GplCopy", r"you should have received a copy of the gnu (?:affero |lesser |library )?general public licen[cs]e .*"),
+    ("MplSubject", r"this source code form is subject to the terms of the mozilla public licen[cs]e(?: v(?: 2 0)?| version 2 0)?"),
+    ("MplCopy", r"if a copy of the mpl was not distributed with this file you can obtain one at(?: .*)?"),
+    ("MplRelease", _UNDER + r"mozilla public licen[cs]e(?: version| v)? 2 0"),
+    ("MplTitle", r"mozilla public licen[cs]e(?: version)? 2 0"),
+    ("Epl2", r"this program and the accompanying materials are made available under the terms of the eclipse public licen[cs]e (?:v |v|version )2 0.*"),
+    ("Epl1", r"(?:all rights reserved )?this program and the accompanying materials are made available under the terms of the eclipse public licen[cs]e (?:v |v|version )1 0.*"),
+    ("BoostTitle", r"boost software licen[cs]e version 1 0(?: august 17th 2003)?"),
+    ("BoostRelease", _UNDER + r"boost software licen[cs]e version 1 0"),
+    ("BoostPermission", r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation .*"),
+    ("ZlibAsIs", r"this software is provided as is without any express or implied warranty"),
+    ("ZlibPermission", r"permission is granted to anyone to use this software for any purpose including commercial applications .*"),
+    ("ZlibRelease", _UNDER + r"zlib(?: libpng)? licen[cs]e"),
+    ("UnlicenseFree", r"this is free and unencumbered software released into the public domain"),
+    ("UnlicenseAnyone", r"anyone is free to copy modify publish use compile sell or distribute this software .*"),
+    ("Cc0Waived", r"to the extent possible under law .* waived all copyright and related or neighboring rights .*"),
+    ("Cc0Release", r"(?:" + _UNDER + r")?(?:the )?(?:cc0|creative commons (?:cc0|zero))(?: (?:licen[cs]e )?(?:version |v)?1 0)?(?: universal)?(?: public domain dedication| licen[cs]e)?"),
+    ("PublicDomain", r"(?:this (?:work|software|file|code|document|program) (?:is|has been) )?(?:hereby )?(?:released into|placed in|placed into|dedicated to|in) the public domain"),
+    ("Artistic2", _UNDER + r"artistic licen[cs]e(?: version)? 2 0"),
+    ("ArtisticTitle2", r"the artistic licen[cs]e 2 0"),
+    ("CcByNc4", r"(?:this work is )?licen[cs]ed under (?:a )?(?:the )?(?:cc by nc 4 0|creative commons attribution non ?commercial 4 0 .*)"),
+    ("CcBySa4", r"(?:this work is )?licen[cs]ed under (?:a )?(?:the )?(?:cc by sa 4 0|creative commons attribution share ?alike 4 0 .*)"),
+    ("CcBy4", r"(?:this work is )?licen[cs]ed under (?:a )?(?:the )?(?:cc by 4 0|creative commons attribution 4 0 .*)"),
     ("BsdTerms", r"redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("BsdSource", r"redistributions of source code must retain the above copyright notice .*"),
     ("BsdBinary", r"redistributions in binary form must reproduce the above copyright notice .*"),
-    ("BsdEndorse", r"neither the name of .* nor the names of its contributors may be used to endorse .*"),
-    ("Spdx", r"spdx licen[cs]e identifier .*"),
+    ("BsdEndorse", r"neither the names? of .* nor the names of .* contributors may be used to endorse .*"),
+    ("BsdAsIs", r"this software is provided by .* as is and any express or implied warranties .*"),
+    ("Bsd3Title", r"(?:the )?(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd) licen[cs]e"),
+    ("Bsd2Title", r"(?:the )?(?:bsd 2 clause|2 clause bsd|simplified bsd) licen[cs]e"),
+    ("Bsd3Release", _UNDER + r"(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd) licen[cs]e"),
+    ("Bsd2Release", _UNDER + r"(?:bsd 2 clause|2 clause bsd|simplified bsd) licen[cs]e"),
+    ("BsdRelease", _UNDER + r"bsd(?: style)? licen[cs]e"),
     ("AllRights", r"all rights reserved"),
-    ("Other", r".*\b(?:licensed|released) under the? .*licen[cs]e.*"),
+    ("Other", r".*\b(?:licen[cs]ed|released) under (?:the |a |an )?.*licen[cs]e.*"),
+]
+#: Identifiers that an SPDX sentence may name, after normalisation, and their licences.
+SPDX = [
+    ("SpdxMit", "mit", "MIT"), ("SpdxIsc", "isc", "ISC"), ("SpdxApache2", "apache 2 0", "Apache-2.0"),
+    ("SpdxGpl3Later", "gpl 3 0 or later", "GPL-3.0-or-later"), ("SpdxGpl2Later", "gpl 2 0 or later", "GPL-2.0-or-later"),
+    ("SpdxGpl3", "gpl 3 0(?: only)?", "GPL-3.0"), ("SpdxGpl2", "gpl 2 0(?: only)?", "GPL-2.0"),
+    ("SpdxLgpl3Later", "lgpl 3 0 or later", "LGPL-3.0-or-later"), ("SpdxLgpl21Later", "lgpl 2 1 or later", "LGPL-2.1-or-later"),
+    ("SpdxLgpl3", "lgpl 3 0(?: only)?", "LGPL-3.0"), ("SpdxLgpl21", "lgpl 2 1(?: only)?", "LGPL-2.1"),
+    ("SpdxAgpl3Later", "agpl 3 0 or later", "AGPL-3.0-or-later"), ("SpdxAgpl3", "agpl 3 0(?: only)?", "AGPL-3.0"),
+    ("SpdxMpl2", "mpl 2 0", "MPL-2.0"), ("SpdxEpl2", "epl 2 0", "EPL-2.0"), ("SpdxEpl1", "epl 1 0", "EPL-1.0"),
+    ("SpdxBoost", "bsl 1 0", "BSL-1.0"), ("SpdxZlib", "zlib", "Zlib"), ("SpdxUnlicense", "unlicense", "Unlicense"), ("SpdxCc0", "cc0 1 0", "CC0-1.0"),
+    ("SpdxArtistic2", "artistic 2 0", "Artistic-2.0"), ("SpdxBsd3", "bsd 3 clause", "BSD-3-Clause"), ("SpdxBsd2", "bsd 2 clause", "BSD-2-Clause"),
+    ("SpdxCcBy4", "cc by 4 0", "CC-BY-4.0"), ("SpdxCcBySa4", "cc by sa 4 0", "CC-BY-SA-4.0"), ("SpdxCcByNc4", "cc by nc 4 0", "CC-BY-NC-4.0"),
 ]
 #: Rules in order; a sequence of identifiers that stand next to one another.
 RULES = [
     ("MIT", ("MitTitle", "MitPermission", "MitNotice", "AsIs")),
     ("MIT", ("MitPermission", "MitNotice", "AsIs")),
+    ("MIT", ("MitPermission", "MitNotice")),
+    ("ISC", ("IscTitle", "IscPermission", "IscAsIs")),
+    ("ISC", ("IscPermission", "IscAsIs")),
+    ("ISC", ("IscPermission",)),
+    ("BSD-3-Clause", ("Bsd3Title", "BsdTerms", "BsdSource", "BsdBinary", "BsdEndorse", "BsdAsIs")),
+    ("BSD-3-Clause", ("BsdTerms", "BsdSource", "BsdBinary", "BsdEndorse", "BsdAsIs")),
     ("BSD-3-Clause", ("BsdTerms", "BsdSource", "BsdBinary", "BsdEndorse", "AsIs")),
     ("BSD-3-Clause", ("BsdTerms", "BsdSource", "BsdBinary", "BsdEndorse")),
+    ("BSD-2-Clause", ("Bsd2Title", "BsdTerms", "BsdSource", "BsdBinary", "BsdAsIs")),
+    ("BSD-2-Clause", ("BsdTerms", "BsdSource", "BsdBinary", "BsdAsIs")),
     ("BSD-2-Clause", ("BsdTerms", "BsdSource", "BsdBinary", "AsIs")),
     ("BSD-2-Clause", ("BsdTerms", "BsdSource", "BsdBinary")),
+    ("Apache-2.0", ("ApacheLicensed", "ApacheComply", "ApacheCopy", "ApacheAsIs", "ApacheSee")),
     ("Apache-2.0", ("ApacheLicensed", "ApacheComply", "ApacheCopy")),
     ("Apache-2.0", ("ApacheLicensed",)),
+    ("Apache-2.0", ("ApacheTitle",)),
+    ("AGPL-3.0-or-later", ("AgplFree3Later", "GplHope", "GplCopy")),
+    ("AGPL-3.0-or-later", ("AgplFree3Later",)),
+    ("LGPL-3.0-or-later", ("LgplFree3Later", "GplHope", "GplCopy")),
+    ("LGPL-3.0-or-later", ("LgplFree3Later",)),
+    ("LGPL-2.1-or-later", ("LgplFree21Later", "GplHope", "GplCopy")),
+    ("LGPL-2.1-or-later", ("LgplFree21Later",)),
+    ("GPL-3.0-or-later", ("GplFree3Later", "GplHope", "GplCopy")),
     ("GPL-3.0-or-later", ("GplFree3Later", "GplHope")),
     ("GPL-3.0-or-later", ("GplFree3Later",)),
+    ("GPL-2.0-or-later", ("GplFree2Later", "GplHope", "GplCopy")),
     ("GPL-2.0-or-later", ("GplFree2Later", "GplHope")),
     ("GPL-2.0-or-later", ("GplFree2Later",)),
+    ("AGPL-3.0", ("AgplWork3",)),
+    ("LGPL-3.0", ("LgplWork3",)),
+    ("LGPL-2.1", ("LgplWork21",)),
     ("GPL-3.0", ("GplWork3",)),
     ("GPL-2.0", ("GplWork2",)),
+    ("MPL-2.0", ("MplSubject", "MplCopy")),
+    ("MPL-2.0", ("MplSubject",)),
+    ("MPL-2.0", ("MplRelease",)),
+    ("MPL-2.0", ("MplTitle",)),
+    ("EPL-2.0", ("Epl2",)),
+    ("EPL-1.0", ("Epl1",)),
+    ("BSL-1.0", ("BoostTitle", "BoostPermission")),
+    ("BSL-1.0", ("BoostPermission",)),
+    ("BSL-1.0", ("BoostRelease",)),
+    ("BSL-1.0", ("BoostTitle",)),
+    ("Zlib", ("ZlibAsIs", "ZlibPermission")),
+    ("Zlib", ("ZlibPermission",)),
+    ("Zlib", ("ZlibRelease",)),
+    ("Unlicense", ("UnlicenseFree", "UnlicenseAnyone")),
+    ("Unlicense", ("UnlicenseFree",)),
+    ("CC0-1.0", ("Cc0Waived",)),
+    ("CC0-1.0", ("Cc0Release",)),
+    ("Artistic-2.0", ("Artistic2",)),
+    ("Artistic-2.0", ("ArtisticTitle2",)),
     ("CC-BY-NC-4.0", ("CcByNc4",)),
     ("CC-BY-SA-4.0", ("CcBySa4",)),
     ("CC-BY-4.0", ("CcBy4",)),
+    ("BSD-3-Clause", ("Bsd3Release",)),
+    ("BSD-2-Clause", ("Bsd2Release",)),
+    ("BSD", ("BsdRelease",)),
     ("MIT", ("MitRelease",)),
     ("MIT", ("MitTitle",)),
+    ("ISC", ("IscRelease",)),
+    ("Public-Domain", ("PublicDomain",)),
+    *[(name, (id_,)) for id_, _, name in SPDX],
 ]
 #: Every known sentence holds one of these.
-HINT = r"licen|permission|redistribut|warrant|nor the names|rights reserved"
-#: Sentences end at a line break, or at a stop that white space follows.
-BREAK = r"[\n\r]+|[.!?;]+[ \t]+"
+HINT = r"licen|permission|redistribut|warrant|nor the names|rights reserved|public domain|unencumbered|cc0|creative commons|anyone is free|except in compliance|copy of the mpl"
+#: Marks of comments at the start of a line, and what ends a paragraph, a sentence, a line's sentence.
+MARK = r"(?m)^[ \t]*(?:/\*+|\*+/?|//+|#+|;+|--+|%+|<!--|dnl\b|rem\b)[ \t]*"
+PARAGRAPH = r"\r?\n[ \t]*\r?\n\s*"
+STOP = r"[.!?;]+\s+|:[ \t]*[\r\n]+"
+LINE = r"[\n\r]+|[.!?;]+[ \t]+"
+#: A stop inside the statement of a version is none.
+VERSION = r";\s+either\s"
+SPDX_START = "spdx license identifier"
 
 
 def _known(sentence: Column) -> Column:
+    """Identifiers of a normalised sentence, joined by blanks: one, or those that an SPDX sentence names; else null."""
     out = F.lit(None).cast("string")
     for name, pattern in reversed(SENTENCES):
         out = F.when(sentence.rlike(f"^(?:{pattern})$"), F.lit(name)).otherwise(out)
-    return out
+    named = F.concat_ws(" ", *[F.when(sentence.rlike(_spdx(i)), F.lit(SPDX[i][0])) for i in range(len(SPDX))])
+    return F.when(sentence.startswith(SPDX_START), F.when(named == "", F.lit("SpdxOther")).otherwise(named)).otherwise(out)
+
+
+def _spdx(i: int) -> str:
+    """Pattern of an SPDX sentence that names the licence, by itself or with others; "or later" makes another one."""
+    named = SPDX[i][1]
+    ends = "(?: .*)?" if named.endswith("later") else "(?: (?:[^o]|o[^r]|or [^l]|or l[^a]).*)?"
+    return f"^{SPDX_START} (?:.* )?{named}{ends}$"
+
+
+def _ids(text: Column, cut: str) -> Column:
+    sentences = F.filter(F.split(text, cut), lambda s: s.rlike(HINT))
+    plain = F.transform(sentences, lambda s: F.trim(F.regexp_replace(s, r"[^\p{L}\p{N}]+", " ")))
+    return F.filter(F.transform(plain, _known), lambda s: s.isNotNull())
 
 
 def identifiers(text: Column) -> Column:
     """Known sentences of a text, in order, as an array of identifiers."""
-    sentences = F.filter(F.split(F.lower(text), BREAK), lambda s: s.rlike(HINT))
-    plain = F.transform(sentences, lambda s: F.trim(F.regexp_replace(s, r"[^\p{L}\p{N}]+", " ")))
-    found = F.filter(F.transform(plain, _known), lambda s: s.isNotNull())
+    paragraphs = F.filter(F.split(F.regexp_replace(F.lower(text), MARK, ""), PARAGRAPH), lambda p: p.rlike(HINT))
+
+    def choose(both: Column) -> Column:
+        named = F.exists(both["joined"], lambda x: x != "Other")
+        return F.when(named | (F.size(both["lines"]) == 0), both["joined"]).otherwise(both["lines"])
+
+    each = F.transform(paragraphs, lambda p: F.struct(_ids(F.concat(F.regexp_replace(p, VERSION, " either "), F.lit(" ")), STOP).alias("joined"), _ids(p, LINE).alias("lines")))
+    found = F.split(F.array_join(F.flatten(F.transform(each, choose)), " "), " ")
     none = F.array().cast("array<string>")
-    return F.when(F.lower(text).rlike(HINT), found).otherwise(none)
+    return F.when(F.lower(text).rlike(HINT), F.filter(found, lambda x: x != "")).otherwise(none)
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -120,7 +252,9 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
 
 def oracle() -> str:
     """The same in DuckDB SQL."""
-    known = " ".join(f"WHEN regexp_full_match(s, '{p}') THEN '{n}'" for n, p in SENTENCES)
+    known = " ".join(f"WHEN regexp_full_match(x, '{p}') THEN '{n}'" for n, p in SENTENCES)
+    named = ", ".join(f"CASE WHEN regexp_matches(x, '{_spdx(i)}') THEN '{SPDX[i][0]}' END" for i in range(len(SPDX)))
+    known = f"CASE WHEN starts_with(x, '{SPDX_START}') THEN coalesce(nullif(concat_ws(' ', {named}), ''), 'SpdxOther') ELSE CASE {known} END END"
     steps, before = [], "l0"
     for i, (_, sequence) in enumerate(RULES):
         mark = "".join(f"<{s}>" for s in sequence)
@@ -131,12 +265,18 @@ def oracle() -> str:
         fits = " OR ".join(f"h{i}" for i, (other, _) in enumerate(RULES) if other == name)
         listed.append(f"CASE WHEN {fits} THEN '{name}' END")
     return f"""
-WITH s AS (SELECT doc_id, text, unnest(regexp_split_to_array(lower(text), '{BREAK}')) AS raw,
-           generate_subscripts(regexp_split_to_array(lower(text), '{BREAK}'), 1) AS pos FROM documents),
-k AS (SELECT doc_id, text, pos, CASE {known} END AS id
-      FROM (SELECT doc_id, text, pos, trim(regexp_replace(raw, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS s FROM s WHERE regexp_matches(raw, '{HINT}'))),
-g AS (SELECT doc_id, string_agg(id, ' ' ORDER BY pos) AS ids, string_agg('<' || id || '>', '' ORDER BY pos) AS marks FROM k WHERE id IS NOT NULL GROUP BY doc_id),
-l0 AS (SELECT d.doc_id, coalesce(ids, '') AS sentence_ids, coalesce(marks, '') AS lft0 FROM documents d LEFT JOIN g USING (doc_id)),
+WITH p AS (SELECT doc_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS pos FROM (
+  SELECT doc_id, regexp_split_to_array(regexp_replace(lower(text), '{MARK}', '', 'g'), '{PARAGRAPH}') AS ps FROM documents WHERE regexp_matches(lower(text), '{HINT}'))),
+c AS (SELECT doc_id, pos, 1 AS way, regexp_split_to_array(regexp_replace(p, '{VERSION}', ' either ', 'g') || ' ', '{STOP}') AS ss FROM p WHERE regexp_matches(p, '{HINT}')
+  UNION ALL SELECT doc_id, pos, 2, regexp_split_to_array(p, '{LINE}') FROM p WHERE regexp_matches(p, '{HINT}')),
+s AS (SELECT doc_id, pos, way, unnest(ss) AS raw, generate_subscripts(ss, 1) AS at FROM c),
+k AS (SELECT doc_id, pos, way, at, {known} AS id
+      FROM (SELECT doc_id, pos, way, at, trim(regexp_replace(raw, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS x FROM s WHERE regexp_matches(raw, '{HINT}'))),
+w AS (SELECT doc_id, pos, way, string_agg(id, ' ' ORDER BY at) AS ids, bool_or(id <> 'Other') AS named FROM k WHERE id IS NOT NULL GROUP BY ALL),
+v AS (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.pos, b.pos) AS pos, CASE WHEN a.named OR b.ids IS NULL THEN a.ids ELSE b.ids END AS ids
+      FROM (SELECT * FROM w WHERE way = 1) a FULL JOIN (SELECT * FROM w WHERE way = 2) b ON a.doc_id = b.doc_id AND a.pos = b.pos),
+g AS (SELECT doc_id, string_agg(ids, ' ' ORDER BY pos) AS ids FROM v GROUP BY doc_id),
+l0 AS (SELECT d.doc_id, coalesce(ids, '') AS sentence_ids, CASE WHEN ids IS NULL THEN '' ELSE '<' || replace(ids, ' ', '><') || '>' END AS lft0 FROM documents d LEFT JOIN g USING (doc_id)),
 {", ".join(steps)},
 r AS (SELECT *, concat_ws(' ', {", ".join(listed)}) AS found FROM {before})
 SELECT doc_id, sentence_ids,

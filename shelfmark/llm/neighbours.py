@@ -8,20 +8,28 @@ routed to several most probable parts, as many as reach ``target`` recall on
 vectors held out of the sample (and at least ``k`` candidate ids), and is
 reranked there exactly.
 
+A part holds ``rows_per_part`` rows on average. One router tells at most
+``MOST_PARTS`` parts apart, so larger tables have two levels: every part of the
+first has a sample and a router of its own, learnt in a task. (Beyond MOST_PARTS
+squared times rows_per_part, 33 million rows, parts grow with the table.)
+
 Parts are searched in blocks of ``block_rows`` candidates by ``block_queries``
-queries, so a part that holds a third of all rows is many tasks. A block keeps
-each query's k nearest ids, and the nearest of all blocks are merged by a window of
-k rows a block. Scores are double-precision sums over the original components in
-their order, so equal vectors get equal scores; ties go to the smaller vec_id.
-
-Defined results: vectors that are null, zero, of another length than most, or
-hold null or non-finite components take no part, nor do null ids. Fewer than k
-candidates give them all. Repeated rows of one id count once (the largest score).
-No vectors give no rows. Extra columns are ignored.
+queries, both counted for each part, so a part that holds a third of all rows is
+many tasks, and a part is copied only as often as its own queries ask for. A block
+keeps each query's k nearest ids, and the nearest of all blocks are merged by a
+window of k rows a block. Scores are double-precision sums over the original
+components, all by the same routine, so equal vectors get equal scores; ties go
+to the smaller vec_id.
+
+Defined results: vectors that are null, zero, or hold null or non-finite
+components take no part, nor do null ids; shorter vectors count as filled up with
+zeros. Fewer than k candidates give them all. Repeated rows of one id count once
+(the largest score). No vectors give no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,11 +37,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfmark.llm import store
+
 K = 20
 SAMPLE, GRAPH_K, HIDDEN = 4096, 12, 64
 #: One in so many vectors of the sample is held out to choose the number of probes.
 HELD_OUT = 4
-ROWS_PER_PART, FEWEST_PARTS, MOST_PARTS = 4_000, 8, 128
+ROWS_PER_PART, MOST_PARTS = 2_000, 128
+#: Distinct vectors of a sample that each part needs.
+SAMPLE_PER_PART = 16
 TARGET = 0.95
 BLOCK_ROWS, BLOCK_QUERIES = 8_192, 1_024
 
@@ -43,8 +55,10 @@ def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddi
     v = F.col(embedding).cast("array<double>")
     good = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), v.alias("v")).filter(F.col("vec_id").isNotNull() & F.coalesce(good, F.lit(False)))
-    lengths = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    return rows.filter(F.size("v") == lengths[0]["n"]) if lengths else rows
+    longest, shortest = rows.agg(F.max(F.size("v")), F.min(F.size("v"))).first()
+    if longest == shortest:
+        return rows
+    return rows.select("vec_id", F.concat("v", F.array_repeat(F.lit(0.0), F.lit(longest) - F.size("v"))).alias("v"))
 
 
 def nearest(x: np.ndarray, k: int) -> np.ndarray:
@@ -141,24 +155,25 @@ def train_router(x: np.ndarray, target: np.ndarray, epochs: int = 40, rate: floa
 
 @dataclass
 class Index:
-    """A router, its number of parts and how many of them a query visits."""
+    """A router, its number of parts and how many of them a query visits; without a router there is one part."""
 
-    router: Router | None
-    parts: int
-    probes: int
+    router: Router | None = None
+    parts: int = 1
+    probes: int = 1
 
+    def order(self, x: np.ndarray) -> np.ndarray:
+        """Parts of each row, most probable first."""
+        if self.router is None:
+            return np.zeros((len(x), 1), np.int64)
+        return np.argsort(-self.router.parts(x), 1, kind="stable")
 
-def fit(vectors: DataFrame, total: int, k: int = K, sample: int = SAMPLE, target: float = TARGET, parts: int | None = None) -> Index:
-    """Learn partitions on ``sample`` vectors chosen by hash."""
-    parts = parts or int(np.clip(total // ROWS_PER_PART, FEWEST_PARTS, MOST_PARTS))
-    h = F.xxhash64("vec_id")
-    share = min(1.0, 1.5 * sample / max(1, total))
-    rows = vectors.filter(F.pmod(h, F.lit(1 << 20)) <= int(share * (1 << 20))).orderBy(h, "vec_id", "v").limit(sample)
-    got = rows.select("v").collect()
-    # Copies of one vector teach nothing about the others.
-    distinct = np.unique(np.array([r["v"] for r in got], float), axis=0) if got else np.zeros((0, 1))
-    if len(distinct) < 4 * parts:
-        return Index(None, 1, 1)
+
+def learn(sample: np.ndarray, parts: int, k: int, target: float) -> Index:
+    """Partitions of the distinct vectors of a sample; ``k`` is how many nearest of it are to be found."""
+    distinct = np.unique(sample, axis=0) if len(sample) else sample  # copies teach nothing about the others
+    parts = min(parts, len(distinct) // SAMPLE_PER_PART)
+    if parts < 2:
+        return Index()
     held = np.random.default_rng(2).permutation(len(distinct)) < len(distinct) // HELD_OUT
     x, unseen = distinct[~held], distinct[held]
     graph = nearest(x, min(GRAPH_K, len(x) - 1))
@@ -176,48 +191,123 @@ def fit(vectors: DataFrame, total: int, k: int = K, sample: int = SAMPLE, target
     return Index(router, parts, probes)
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = K, index: Index | None = None, target: float = TARGET) -> DataFrame:
-    """Each query's k nearest vectors found: query_id, rank, vec_id, score.
+def found_in_sample(k: int, sample: int, total: int) -> int:
+    """How many nearest of a sample stand for the k nearest of the table: its share of them, two at least."""
+    return int(np.clip(-(-k * sample // max(1, total)), min(2, k), k))
 
-    ``vectors`` and ``queries`` have columns vec_id and v (see :func:`usable`).
-    """
-    total = vectors.count()
-    index = index or fit(vectors, total, k, target=target)
-    shared = vectors.sparkSession.sparkContext.broadcast(index)
+
+@dataclass
+class Levels:
+    """The index of the first level and, of a large table, one for each of its parts."""
+
+    top: Index
+    below: dict[int, Index]
+
+    def numbers(self) -> int:
+        """Part numbers run below this."""
+        return self.top.parts * (MOST_PARTS if self.below else 1)
+
+    def home(self, x: np.ndarray) -> np.ndarray:
+        """Part number of each row."""
+        first = self.top.order(x)[:, 0]
+        if not self.below:
+            return first
+        out = first * MOST_PARTS
+        for p in np.unique(first):
+            out[first == p] += self.below[int(p)].order(x[first == p])[:, 0]
+        return out
+
+    def routes(self, x: np.ndarray, sure: np.ndarray, k: int) -> list[np.ndarray]:
+        """Part numbers that each query visits; ``sure`` counts the ids that only that part has."""
+        order = self.top.order(x)
+        width = MOST_PARTS if self.below else 1
+        first = sure.reshape(-1, width).sum(1)
+        visited = np.maximum(self.top.probes, (np.cumsum(first[order], 1) < k + 1).sum(1) + 1)
+        out: list[list[np.ndarray]] = [[] for _ in x]
+        for p in range(self.top.parts):
+            asks = np.flatnonzero((order == p).argmax(1) < visited)
+            if not self.below:
+                for i in asks:
+                    out[i].append(np.array([p]))
+            elif len(asks):
+                own = self.below[p]
+                for i, o in zip(asks, own.order(x[asks]), strict=True):
+                    out[i].append(p * width + o[: own.probes])
+        for i, parts in enumerate(out):
+            if self.below and sum(sure[q].sum() for q in parts) < k + 1:  # too few for sure: all parts below those visited
+                out[i] = [p * width + np.arange(self.below[int(p)].parts) for p in order[i, : visited[i]]]
+        return [np.concatenate(parts).astype(np.int32) for parts in out]
+
+
+def _sampled(rows: DataFrame, share, sample: int, *by: str) -> DataFrame:
+    """At most ``sample`` rows (of each value of ``by``), chosen by hash; ``share`` keeps somewhat more than that."""
+    h = F.xxhash64("vec_id")
+    some = rows.filter(F.pmod(h, F.lit(1 << 20)) <= share * (1 << 20))
+    return some.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(h, "vec_id", "v"))).filter(F.col("_r") <= sample).drop("_r")
+
+
+def fit(vectors: DataFrame, total: int, k: int = K, sample: int = SAMPLE, target: float = TARGET, rows_per_part: int = ROWS_PER_PART) -> Levels:
+    """Learn partitions on ``sample`` vectors chosen by hash, and as many of each part where there are two levels."""
+    parts = -(-total // rows_per_part)
+    two = parts > MOST_PARTS
+    each = target ** 0.5 if two else target
+    got = _sampled(vectors.withColumn("_all", F.lit(0)), min(1.0, 1.5 * sample / max(1, total)), sample, "_all").select("v").toArrow()["v"]
+    x = np.array(got.to_pylist(), float) if len(got) else np.zeros((0, 1))  # ``sample`` rows at most
+    top = Levels(learn(x, min(parts, MOST_PARTS), found_in_sample(k, len(x), total), each), {})
+    if not two or top.top.router is None:
+        return top
+    homed = store.written(_homed(vectors, top), "homed")
+    sizes = {r["part"]: r["count"] for r in homed.groupBy("part").count().collect()}  # MOST_PARTS rows
+    shares = vectors.sparkSession.createDataFrame([(p, min(1.0, 1.5 * sample / n), n) for p, n in sizes.items()], "part int, share double, n long")
+    picked = _sampled(homed.join(F.broadcast(shares), "part"), F.col("share"), sample, "part")
+
+    def below(group: pd.DataFrame) -> pd.DataFrame:
+        n = int(group["n"].iloc[0])
+        index = learn(np.stack(group["v"].to_numpy()), min(-(-n // rows_per_part), MOST_PARTS), found_in_sample(k, len(group), n), each)
+        return pd.DataFrame({"part": [group["part"].iloc[0]], "index": [pickle.dumps(index)]})
+
+    learnt = picked.groupBy("part").applyInPandas(below, "part int, index binary").collect()  # a model a part, MOST_PARTS at most
+    store.drop(homed)
+    return Levels(top.top, {p: Index() for p in range(top.top.parts)} | {r["part"]: pickle.loads(r["index"]) for r in learnt})
+
+
+def _homed(vectors: DataFrame, levels: Levels) -> DataFrame:
+    shared = vectors.sparkSession.sparkContext.broadcast(levels)
 
     def home(v: pd.Series) -> pd.Series:
-        own = shared.value
-        if own.router is None or not len(v):
-            return pd.Series(np.zeros(len(v), np.int32))
-        return pd.Series(own.router.parts(np.stack(v.to_numpy())).argmax(1).astype(np.int32))
+        return pd.Series(shared.value.home(np.stack(v.to_numpy())).astype(np.int32) if len(v) else np.zeros(0, np.int32))
+
+    return vectors.withColumn("part", F.pandas_udf(home, "int")("v"))
+
 
-    homed = vectors.withColumn("part", F.pandas_udf(home, "int")("v"))
+def search(vectors: DataFrame, queries: DataFrame, k: int = K, index: Levels | None = None, target: float = TARGET, rows_per_part: int = ROWS_PER_PART) -> DataFrame:
+    """Each query's k nearest vectors found: query_id, rank, vec_id, score.
+
+    ``vectors`` and ``queries`` have columns vec_id and v (see :func:`usable`).
+    """
+    spark = vectors.sparkSession
+    index = index or fit(vectors, vectors.count(), k, target=target, rows_per_part=rows_per_part)
+    homed = _homed(vectors, index)
     # Rows of each part, and its ids that no other part has: so many candidates are sure.
-    sizes, sure = np.zeros(index.parts, np.int64), np.zeros(index.parts, np.int64)
+    sizes, sure = (np.zeros(index.numbers(), np.int64) for _ in range(2))
     spread = homed.groupBy("vec_id", "part").count().groupBy("vec_id").agg(F.collect_list(F.struct("part", "count")).alias("at"))
     spread = spread.select((F.size("at") == 1).alias("only"), F.explode("at").alias("at")).groupBy("at.part")
     for r in spread.agg(F.sum("at.count").alias("n"), F.count_if("only").alias("sure")).collect():  # a row for each part
         sizes[r["part"]], sure[r["part"]] = r["n"], r["sure"]
+    shared = spark.sparkContext.broadcast((index, sure))
 
     def route(v: pd.Series) -> pd.Series:
-        own = shared.value
-        if not len(v):
-            return pd.Series([], dtype=object)
-        odds = np.zeros((len(v), 1)) if own.router is None else own.router.parts(np.stack(v.to_numpy()))
-        order = np.argsort(-odds, 1, kind="stable")
-        enough = (np.cumsum(sure[order], 1) < k + 1).sum(1) + 1  # parts until there are k candidates
-        return pd.Series([o[: max(own.probes, e)].astype(np.int32) for o, e in zip(order, enough, strict=True)])
-
-    # Blocks: candidates are dealt to salts by hash, queries to chunks; each pair of them is one group.
-    salts = F.lit(1)
-    total_queries = queries.count()
-    for p, n in enumerate(sizes.tolist()):
-        if n > BLOCK_ROWS:
-            salts = F.when(F.col("part") == p, F.lit(-(-n // BLOCK_ROWS))).otherwise(salts)
-    chunks = F.lit(max(1, -(-total_queries // BLOCK_QUERIES)))
-    cand = homed.withColumn("salt", F.pmod(F.xxhash64("vec_id"), salts).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    asked = queries.withColumn("part", F.explode(F.pandas_udf(route, "array<int>")("v")))
-    asked = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).withColumn("chunk", F.pmod(F.xxhash64("vec_id"), chunks).cast("int"))
+        own, known = shared.value
+        return pd.Series(own.routes(np.stack(v.to_numpy()), known, k) if len(v) else [], dtype=object)
+
+    # Blocks: a part's candidates are dealt to salts, its queries to chunks; each pair of them is one group.
+    asked = store.written(queries.withColumn("part", F.explode(F.pandas_udf(route, "array<int>")("v"))), "asked")
+    asks = {r["part"]: r["count"] for r in asked.groupBy("part").count().collect()}  # a row for each part
+    blocks = [(p, -(-int(sizes[p]) // BLOCK_ROWS), -(-n // BLOCK_QUERIES)) for p, n in asks.items() if sizes[p]]
+    plan = F.broadcast(spark.createDataFrame(blocks, "part int, salts int, chunks int"))  # MOST_PARTS squared rows at most
+    hashed = F.xxhash64("vec_id")
+    cand = homed.join(plan, "part").withColumn("salt", F.pmod(hashed, F.col("salts")).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    asked = asked.join(plan, "part").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).withColumn("chunk", F.pmod(hashed, F.col("chunks")).cast("int"))
 
     def rerank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})

@@ -10,8 +10,9 @@ weighs the states, and a logistic unit scores the weighted sum. All overlapping
 windows of the whole text are scored; the text takes the largest score.
 
 Training is numpy with back-propagation through time, on a bounded sample of
-labelled rows (``per_class`` of each class with texts up to ``most_chars``,
-chosen by hash). A training text's inputs come from counts that leave out its
+labelled rows: ``per_class`` documents of each class, chosen by hash, those of up
+to ``most_chars`` characters before longer ones. A longer text trains on PIECES_OF
+pieces at hash-chosen places over its whole length, ``most_chars`` in all. A training text's inputs come from counts that leave out its
 own tenth of the sample, so the network learns from inputs as unseen texts have
 them. Labels say nothing about windows: a text trains through its strongest
 window, chosen anew during training, and a clean one also through another.
@@ -20,7 +21,8 @@ Scoring needs no shuffle; a task works in runs of half a megabyte of text.
 
 Defined results: a null or wordless text takes the sample's share of toxic rows,
 at most 0.49; without labelled rows every score is 0, and with one class every
-score is that share. Labels repeated for an id count once, toxic if any is.
+score is that share, as it is without labelled documents. If only one of two
+labelled classes has documents, that is an error. Labels repeated for an id count once, toxic if any is.
 Repeated rows give repeated results; extra columns pass through ``score``.
 """
 
@@ -31,14 +33,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfmark.llm import textops
 
 WINDOW, STRIDE = 48, 32
-PER_CLASS, MOST_CHARS = 600, 20_000
+PER_CLASS, MOST_CHARS, PIECES_OF = 600, 20_000, 8
 HIDDEN, ATTENTION, INPUTS = 8, 8, 6
 BUCKETS = 1 << 16
 #: Character pieces of a word: its first so many bytes, or each run of so many.
@@ -323,11 +325,18 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most_cha
     """Fit on labelled rows; the caller has left out the held-out ones from ``labels`` (doc_id, toxic)."""
     one = labels.select("doc_id", "toxic").filter("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     many = {r["toxic"]: r["count"] for r in one.groupBy("toxic").count().collect()}  # two rows at most
+    # The sample is drawn from labelled documents, so neither missing ids nor long texts can empty a class.
     h = F.xxhash64("doc_id")
-    picked = [one.filter(F.col("toxic") == c).orderBy(h, "doc_id").limit(2 * per_class) for c in (0, 1)]
-    sample = F.broadcast(picked[0].union(picked[1]))  # 4 * per_class rows at most
-    rows = docs.select("doc_id", "text").filter(F.length("text") <= most_chars).join(sample, "doc_id")
-    got = [r for c in (0, 1) for r in rows.filter(F.col("toxic") == c).orderBy(h, "doc_id", "text").limit(per_class).collect()]
+    known = docs.filter(F.col("text").isNotNull()).select("doc_id", (F.length("text") > most_chars).alias("long")).join(one, "doc_id")
+    order = Window.partitionBy("toxic").orderBy("long", h, "doc_id")
+    picked = known.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_class).select("doc_id", "toxic").distinct()
+    length, piece = F.length("text"), most_chars // PIECES_OF
+    start = lambda i: F.floor((i + F.pmod(F.xxhash64("doc_id", i), F.lit(1000)) / 1000) / PIECES_OF * (length - piece)).cast("int") + 1
+    pieces = F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(PIECES_OF - 1)), lambda i: F.substring("text", start(i), F.lit(piece))))
+    rows = docs.select("doc_id", F.when(length <= most_chars, F.col("text")).otherwise(pieces).alias("text")).join(F.broadcast(picked), "doc_id")  # 2 * per_class rows
+    got = [r for c in (0, 1) for r in rows.filter((F.col("toxic") == c) & F.col("text").isNotNull()).orderBy(h, "doc_id", "text").limit(per_class).collect()]
+    if got and (lost := [c for c in many if c not in {r["toxic"] for r in got}]):
+        raise ValueError(f"no document of the labelled class {lost[0]}")
     return train([r["text"] for r in got], [r["toxic"] for r in got], many.get(1, 0) / max(1, sum(many.values())))
 
 

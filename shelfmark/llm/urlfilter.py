@@ -2,7 +2,7 @@
 
 Rules of a host (with its subdomains) and a path prefix judge the urls they fit;
 the longest wins. All other urls are judged by their host: personalised PageRank
-spreads trust from trusted hosts along the edges of the host link graph, and
+spreads trust from trusted hosts along the edges of the host graph, and
 distrust from blocked hosts against them (who links to a blocked host is
 suspect). A host whose share of distrust, distrust / (trust + distrust), is over
 ``threshold`` is blocked; other hosts, also those that neither reaches, are
@@ -10,18 +10,21 @@ allowed.
 
 Seeds are hosts whose own pages the rules judge alike: at least half of the
 host's pages fit a rule and all that fit have one verdict. More seeds can be
-named. Edges are the distinct pairs of page host and host of an absolute link in
-the page; links inside a host carry nothing. Every node divides its score evenly
-among its edges; scores that reach a node without edges end there.
-
-Ranks are propagated by joins and sums over (host, rank) tables until no new host
-is reached and no host's rank grows by more than ``settled`` of itself in two
-rounds, however small it is and however many rounds that takes. Verdicts are
-those of the settled ranks; the columns trust and distrust give the ranks after
-``rounds`` rounds (0 for hosts reached later). Every second round is written to
-the shared folder to cut lineage. Nothing but a count and the largest change
-reaches the driver. A host that only distrust reaches has share 1, even where its
-rank is too small for a double.
+named.
+
+Edges. A page's host links to every other host of a url in its html (``href``,
+``src``, ``action``, ``cite``, ``content``, ``data`` and ``poster`` attributes) and
+of a url carried in its own url's query, with weight 1. Besides, every host of
+three labels and more is tied to the domain above it, up to two labels, both ways
+with weight ``DOMAIN_WEIGHT``: who runs a domain answers for its subdomains. A pair
+counts once, with its largest weight. Every node divides its score among its
+edges by weight; scores that reach a node without edges end there.
+
+Both ranks are propagated together by joins and sums over one (host, trust,
+distrust) table, written to the shared folder every few rounds to cut lineage,
+until no new host was reached and no rank grew by more than ``settled`` of itself,
+however small it is and however many rounds that takes. Nothing but a count and
+the largest change reaches the driver.
 
 Defined results: a null url, or one without ``://``, has empty host and path and
 fits no rule; it is judged by the host "" like any other. Null html has no
@@ -31,7 +34,6 @@ give no rows. Extra columns are ignored.
 
 from __future__ import annotations
 
-import itertools
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -40,10 +42,14 @@ from pyspark.sql import functions as F
 from shelfmark.llm import store
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-DAMPING, ROUNDS, TOLERANCE, THRESHOLD = 0.85, 20, 1e-6, 0.5
-#: Largest growth of a rank in two rounds, as a share of it, at which it is settled.
-SETTLED = 1e-4
-LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?(?:https?:)?//([^/?#"'\s>]+)"""
+DAMPING, THRESHOLD = 0.85, 0.5
+#: Weight of the tie between a host and the domain above it, where a link weighs 1.
+DOMAIN_WEIGHT = 0.25
+#: Largest growth of a rank over some rounds, as a share of it, at which it is settled.
+SETTLED, ROUNDS_A_JOB = 1e-6, 4
+LINK = r"""(?i)\b(?:href|src|action|cite|content|data|poster)\s*=\s*["']?(?:\s*//|[^"'<>]*?[a-z][a-z0-9+.-]*://)(?:[^/?#"'\s<>@]*@)?([^/?#"'\s<>@]+)"""
+#: A url in a query, plain or with its marks escaped.
+QUERY_LINK = r"""(?i)[?&;][^=&#]*=[a-z][a-z0-9+.-]*(?::|%3a)(?:/|%2f){2}([^/?#&;"'\s<>%@]+)"""
 
 
 @dataclass(frozen=True)
@@ -84,47 +90,58 @@ def rule_of(host: Column, path: Column, rules: list[Rule], part: str = "name") -
 
 
 def links(pages: DataFrame) -> DataFrame:
-    """Distinct (src, dst) pairs of hosts; ``pages`` has host and html."""
-    found = F.array_distinct(F.transform(F.regexp_extract_all("html", F.lit(LINK), 1), lambda h: F.translate(h, UPPER, LOWER)))
+    """Distinct (src, dst) pairs of hosts; ``pages`` has host, url and html."""
+    none = F.array().cast("array<string>")
+    found = F.concat(F.coalesce(F.regexp_extract_all("html", F.lit(LINK), 1), none), F.coalesce(F.regexp_extract_all("url", F.lit(QUERY_LINK), 1), none))
+    found = F.array_distinct(F.transform(found, lambda h: F.translate(h, UPPER, LOWER)))
     pairs = pages.select(F.col("host").alias("src"), F.explode(found).alias("dst"))
     return pairs.filter((F.col("src") != "") & (F.col("src") != F.col("dst"))).distinct()
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = TOLERANCE, settled: float = SETTLED) -> DataFrame:
-    """Personalised PageRank: (host, rank, settled) from ``seeds`` (host, seed >= 0) along ``edges`` (src, dst).
-
-    ``rank`` is that after ``rounds`` rounds, or before where no rank grows by more than ``tolerance`` of itself.
-    """
+def domain_ties(hosts: DataFrame) -> DataFrame:
+    """(src, dst) pairs of each host and the domains above it, step by step up to two labels, both ways."""
+    named = hosts.select("host").filter(F.col("host").rlike(r"^[^:@\[\]]+$") & ~F.col("host").rlike(r"^[0-9.]+$")).distinct()
+    labels = F.split("host", r"\.")
+    steps = F.transform(
+        F.sequence(F.lit(1), F.size(labels) - 2),
+        lambda i: F.struct(F.array_join(F.slice(labels, i, F.size(labels)), ".").alias("src"), F.array_join(F.slice(labels, i + 1, F.size(labels)), ".").alias("dst")),
+    )
+    up = named.filter(F.size(labels) >= 3).select(F.explode(steps).alias("e")).select("e.src", "e.dst").filter("src <> '' AND dst <> ''").distinct()
+    return up.union(up.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+
+
+def _shares(edges: DataFrame, damping: float, name: str) -> DataFrame:
+    """Of each edge (src, dst, weight): the damped share of its source's rank."""
+    out = edges.groupBy("src").agg(F.sum("weight").alias("all"))
+    return edges.join(out, "src").select("src", "dst", (damping * F.col("weight") / F.col("all")).alias(name))
+
+
+def _spread(base: DataFrame, moves: DataFrame, names: list[str], damping: float, settled: float) -> DataFrame:
+    """Ranks ``names`` of each host: (1 - damping) * base plus what ``moves`` (src, dst and a share for each name) bring, settled."""
+    start = base.select("host", *[((1 - damping) * F.col(n)).alias(n) for n in names])
+    last = rank = store.written(start, "rank")
+    if not moves.limit(1).count():
+        return rank
+    while True:
+        for _ in range(ROUNDS_A_JOB):
+            moved = moves.alias("m").join(rank.alias("r"), F.col("m.src") == F.col("r.host")).select(F.col("m.dst").alias("host"), *[(F.col(f"m.{n}") * F.col(f"r.{n}")).alias(n) for n in names])
+            rank = moved.unionByName(start).groupBy("host").agg(*[F.sum(n).alias(n) for n in names])
+        rank = store.written(rank, "rank")
+        # Ranks only grow, and a host once reached stays: hosts not in ``last`` are new.
+        grown = [F.when(F.col("l.host").isNull() | (F.col(f"n.{n}") > 0) & (F.col(f"l.{n}") <= 0), F.lit(1.0)).when(F.col(f"n.{n}") > 0, 1 - F.col(f"l.{n}") / F.col(f"n.{n}")).otherwise(F.lit(0.0)) for n in names]
+        change = rank.alias("n").join(last.alias("l"), "host", "left").agg(F.max(F.greatest(F.lit(0.0), *grown)).alias("c")).first()["c"] or 0.0
+        store.drop(last)
+        last = rank
+        if change <= settled:
+            return rank
+
+
+def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, settled: float = SETTLED) -> DataFrame:
+    """Personalised PageRank: (host, rank) from ``seeds`` (host, seed >= 0) along ``edges`` (src, dst, and weight if not all alike)."""
     total = seeds.agg(F.sum("seed").alias("total"))
-    base = store.written(seeds.crossJoin(F.broadcast(total)).select("host", (F.col("seed") / F.col("total")).alias("seed")), "seeds")  # one row of totals
-    degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
-    shares = store.written(edges.join(degree, "src").select("src", "dst", (damping / F.col("degree")).alias("share")), "edges")
-    rank = base.select("host", ((1 - damping) * F.col("seed")).alias("rank"))
-    if not shares.limit(1).count():
-        return rank.withColumn("settled", F.col("rank"))
-    last, early = base.select("host", F.lit(0.0).alias("rank")), None
-    for i in itertools.count():
-        moved = shares.join(rank, shares["src"] == rank["host"]).select(F.col("dst").alias("host"), (F.col("share") * F.col("rank")).alias("rank"))
-        start = base.select("host", ((1 - damping) * F.col("seed")).alias("rank"))
-        new = moved.unionByName(start).groupBy("host").agg(F.sum("rank").alias("rank"))
-        if i % 2 or i + 1 == rounds:
-            new = store.written(new, "rank")
-        if i + 1 == rounds:
-            early = new
-        if i % 2:
-            # Ranks only grow, and a host once reached stays: hosts not in ``last`` are new.
-            grown = F.when(F.col("l.rank").isNull(), F.lit(1.0)).when(F.col("n.rank") > 0, (F.col("n.rank") - F.col("l.rank")) / F.col("n.rank")).otherwise(F.lit(0.0))
-            change = new.alias("n").join(last.alias("l"), "host", "left").agg(F.max(grown).alias("c")).first()["c"] or 0.0
-            if change <= (settled if early is not None else tolerance):
-                break
-            if i > 1 and last is not early:
-                store.drop(last)
-            last = new
-        rank = new
-    if early is None:
-        return new.withColumn("settled", F.col("rank"))
-    early = early.select("host", F.col("rank").alias("early"))
-    return new.join(early, "host", "left").select("host", F.coalesce("early", F.lit(0.0)).alias("rank"), F.col("rank").alias("settled"))
+    base = store.written(seeds.crossJoin(F.broadcast(total)).select("host", (F.col("seed") / F.col("total")).alias("rank")), "seeds")  # one row of totals
+    weighed = edges if "weight" in edges.columns else edges.withColumn("weight", F.lit(1.0))
+    return _spread(base, store.written(_shares(weighed, damping, "rank"), "edges"), ["rank"], damping, settled)
 
 
 def judge(
@@ -134,13 +151,13 @@ def judge(
     blocked: list[str] | None = None,
     threshold: float = THRESHOLD,
     damping: float = DAMPING,
-    rounds: int = ROUNDS,
+    domain_weight: float = DOMAIN_WEIGHT,
     page_id: str = "page_id",
     url: str = "url",
     html: str = "html",
 ) -> DataFrame:
     """(page_id, host, path, rule, verdict, trust, distrust) of every page."""
-    parsed = pages.select(F.col(page_id).cast("long").alias("page_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), F.col(html).alias("html"))
+    parsed = pages.select(F.col(page_id).cast("long").alias("page_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), F.col(url).alias("url"), F.col(html).alias("html"))
     narrow = parsed.select("page_id", "host", "path", rule_of(F.col("host"), F.col("path"), rules).alias("rule"), rule_of(F.col("host"), F.col("path"), rules, "verdict").alias("_by_rule"))
     hosts = narrow.groupBy("host").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("_by_rule") == "allow").alias("good"), F.count_if(F.col("_by_rule") == "block").alias("bad")
@@ -156,15 +173,19 @@ def judge(
         ).filter("good + bad > 0"),
         "seeds",
     )
-    edges = store.written(links(parsed), "links")
-    trust = propagate(seeds.filter("good > 0").select("host", F.col("good").alias("seed")), edges, damping, rounds)
-    against = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    distrust = propagate(seeds.filter("bad > 0").select("host", F.col("bad").alias("seed")), against, damping, rounds)
-    trust = trust.select("host", F.col("rank").alias("trust"), F.col("settled").alias("_good"))
-    distrust = distrust.select("host", F.col("rank").alias("distrust"), F.col("settled").alias("_bad"))
-    scores = store.written(trust.join(distrust, "host", "full"), "scores")
-    joined = narrow.join(scores, "host", "left")
-    good, bad = F.coalesce("_good", F.lit(0.0)), F.coalesce("_bad", F.lit(0.0))
-    only_bad = F.col("_good").isNull() & F.col("_bad").isNotNull() & (F.lit(threshold) < 1)
-    by_graph = F.when(only_bad | (good + bad > 0) & (bad > threshold * (good + bad)), F.lit("block")).otherwise(F.lit("allow"))
-    return joined.select("page_id", "host", "path", "rule", F.coalesce("_by_rule", by_graph).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
+    linked = store.written(links(parsed), "links")
+    nodes = hosts.select("host").union(linked.select("dst"))
+    ties = domain_ties(nodes).withColumn("weight", F.lit(float(domain_weight))).filter("weight > 0")
+    edges = linked.withColumn("weight", F.lit(1.0)).union(ties).groupBy("src", "dst").agg(F.max("weight").alias("weight"))
+    edges = store.written(edges, "edges")
+    against = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
+    trust, distrust = _shares(edges, damping, "trust"), _shares(against, damping, "distrust")
+    moves = trust.join(distrust, ["src", "dst"], "full").select("src", "dst", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
+    totals = seeds.agg(F.sum("good").alias("all_good"), F.sum("bad").alias("all_bad"))
+    part = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
+    base = seeds.crossJoin(F.broadcast(totals)).select("host", part("good", "all_good").alias("trust"), part("bad", "all_bad").alias("distrust"))  # one row of totals
+    ranks = _spread(store.written(base, "seeds"), store.written(moves, "moves"), ["trust", "distrust"], damping, SETTLED)
+    joined = narrow.join(ranks, "host", "left")
+    good, bad = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
+    by_graph = F.when((good + bad > 0) & (bad > threshold * (good + bad)), F.lit("block")).otherwise(F.lit("allow"))
+    return joined.select("page_id", "host", "path", "rule", F.coalesce("_by_rule", by_graph).alias("verdict"), good.alias("trust"), bad.alias("distrust"))

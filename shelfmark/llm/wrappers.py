@@ -8,15 +8,22 @@ differ become text slots. Aligning all pages of a host, one after another, gives
 the host's wrapper: an expression of sequences, optional and repeated groups and
 slots, without unions. A label is the tag with its class, id and role words.
 
-The wrapper then tells which slots hold the article: those below ``article``,
-``main`` or an element of that role; where a host has none, below the element to
-which most of the slots' text leads, leaving out texts that are the same on all
-pages. That is told only where articles differ: the host has three or more pages
-of different text (copies count once) and its heaviest block is not the same on
-all of them. Slots below menus, headers, footers, sidebars, notices, adverts,
-forms and comments are left out by tag and by whole class, id or role words;
-an ``article`` or ``main`` never is. Every page is read with its host's wrapper;
-text is dropped for no other reason.
+The wrapper then tells where the article is. Its slots are weighed: characters
+outside links that differ between pages; where pages of differing text are too
+few to tell (fewer than three, copies counted once, or the heaviest block is the
+same on all), all characters count. From the root, the way goes down as long as
+one child holds more than half of what is left; an ``article`` or ``main`` element,
+or one of that role, is evidence of its own and counts ``TAGGED`` times. Where the
+way ends is the article; texts in it that are the same on all pages are left out,
+unless a tag named it. Menus, headers, footers, sidebars, notices, adverts, forms
+and comments are left out by tag and by whole class, id or role words; an
+``article`` or ``main`` never is. Every page is read with its host's wrapper; text
+is dropped for no other reason.
+
+Sequences are aligned along a longest common subsequence, found with bit vectors
+in memory that is bounded whatever the number of siblings. Elements deeper than
+``DEEPEST`` levels hang from their ancestor at that level in an expression, so its
+walks are bounded; pages are read with an explicit stack at any depth.
 
 Alignment is associative enough to reduce as a tree: tasks align the pages of
 each host they hold, partial wrappers meet by (host, salt), those of the salts
@@ -26,8 +33,9 @@ it chooses between a broadcast and a shuffle join with the pages.
 
 Defined results: null or empty html gives an empty text; pages whose url is null
 or has no ``://`` share the host ""; unclosed, broken or cut markup is read as
-far as it goes; a page without the wrapper's article falls back to its own
-expression; repeated rows give repeated results; extra columns are ignored.
+far as it goes; a page without the wrapper's article, or without text in it,
+falls back to its own expression; repeated rows give repeated results; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,16 +44,23 @@ import hashlib
 import html as entities
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm import store
 
 SALTS, MOST_HOSTS, PERIODS = 32, 2_000, 4
+#: Levels of an expression, and how many times a tagged article's weight counts.
+DEEPEST, TAGGED = 48, 16
+#: Bits of an alignment's table that are held at once.
+TABLE_BITS = 1 << 28
 #: So many pages of different text show which texts are a host's own.
 DIFFERING = 3
 #: Elements by their role in HTML.
@@ -103,34 +118,45 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
 def walk(page: str) -> Iterator[tuple[str, list, str]]:
     """Token events with the stack of open (tag, label) elements; end tags that HTML leaves out are supplied."""
     stack: list[tuple[str, str]] = []
+    held: Counter[str] = Counter()
+
+    def pop() -> str:
+        tag = stack.pop()[0]
+        held[tag] -= 1
+        return tag
+
     for kind, tag, value in tokens(page):
         if kind == "text":
             yield "text", stack, value
         elif kind == "open":
-            if tag in ENDS_P and any(t == "p" for t, _ in stack):
-                while stack[-1][0] != "p":
-                    yield "pop", stack, stack.pop()[0]
-                yield "pop", stack, stack.pop()[0]
+            if tag in ENDS_P and held["p"]:
+                while (top := pop()) != "p":
+                    yield "pop", stack, top
+                yield "pop", stack, top
             if tag in SAME_ENDS:
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] in STOPS[tag]:
                         break
                     if stack[i][0] in SAME_ENDS[tag]:
                         while len(stack) > i:
-                            yield "pop", stack, stack.pop()[0]
+                            top = pop()
+                            yield "pop", stack, top
                         break
             stack.append((tag, value))
+            held[tag] += 1
             yield "push", stack, tag
             if tag in VOID:
-                yield "pop", stack, stack.pop()[0]
-        elif any(t == tag for t, _ in stack):
+                top = pop()
+                yield "pop", stack, top
+        elif held[tag]:
             while True:
-                top = stack.pop()[0]
+                top = pop()
                 yield "pop", stack, top
                 if top == tag:
                     break
     while stack:
-        yield "pop", stack, stack.pop()[0]
+        top = pop()
+        yield "pop", stack, top
 
 
 # An expression node: [label, optional, repeated, children, text, mass, linked, same].
@@ -169,26 +195,73 @@ def _maybe(node: list) -> list:
     return [node[LABEL], True, *node[REPEATED:]]
 
 
+def _rows(a: list[int], b: list[int]) -> Iterator[int]:
+    """After each item of ``b``, a bit vector of the longest common subsequence with ``a``: bit i is 0 where a[i] lengthens it."""
+    where: dict[int, int] = {}
+    for i, k in enumerate(a):
+        where[k] = where.get(k, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    v = full
+    for k in b:
+        u = v & where.get(k, 0)
+        v = ((v + u) | (v - u)) & full
+        yield v
+
+
+def _lengths(a: list[int], b: list[int]) -> np.ndarray:
+    """Length of the longest common subsequence of a[:i] and b, for each i."""
+    v = (1 << len(a)) - 1
+    for v in _rows(a, b):  # noqa: B007  the last one counts
+        pass
+    bits = np.unpackbits(np.frombuffer(v.to_bytes(len(a) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(a)]
+    return np.concatenate(([0], np.cumsum(1 - bits.astype(np.int64))))
+
+
+def common(a: list[str], b: list[str], table_bits: int = TABLE_BITS) -> list[tuple[int, int]]:
+    """Places (i, j) of a longest common subsequence; sequences too long for one table are halved."""
+    number: dict[str, int] = {}
+    x, y = ([number.setdefault(k, len(number)) for k in keys] for keys in (a, b))
+    out, todo = [], [(0, len(x), 0, len(y))]
+    while todo:
+        i, m, j, n = todo.pop()
+        while i < m and j < n and x[i] == y[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        while i < m and j < n and x[m - 1] == y[n - 1]:
+            m, n = m - 1, n - 1
+            out.append((m, n))
+        if i == m or j == n:
+            continue
+        if (m - i) * (n - j) > table_bits and n - j > 1:
+            half = (j + n) // 2
+            before, after = _lengths(x[i:m], y[j:half]), _lengths(x[i:m][::-1], y[half:n][::-1])[::-1]
+            cut = i + int((before + after).argmax())
+            todo += [(i, cut, j, half), (cut, m, half, n)]
+            continue
+        table = list(_rows(x[i:m], y[j:n]))
+        p, q = m - i, n - j
+        while p and q:
+            if table[q - 1] >> (p - 1) & 1:
+                p -= 1
+            else:
+                q -= 1
+                if not q or table[q - 1] >> (p - 1) & 1:
+                    p -= 1
+                    out.append((i + p, j + q))
+    return sorted(out)
+
+
 def align(a: list, b: list, within: bool = False) -> list:
     """Align two sequences along a longest common subsequence of keys; the rest becomes optional."""
     ka, kb = [_key(n) for n in a], [_key(n) for n in b]
     if ka == kb:
         return [merge(x, y, within) for x, y in zip(a, b, strict=True)]
-    table = [[0] * (len(kb) + 1) for _ in range(len(ka) + 1)]
-    for i in range(len(ka) - 1, -1, -1):
-        for j in range(len(kb) - 1, -1, -1):
-            table[i][j] = table[i + 1][j + 1] + 1 if ka[i] == kb[j] else max(table[i + 1][j], table[i][j + 1])
     out, i, j = [], 0, 0
-    while i < len(ka) or j < len(kb):
-        if i < len(ka) and j < len(kb) and ka[i] == kb[j]:
-            out.append(merge(a[i], b[j], within))
-            i, j = i + 1, j + 1
-        elif j == len(kb) or i < len(ka) and table[i + 1][j] >= table[i][j + 1]:
-            out.append(_maybe(a[i]))
-            i += 1
-        else:
-            out.append(_maybe(b[j]))
-            j += 1
+    for p, q in [*common(ka, kb), (len(a), len(b))]:
+        out += [_maybe(n) for n in a[i:p]] + [_maybe(n) for n in b[j:q]]
+        if p < len(a):
+            out.append(merge(a[p], b[q], within))
+        i, j = p + 1, q + 1
     return fold(out)
 
 
@@ -238,7 +311,7 @@ def expression(page: str) -> list:
         if kind == "push":
             node = _node(stack[-1][1])
             node[TEXT] = []
-            path[-1][CHILDREN].append(node)
+            path[min(len(path) - 1, DEEPEST)][CHILDREN].append(node)
             path.append(node)
             links += value == "a"
         elif kind == "pop":
@@ -289,59 +362,56 @@ def page_key(node: list) -> str:
     return _digest(" ".join(x for x in out if x))
 
 
+def _step(path: int, label: str) -> int:
+    """Number of the path that leads one label further."""
+    return xxhash.xxh3_64_intdigest(label.encode("utf-8", "surrogatepass"), path)
+
+
 def plan(wrapper: list, differing: int) -> dict:
-    """What a page is read by: the article's label paths, and paths of fixed text to leave out.
+    """What a page is read by: the label paths of the article, and paths of fixed text to leave out.
 
     ``differing`` is the number of pages of different text that the wrapper was met on.
     """
-    roots: list[str] = []
 
-    def find(node: list, path: str) -> None:
-        for child in _members(node):
-            here = f"{path}/{child[LABEL]}"
-            if _is_away(child[LABEL], False):
-                continue
-            if _is_article(child[LABEL]):
-                roots.append(here)
-            else:
-                find(child, here)
-
-    find(wrapper, "")
-    if roots:
-        return {"roots": sorted(set(roots)), "fixed": []}
-    fixed: list[str] = []
+    def shown(node: list) -> list:
+        return [c for c in _members(node) if not _is_away(c[LABEL], False)]
 
     def heaviest(node: list) -> list:
-        inner = [heaviest(c) for c in _members(node) if not _is_away(c[LABEL], False)]
-        return max([node, *inner], key=lambda n: n[MASS] - n[LINKED])
+        return max([node, *(heaviest(c) for c in shown(node))], key=lambda n: n[MASS] - n[LINKED])
 
     top = heaviest(wrapper)
     articles_differ = differing >= DIFFERING and (top[SAME] is None or top[OPTIONAL])
+    fixed: set[int] = set()
+    weights: dict[int, int] = {}
 
-    def weigh(node: list, path: str) -> float:
+    def weigh(node: list, path: int) -> int:
+        """Characters of the slots below, kept for each node."""
         own = max(0, node[MASS] - node[LINKED])
         if node[TEXT] and articles_differ and not node[OPTIONAL]:
-            fixed.append(path)
+            fixed.add(path)
             own = 0
-        return own + sum(weigh(c, f"{path}/{c[LABEL]}") for c in _members(node) if not _is_away(c[LABEL], False))
-
-    node, path = wrapper, ""
-    total = weigh(wrapper, "")
-    while total > 0:
-        inner = [(weigh(c, f"{path}/{c[LABEL]}"), c) for c in _members(node) if not _is_away(c[LABEL], False)]
-        best = max(inner, key=lambda p: p[0], default=(0, None))
-        tag = best[1] and re.split(r"[.#@]", best[1][LABEL], maxsplit=1)[0]
-        if best[0] <= total / 2 or best[1][REPEATED] or tag in ("p", "h1", "h2", "h3", "ul", "ol", "table", "blockquote", "pre") or tag in INLINE:
+        own += sum(weigh(c, _step(path, c[LABEL])) for c in shown(node))
+        weights[id(node)] = own * TAGGED if _is_article(node[LABEL]) else own
+        return weights[id(node)]
+
+    node, path = wrapper, 0
+    weigh(wrapper, 0)
+    while not _is_article(node[LABEL]):
+        best = max(shown(node), key=lambda c: weights[id(c)], default=None)
+        if best is None or not weights[id(best)] or weights[id(best)] * 2 <= weights[id(node)]:
+            break
+        tag = re.split(r"[.#@]", best[LABEL], maxsplit=1)[0]
+        if not _is_article(best[LABEL]) and (best[REPEATED] or tag in ("p", "h1", "h2", "h3", "ul", "ol", "table", "blockquote", "pre") or tag in INLINE):
             break
-        node, path = best[1], f"{path}/{best[1][LABEL]}"
-    return {"roots": [path], "fixed": sorted(set(fixed))}
+        node, path = best, _step(path, best[LABEL])
+    return {"root": path, "fixed": frozenset() if _is_article(node[LABEL]) else frozenset(fixed)}
 
 
 def read(page: str, how: dict) -> str | None:
     """Text of the article's slots by ``how``; None if the page has none of the article's elements."""
-    roots, fixed = set(how["roots"]), set(how["fixed"])
-    blocks, parts, paths = [], [], [""]
-    inside, away, met = (1 if "" in roots else 0), 0, "" in roots
+    root, fixed = how["root"], how["fixed"]
+    blocks, parts, paths = [], [], [0]
+    inside, away, met = int(root == 0), 0, root == 0
     marks: list[tuple[bool, bool]] = []
     for kind, stack, value in walk(page):
         if kind == "text":
@@ -355,8 +425,8 @@ def read(page: str, how: dict) -> str | None:
             parts = []
         if kind == "push":
             label = stack[-1][1]
-            paths.append(f"{paths[-1]}/{label}")
-            start, gone = paths[-1] in roots, _is_away(label, inside > 0)
+            paths.append(_step(paths[min(len(paths) - 1, DEEPEST)], label))
+            start, gone = paths[-1] == root, _is_away(label, inside > 0)
             marks.append((start, gone))
             inside, away, met = inside + start, away + gone, met or start
         else:
@@ -374,10 +444,7 @@ def extract(page: str | None, how: dict | None) -> str:
     """Main text of a page by its host's plan, or by its own expression if that does not fit."""
     if not page:
         return ""
-    text = read(page, how) if how else None
-    if text is None:
-        text = read(page, plan(expression(page), 1))
-    return text or ""
+    return (read(page, how) if how else None) or read(page, plan(expression(page), 1)) or ""
 
 
 def host_of(url: Column) -> Column:

@@ -1,6 +1,8 @@
 import random
+import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from shelfmark.llm import langid, neighbours, toxicity
@@ -146,7 +148,7 @@ def test_neighbours_ties_and_unusable(spark):
     rows = [(i, [1.0, 0.0]) for i in range(0, 60)] + [(100, None), (120, [0.0, 0.0]), (140, [1.0, None]), (160, [float("nan"), 1.0]), (180, [float("inf"), 1.0]), (200, [1.0]), (None, [1.0, 1.0])]
     usable = neighbours.usable(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
     out = neighbours.search(usable, usable.filter("vec_id % 20 = 0")).collect()
-    assert {r.query_id for r in out} == {0, 20, 40}
+    assert {r.query_id for r in out} == {0, 20, 40, 200}  # a shorter vector counts as filled up with zeros
     assert sorted(r.vec_id for r in out if r.query_id == 0) == list(range(1, 21))
     few = usable.filter("vec_id < 3")
     assert sorted(r.vec_id for r in neighbours.search(few, few.filter("vec_id = 0")).collect()) == [1, 2]
@@ -165,3 +167,102 @@ def test_fold_rule(spark):
 
     rows = spark.range(50).select("id", langid.fold(F.col("id"), 5).alias("f")).collect()
     assert all(r.f == zlib.crc32(str(r.id).encode()) % 5 for r in rows)
+
+
+def test_long_texts_train_too(spark):
+    """All toxic texts are longer than the bound: their pieces stand for them."""
+    rng = random.Random(9)
+    rows = [(i, t if not bad else " ".join(t.split() + (["scum", "idiot"] + t.split()[:6]) * 40), bad) for i, t, bad in toxic_docs(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"), most_chars=1_200)
+    assert model.net is not None
+    bad, good = model.scores(["you scum idiot " + prose(rng, "en", 20), prose(rng, "en", 40)])
+    assert bad > 0.5 > good
+    with pytest.raises(ValueError):
+        toxicity.fit(docs.filter("toxic = 0"), docs.select("doc_id", "toxic"))
+    assert toxicity.fit(docs.limit(0), docs.select("doc_id", "toxic")).net is None
+
+
+def plain_score(model, text):
+    """The largest window score of a text, word by word and step by step."""
+    raw = text.lower().encode()
+    words = re.findall(rb"[0-9a-z\x80-\xff]+", raw)
+    net, n = model.net, toxicity.HIDDEN
+    sigmoid = lambda v: 1 / (1 + np.exp(-np.clip(v, -30, 30)))
+
+    def entry(word):
+        one = toxicity.words_of([word.decode()])
+        return toxicity.inputs(one, model.tables)[0].astype(float)
+
+    xs = [entry(w) for w in words]
+    best, at = -np.inf, 0
+    while True:
+        window = xs[at : at + toxicity.WINDOW]
+        states = []
+        for way, order in ((0, window), (1, window[::-1])):
+            h, out = np.zeros(n), []
+            for x in order:
+                g = x @ net.wx[way] + net.b[way, 0]
+                a = h @ net.wh[way][:, : 2 * n]
+                z, r = sigmoid(g[:n] + a[:n]), sigmoid(g[n : 2 * n] + a[n:])
+                m = np.tanh(g[2 * n :] + (r * h) @ net.wh[way][:, 2 * n :])
+                h = h + z * (m - h)
+                out.append(h)
+            states.append(out if way == 0 else out[::-1])
+        s = [np.concatenate(p) for p in zip(*states, strict=True)]
+        e = np.array([np.tanh(v @ net.wa) @ net.va for v in s])
+        weight = np.exp(e - e.max())
+        pooled = sum(w * v for w, v in zip(weight / weight.sum(), s, strict=True))
+        best = max(best, float(pooled @ net.u + net.c[0]))
+        if at + toxicity.WINDOW >= len(xs):
+            return float(sigmoid(best))
+        at += toxicity.STRIDE
+
+
+def test_toxicity_against_plain_loops(spark):
+    rows = toxic_docs(200)
+    model = toxicity.train([t for _, t, _ in rows], [y for *_, y in rows], epochs=2)
+    rng = random.Random(3)
+    texts = [prose(rng, "en", n) + " scum " * (n % 2) for n in (1, 5, 47, 48, 49, 80, 81, 200)]
+    assert np.allclose(model.scores(texts), [plain_score(model, t) for t in texts], atol=1e-4)
+
+
+def plain_language(model, text):
+    """Language of a text by dictionaries of n-grams and codewords, in plain loops."""
+    padded = b"    " + text.lower().encode() + b"    " + b"    "
+    counts = {}
+    for i in range(len(padded) - 4):
+        a, b, c, d = padded[i : i + 4]
+        two = (a * 0x9E3779B1 + b * 0x85EBCA77) & 0xFFFFFFFF
+        three = (two + c * 0xC2B2AE3D) & 0xFFFFFFFF
+        four = (three + d * 0x27D4EB2F) & 0xFFFFFFFF
+        for g, salt in ((two, 0x3C6EF372), (three, 0xDAA66D2B), (four, 0x78DDE6E4)):
+            g ^= salt
+            g = ((g ^ g >> 15) * 0x2C1B3C6D) & 0xFFFFFFFF
+            counts[g >> 20] = counts.get(g >> 20, 0) + 1
+    norm = sum(counts.values()) ** 0.5
+    losses = []
+    for word, trust in zip(model.code, model.trust, strict=True):
+        loss = 0.0
+        for bit in range(len(word)):
+            z = model.bias[bit] + sum(n**0.5 / norm * model.weights[f, bit] for f, n in counts.items())
+            loss += np.logaddexp(0, -z * word[bit]) * trust[bit]
+        losses.append(loss)
+    return model.langs[int(np.argmin(losses))], 1 / sum(np.exp(min(losses) - x) for x in losses)
+
+
+def test_language_query_against_plain_loops(spark, monkeypatch):
+    from shelfmark.llm import queries
+
+    models = []
+    predict = langid.predict
+    monkeypatch.setattr(langid, "predict", lambda docs, model, **k: models.append(model) or predict(docs, model, **k))
+    rows = queries.queries()["op5_output_codes"](spark, "/root/testdata/sf0.001").collect()
+    texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()}
+    some = [r for r in rows if r.lang_pred != "und" and len(texts[r.doc_id]) < 4_000]
+    assert len(some) > 50
+    for r in some[:60]:
+        lang, score = plain_language(models[0], texts[r.doc_id])
+        assert lang == r.lang_pred and abs(score - r.score) < 1e-4
+    marks = spark.createDataFrame([(1, "²½Ⅷ 12 ____"), (2, None), (3, "")], "doc_id long, text string")
+    assert {r.lang_pred for r in langid.predict(marks, models[0]).collect()} == {"und"}

@@ -105,3 +105,122 @@ def test_licenses(spark, messy, none):
     assert {k: r.licenses for k, r in got.items()} == {1: "MIT", 2: "MIT", 3: "Apache-2.0", 4: "GPL-3.0 CC-BY-NC-4.0", 5: "NONE", 6: "NONE", 7: "NONE", 8: "UNKNOWN", 9: "MIT"}
     assert got[1].sentence_ids == "MitTitle MitPermission MitNotice AsIs" and got[8].unknown_sentences == 1 and got[3].unknown_sentences == 0
     assert licenses.scan(messy).count() == messy.count() and licenses.scan(none).count() == 0
+
+
+#: Beginnings of licence texts as they stand in files: hard-wrapped, with comment marks and bullets.
+WRAPPED = {
+    "MIT": """/*
+ * Copyright (c) 2020 Somebody
+ *
+ * Permission is hereby granted, free of charge, to any person obtaining a copy
+ * of this software and associated documentation files (the "Software"), to deal
+ * in the Software without restriction.
+ *
+ * The above copyright notice and this permission notice shall be included in all
+ * copies or substantial portions of the Software.
+ *
+ * THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+ * IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY.
+ */
+int x;""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+* Redistributions of source code must retain the above copyright notice, this
+  list of conditions and the following disclaimer.
+* Redistributions in binary form must reproduce the above copyright notice,
+  this list of conditions in the documentation.
+* Neither the name of the copyright holder nor the names of its
+  contributors may be used to endorse or promote products.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED.""",
+    "BSD-2-Clause": """# Redistribution and use in source and binary forms, with or without
+# modification, are permitted provided that the following conditions
+# are met:
+# 1. Redistributions of source code must retain the above copyright
+#    notice and this list.
+# 2. Redistributions in binary form must reproduce the above copyright
+#    notice.""",
+    "Apache-2.0": """// Licensed under the Apache License, Version 2.0 (the "License");
+// you may not use this file except in compliance with the License.
+// You may obtain a copy of the License at
+//
+//     http://www.apache.org/licenses/LICENSE-2.0
+//
+// Unless required by applicable law or agreed to in writing, software
+// distributed under the License is distributed on an "AS IS" BASIS,
+// WITHOUT WARRANTIES OF ANY KIND.
+// See the License for the specific language governing permissions and
+// limitations under the License.""",
+    "GPL-3.0-or-later": """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY.
+
+    You should have received a copy of the GNU General Public License
+    along with this program.  If not, see <x>.""",
+    "GPL-2.0-or-later": """This program is free software; you can redistribute it and/or modify it
+under the terms of the GNU General Public License as published by the Free
+Software Foundation; either version 2 of the License, or (at your option)
+any later version.""",
+    "LGPL-2.1-or-later": """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.""",
+    "AGPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU Affero General Public License as published
+by the Free Software Foundation, either version 3 of the License, or
+any later version.""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.""",
+    "Zlib": """This software is provided 'as-is', without any express or implied
+warranty.  Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it.""",
+    "BSL-1.0": """Boost Software License - Version 1.0 - August 17th, 2003
+
+Permission is hereby granted, free of charge, to any person or organization
+obtaining a copy of the software and accompanying documentation covered by
+this license to use it.""",
+    "Unlicense": """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, for any purpose.""",
+    "EPL-2.0": """This program and the accompanying materials are made
+available under the terms of the Eclipse Public License v2.0
+which is available at https://x""",
+    "CC0-1.0": """To the extent possible under law, the author(s) have dedicated and
+waived all copyright and related or neighboring rights to this software
+worldwide.""",
+    "Public-Domain": "This file has been placed in\nthe public domain.",
+    "BSD": "Released under a BSD license.",
+    "MIT Apache-2.0": "# SPDX-License-Identifier: MIT OR Apache-2.0\n# Copyright 2020 Somebody\nimport x",
+    "GPL-3.0": "/* SPDX-License-Identifier: GPL-3.0-only */",
+    "LGPL-3.0-or-later": "SPDX-License-Identifier: LGPL-3.0-or-later",
+    "Artistic-2.0": "MIT\nLicensed under the Artistic License 2.0.\nMore",
+}
+
+
+def test_wrapped_licences(spark):
+    rows = [(name, text) for name, text in WRAPPED.items()] + [("crlf", WRAPPED["MIT"].replace("\n", "\r\n")), ("MIT ", "MIT License\nCopyright (c) 2020 Somebody")]
+    got = {r.doc_id: r.licenses for r in licenses.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {**{name: name for name in WRAPPED}, "crlf": "MIT", "MIT ": "MIT"}
+
+
+def test_licence_oracle_on_wrapped_texts(spark):
+    import duckdb
+    import pandas as pd
+
+    rows = list(enumerate([*WRAPPED.values(), None, "", "Prose.\n\nReleased under the Odd License.\nMore", "a line\nReleased under the MIT License\nanother line"]))
+    documents = pd.DataFrame(rows, columns=["doc_id", "text"])  # noqa: F841  read by DuckDB
+    want = duckdb.connect().execute(f"SELECT doc_id, sentence_ids, licenses, unknown_sentences FROM ({licenses.oracle()}) ORDER BY doc_id").fetchall()
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == want

@@ -154,17 +154,30 @@ def test_containment_messy(spark, messy, none, most):
 RULES = [urlfilter.Rule("block", "com", "/en/"), urlfilter.Rule("allow", "example.com", "/en/7"), urlfilter.Rule("allow", "net", "/de/"), urlfilter.Rule("block", "example.net", "/de/8")]
 
 
-def page_rank(seeds, edges, damping, rounds):
-    total, degree = sum(seeds.values()), Counter(a for a, _ in edges)
-    rank = {h: (1 - damping) * s / total for h, s in seeds.items()}
+def page_rank(seeds, edges, damping, rounds=1000):
+    """Settled ranks; ``edges`` are (src, dst): weight."""
+    total, out = sum(seeds.values()), Counter()
+    for (a, _), w in edges.items():
+        out[a] += w
+    rank = {}
     for _ in range(rounds):
         new = {h: (1 - damping) * s / total for h, s in seeds.items()}
-        for a, b in edges:
-            new[b] = new.get(b, 0) + damping * rank.get(a, 0) / degree[a]
+        for (a, b), w in edges.items():
+            new[b] = new.get(b, 0) + damping * rank.get(a, 0) * w / out[a]
         rank = new
     return rank
 
 
+def domain_edges(hosts, weight=0.25):
+    out = {}
+    for h in hosts:
+        while h.count(".") > 1:
+            up = h.split(".", 1)[1]
+            out[h, up] = out[up, h] = weight
+            h = up
+    return out
+
+
 def test_url_rules_and_propagation(spark):
     link = lambda *hosts: "".join(f'<a href="http://{h}/x">y</a> <a class=z href=//{h.upper()}?q>' for h in hosts)
     pages = [
@@ -178,12 +191,13 @@ def test_url_rules_and_propagation(spark):
         7: ("alone.org", "", None), 8: ("", "", None), 9: ("", "", None), 10: ("far.org", "/y", None), 11: ("xcom", "/en/1", None), 12: ("q.example.net", "/de/88", "example.net/de/8"), 13: ("h.com:80", "/en/", None),
     }
     assert [out[i].verdict for i in (1, 2, 4, 12)] == ["allow", "allow", "block", "block"]
-    edges = [("good.net", "friend.org"), ("good.net", "mid.org"), ("friend.org", "far.org"), ("friend.org", "good.net"), ("farm.org", "bad.com"), ("mid.org", "bad.com"), ("mid.org", "good.net")]
-    trust = page_rank({"a.example.com": 1, "good.net": 1}, edges, 0.85, 20)
-    distrust = page_rank({"bad.com": 2, "q.example.net": 1}, [(b, a) for a, b in edges], 0.85, 20)
+    linked = [("good.net", "friend.org"), ("good.net", "mid.org"), ("friend.org", "far.org"), ("friend.org", "good.net"), ("farm.org", "bad.com"), ("mid.org", "bad.com"), ("mid.org", "good.net")]
+    edges = domain_edges(["a.example.com", "q.example.net"]) | {(a, b): 1.0 for a, b in linked}
+    trust = page_rank({"a.example.com": 1, "good.net": 1}, edges, 0.85)
+    distrust = page_rank({"bad.com": 2, "q.example.net": 1}, {(b, a): w for (a, b), w in edges.items()}, 0.85)
     for r in out.values():
         good, bad = trust.get(r.host, 0), distrust.get(r.host, 0)
-        assert abs(r.trust - good) < 1e-4 and abs(r.distrust - bad) < 1e-4
+        assert abs(r.trust - good) < 1e-6 and abs(r.distrust - bad) < 1e-6
         if r.rule is None:
             assert r.verdict == ("block" if bad > good else "allow")
     assert [out[i].verdict for i in (5, 7, 10)] == ["block", "allow", "allow"]
@@ -228,3 +242,26 @@ def test_hosts_split_over_tasks_give_one_wrapper(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(8, F.col("page_id"))
     got = wrappers.infer(pages).collect()
     assert [(r.host, r.pages) for r in got] == [("a.org", 40)]
+
+
+def test_jaccard_with_all_shingles_counted_apart(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "HOT_SHARE", 1 << 40)
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(3000)}" for _ in range(80)]
+    rows = list(enumerate([" ".join(edited(rng, base, rng.choice([0, 0.01, 0.02]))) for _ in range(30)] + ["a b", "", "a B"]))
+    got = jaccard.classify(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, 4, 0.85)
+
+
+def test_large_groups_give_fewer_rows_than_they_hold(spark):
+    """Three thousand near copies, and three thousand long texts that share a passage: neither becomes pairs."""
+    rng = random.Random(10)
+    base, passage = [f"w{i}" for i in range(120)], [f"p{i}" for i in range(60)]
+    near = [" ".join(base[:i % 110] + [f"x{i}"] + base[i % 110 + 1 :]) for i in range(3_000)]
+    far = [" ".join(passage + [f"u{rng.randrange(10**7)}" for _ in range(240)]) for _ in range(3_000)]
+    docs = spark.createDataFrame(list(enumerate(near + far)), "doc_id long, text string").repartition(8)
+    profiles, links = jaccard.join(docs)
+    n = links.count()
+    assert 2_999 <= n < 10 * 3_000  # a forest for each of a few blocks; all pairs would be 4.5 million
+    out = {r.doc_id: r.component_id for r in jaccard.classify(docs).collect()}
+    assert all(out[i] == 0 for i in range(3_000)) and all(out[i] == i for i in range(3_000, 6_000))

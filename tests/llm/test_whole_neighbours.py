@@ -24,3 +24,29 @@ def test_recall_on_a_table_beyond_the_sample(spark):
     recall = np.mean([len(found[q] & set(np.argsort(-exact[q])[:20].tolist())) / 20 for q in range(0, 12_000, 100)])
     print("recall", recall)
     assert recall >= 0.9
+
+
+def test_two_levels_on_a_table_beyond_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "MOST_PARTS", 8)
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(60, 16))
+    x = (centres[np.arange(8_000) % 60] + 0.5 * rng.normal(size=(8_000, 16))).astype(np.float32)
+    usable = neighbours.usable(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>"))
+    levels = neighbours.fit(usable, 8_000, sample=1_000, rows_per_part=200)
+    assert len(levels.below) == 8 and sum(i.parts for i in levels.below.values()) > 30
+    visited = levels.routes(x[:200].astype(float), np.full(levels.numbers(), 100), 20)
+    assert np.mean([len(v) for v in visited]) < 0.7 * sum(i.parts for i in levels.below.values())
+    found = {}
+    for r in neighbours.search(usable, usable.filter(F.col("vec_id") % 40 == 0), index=levels).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    exact = x.astype(float) @ x.astype(float).T
+    np.fill_diagonal(exact, -np.inf)
+    recall = np.mean([len(found[q] & set(np.argsort(-exact[q])[:20].tolist())) / 20 for q in range(0, 8_000, 40)])
+    print("recall", recall)
+    assert recall >= 0.9
+
+
+def test_vectors_of_two_lengths(spark):
+    usable = neighbours.usable(spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<float>"))
+    out = neighbours.search(usable, usable.filter("vec_id = 0")).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in out] == [(1, 3.0), (2, 3.0)]

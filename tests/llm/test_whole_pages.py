@@ -1,3 +1,6 @@
+import random
+from html.parser import HTMLParser
+
 from shelfmark.llm import wrappers
 
 
@@ -30,3 +33,89 @@ def test_parts_of_label_words_are_no_reason_to_drop():
         assert not wrappers._is_away(label, False), label
     for label in ("div.sidebar", "div#site-footer", "div.cookie-notice", "ul.x.main-nav", "div.ad", "div.comment-list", "nav"):
         assert wrappers._is_away(label, False), label
+
+
+def test_deep_and_long_pages(spark):
+    rng = random.Random(2)
+    kinds = ["p", "h2", "pre", "blockquote"]
+    long = ["".join(f"<{k}>{i} {j}</{k}>" for j, k in enumerate(rng.choices(kinds, k=20_000))) for i in range(2)]
+    pages = [("http://deep.org/", "<div>" * 5000 + "at the bottom"), ("http://deep.org/2", "<font>" * 1200 + "unclosed"), *[("http://long.org/", f"<article>{x}</article>") for x in long]]
+    out = texts(spark, pages)
+    assert out[0] == "at the bottom" and out[1] == "unclosed"
+    assert [out[2 + i] for i in range(2)] == ["\n".join(f"{i} {j}" for j in range(20_000)) for i in range(2)]
+
+
+def test_words_of_layout_around_and_in_an_article(spark):
+    out = texts(spark, [
+        ("http://a.org/", "<div class='layout has-sidebar'><article><div class='article-header'><h1>Title</h1></div><p>Body</p></article><div class='sidebar'>Side</div></div>"),
+        ("http://b.org/", "<main><p>Only main.</p><ol class='comments'><li>Reader</ol></main>"),
+        ("http://c.org/", "<div>Notice</div><article>Short</article>"),
+    ])
+    assert out == {0: "Title\nBody", 1: "Only main.", 2: "Short"}
+
+
+def test_longest_common_subsequence_against_naive():
+    rng = random.Random(1)
+    for _ in range(300):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randrange(30))] for _ in range(2))
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a) - 1, -1, -1):
+            for j in range(len(b) - 1, -1, -1):
+                table[i][j] = table[i + 1][j + 1] + 1 if a[i] == b[j] else max(table[i + 1][j], table[i][j + 1])
+        for bits in (1, 40, 1 << 20):
+            got = wrappers.common(a, b, bits)
+            assert len(got) == table[0][0] and all(a[i] == b[j] for i, j in got)
+            assert all(p < r and q < s for (p, q), (r, s) in zip(got, got[1:], strict=False))
+
+
+class Naive(HTMLParser):
+    """Text below ``article`` or, without one, ``body``; what isn't the article goes by tag and by the class "ad"."""
+
+    def __init__(self, root):
+        super().__init__()
+        self.root, self.stack, self.blocks, self.now = root, [], [], []
+
+    def flush(self):
+        self.blocks.append(" ".join("".join(self.now).split()))
+        self.now = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "br":
+            self.now.append(" ")
+        elif tag not in ("b", "i", "a", "em", "span"):
+            self.flush()
+        if tag not in ("br", "meta", "link", "hr", "img", "p", "b"):
+            self.stack.append((tag, dict(attrs).get("class")))
+
+    def handle_endtag(self, tag):
+        if tag not in ("b", "i", "a", "em", "span"):
+            self.flush()
+        if tag in [t for t, _ in self.stack]:
+            while self.stack.pop()[0] != tag:
+                pass
+
+    def handle_data(self, data):
+        gone = ("head", "nav", "footer", "script", "style", "aside", "form", "title")
+        if any(t == self.root for t, _ in self.stack) and not any(t in gone or c in ("ad", "comments") for t, c in self.stack):
+            self.now.append(data)
+
+
+def naive(page):
+    for root in ("article", "body"):
+        parser = Naive(root)
+        parser.feed(page)
+        parser.close()
+        parser.flush()
+        if text := "\n".join(b for b in parser.blocks if b):
+            return text
+    return ""
+
+
+def test_query_against_a_naive_extractor(spark):
+    from shelfmark.llm import queries
+
+    pages = {r.page_id: r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()}
+    out = queries.queries()["op9_page_wrappers"](spark, "/root/testdata/sf0.01").collect()
+    assert len(out) == len(pages)
+    wrong = [r.page_id for r in out if r.text != naive(pages[r.page_id]) or r.n_chars != len(r.text)]
+    assert not wrong, (wrong[:5], naive(pages[wrong[0]])[:300], next(r.text for r in out if r.page_id == wrong[0])[:300])
