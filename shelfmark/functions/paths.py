@@ -32,8 +32,8 @@ def extension(name: Column) -> Column:
 
 
 def parent(path: Column) -> Column:
-    """Path up to the last separator."""
-    return F.regexp_replace(path, r"/[^/]*$", "")
+    """Path up to the last separator of either kind."""
+    return F.regexp_replace(path, r"[/\\][^/\\]*$", "")
 
 
 def base_name(path: Column) -> Column:
@@ -42,19 +42,39 @@ def base_name(path: Column) -> Column:
 
 
 def depth(path: Column) -> Column:
-    """Path components, a root separator being one."""
-    parts = F.size(F.filter(F.split(path, "/"), lambda s: s != ""))
-    return parts + F.when(path.startswith("/"), 1).otherwise(0)
+    """Path components, a root separator being one, after a drive too."""
+    parts = F.size(F.filter(F.split(path, r"[/\\]"), lambda s: s != ""))
+    return parts + F.when(path.rlike(r"^([A-Za-z]:)?[/\\]"), 1).otherwise(0)
 
 
 def ancestors(path: Column) -> Column:
-    """The path and each of its ancestors, longest first, without the root (U4)."""
-    parts = F.split(F.ltrim(path, F.lit("/")), "/")
-    lead = F.when(path.startswith("/"), F.lit("/")).otherwise(F.lit(""))
-    return F.when(
-        F.length(F.ltrim(path, F.lit("/"))) > 0,
-        F.transform(F.sequence(F.size(parts), F.lit(1)), lambda n: F.concat(lead, F.array_join(F.slice(parts, 1, n), "/"))),
-    ).otherwise(F.array().cast("array<string>"))
+    """The path and each of its ancestors by either separator, longest first, up to an empty prefix (U4)."""
+    parts = F.split(path, r"[/\\]")
+    lengths = F.transform(parts, F.length)
+    cut = lambda n: F.substring(path, F.lit(1), F.aggregate(F.slice(lengths, 1, n), F.lit(0), lambda a, x: a + x) + n - 1)
+    return F.filter(F.transform(F.sequence(F.size(parts), F.lit(1)), cut), lambda p: p != "")
+
+
+def above(path: Column) -> Column:
+    """The ancestors of a path without itself, longest first."""
+    return F.filter(ancestors(path), lambda p: p != path)
+
+
+def normal(path: Column) -> Column:
+    """Path with forward separators and none at its end."""
+    return F.rtrim(F.replace(path, F.lit("\\"), F.lit("/")), F.lit("/"))
+
+
+def folder_of(path: Column) -> Column:
+    """Path up to the last forward separator; Root without one."""
+    up = F.regexp_extract(path, r"^(.+)/[^/]*$", 1)
+    return F.when(up != "", up).otherwise(F.lit("Root"))
+
+
+def shown_extension(name: Column) -> Column:
+    """Lower-cased text after the last dot, (none) without one."""
+    last = F.lower(F.element_at(F.split(name, r"\."), -1))
+    return F.when((last != "") & (last != F.lower(name)), last).otherwise(F.lit("(none)"))
 
 
 def media_kind(ext: Column) -> Column:
@@ -96,8 +116,8 @@ def stem(name: Column) -> Column:
 
 
 def backup_stem(name: Column) -> Column:
-    """Stem without one backup or copy suffix (H5)."""
-    return F.regexp_replace(stem(name), r"[ _-](backup|copy)$", "")
+    """Stem without one backup or copy suffix, trimmed again (H5)."""
+    return F.trim(F.regexp_replace(stem(name), r"[ _-](backup|copy)$", ""))
 
 
 def f32(value: Column) -> Column:
@@ -114,6 +134,29 @@ def format_bytes(size: Column) -> Column:
     return F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B"))).otherwise(out)
 
 
+def format_count(value: Column) -> Column:
+    """Whole number with commas between thousands."""
+    return F.format_number(value, 0)
+
+
+def format_age(days: Column) -> Column:
+    """Age in days: today, days under a year, else years and days."""
+    years, rest = F.floor(days / 365), days % 365
+    long = F.concat(years.cast("string"), F.lit("y"), F.when(rest > 0, F.concat(F.lit(" "), rest.cast("string"), F.lit("d"))).otherwise(F.lit("")), F.lit(" ago"))
+    return F.when(days <= 0, F.lit("today")).when(days < 365, F.concat(format_count(days), F.lit("d ago"))).otherwise(long)
+
+
+def age_label(seconds: Column) -> Column:
+    """Age in years with one decimal, or in months."""
+    days = seconds / DAY
+    return F.when(days >= 365, F.concat(F.format_string("%.1f", days / 365), F.lit(" yr"))).otherwise(F.concat(F.floor(days / 30 + 0.5).cast("string"), F.lit(" mo")))
+
+
+def number_text(value: Column) -> Column:
+    """A double as it stands in a JSON payload: shortest digits, a point always."""
+    return F.regexp_extract(F.to_json(F.struct(value.cast("double").alias("v"))), r":([^}]*)", 1)
+
+
 def hamming(a: Column, b: Column) -> Column:
     """Differing bits of two longs (U8)."""
     return F.bit_count(a.bitwiseXOR(b))

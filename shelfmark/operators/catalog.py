@@ -7,8 +7,7 @@ DataFrames to a DataFrame and leaves joins and pushdown to the planner.
 
 from __future__ import annotations
 
-import re
-
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,17 +24,26 @@ def live(files: DataFrame) -> DataFrame:
 # Snapshots -----------------------------------------------------------------
 
 
-def upsert(old: DataFrame, new: DataFrame, hashes: tuple[str, ...] = ("content_hash",)) -> DataFrame:
+#: What a hash depends on, and the hashes of a file with their algorithm.
+WATCHED = ("size", "modified_at", "created_at")
+HASHES = ("partial_hash", "sample_hash", "full_hash", "hash_algorithm")
+
+
+def upsert(old: DataFrame, new: DataFrame, hashes: tuple[str, ...] = HASHES, watched: tuple[str, ...] = WATCHED) -> DataFrame:
     """New snapshot of files by path: kept, changed, revived and added rows.
 
-    A file whose size or time differs loses its hashes; files that the new scan
-    doesn't hold stay as they are.
+    Every column of the new scan (name, folder, extension, kind, times) replaces
+    the old one. A file of which one of ``watched`` differs loses its hashes; files
+    that the new scan doesn't hold stay as they are.
     """
     o, n = old.alias("o"), new.alias("n")
-    same = F.col("o.size").eqNullSafe(F.col("n.size")) & F.col("o.modified_at").eqNullSafe(F.col("n.modified_at"))
+    same = F.lit(True)
+    for c in watched:
+        same = same & F.col(f"o.{c}").eqNullSafe(F.col(f"n.{c}"))
     seen = F.col("n.path").isNotNull()
     kept = F.col("o.path").isNotNull() & ~(seen & ~same)
-    columns = [F.coalesce("n.path", "o.path").alias("path"), *[F.when(seen, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in ("size", "modified_at")]]
+    scanned = [c for c in new.columns if c not in ("path", "deleted_at", "hash_state", *hashes)]
+    columns = [F.coalesce("n.path", "o.path").alias("path"), *[(F.when(seen, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")) if c in old.columns else F.col(f"n.{c}")).alias(c) for c in scanned]]
     columns += [F.when(kept, F.col(f"o.{h}")).alias(h) for h in hashes]
     columns += [F.when(~seen, F.col("o.deleted_at")).alias("deleted_at"), F.when(kept, F.coalesce("o.hash_state", F.lit(0))).otherwise(0).alias("hash_state")]
     return o.join(n, F.col("o.path") == F.col("n.path"), "full").select(*columns)
@@ -51,6 +59,16 @@ def mark_deleted(files: DataFrame, gone: list[str], at: int) -> DataFrame:
     return files.withColumn("deleted_at", F.when(F.col("path").isin(gone), F.lit(at)).otherwise(F.col("deleted_at")))
 
 
+def placeholder_totals(stored: DataFrame, direct: DataFrame) -> DataFrame:
+    """Totals of folders until the next rollup: the larger of what is stored and what lies directly in them.
+
+    ``stored`` has path, total_files and total_bytes; ``direct`` is of :func:`folder_records`.
+    """
+    d = direct.select(F.col("folder_path").alias("path"), "direct_files", "direct_bytes")
+    larger = lambda a, b: F.greatest(F.coalesce(a, F.lit(0)), F.coalesce(b, F.lit(0)))
+    return stored.join(d, "path", "full").select("path", larger("total_files", "direct_files").alias("total_files"), larger("total_bytes", "direct_bytes").alias("total_bytes"))
+
+
 def folder_records(files: DataFrame) -> DataFrame:
     """Direct files and bytes of each folder."""
     return files.groupBy("folder_path").agg(F.count(F.lit(1)).alias("direct_files"), F.sum("size").alias("direct_bytes"))
@@ -69,6 +87,27 @@ def issue_sink(issues: DataFrame, cap: int = ISSUE_CAP) -> DataFrame:
     return issues.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= cap).drop("r")
 
 
+def issue_list(issues: DataFrame, sessions: DataFrame, limit: int = 100) -> DataFrame:
+    """Issues of the session that started last, by phase and path."""
+    latest = latest_session(sessions).select(F.col("id").alias("scan_id"))
+    return issues.join(F.broadcast(latest), "scan_id", "left_semi").orderBy("phase", "path", "id").limit(limit)  # one row
+
+
+def issue_counts(issues: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Issues of the session that started last (S14): its own tally of the walk, the kept rows of the hash phase.
+
+    Sessions have inaccessible_entries, which no cap touches. No session gives zeros.
+    """
+    latest = latest_session(sessions).filter("id IS NOT NULL").select(F.col("id").alias("scan_id"), F.col("inaccessible_entries").alias("walk"))
+    hashed = issues.filter("phase = 'hash'").join(F.broadcast(latest), "scan_id", "left_semi").agg(F.count(F.lit(1)).alias("hash_issues"))
+    return hashed.join(latest, F.lit(True), "left").select(F.coalesce("walk", F.lit(0)).cast("long").alias("walk_issues"), "hash_issues")
+
+
+def index_catalog(sessions: DataFrame, index: str = "index_path") -> DataFrame:
+    """The latest session of each index, newest first."""
+    return sessions.groupBy(index).agg(F.max_by(F.struct(*[c for c in sessions.columns if c != index]), F.struct("started_at", "id")).alias("s")).select(index, "s.*").orderBy(F.desc("started_at"), index)
+
+
 def latest_session(sessions: DataFrame) -> DataFrame:
     """The session that started last."""
     return sessions.agg(F.max_by(F.struct(*sessions.columns), F.struct("started_at", "id")).alias("s")).select("s.*")
@@ -102,15 +141,14 @@ def search(
     """Live files by any of: text, regular expression, extension, kind, size.
 
     No text means no condition on it. A broken expression gives nothing; the
-    limit holds after the expression.
+    limit holds after the expression. ``(?P<name>`` may name a group.
     """
     out = live(files)
     if regex is not None:
-        try:
-            re.compile(regex)
-        except re.error:
+        pattern = jvm_pattern(files, regex)
+        if pattern is None:
             return out.limit(0)
-        out = out.filter(F.col("name").rlike(regex) | F.col("path").rlike(regex))
+        out = out.filter(F.col("name").rlike(pattern) | F.col("path").rlike(pattern))
     elif text.strip():
         out = out.filter(_contains(text.strip()))
     if extensions:
@@ -124,6 +162,16 @@ def search(
     return _ranked(out, limit)
 
 
+def jvm_pattern(files: DataFrame, regex: str) -> str | None:
+    """The expression as the JVM that runs it takes it; None if that finds it broken."""
+    pattern = regex.replace("(?P<", "(?<")
+    try:
+        files.sparkSession._jvm.java.util.regex.Pattern.compile(pattern)
+    except (PySparkException, Exception):  # noqa: BLE001  the gateway wraps the JVM's error
+        return None
+    return pattern
+
+
 def stale_files(files: DataFrame, as_of: int, days: int = 365, limit: int = 8) -> DataFrame:
     """Largest live files not modified for some days."""
     return live(files).filter(F.col("modified_at") < as_of - days * paths.DAY).orderBy(F.desc("size"), "file_id").limit(limit)
@@ -131,8 +179,9 @@ def stale_files(files: DataFrame, as_of: int, days: int = 365, limit: int = 8) -
 
 def outermost(candidates: DataFrame) -> DataFrame:
     """Paths that lie under no other path of the set (F16): each is looked up among the others' ancestors."""
-    inner = candidates.select("path", F.explode(F.slice(paths.ancestors(F.col("path")), 2, 1000)).alias("above"))
-    covered = inner.join(candidates.select(F.col("path").alias("above")).distinct(), "above", "left_semi").select("path").distinct()
+    named = candidates.select("path", paths.normal(F.col("path")).alias("plain")).distinct()
+    inner = named.select("path", F.explode(paths.above(F.col("plain"))).alias("above"))
+    covered = inner.join(named.select(F.col("plain").alias("above")).distinct(), "above", "left_semi").select("path").distinct()
     return candidates.join(covered, "path", "left_anti")
 
 
@@ -213,7 +262,7 @@ def ancestor_files(files: DataFrame, known: DataFrame) -> DataFrame:
 
 def nearest_ancestor(some: DataFrame) -> DataFrame:
     """For each of some folders the nearest other one above it, if any."""
-    up = some.select("path", F.explode(F.slice(paths.ancestors(F.col("path")), 2, 1000)).alias("above"))
+    up = some.select("path", F.explode(paths.above(F.col("path"))).alias("above"))
     met = up.join(some.select(F.col("path").alias("above")), "above").groupBy("path").agg(F.max_by("above", F.length("above")).alias("parent_path"))
     return some.select("path").join(met, "path", "left")
 
@@ -228,6 +277,42 @@ def timeline_insights(months: DataFrame) -> DataFrame:
     )
 
 
+def age_shares(bands: DataFrame) -> DataFrame:
+    """Share of files of half a year and more, and of bytes of a year and more, in percent."""
+    part = lambda some, measure: F.coalesce(F.sum(F.when(F.col("band").isin(*some), F.col(measure))), F.lit(0))
+    share = lambda some, measure: F.when(F.sum(measure) > 0, 100.0 * part(some, measure) / F.sum(measure)).otherwise(F.lit(0.0))
+    return bands.agg(share(("6to12mo", "1to2yr", "gt2yr"), "file_count").alias("old_files"), share(("1to2yr", "gt2yr"), "total_bytes").alias("old_bytes"))
+
+
+def sorted_files(files: DataFrame, by: str = "size", limit: int = 200) -> DataFrame:
+    """Live files by ``size``, ``newest`` or ``oldest``; missing times last, those by size (T-10)."""
+    order = {"size": [], "newest": [F.desc_nulls_last("modified_at")], "oldest": [F.asc_nulls_last("modified_at")]}[by]
+    return live(files).orderBy(*order, F.desc("size"), "file_id").limit(limit)
+
+
+def prefix_tree(rows: DataFrame) -> DataFrame:
+    """Rows (path, size) as a tree of path segments, their common beginning folded into the root.
+
+    Gives path, parent_path, name, depth (the root's is 0) and bytes; a negative size
+    counts as 0. The common beginning never takes a row's last segment.
+    """
+    segments = F.filter(F.split("path", r"[/\\]"), lambda s: s != "")
+    split = rows.select(segments.alias("s"), F.greatest(F.lit(0), "size").alias("bytes"), F.contains("path", F.lit("\\")).alias("back")).filter(F.size("s") > 0)
+    # Arrays compare segment by segment: what the least and the largest share, all share.
+    ends = split.agg(F.min("s").alias("lo"), F.max("s").alias("hi"), F.min(F.size("s")).alias("least"), F.max("back").alias("back"))
+    differ = F.filter(F.sequence(F.lit(1), "least"), lambda i: (i == F.col("least")) | (F.get("lo", i - 1) != F.get("hi", i - 1)))
+    ends = ends.select((F.element_at(differ, 1) - 1).alias("common"), F.when(F.col("back"), "\\").otherwise("/").alias("sep"))
+    joined = lambda parts: F.replace(F.array_join(parts, "/"), F.lit("/"), F.col("sep"))
+    each = split.crossJoin(F.broadcast(ends)).select(  # one row
+        F.explode(F.transform(F.sequence("common", F.size("s")), lambda n: F.struct(
+            joined(F.slice("s", 1, n)).alias("path"), F.when(n > 0, joined(F.slice("s", 1, n - 1))).alias("parent_path"),
+            F.when(n > 0, F.get("s", n - 1)).otherwise(F.lit("results")).alias("name"), (n - F.col("common")).alias("depth"),
+        ))).alias("n"), "bytes",
+    )
+    tree = each.groupBy("n.path", "n.parent_path", "n.name", "n.depth").agg(F.sum("bytes").alias("bytes"))
+    return tree.withColumn("parent_path", F.when(F.col("depth") > 0, F.col("parent_path")))
+
+
 def stale_bytes(bands: DataFrame) -> DataFrame:
     """Bytes of files of a year and more."""
     return bands.agg(F.coalesce(F.sum(F.when(F.col("band").isin("1to2yr", "gt2yr"), F.col("total_bytes"))), F.lit(0)).alias("stale_bytes"))
@@ -244,21 +329,41 @@ def tail_aggregate(rows: DataFrame, keep: int = 24) -> DataFrame:
     )
 
 
-def icicle(totals: DataFrame, most_depth: int = 6) -> DataFrame:
-    """Each folder's span of its parent's width by bytes, largest first (L6); spans are of the parent."""
-    rows = totals.filter((F.col("depth") <= most_depth + 1) & (F.col("total_bytes") > 0)).withColumn("parent_path", paths.parent(F.col("path")))
-    order = Window.partitionBy("parent_path").orderBy(F.desc("total_bytes"), "path")
-    before = F.coalesce(F.sum("total_bytes").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.select("path", "parent_path", "depth", "total_bytes", before.alias("offset"), F.sum("total_bytes").over(Window.partitionBy("parent_path")).alias("of"))
+def icicle(tree: DataFrame, width: float = 1.0, most_depth: int = 6) -> DataFrame:
+    """Each node's place (x, w) in its level: children part their parent's width by bytes, largest first.
 
-
-def squarify(rows: DataFrame, width: float = 100.0, height: float = 100.0) -> DataFrame:
+    ``tree`` is of :func:`prefix_tree`. A node's own start is what its larger
+    siblings take; its place is the sum of starts up its ancestors.
+    """
+    rows = tree.filter((F.col("depth") <= most_depth) & (F.col("bytes") > 0))
+    order = Window.partitionBy("parent_path").orderBy(F.desc("bytes"), "path").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("start", F.coalesce(F.sum("bytes").over(order), F.lit(0)))
+    root = F.broadcast(tree.filter("depth = 0").select(F.col("bytes").alias("all")))  # one row
+    up = rows.select("path", F.explode(paths.ancestors(F.col("path"))).alias("on"))
+    starts = up.join(rows.filter("depth > 0").select(F.col("path").alias("on"), "start"), "on").groupBy("path").agg(F.sum("start").alias("at"))
+    share = lambda c: width * c / F.col("all")
+    return rows.join(starts, "path", "left").crossJoin(root).select("path", "depth", "bytes", share(F.coalesce("at", F.lit(0))).alias("x"), share(F.col("bytes")).alias("w"))
+
+
+def largest_children(rows: DataFrame, keep: int) -> DataFrame:
+    """Each parent's largest children (parent_path, name, value), the rest of them as one named (others)."""
+    order = Window.partitionBy("parent_path").orderBy(F.desc("value"), "name")
+    top = rows.filter("value > 0").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= keep).drop("r")
+    sums = lambda df, name: df.groupBy("parent_path").agg(F.sum("value").alias(name))
+    rest = sums(rows.filter("value > 0"), "all").join(sums(top, "some"), "parent_path").select("parent_path", F.lit("(others)").alias("name"), (F.col("all") - F.col("some")).alias("value"))
+    return top.select("parent_path", "name", "value").unionByName(rest.filter("value > 0"))
+
+
+def squarify(rows: DataFrame, width: float = 100.0, height: float = 100.0, keep: int = 200) -> DataFrame:
     """Squarified treemap tiles (x, y, w, h) of each parent's children.
 
-    Greedy and sequential by nature: one group is one parent's children.
+    The layout is greedy and sequential, so a group is bounded first: the ``keep``
+    largest children, and the others as one tile.
     """
     import pandas as pd
 
+    rows = largest_children(rows, keep)
+
     def layout(group: pd.DataFrame) -> pd.DataFrame:
         group = group[group["value"] > 0].sort_values(["value", "name"], ascending=[False, True])
         total, out = float(group["value"].sum()), []
@@ -268,8 +373,8 @@ def squarify(rows: DataFrame, width: float = 100.0, height: float = 100.0) -> Da
             side, row, area, worst = min(w, h), [], 0.0, float("inf")
             for name, a in todo:
                 grown = area + a
-                sizes = [*(s for _, s in row), a]
-                ratio = max(max(side * side * s / grown**2, grown**2 / (side * side * s)) for s in (min(sizes), max(sizes)))
+                sizes = (row[0][1] if row else a, a)  # tiles come largest first
+                ratio = max(max(side * side * s / grown**2, grown**2 / (side * side * s)) for s in sizes)
                 if row and ratio > worst:
                     break
                 row.append((name, a))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +14,7 @@ from shelfmark.functions import paths
 #: Sampled block and the size limits of the chunk plans.
 BLOCK, SMALL, MEDIUM, LARGE = 65_536, 262_144, 1_048_576, 536_870_912
 EAGER_FULL = 67_108_864
+#: Fixed value: words of places that hold copies.
 SUSPECT = r"(?i)\b(backup|old|archive|copy|temp|202\d)\b"
 
 
@@ -38,7 +39,7 @@ def chunk_plan(size: Column) -> Column:
     """Offsets and lengths that are sampled of a file of this size (D3)."""
     last = lambda n: F.greatest(F.lit(0), size - n)
     chunk = lambda at: F.struct(at.cast("long").alias("offset"), F.least(F.lit(BLOCK).cast("long"), size - at).cast("long").alias("len"))
-    at = lambda part: F.floor(size * part[0] / part[1]) - BLOCK // 2
+    at = lambda part: F.floor((size - BLOCK) * part[0] / part[1])
     zero = F.lit(0).cast("long")
     return (
         F.when(size <= SMALL, F.array(F.struct(zero.alias("offset"), size.cast("long").alias("len"))))
@@ -72,9 +73,9 @@ def sample_paths(found: DataFrame, keep: int = 8) -> DataFrame:
 
 
 def keep_newest(found: DataFrame) -> DataFrame:
-    """Members with the one to keep marked: the newest, the first path on ties."""
-    order = Window.partitionBy("hash").orderBy(F.desc(F.coalesce("modified_at", F.lit(-1))), "path")
-    return found.withColumn("keep", F.row_number().over(order) == 1)
+    """Members with the one to keep marked: the newest, the first path on ties (D13). Found by partial minima, not a window."""
+    best = found.groupBy("hash").agg(F.min(F.struct(-F.coalesce("modified_at", F.lit(-1)), "path", "file_id")).alias("b")).select("hash", F.col("b.file_id").alias("best"))
+    return found.join(best, "hash").withColumn("keep", F.col("file_id") == F.col("best")).drop("best")
 
 
 def suggest_keep(found: DataFrame) -> DataFrame:
@@ -98,45 +99,118 @@ def label(confidence: Column) -> Column:
     return F.when(confidence >= 0.99, "VERIFIED").when(confidence >= 0.8, "SAMPLED").otherwise("SIZE MATCH")
 
 
-def _sampled(path: str, size: int) -> tuple[str, str, str | None, int, str]:
-    import xxhash
+def chunk_offsets(size: int) -> list[int]:
+    """Offsets of :func:`chunk_plan` for a size over SMALL."""
+    ends, inner = [0, size - BLOCK], size - BLOCK
+    if size <= MEDIUM:
+        return ends
+    return [0, *(inner * i // 4 for i in ((2,) if size <= LARGE else (1, 2, 3))), size - BLOCK]
 
-    with open(path, "rb") as f:
-        if size <= SMALL:
-            h = xxhash.xxh3_128(f.read()).hexdigest()
-            return h, h, h, 4, "xxh3-full-v1"
 
-        def digest(offsets: list[int]) -> str:
-            x = xxhash.xxh3_128(size.to_bytes(8, "little"))
-            for at in offsets:
-                f.seek(at)
-                data = f.read(BLOCK)
-                x.update(at.to_bytes(8, "little") + len(data).to_bytes(8, "little") + data)
-            return x.hexdigest()
+def _chunk_hash(read, size: int, offsets: list[int]) -> str:
+    x = xxhash.xxh3_128(size.to_bytes(8, "little"))
+    for at in offsets:
+        if at < size:
+            data = read(at, min(BLOCK, size - at))
+            x.update(at.to_bytes(8, "little") + len(data).to_bytes(8, "little") + data)
+    return f"{x.intdigest():032x}"
 
-        ends = [0, max(0, size - BLOCK)]
-        middle = [size * i // n - BLOCK // 2 for i, n in (((1, 2),) if size <= LARGE else ((1, 4), (1, 2), (3, 4)))]
-        points = ends if size <= MEDIUM else [0, *middle, size - BLOCK]
-        return digest(ends), digest(points), None, 2, "xxh3-sample-v1"
 
+def partial_hash(read, size: int) -> str:
+    """Hash of a file's head and tail (D5); an empty file is an error."""
+    if not size:
+        raise ValueError("empty file")
+    return _chunk_hash(read, size, [0, max(0, size - BLOCK)])
 
-def sample_hashes(files: DataFrame) -> DataFrame:
-    """Partial, sample and, of small files, full hashes of files on a shared file system (D4-D7); failures as text."""
+
+def whole_hash(read, size: int) -> str:
+    """Hash of all bytes, block by block."""
+    x = xxhash.xxh3_128()
+    for at in range(0, size, 2 * BLOCK):
+        x.update(read(at, min(2 * BLOCK, size - at)))
+    return f"{x.intdigest():032x}"
+
+
+def staged(read, size: int) -> tuple[str, str, str | None, int, str]:
+    """Partial, sample and full hash, state and algorithm of a file (D7): small files are hashed whole."""
+    if size <= SMALL:
+        h = whole_hash(read, size)
+        return h, h, h, 4, "xxh3-full-v1"
+    return partial_hash(read, size), _chunk_hash(read, size, chunk_offsets(size)), None, 2, "xxh3-sample-v1"
+
+
+STAGED = "file_id long, partial_hash string, sample_hash string, full_hash string, hash_state int, hash_algorithm string, error string"
+
+
+def _reader(uri: str):
+    """(read, size) of a file that every executor can reach: file, hdfs, s3 or gs."""
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri.removeprefix("file:"))
+    handle = system.open_input_file(path)
+    return (lambda at, n: handle.read_at(n, at)), handle.size()
+
+
+def _hashed(rows: pd.DataFrame, source: str, work) -> list[tuple]:
+    out = []
+    for file_id, value in zip(rows["file_id"], rows[source], strict=True):
+        try:
+            if value is None:
+                raise OSError("no content")
+            read, size = ((lambda at, n, v=value: v[at : at + n]), len(value)) if source == "content" else _reader(value)
+            out.append((file_id, work(read, size), None))
+        except (OSError, ValueError) as e:
+            out.append((file_id, None, str(e)))
+    return out
+
+
+def staged_hashes(files: DataFrame, source: str = "path") -> DataFrame:
+    """Sampling stage of files (D4, D5, D7): hashes, state and algorithm, or the error (an issue of the hash phase).
+
+    ``source`` is ``path``, the uri of a file on a shared file system, of which only
+    the planned chunks are read, or ``content``, its bytes.
+    """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            out = []
-            for file_id, path in zip(part["file_id"], part["path"], strict=True):
-                try:
-                    size = os.stat(path).st_size
-                    if not size:
-                        raise ValueError("empty file")
-                    out.append((file_id, *_sampled(path, size), None))
-                except (OSError, ValueError) as e:
-                    out.append((file_id, None, None, None, 0, None, str(e)))
-            yield pd.DataFrame(out, columns=["file_id", "partial_hash", "sample_hash", "full_hash", "hash_state", "hash_algorithm", "error"])
+            rows = [(i, *(h or (None, None, None, 0, None)), e) for i, h, e in _hashed(part, source, staged)]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in STAGED.split(", ")])
 
-    return files.select("file_id", "path").mapInPandas(run, "file_id long, partial_hash string, sample_hash string, full_hash string, hash_state int, hash_algorithm string, error string")
+    return files.select("file_id", source).mapInPandas(run, STAGED)
+
+
+def full_hashes(files: DataFrame, source: str = "path") -> DataFrame:
+    """XXH3-128 of whole files (D6), or the error."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            yield pd.DataFrame(_hashed(part, source, whole_hash), columns=["file_id", "full_hash", "error"])
+
+    return files.select("file_id", source).mapInPandas(run, "file_id long, full_hash string, error string")
+
+
+def refine(files: DataFrame, mode: str = "smart", source: str = "path") -> tuple[DataFrame, DataFrame]:
+    """Files with the hashes of both stages, and the issues of the hash phase.
+
+    Mode ``metadata`` leaves the files as they are. Else files of a shared size
+    without valid hashes are sampled, and those that share size and sample are
+    hashed in full up to EAGER_FULL bytes.
+    """
+    none = files.select("file_id", "path", F.lit(None).cast("string").alias("message")).limit(0)
+    if mode == "metadata":
+        return files, none
+    own = ["partial_hash", "sample_hash", "full_hash", "hash_state", "hash_algorithm"]
+    first = staged_hashes(needs_hash(files), source)
+    good = first.filter("error IS NULL").select("file_id", F.struct(*own).alias("new"))
+    sampled = files.join(good, "file_id", "left").select(*[c for c in files.columns if c not in own], *[F.when(F.col("new").isNotNull(), F.col(f"new.{c}")).otherwise(F.col(c)).alias(c) for c in own])
+    second = full_hashes(escalation(sampled), source)
+    full = second.filter("error IS NULL").select("file_id", F.col("full_hash").alias("whole"))
+    done = sampled.join(full, "file_id", "left").select(
+        *[c for c in sampled.columns if c not in own], "partial_hash", "sample_hash", F.coalesce("whole", "full_hash").alias("full_hash"),
+        F.when(F.col("whole").isNotNull(), 4).otherwise(F.col("hash_state")).alias("hash_state"), F.when(F.col("whole").isNotNull(), "xxh3-full-v1").otherwise(F.col("hash_algorithm")).alias("hash_algorithm"),
+    )
+    failed = first.select("file_id", "error").union(second.select("file_id", "error")).filter("error IS NOT NULL")
+    return done, failed.join(files.select("file_id", "path"), "file_id").select("file_id", "path", F.col("error").alias("message"))
 
 
 def escalation(files: DataFrame, most: int = EAGER_FULL) -> DataFrame:
@@ -144,25 +218,3 @@ def escalation(files: DataFrame, most: int = EAGER_FULL) -> DataFrame:
     rows = files.filter(f"deleted_at IS NULL AND sample_hash IS NOT NULL AND full_hash IS NULL AND size <= {most}")
     shared = files.filter("deleted_at IS NULL AND sample_hash IS NOT NULL").groupBy("size", "sample_hash").count().filter("count > 1")
     return rows.join(shared, ["size", "sample_hash"], "left_semi")
-
-
-def full_hashes(files: DataFrame) -> DataFrame:
-    """XXH3-128 of whole files, read in blocks (D6); null where a file can't be read."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import xxhash
-
-        for part in parts:
-            out = []
-            for path in part["path"]:
-                h = xxhash.xxh3_128()
-                try:
-                    with open(path, "rb") as f:
-                        while block := f.read(2 * BLOCK):
-                            h.update(block)
-                    out.append(h.hexdigest())
-                except OSError:
-                    out.append(None)
-            yield pd.DataFrame({"file_id": part["file_id"], "full_hash": out})
-
-    return files.select("file_id", "path").mapInPandas(run, "file_id long, full_hash string")

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions import paths
@@ -103,17 +103,53 @@ def emit_relations(new: DataFrame, relations: DataFrame, rejected: DataFrame) ->
     return left.join(relations.select("subject_id", "predicate", "object_id", "source"), ["subject_id", "predicate", "object_id", "source"], "left_anti")
 
 
-def upsert_entities(known: DataFrame, new: DataFrame) -> DataFrame:
-    """Known entities (kind, canonical_id, id) and the new ones with ids after the largest (K1)."""
-    from pyspark.sql import Window
+def upsert_entities(known: DataFrame, new: DataFrame, digits: int = 4) -> DataFrame:
+    """Known entities (kind, canonical_id, id) and the new ones with ids after the largest (K1).
 
+    New ones are numbered inside buckets of a hash, of which only the sizes are
+    summed up, so one kind that holds all entities is many tasks. The order is
+    bucket, kind, canonical_id.
+    """
     fresh = new.select("kind", "canonical_id").distinct().join(known, ["kind", "canonical_id"], "left_anti")
-    # New ids by kind: ranks within a kind are shifted by the kinds before it, a row per kind.
-    sizes = fresh.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    fresh = fresh.withColumn("bucket", F.substring(F.md5(F.concat_ws("|", "kind", "canonical_id").cast("binary")), 1, digits))
+    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # 16 ** digits rows at most
     top = known.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    starts = sizes.crossJoin(F.broadcast(top)).select("kind", (F.col("top") + F.coalesce(F.sum("n").over(Window.orderBy("kind").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("start"))
-    ranked = fresh.withColumn("r", F.row_number().over(Window.partitionBy("kind").orderBy("canonical_id")))
-    return known.select("kind", "canonical_id", "id").union(ranked.join(starts, "kind").select("kind", "canonical_id", F.col("start") + F.col("r")))
+    starts = fresh.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    ranked = fresh.withColumn("r", F.row_number().over(Window.partitionBy("bucket").orderBy("kind", "canonical_id")))
+    numbered = ranked.join(starts, "bucket").crossJoin(F.broadcast(top)).select("kind", "canonical_id", F.col("top") + F.col("start") + F.col("r"))  # one row
+    return known.select("kind", "canonical_id", "id").union(numbered)
+
+
+def ensure_file_entities(known: DataFrame, files: DataFrame) -> DataFrame:
+    """Entities with one for every live file."""
+    return upsert_entities(known, files.filter("deleted_at IS NULL").select(F.lit("File").alias("kind"), F.col("path").alias("canonical_id")))
+
+
+def entity_of(entities: DataFrame, kind: str | None = None, canonical_id: str | None = None, id: int | None = None) -> DataFrame:  # noqa: A002
+    """Entities by id, or by kind and canonical id (K2)."""
+    for column, value in (("kind", kind), ("canonical_id", canonical_id), ("id", id)):
+        entities = entities if value is None else entities.filter(F.col(column) == value)
+    return entities
+
+
+def assert_facts(facts: DataFrame, new: DataFrame) -> DataFrame:
+    """Facts with new ones appended; a key may hold many values (K3)."""
+    return facts.unionByName(new, allowMissingColumns=True)
+
+
+def facts_of(facts: DataFrame, entity_id: int, key: str) -> DataFrame:
+    """All values of one entity and key (K3)."""
+    return facts.filter((F.col("entity_id") == entity_id) & (F.col("key") == key))
+
+
+def outbound(relations: DataFrame, subject_id: int, predicate: str) -> DataFrame:
+    """Relations from an entity (K6)."""
+    return relations.filter((F.col("subject_id") == subject_id) & (F.col("predicate") == predicate))
+
+
+def inbound(relations: DataFrame, object_id: int, predicate: str) -> DataFrame:
+    """Relations to an entity (K6)."""
+    return relations.filter((F.col("object_id") == object_id) & (F.col("predicate") == predicate))
 
 
 def _stems(name: Column) -> Column:
@@ -122,6 +158,12 @@ def _stems(name: Column) -> Column:
     return F.array_distinct(F.concat(F.array(name), F.transform(marks, lambda i: F.substring(name, F.lit(1), i - 1))))
 
 
+def unrejected(pairs: DataFrame, rejected: DataFrame, predicate: str, subject: str, object_: str) -> DataFrame:
+    """Pairs that the user hasn't rejected (H1): ``rejected`` has subject_id, predicate, object_id."""
+    no = rejected.filter(F.col("predicate") == predicate).select(F.col("subject_id").alias(subject), F.col("object_id").alias(object_))
+    return pairs.join(no, [subject, object_], "left_anti")
+
+
 def derived_pairs(files: DataFrame) -> DataFrame:
     """Siblings of which one seems made from the other.
 
@@ -148,15 +190,21 @@ def derived_pairs(files: DataFrame) -> DataFrame:
 
 
 def backup_pairs(files: DataFrame, facts: DataFrame) -> DataFrame:
-    """Backups of files in other folders (H4, H5, J18): stem without the suffix, size ratio in bounds."""
+    """Backups of files in other folders (H4, H5, J18): stem without the suffix, size ratio in bounds.
+
+    Sizes within a ratio of two differ by one power of two at most: the join is on
+    stem and power, so a name that stands in every folder is split by size.
+    """
+    power = lambda size: F.floor(F.log2(F.greatest(F.lit(1), size))).cast("int")
     backups = facts.filter("key = 'role' AND value = 'backup'").select(F.col("entity_id").alias("file_id")).distinct()
     alive = files.filter("deleted_at IS NULL")
     named = paths.stem(F.col("name"))
     b = alive.join(backups, "file_id", "left_semi").select("file_id", "folder_path", "size", paths.backup_stem(F.col("name")).alias("lookup")).filter(F.octet_length("lookup") >= 3)
+    b = b.withColumn("power", F.explode(F.transform(F.array(*[F.lit(i) for i in (-1, 0, 1)]), lambda i: power(F.col("size")) + i)))
     starts = F.filter(_stems(named), lambda s: (s == named) | F.substring(named, F.length(s) + 1, F.lit(1)).isin(" ", "_", "-"))
-    o = alive.join(backups, "file_id", "left_anti").filter(~named.rlike(r"[ _-](backup|copy)$")).select(F.col("file_id").alias("origin_id"), F.col("folder_path").alias("o_folder"), F.col("size").alias("o_size"), F.explode(starts).alias("lookup"))
+    o = alive.join(backups, "file_id", "left_anti").filter(~named.rlike(r"[ _-](backup|copy)$")).select(F.col("file_id").alias("origin_id"), F.col("folder_path").alias("o_folder"), F.col("size").alias("o_size"), power(F.col("size")).alias("power"), F.explode(starts).alias("lookup"))
     ratio = F.col("size") / F.col("o_size")
-    met = b.join(o, "lookup").filter((F.col("folder_path") != F.col("o_folder")) & (F.col("o_size") > 0) & ratio.between(*BACKUP_RATIO))
+    met = b.join(o, ["lookup", "power"]).filter((F.col("folder_path") != F.col("o_folder")) & (F.col("o_size") > 0) & ratio.between(*BACKUP_RATIO))
     return met.select(F.col("file_id").alias("backup_id"), "origin_id", ratio.alias("size_ratio"), paths.f32(F.lit(0.7)).alias("confidence"), F.col("size").alias("bytes")).distinct()
 
 
@@ -177,21 +225,34 @@ def redownloadable(files: DataFrame, facts: DataFrame) -> DataFrame:
 def near_pairs(hashes: DataFrame, most: int = NEAR_DISTANCE, bits: int = 128) -> DataFrame:
     """Pairs (left_id, right_id, distance) of hashes (id, a, b) at most so many bits apart.
 
-    With ``most`` + 1 bands of bits, two such hashes agree in a band: an equal
-    join by band and value finds all, a bit count verifies.
+    Equal hashes are one class first. With ``most`` // 2 + 1 bands of bits, two
+    hashes so near differ by one bit at most in some band: the lesser one looks
+    every band up as it is and with each bit of it turned, in an equal join that
+    finds all; a bit count verifies. Class pairs are expanded to ids at the end.
     """
-    bands, edges = most + 1, [bits * i // (most + 1) for i in range(most + 2)]
-
-    def band(i: int) -> Column:
-        lo, hi = edges[i], edges[i + 1]
-        digits = F.concat(F.lpad(F.bin("a"), 64, "0"), F.lpad(F.bin("b"), 64, "0")) if bits == 128 else F.lpad(F.bin("a"), bits, "0")
-        return F.struct(F.lit(i).alias("band"), F.substring(digits, lo + 1, hi - lo).alias("digits"))
-
-    rows = hashes.select("id", "a", "b", F.explode(F.array(*[band(i) for i in range(bands)])).alias("k"))
-    left, right = rows.alias("l"), rows.alias("r")
-    met = left.join(right, (F.col("l.k") == F.col("r.k")) & (F.col("l.id") < F.col("r.id")))
+    bands = most // 2 + 1
+    edges = [bits * i // bands for i in range(bands + 1)]
+    digits = F.concat(F.lpad(F.bin("a"), 64, "0"), F.lpad(F.bin("b"), 64, "0")) if bits > 64 else F.lpad(F.bin("a"), bits, "0")
+    classes = hashes.select("a", "b").distinct().withColumn("digits", digits)
+    value = lambda i: F.conv(F.substring("digits", edges[i] + 1, edges[i + 1] - edges[i]), 2, 10).cast("long")
+    valued = classes.select("a", "b", F.array(*[value(i) for i in range(bands)]).alias("values"))
+    own = [(i, 0) for i in range(bands)]
+    turned = own + [(i, 1 << j) for i in range(bands) for j in range(edges[i + 1] - edges[i])]
+
+    def looked_up(masks: list[tuple[int, int]]) -> Column:
+        table = F.array(*[F.struct(F.lit(i).alias("band"), F.lit(m).cast("long").alias("mask")) for i, m in masks])
+        return F.explode(F.transform(table, lambda k: F.struct(k["band"].alias("band"), F.get("values", k["band"]).bitwiseXOR(k["mask"]).alias("value"))))
+
+    left = valued.select("a", "b", looked_up(turned).alias("k")).alias("l")
+    right = valued.select("a", "b", looked_up(own).alias("k")).alias("r")
+    lesser = (F.col("l.a") < F.col("r.a")) | (F.col("l.a") == F.col("r.a")) & (F.col("l.b") < F.col("r.b"))
     distance = paths.hamming(F.col("l.a"), F.col("r.a")) + paths.hamming(F.col("l.b"), F.col("r.b"))
-    return met.select(F.col("l.id").alias("left_id"), F.col("r.id").alias("right_id"), distance.alias("distance")).filter(F.col("distance") <= most).distinct()
+    met = left.join(right, (F.col("l.k") == F.col("r.k")) & lesser & (distance <= most))
+    near = met.select(F.col("l.a").alias("a"), F.col("l.b").alias("b"), F.col("r.a").alias("a2"), F.col("r.b").alias("b2"), distance.alias("distance")).distinct()
+    other = hashes.select(F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("id").alias("id2"))
+    apart = near.join(hashes.select("a", "b", "id"), ["a", "b"]).join(other, ["a2", "b2"]).select(F.least("id", "id2").alias("left_id"), F.greatest("id", "id2").alias("right_id"), "distance")
+    same = hashes.select("a", "b", "id").join(other.select(F.col("a2").alias("a"), F.col("b2").alias("b"), "id2"), ["a", "b"]).filter("id < id2")
+    return apart.union(same.select("id", "id2", F.lit(0)))
 
 
 def near_confidence(distance: Column) -> Column:
@@ -221,11 +282,30 @@ def confirmable(discoveries: DataFrame, floor: float = MEDIAN_FLOOR) -> DataFram
     return discoveries.filter("status = 'pending'").groupBy("kind").agg(median.alias("median"), F.count(F.lit(1)).alias("pending")).withColumn("allowed", F.col("median") >= F.lit(floor).cast("float").cast("double"))
 
 
+#: Keys and predicates of a file's provenance, in their order.
+PROVENANCE_KEYS = ["role", "replaceability", "sensitivity", "origin", "mediaType", "language"]
+PROVENANCE_PREDICATES = ["derivedFrom", "backupOf", "partOf", "inFolder"]
+
+
 def provenance(files: DataFrame, facts: DataFrame, relations: DataFrame, pinned: DataFrame) -> DataFrame:
-    """Per file: whether it is pinned, its facts and its relations as sorted text."""
-    a = facts.groupBy(F.col("entity_id").alias("file_id")).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "key", "value"))), ";").alias("facts"))
+    """Per file: whether it is pinned, its facts and its relations in the fixed order of keys and predicates.
+
+    ``facts`` are (key, value, source, confidence), ``relations`` (predicate,
+    object_path, source, confidence); the path is null where the object is no file.
+    """
+
+    def ordered(rows: DataFrame, by: str, places: list[str], columns: list[str], name: str) -> DataFrame:
+        place = F.lit(None).cast("int")
+        for i, value in enumerate(places):
+            place = F.when(F.col(by) == value, F.lit(i)).otherwise(place)
+        kept = rows.withColumn("place", place).filter("place IS NOT NULL")
+        listed = F.array_sort(F.collect_list(F.struct("place", "id", *columns)))  # a file's own facts: few
+        return kept.groupBy("file_id").agg(F.transform(listed, lambda x: F.struct(*[x[c].alias(c) for c in columns])).alias(name))
+
+    a = ordered(facts.withColumn("file_id", F.col("entity_id")), "key", PROVENANCE_KEYS, ["key", "value", "source", "confidence"], "facts")
     to = files.select(F.col("file_id").alias("object_id"), F.col("path").alias("object_path"))
-    r = relations.join(to, "object_id", "left").groupBy(F.col("subject_id").alias("file_id")).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(">", "predicate", F.coalesce("object_path", F.lit("?"))))), ";").alias("relations"))
+    related = relations.withColumn("file_id", F.col("subject_id")).join(to, "object_id", "left")
+    r = ordered(related, "predicate", PROVENANCE_PREDICATES, ["predicate", "object_path", "source", "confidence"], "relations")
     p = pinned.select("file_id", F.lit(True).alias("pinned"))
     out = files.select("file_id", "path").join(p, "file_id", "left").join(a, "file_id", "left").join(r, "file_id", "left")
-    return out.select("file_id", "path", F.coalesce("pinned", F.lit(False)).alias("pinned"), F.coalesce("facts", F.lit("")).alias("facts"), F.coalesce("relations", F.lit("")).alias("relations"))
+    return out.select("file_id", "path", F.coalesce("pinned", F.lit(False)).alias("pinned"), "facts", "relations")

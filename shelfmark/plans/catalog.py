@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from shelfmark.functions import paths
 from shelfmark.operators import catalog as C
 from shelfmark.operators import duplicates as D
-from shelfmark.plans import kb_queries
+from shelfmark.plans import kb_queries, more_queries
 from shelfmark.plans.registry import ORACLES, QUERIES, query
 from shelfmark.sources import bindings as B
 
@@ -40,23 +40,32 @@ query("s2_file_records", f"{B.with_tables('doc_files')} SELECT file_id, name, fo
     lambda s, d: _docs(s, d).select("file_id", paths.base_name(F.col("path")).alias("name"), paths.parent(F.col("path")).alias("folder_path"), paths.extension(F.col("name")).alias("extension"), "size"))
 query("s3_folder_records", f"{B.with_tables('doc_files')} SELECT folder_path, count(*) AS direct_files, sum(size)::BIGINT AS direct_bytes FROM doc_files GROUP BY 1")(lambda s, d: C.folder_records(_docs(s, d)))
 
-SNAP_OLD = "SELECT path, size, modified_at, content_hash, 4 AS hash_state, CASE WHEN file_id % 17 = 0 THEN 1700000000 END AS deleted_at FROM doc_files WHERE file_id % 10 <> 3"
-SNAP_NEW = "SELECT path, size + CASE WHEN file_id % 10 = 5 THEN 1 ELSE 0 END AS size, modified_at + CASE WHEN file_id % 10 = 5 THEN 60 ELSE 0 END AS modified_at FROM doc_files WHERE file_id % 10 <> 7"
+SNAP_OLD = """SELECT path, name, folder_path, extension, media_kind, size, modified_at, modified_at - 5 AS created_at, modified_at + 9 AS accessed_at, content_hash AS partial_hash, content_hash AS sample_hash, content_hash AS full_hash, 'xxh3-full-v1' AS hash_algorithm, 4 AS hash_state,
+ CASE WHEN file_id % 17 = 0 THEN 1700000000 END AS deleted_at FROM doc_files WHERE file_id % 10 <> 3"""
+SNAP_NEW = """SELECT path, name, folder_path, extension, CASE WHEN file_id % 10 = 6 THEN 'other' ELSE media_kind END AS media_kind, size + CASE WHEN file_id % 10 = 5 THEN 1 ELSE 0 END AS size, modified_at + CASE WHEN file_id % 10 = 5 THEN 60 ELSE 0 END AS modified_at,
+ CASE WHEN file_id % 10 = 8 THEN NULL ELSE modified_at - 5 END AS created_at, modified_at + 99 AS accessed_at FROM doc_files WHERE file_id % 10 <> 7"""
 
 
 def _snapshots(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    f = _docs(s, d)
-    old = f.filter("file_id % 10 <> 3").select("path", "size", "modified_at", "content_hash", F.lit(4).alias("hash_state"), F.when(F.col("file_id") % 17 == 0, F.lit(N)).alias("deleted_at"))
-    bump = F.when(F.col("file_id") % 10 == 5, 1).otherwise(0)
-    return old, f.filter("file_id % 10 <> 7").select("path", (F.col("size") + bump).alias("size"), (F.col("modified_at") + 60 * bump).alias("modified_at"))
-
-
-@query("s6_snapshot_upsert", f"""{B.with_tables('doc_files')}, o AS ({SNAP_OLD}), n AS ({SNAP_NEW})
-SELECT coalesce(n.path, o.path) AS path, CASE WHEN n.path IS NOT NULL THEN n.size ELSE o.size END AS size, CASE WHEN n.path IS NOT NULL THEN n.modified_at ELSE o.modified_at END AS modified_at,
- CASE WHEN o.path IS NOT NULL AND (n.path IS NULL OR (n.size IS NOT DISTINCT FROM o.size AND n.modified_at IS NOT DISTINCT FROM o.modified_at)) THEN o.content_hash END AS content_hash,
- CASE WHEN n.path IS NULL THEN o.deleted_at END AS deleted_at,
- CASE WHEN o.path IS NOT NULL AND (n.path IS NULL OR (n.size IS NOT DISTINCT FROM o.size AND n.modified_at IS NOT DISTINCT FROM o.modified_at)) THEN o.hash_state ELSE 0 END AS hash_state
-FROM o FULL JOIN n ON o.path = n.path""")
+    f, h = _docs(s, d), F.col("content_hash")
+    named, k = ["path", "name", "folder_path", "extension"], F.col("file_id") % 10
+    old = f.filter("file_id % 10 <> 3").select(
+        *named, "media_kind", "size", "modified_at", (F.col("modified_at") - 5).alias("created_at"), (F.col("modified_at") + 9).alias("accessed_at"), h.alias("partial_hash"), h.alias("sample_hash"), h.alias("full_hash"),
+        F.lit("xxh3-full-v1").alias("hash_algorithm"), F.lit(4).alias("hash_state"), F.when(F.col("file_id") % 17 == 0, F.lit(N)).alias("deleted_at"))
+    bump = F.when(k == 5, 1).otherwise(0)
+    return old, f.filter("file_id % 10 <> 7").select(
+        *named, F.when(k == 6, "other").otherwise(F.col("media_kind")).alias("media_kind"), (F.col("size") + bump).alias("size"), (F.col("modified_at") + 60 * bump).alias("modified_at"),
+        F.when(k != 8, F.col("modified_at") - 5).alias("created_at"), (F.col("modified_at") + 99).alias("accessed_at"))
+
+
+SAME = "n.size IS NOT DISTINCT FROM o.size AND n.modified_at IS NOT DISTINCT FROM o.modified_at AND n.created_at IS NOT DISTINCT FROM o.created_at"
+SCANNED = ["name", "folder_path", "extension", "media_kind", "size", "modified_at", "created_at", "accessed_at"]
+
+
+@query("s6_snapshot_upsert", f"""{B.with_tables('doc_files')}, o AS ({SNAP_OLD}), n AS ({SNAP_NEW}),
+j AS (SELECT coalesce(n.path, o.path) AS path, {', '.join(f"CASE WHEN n.path IS NOT NULL THEN n.{c} ELSE o.{c} END AS {c}" for c in SCANNED)}, o.path IS NOT NULL AND (n.path IS NULL OR ({SAME})) AS kept,
+ o.partial_hash AS h, o.hash_algorithm AS ha, o.hash_state AS hs, CASE WHEN n.path IS NULL THEN o.deleted_at END AS deleted_at FROM o FULL JOIN n ON o.path = n.path)
+SELECT path, {', '.join(SCANNED)}, {', '.join(f"CASE WHEN kept THEN h END AS {c}" for c in ('partial_hash', 'sample_hash', 'full_hash'))}, CASE WHEN kept THEN ha END AS hash_algorithm, deleted_at, CASE WHEN kept THEN hs ELSE 0 END AS hash_state FROM j""")
 def _s6(s: SparkSession, d: str) -> DataFrame:
     return C.upsert(*_snapshots(s, d))
 
@@ -68,8 +77,9 @@ def _s10(s: SparkSession, d: str) -> DataFrame:
 
 query("s7_folders", f"""{B.with_tables('doc_files')}, f AS (SELECT DISTINCT path FROM ({_up('(SELECT DISTINCT folder_path FROM doc_files)', '1 AS x')}))
 SELECT path, nullif(regexp_replace(path, '/[^/]*$', ''), '') AS parent_path, regexp_extract(path, '([^/]*)$', 1) AS name, (1 + len(string_split(ltrim(path, '/'), '/')))::INTEGER AS depth FROM f""")(lambda s, d: C.folders(_docs(s, d)))
-query("s8_placeholder_totals", f"{B.with_tables('doc_files')} SELECT folder_path, greatest(0, sum(size))::BIGINT AS total_bytes FROM doc_files GROUP BY 1")(
-    lambda s, d: C.folder_records(_docs(s, d)).select("folder_path", F.greatest(F.lit(0), "direct_bytes").alias("total_bytes")))
+query("s8_placeholder_totals", f"""{B.with_tables('live')}, t AS (SELECT path, count(*) AS total_files, sum(size)::BIGINT AS total_bytes FROM ({_up("(SELECT * FROM live WHERE file_id % 3 = 0)", 'size')}) GROUP BY path),
+r AS (SELECT folder_path AS path, count(*) AS f, sum(size)::BIGINT AS b FROM doc_files GROUP BY 1) SELECT path, greatest(coalesce(total_files, 0), coalesce(f, 0)) AS total_files, greatest(coalesce(total_bytes, 0), coalesce(b, 0)) AS total_bytes FROM t FULL JOIN r USING (path)""")(
+    lambda s, d: C.placeholder_totals(C.rollup(C.live(_docs(s, d)).filter("file_id % 3 = 0")), C.folder_records(_docs(s, d))))
 ISSUES = "SELECT event_id AS id, user_id % 3 AS scan_id, CASE WHEN event_id % 2 = 0 THEN 'walk' ELSE 'hash' END AS phase, concat('/p/', user_id) AS path, floor(epoch(ts))::BIGINT AS created_at FROM events"
 
 
@@ -78,9 +88,18 @@ def _issues(s: SparkSession, d: str) -> DataFrame:
 
 
 query("s12_issue_cap", f"SELECT id, scan_id, phase, path, created_at FROM (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY created_at, id) AS r FROM ({ISSUES})) WHERE r <= 500")(lambda s, d: C.issue_sink(_issues(s, d)))
-query("s13_issue_list", f"SELECT phase, path, id FROM ({ISSUES}) WHERE scan_id = 2 ORDER BY phase, path, id LIMIT 100")(lambda s, d: _issues(s, d).filter("scan_id = 2").orderBy("phase", "path", "id").limit(100).select("phase", "path", "id"))
-query("s14_issue_counts", f"SELECT coalesce(sum((phase = 'walk')::INT), 0)::BIGINT AS walk_issues, coalesce(sum((phase = 'hash')::INT), 0)::BIGINT AS hash_issues FROM (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY created_at, id) AS r FROM ({ISSUES})) WHERE r <= 500")(
-    lambda s, d: C.issue_sink(_issues(s, d)).agg(F.count_if(F.col("phase") == "walk").alias("walk_issues"), F.count_if(F.col("phase") == "hash").alias("hash_issues")))
+WALKS = f"SELECT scan_id AS id, max(created_at) AS started_at, sum((phase = 'walk')::INT)::BIGINT AS inaccessible_entries FROM ({ISSUES}) GROUP BY 1"
+KEPT = f"SELECT id, scan_id, phase, path FROM (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY created_at, id) AS r FROM ({ISSUES})) WHERE r <= 500"
+LATEST = f"(SELECT id FROM ({WALKS}) ORDER BY started_at DESC, id DESC LIMIT 1)"
+
+
+def _walks(s: SparkSession, d: str) -> DataFrame:
+    return _issues(s, d).groupBy(F.col("scan_id").alias("id")).agg(F.max("created_at").alias("started_at"), F.count_if(F.col("phase") == "walk").alias("inaccessible_entries"))
+
+
+query("s13_issue_list", f"SELECT phase, path, id FROM ({KEPT}) WHERE scan_id = {LATEST} ORDER BY phase, path, id LIMIT 100")(lambda s, d: C.issue_list(C.issue_sink(_issues(s, d)), _walks(s, d)).select("phase", "path", "id"))
+query("s14_issue_counts", f"SELECT (SELECT inaccessible_entries FROM ({WALKS}) WHERE id = {LATEST}) AS walk_issues, (SELECT count(*) FROM ({KEPT}) WHERE scan_id = {LATEST} AND phase = 'hash') AS hash_issues")(
+    lambda s, d: C.issue_counts(C.issue_sink(_issues(s, d)), _walks(s, d)))
 SESSIONS = "SELECT o_orderkey AS id, concat('/r', o_custkey % 5) AS root, epoch(o_orderdate)::BIGINT AS started_at, CASE WHEN o_orderkey % 3 = 0 THEN 'metadata' WHEN o_orderkey % 3 = 1 THEN 'smart' ELSE 'other' END AS scan_strategy FROM orders"
 
 
@@ -93,8 +112,7 @@ query("s16_s17_latest_session", f"SELECT id, root, started_at, CASE WHEN scan_st
     lambda s, d: C.latest_session(_sessions(s, d)).select("id", "root", "started_at", F.when(F.col("scan_strategy").isin("smart", "metadata"), F.col("scan_strategy")).otherwise("smart").alias("mode")))
 query("s18_timeline_capture", f"{B.with_tables('live')} SELECT sum(size)::BIGINT AS total_bytes, count(*) AS file_count, count(DISTINCT folder_path) AS folder_count FROM live")(
     lambda s, d: C.live(_docs(s, d)).agg(F.sum("size").alias("total_bytes"), F.count(F.lit(1)).alias("file_count"), F.count_distinct("folder_path").alias("folder_count")))
-query("s19_index_catalog", f"SELECT root, max(started_at) AS last_scan, arg_max(id, (started_at, id)) AS session_id FROM ({SESSIONS}) GROUP BY root")(
-    lambda s, d: _sessions(s, d).groupBy("root").agg(F.max("started_at").alias("last_scan"), F.max_by("id", F.struct("started_at", "id")).alias("session_id")))
+query("s19_index_catalog", f"SELECT root, id, started_at, scan_strategy FROM ({SESSIONS}) QUALIFY row_number() OVER (PARTITION BY root ORDER BY started_at DESC, id DESC) = 1")(lambda s, d: C.index_catalog(_sessions(s, d), "root"))
 query("s26_mark_deleted", f"{B.with_tables('doc_files')} SELECT file_id, CASE WHEN path IN ('/corpus/Downloads/doc4.exe', '/corpus/Downloads/doc16.exe') THEN 5 ELSE deleted_at END AS deleted_at FROM doc_files")(
     lambda s, d: C.mark_deleted(_docs(s, d), ["/corpus/Downloads/doc4.exe", "/corpus/Downloads/doc16.exe"], 5).select("file_id", "deleted_at"))
 
@@ -145,7 +163,14 @@ query("a25_tail_aggregate", f"""{B.with_tables('hier_files')}, v AS (SELECT fold
 SELECT r AS rank, name, 1::BIGINT AS tiles, greatest(1, value) AS value FROM v WHERE r <= 24 UNION ALL SELECT 25, '(others)', count(*), greatest(1, sum(value))::BIGINT FROM v WHERE r > 24 HAVING count(*) > 0""")(
     lambda s, d: C.tail_aggregate(B.hier_files(s, d).groupBy(F.col("folder_path").alias("name")).agg(F.sum("size").alias("value"))))
 query("a26_totals", f"{B.with_tables('live')} SELECT count(*) AS files, sum(greatest(0, size))::BIGINT AS bytes FROM live")(lambda s, d: C.live(_docs(s, d)).agg(F.count(F.lit(1)).alias("files"), F.sum(F.greatest(F.lit(0), "size")).alias("bytes")))
-query("a27_prefix_tree", f"{B.with_tables('live')} SELECT path, sum(size)::BIGINT AS total_bytes FROM ({_up('live', 'size, name')}) WHERE name LIKE '%7%' GROUP BY path")(lambda s, d: C.rollup(C.live(_docs(s, d)).filter("name LIKE '%7%'")).select("path", "total_bytes"))
+TREE = """s AS (SELECT list_filter(string_split_regex(path, '[/\\\\]'), lambda x: x <> '') AS s, greatest(0, size) AS size FROM live WHERE name LIKE '%7%'),
+c AS (SELECT (SELECT min(k) FROM range(0, 50) t(k) WHERE k >= m OR lo[k + 1] IS DISTINCT FROM hi[k + 1]) AS common FROM (SELECT min(s) AS lo, max(s) AS hi, min(len(s)) - 1 AS m FROM s)),
+e AS (SELECT s, size, common, unnest(range(common, len(s) + 1)) AS n FROM s, c),
+tree AS (SELECT array_to_string(s[1:n], '/') AS path, CASE WHEN n > common THEN array_to_string(s[1:n - 1], '/') END AS parent_path, coalesce(s[n], 'results') AS name, (n - common)::INTEGER AS depth, sum(size)::BIGINT AS bytes FROM e GROUP BY 1, 2, 3, 4)"""
+query("a27_prefix_tree", f"{B.with_tables('live')}, {TREE} SELECT * FROM tree")(lambda s, d: C.prefix_tree(C.live(_docs(s, d)).filter("name LIKE '%7%'").select("path", "size")))
+query("l6_icicle", f"""{B.with_tables('live')}, {TREE}, o AS (SELECT *, coalesce(sum(bytes) OVER (PARTITION BY parent_path ORDER BY bytes DESC, path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM tree WHERE depth <= 6 AND bytes > 0)
+SELECT o.path, o.depth, o.bytes, coalesce((SELECT sum(p.start) FROM o p WHERE p.depth > 0 AND (o.path = p.path OR starts_with(o.path, p.path || '/'))), 0) / (SELECT bytes FROM tree WHERE depth = 0) AS x, o.bytes / (SELECT bytes FROM tree WHERE depth = 0) AS w FROM o""")(
+    lambda s, d: C.icicle(C.prefix_tree(C.live(_docs(s, d)).filter("name LIKE '%7%'").select("path", "size"))))
 query("a29_distinct", f"{B.with_tables('doc_files')} SELECT DISTINCT folder_path, extension FROM doc_files")(lambda s, d: _docs(s, d).select("folder_path", "extension").distinct())
 query("t1_largest_folders", f"{B.with_tables('hier_files')} SELECT path, total_bytes FROM ({ROLL}) WHERE total_bytes > 0 ORDER BY total_bytes DESC, path LIMIT 50")(lambda s, d: C.largest(C.rollup(B.hier_files(s, d)), "total_bytes", "path", 50).select("path", "total_bytes"))
 query("t2_j1_folder_children", f"{B.with_tables('hier_files')} SELECT path, total_bytes FROM ({ROLL}) WHERE regexp_replace(path, '/[^/]*$', '') = '/ASIA' AND total_bytes > 0 ORDER BY total_bytes DESC, path LIMIT 500")(lambda s, d: C.children(C.rollup(B.hier_files(s, d)), "/ASIA").select("path", "total_bytes"))
@@ -159,9 +184,6 @@ query("j20_j21_ancestor_join", f"{B.with_tables('doc_files')} SELECT file_id, pa
 TOPF = f"SELECT path, total_bytes FROM ({ROLL}) ORDER BY total_bytes DESC, path LIMIT 40"
 query("j22_l7_nearest_ancestor", f"""{B.with_tables('hier_files')}, t AS ({TOPF}) SELECT t.path, (SELECT u.path FROM t u WHERE starts_with(t.path, u.path || '/') ORDER BY length(u.path) DESC LIMIT 1) AS parent_path FROM t""")(
     lambda s, d: C.nearest_ancestor(C.rollup(B.hier_files(s, d)).orderBy(F.desc("total_bytes"), "path").limit(40).select("path")))
-query("l6_icicle", f"""{B.with_tables('hier_files')}, t AS (SELECT path, total_bytes, (1 + len(string_split(ltrim(path, '/'), '/')))::INTEGER AS depth, regexp_replace(path, '/[^/]*$', '') AS parent_path FROM ({ROLL}))
-SELECT path, parent_path, depth, total_bytes, coalesce(sum(total_bytes) OVER (PARTITION BY parent_path ORDER BY total_bytes DESC, path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset", sum(total_bytes) OVER (PARTITION BY parent_path)::BIGINT AS "of" FROM t WHERE depth <= 7 AND total_bytes > 0""")(
-    lambda s, d: C.icicle(C.rollup(B.hier_files(s, d)).withColumn("depth", paths.depth(F.col("path")))))
 query("l5_squarify")(lambda s, d: C.squarify(C.rollup(B.hier_files(s, d)).select(paths.parent(F.col("path")).alias("parent_path"), F.col("path").alias("name"), F.col("total_bytes").alias("value"))))
 
 # Scalar functions --------------------------------------------------------------
@@ -169,7 +191,8 @@ query("l5_squarify")(lambda s, d: C.squarify(C.rollup(B.hier_files(s, d)).select
 query("u1_media_kind", f"{B.with_tables('doc_files')} SELECT file_id, media_kind FROM doc_files")(lambda s, d: _docs(s, d).select("file_id", "media_kind"))
 query("u4_path_ancestors", f"{B.with_tables('doc_files')} SELECT DISTINCT folder_path, array_to_string({ANC}, '|') AS up FROM (SELECT *, string_split(ltrim(folder_path, '/'), '/') AS parts FROM doc_files)")(
     lambda s, d: _docs(s, d).select("folder_path", F.array_join(paths.ancestors(F.col("folder_path")), "|").alias("up")).distinct())
-query("u9_format_bytes", f"{B.with_tables('doc_files')} SELECT file_id, CASE WHEN size < 1024 THEN concat(size, ' B') ELSE printf('%.1f KB', floor(size / 1024.0 * 10 + 0.5) / 10) END AS shown FROM doc_files WHERE size < 1048576")(lambda s, d: _docs(s, d).filter("size < 1048576").select("file_id", paths.format_bytes(F.col("size")).alias("shown")))
+query("u9_format_bytes", f"{B.with_tables('doc_files')} SELECT file_id, CASE WHEN z < 1024 THEN concat(z, ' B') WHEN z < 1048576 THEN printf('%.1f KB', floor(z / 1024.0 * 10 + 0.5) / 10) WHEN z < 1073741824 THEN printf('%.1f MB', floor(z / 1048576.0 * 10 + 0.5) / 10) ELSE printf('%.1f GB', floor(z / 1073741824.0 * 10 + 0.5) / 10) END AS shown FROM (SELECT file_id, CASE file_id % 4 WHEN 0 THEN size WHEN 1 THEN size * 1000 WHEN 2 THEN size * 1000001 ELSE file_id END AS z FROM doc_files)")(
+    lambda s, d: _docs(s, d).select("file_id", paths.format_bytes(F.when(F.col("file_id") % 4 == 0, F.col("size")).when(F.col("file_id") % 4 == 1, F.col("size") * 1000).when(F.col("file_id") % 4 == 2, F.col("size") * 1000001).otherwise(F.col("file_id"))).alias("shown")))
 query("u11_join_destination", f"{B.with_tables('doc_files')} SELECT file_id, concat('C:\\old\\', name) AS dest FROM doc_files")(lambda s, d: _docs(s, d).select("file_id", paths.join_destination(F.lit("C:\\old\\"), F.col("name")).alias("dest")))
 query("u12_relative_time", f"""{B.with_tables('doc_files')}, a AS (SELECT file_id, greatest(0, {N} - modified_at) AS g FROM doc_files)
 SELECT file_id, CASE WHEN g < 60 THEN concat(g, 's ago') WHEN g < 3600 THEN concat(g // 60, 'm ago') WHEN g < 86400 THEN concat(g // 3600, 'h ago') WHEN g < 2592000 THEN concat(g // 86400, 'd ago') WHEN g < 31536000 THEN concat(g // 2592000, 'mo ago') ELSE concat(g // 31536000, 'y ago') END AS ago FROM a""")(
@@ -203,9 +226,9 @@ CAND = "SELECT size, count(*) AS file_count, sum(size)::BIGINT AS total_bytes FR
 query("a9_duplicate_candidates", f"{B.with_tables('live')} {CAND}")(lambda s, d: D.candidates(_docs(s, d)))
 query("d1_j4_hash_jobs", f"{B.with_tables('live')} SELECT file_id, 'sample' AS job_type, size AS priority FROM live WHERE size IN (SELECT size FROM ({CAND}))")(lambda s, d: D.hash_jobs(_docs(s, d)))
 query("d2_j6_needs_hash", f"{B.with_tables('live')}, h AS ({HASHED}) SELECT file_id FROM h WHERE deleted_at IS NULL AND (sample_hash IS NULL OR hash_state < 2 OR hash_algorithm IS NULL) AND size IN (SELECT size FROM ({CAND}))")(lambda s, d: D.needs_hash(_hashed(s, d)).select("file_id"))
-query("d3_chunk_plan", f"""{B.with_tables('doc_files')}, x AS (SELECT file_id, size * 40000 AS z FROM doc_files), o AS (SELECT file_id, z, CASE WHEN z <= 262144 THEN [0] WHEN z <= 1048576 THEN [0, z - 65536] WHEN z <= 536870912 THEN [0, z // 2 - 32768, z - 65536] ELSE [0, z // 4 - 32768, z // 2 - 32768, z * 3 // 4 - 32768, z - 65536] END AS p FROM x)
+query("d3_chunk_plan", f"""{B.with_tables('doc_files')}, x AS (SELECT file_id, size * 40001 + file_id % 7 AS z FROM doc_files), o AS (SELECT file_id, z, CASE WHEN z <= 262144 THEN [0] WHEN z <= 1048576 THEN [0, z - 65536] WHEN z <= 536870912 THEN [0, (z - 65536) // 2, z - 65536] ELSE [0, (z - 65536) // 4, (z - 65536) * 2 // 4, (z - 65536) * 3 // 4, z - 65536] END AS p FROM x)
 SELECT file_id, array_to_string(list_transform(p, lambda a: concat(a, '+', CASE WHEN z <= 262144 THEN z ELSE least(65536, z - a) END)), ',') AS plan FROM o""")(
-    lambda s, d: _docs(s, d).select("file_id", D.chunk_plan(F.col("size") * 40000).alias("p")).select("file_id", F.array_join(F.transform("p", lambda c: F.concat_ws("+", c["offset"].cast("string"), c["len"].cast("string"))), ",").alias("plan")))
+    lambda s, d: _docs(s, d).select("file_id", D.chunk_plan(F.col("size") * 40001 + F.col("file_id") % 7).alias("p")).select("file_id", F.array_join(F.transform("p", lambda c: F.concat_ws("+", c["offset"].cast("string"), c["len"].cast("string"))), ",").alias("plan")))
 query("d6_full_hash", "SELECT doc_id AS file_id, md5(text) AS full_hash FROM documents")(lambda s, d: _docs(s, d).select("file_id", F.col("content_hash").alias("full_hash")))
 query("d8_j5_escalation", f"""{B.with_tables('doc_files')}, h AS ({HASHED}) SELECT file_id FROM h WHERE deleted_at IS NULL AND sample_hash IS NOT NULL AND full_hash IS NULL AND (size, sample_hash) IN (SELECT (size, sample_hash) FROM h WHERE deleted_at IS NULL AND sample_hash IS NOT NULL GROUP BY size, sample_hash HAVING count(*) > 1)""")(lambda s, d: D.escalation(_hashed(s, d)).select("file_id"))
 query("a10_duplicate_groups", f"{B.with_tables('doc_files')}, h AS ({HASHED}) {GROUPED}")(lambda s, d: D.groups(_hashed(s, d)))
@@ -229,10 +252,12 @@ SELECT hash, folder AS target, (alln - n)::BIGINT AS to_stage FROM (SELECT *, co
 def queries() -> dict[str, Q]:
     """Every registered query by name."""
     kb_queries.load()
+    more_queries.load()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by query name."""
     kb_queries.load()
+    more_queries.load()
     return dict(ORACLES)

@@ -1,7 +1,8 @@
 """Queries over facts, relations, cleanup, views and the folder lens.
 
 Facts are the rules' assertions on the document files, H6 and H7; relations are
-the pairs of H1 and H4 and membership of projects (file_id % 5).
+the pairs of H1 and H4, membership of projects (file_id % 5; some files are in
+two) and backups of origins that are unknown. See :mod:`shelfmark.sources.knowledge`.
 """
 
 from __future__ import annotations
@@ -15,9 +16,10 @@ from shelfmark.operators import cleanup as K
 from shelfmark.operators import facts as KB
 from shelfmark.plans.registry import query
 from shelfmark.sources import bindings as B
+from shelfmark.sources import knowledge, shared
 
 N = B.AS_OF
-STAGES = ["planning", "active", "finished", "archived", "abandoned"]
+STAGES = [name for name, _, _ in knowledge.STAGES]
 BITS, NEAR = 62, 18
 
 
@@ -30,36 +32,23 @@ def _files(s: SparkSession, d: str) -> DataFrame:
 
 
 def _rule_facts(s: SparkSession, d: str) -> DataFrame:
-    order = {r.id: i for i, r in enumerate(KB.RULES)}
-    rank = F.lit(0)
-    for name, i in order.items():
-        rank = F.when(F.col("source") == name, F.lit(i)).otherwise(rank)
-    return KB.rule_facts(_files(s, d), asserted_at=N).withColumn("id", F.col("entity_id") * 100 + rank)
+    return knowledge.of(s, d).rule_facts
 
 
 def _relations(s: SparkSession, d: str) -> DataFrame:
-    f, facts = _files(s, d), _rule_facts(s, d)
-    derived = KB.derived_pairs(f).select(F.col("derivative_id").alias("subject_id"), F.lit("derivedFrom").alias("predicate"), F.col("source_id").alias("object_id"))
-    backup = KB.backup_pairs(f, facts).select(F.col("backup_id").alias("subject_id"), F.lit("backupOf").alias("predicate"), F.col("origin_id").alias("object_id"))
-    part = f.filter("file_id % 5 <> 1 AND file_id % 7 < 5").select(F.col("file_id").alias("subject_id"), F.lit("partOf").alias("predicate"), (F.col("file_id") % 5).alias("object_id"))
-    return derived.union(backup).union(part)
+    return knowledge.of(s, d).relations
 
 
 def _facts(s: SparkSession, d: str) -> DataFrame:
-    f, rules = _files(s, d), _rule_facts(s, d)
-    shown = F.lit(True).alias("display")
-    derived = KB.derived_pairs(f).select(F.col("derivative_id").alias("entity_id")).distinct()
-    user = derived.select("entity_id", F.lit("role").alias("key"), F.lit("derivative").alias("value"), F.lit("user").alias("source"), F.lit(1.0).alias("confidence"), shown, F.lit(N + 1).cast("long").alias("asserted_at"), (F.col("entity_id") * 100 + 50).alias("id"))
-    regen = derived.filter("entity_id % 3 <> 0").select("entity_id", F.lit("replaceability").alias("key"), F.lit("regenerable").alias("value"), F.lit("heuristic:regenerable").alias("source"), paths.f32(F.lit(0.95)).alias("confidence"), shown, F.lit(N).cast("long").alias("asserted_at"), (F.col("entity_id") * 100 + 51).alias("id"))
-    return rules.unionByName(user).unionByName(regen)
+    return knowledge.of(s, d).facts
 
 
-def _lifecycles(s: SparkSession) -> DataFrame:
-    return s.createDataFrame([(i, v) for i, v in enumerate(STAGES)], "project_id long, lifecycle string")
+def _lifecycles(s: SparkSession, d: str) -> DataFrame:
+    return knowledge.of(s, d).lifecycles
 
 
 def _pinned(s: SparkSession, d: str) -> DataFrame:
-    return _files(s, d).filter("file_id % 50 = 0").select("file_id")
+    return knowledge.of(s, d).pinned
 
 
 # SQL of the same tables -------------------------------------------------------
@@ -82,17 +71,18 @@ B.SQL |= {
  CAST(CAST(least(round(0.5 + CASE WHEN dv.size / sr.size BETWEEN 0.1 AND 1.0 THEN 0.2 ELSE 0 END + CASE WHEN sr.ext IN ('psd', 'ai') THEN 0.15 ELSE 0 END + CASE WHEN dv.ext IN ('png', 'jpg', 'jpeg') THEN 0.1 ELSE 0 END, 2), 0.95) AS FLOAT) AS DOUBLE) AS confidence
  FROM stems dv JOIN stems sr ON dv.folder_path = sr.folder_path AND dv.file_id <> sr.file_id AND dv.ext <> sr.ext AND sr.size > 0 AND dv.modified_at > sr.modified_at AND sr.stem <> ''
  AND (dv.stem = sr.stem OR (starts_with(dv.stem, sr.stem) AND substr(dv.stem, length(sr.stem) + 1, 1) IN (' ', '_', '-', '.', '(', '['))) AND dv.size / sr.size BETWEEN 0.05 AND 50.0""",
-    "stems": f"SELECT *, lower(coalesce(extension, '')) AS ext, {STEM.format('name')} AS stem, regexp_replace({STEM.format('name')}, '[ _-](backup|copy)$', '') AS bstem FROM live",
+    "stems": f"SELECT *, lower(coalesce(extension, '')) AS ext, {STEM.format('name')} AS stem, trim(regexp_replace({STEM.format('name')}, '[ _-](backup|copy)$', '')) AS bstem FROM live",
     "backups": """SELECT b.file_id AS backup_id, o.file_id AS origin_id, b.size / o.size AS size_ratio, CAST(CAST(0.7 AS FLOAT) AS DOUBLE) AS confidence, b.size AS bytes
  FROM stems b JOIN stems o ON (o.stem = b.bstem OR (starts_with(o.stem, b.bstem) AND substr(o.stem, length(b.bstem) + 1, 1) IN (' ', '_', '-'))) AND b.folder_path <> o.folder_path AND o.size > 0 AND b.size / o.size BETWEEN 0.5 AND 2.0
  WHERE strlen(b.bstem) >= 3 AND b.file_id IN (SELECT entity_id FROM rule_facts WHERE key = 'role' AND value = 'backup') AND o.file_id NOT IN (SELECT entity_id FROM rule_facts WHERE key = 'role' AND value = 'backup') AND NOT regexp_matches(o.stem, '[ _-](backup|copy)$')""",
     "relations": """SELECT derivative_id AS subject_id, 'derivedFrom' AS predicate, source_id AS object_id FROM derived UNION ALL SELECT backup_id, 'backupOf', origin_id FROM backups
- UNION ALL SELECT file_id, 'partOf', file_id % 5 FROM doc_files WHERE file_id % 5 <> 1 AND file_id % 7 < 5""",
+ UNION ALL SELECT file_id, 'partOf', file_id % 5 FROM doc_files WHERE file_id % 5 <> 1 AND file_id % 7 < 5
+ UNION ALL SELECT file_id, 'partOf', (file_id + 2) % 5 FROM doc_files WHERE file_id % 11 = 3 AND file_id % 7 < 5 UNION ALL SELECT file_id, 'backupOf', -1 FROM doc_files WHERE file_id % 12 = 2 AND file_id % 5 = 4""",
     "facts": f"""SELECT entity_id, key, value, source, confidence, display, asserted_at, id FROM rule_facts UNION ALL SELECT DISTINCT derivative_id, 'role', 'derivative', 'user', 1.0::DOUBLE, true, {N + 1}, derivative_id * 100 + 50 FROM derived
  UNION ALL SELECT DISTINCT derivative_id, 'replaceability', 'regenerable', 'heuristic:regenerable', CAST(CAST(0.95 AS FLOAT) AS DOUBLE), true, {N}, derivative_id * 100 + 51 FROM derived WHERE derivative_id % 3 <> 0""",
-    "lifecycles": "SELECT unnest(range(5)) AS project_id, unnest(['planning','active','finished','archived','abandoned']) AS lifecycle",
+    "lifecycles": f"SELECT unnest(range(5)) AS project_id, unnest({STAGES}) AS lifecycle, unnest({[c for _, c, _ in knowledge.STAGES]}::DOUBLE[]) AS lconf, unnest({str([x for *_, x in knowledge.STAGES]).lower()}) AS lshown",
     "top": "SELECT entity_id, key, value, confidence, display FROM facts QUALIFY row_number() OVER (PARTITION BY entity_id, key ORDER BY confidence DESC, asserted_at DESC, id DESC) = 1",
-    "stage": "SELECT subject_id AS file_id, lifecycle FROM relations JOIN lifecycles ON object_id = project_id WHERE predicate = 'partOf'",
+    "stage": "SELECT subject_id AS file_id, project_id, lifecycle, lconf, lshown FROM relations JOIN lifecycles ON object_id = project_id WHERE predicate = 'partOf'",
     "candidates": """SELECT file_id, path, size, reason FROM (SELECT l.file_id, l.path, l.size,
  CASE WHEN r.value = 'derivative' AND p.value = 'regenerable' AND EXISTS (SELECT 1 FROM relations x JOIN live o ON o.file_id = x.object_id WHERE x.predicate = 'derivedFrom' AND x.subject_id = l.file_id) THEN 'safe-derivative'
  WHEN r.value = 'backup' AND EXISTS (SELECT 1 FROM relations x JOIN live o ON o.file_id = x.object_id WHERE x.predicate = 'backupOf' AND x.subject_id = l.file_id) THEN 'redundant-backup'
@@ -137,7 +127,7 @@ PRIO = "CASE WHEN source = 'user' THEN 100 WHEN source LIKE 'extractor:%' THEN 8
 query("k4_k5_resolve", f"{W('events_')} SELECT entity_id, key, value, confidence, source FROM events_ QUALIFY row_number() OVER (PARTITION BY entity_id, key ORDER BY confidence DESC, {PRIO} DESC, asserted_at DESC, id DESC) = 1")(lambda s, d: KB.resolve(B.events(s, d)))
 query("n2_j12_resolve_plain", f"{W('events_')} SELECT entity_id, key, value, confidence, source FROM events_ QUALIFY row_number() OVER (PARTITION BY entity_id, key ORDER BY confidence DESC, asserted_at DESC, id DESC) = 1")(lambda s, d: KB.resolve(B.events(s, d), by_source=False))
 query("k1_upsert_entities", """WITH k AS (SELECT 'User' AS kind, concat('u', user_id) AS canonical_id, min(event_id) AS id FROM events WHERE user_id % 2 = 0 GROUP BY 2), n AS (SELECT DISTINCT CASE WHEN user_id % 3 = 0 THEN 'Actor' ELSE 'User' END AS kind, concat('u', user_id) AS canonical_id FROM events),
-f AS (SELECT * FROM n WHERE (kind, canonical_id) NOT IN (SELECT (kind, canonical_id) FROM k)) SELECT * FROM k UNION ALL SELECT kind, canonical_id, (SELECT max(id) FROM k) + row_number() OVER (ORDER BY kind, canonical_id) FROM f""")(
+f AS (SELECT * FROM n WHERE (kind, canonical_id) NOT IN (SELECT (kind, canonical_id) FROM k)) SELECT * FROM k UNION ALL SELECT kind, canonical_id, (SELECT max(id) FROM k) + row_number() OVER (ORDER BY substr(md5(concat_ws('|', kind, canonical_id)), 1, 4), kind, canonical_id) FROM f""")(
     lambda s, d: (lambda e: KB.upsert_entities(
         e.filter("user_id % 2 = 0").groupBy(F.lit("User").alias("kind"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("canonical_id")).agg(F.min("event_id").alias("id")),
         e.select(F.when(F.col("user_id") % 3 == 0, "Actor").otherwise("User").alias("kind"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("canonical_id"))))(B.table(s, d, "events")))
@@ -154,9 +144,9 @@ FOUND = "SELECT 'derivedFrom-pattern' AS kind, derivative_id AS subject_id, sour
 
 
 def _found(s: SparkSession, d: str) -> DataFrame:
-    f = _files(s, d)
-    one = KB.derived_pairs(f).select(F.lit("derivedFrom-pattern").alias("kind"), F.col("derivative_id").alias("subject_id"), F.col("source_id").alias("object_id"), "size_ratio", "confidence", "bytes")
-    return one.union(KB.backup_pairs(f, _rule_facts(s, d)).select(F.lit("backupOf-pair"), "backup_id", "origin_id", "size_ratio", "confidence", "bytes"))
+    k = knowledge.of(s, d)
+    one = k.derived.select(F.lit("derivedFrom-pattern").alias("kind"), F.col("derivative_id").alias("subject_id"), F.col("source_id").alias("object_id"), "size_ratio", "confidence", "bytes")
+    return one.union(k.backups.select(F.lit("backupOf-pair"), "backup_id", "origin_id", "size_ratio", "confidence", "bytes"))
 
 
 query("k12_new_discoveries", f"{W('derived', 'backups')}, f AS ({FOUND}) SELECT kind, subject_id, object_id, size_ratio FROM f WHERE subject_id % 4 <> 2")(lambda s, d: (lambda f: KB.new_discoveries(f, f.filter("subject_id % 4 = 2")).select("kind", "subject_id", "object_id", "size_ratio"))(_found(s, d)))
@@ -167,13 +157,23 @@ query("k14_k16_rejected_pairs", f"{W('derived', 'backups')}, f AS ({FOUND}) SELE
 query("a14_k15_median_gate", f"{W('derived', 'backups')}, f AS ({FOUND}) SELECT kind, CAST(CAST(median(confidence) AS FLOAT) AS DOUBLE) AS median, count(*) AS pending, CAST(CAST(median(confidence) AS FLOAT) AS DOUBLE) >= CAST(CAST(0.7 AS FLOAT) AS DOUBLE) AS allowed FROM f GROUP BY 1")(
     lambda s, d: KB.confirmable(_found(s, d).withColumn("status", F.lit("pending"))))
 query("a16_a24_finding_counts", f"{W('derived', 'backups')}, f AS ({FOUND}) SELECT kind, count(*) AS n, sum(bytes)::BIGINT AS bytes FROM f GROUP BY 1")(lambda s, d: _found(s, d).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes")))
-query("a23_finding_clusters", f"{W('derived', 'backups')}, f AS ({FOUND}) SELECT object_id, count(*) AS n, sum(bytes)::BIGINT AS bytes, array_to_string(list_sort(list(subject_id)), ',') AS ids FROM f GROUP BY 1 HAVING count(*) >= 2")(
-    lambda s, d: _found(s, d).groupBy("object_id").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"), F.array_join(F.array_sort(F.collect_list("subject_id")), ",").alias("ids")).filter("n >= 2"))
+query("a23_finding_clusters", f"{W('derived', 'backups')}, f AS ({FOUND}), n AS (SELECT object_id, count(*) AS n, sum(bytes)::BIGINT AS bytes FROM f GROUP BY 1 HAVING count(*) >= 2) SELECT object_id, n.n, n.bytes, subject_id FROM n JOIN f USING (object_id)")(
+    lambda s, d: (lambda f: f.groupBy("object_id").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes")).filter("n >= 2").join(f.select("object_id", "subject_id"), "object_id"))(_found(s, d)))
 query("t7_top_discoveries", f"{W('derived', 'backups')}, f AS ({FOUND}) SELECT kind, subject_id, object_id, bytes FROM f ORDER BY bytes DESC, confidence DESC, kind, subject_id, object_id LIMIT 60")(
     lambda s, d: _found(s, d).orderBy(F.desc("bytes"), F.desc("confidence"), "kind", "subject_id", "object_id").limit(60).select("kind", "subject_id", "object_id", "bytes"))
-query("k17_j24_provenance", f"""{W('facts', 'relations')}, a AS (SELECT entity_id AS file_id, array_to_string(list_sort(list(concat(key, '=', value))), ';') AS facts FROM facts GROUP BY 1),
-r AS (SELECT subject_id AS file_id, array_to_string(list_sort(list(concat(predicate, '>', coalesce(path, '?')))), ';') AS relations FROM relations LEFT JOIN doc_files ON file_id = object_id GROUP BY 1)
-SELECT f.file_id, f.path, f.file_id % 50 = 0 AS pinned, coalesce(facts, '') AS facts, coalesce(relations, '') AS relations FROM doc_files f LEFT JOIN a USING (file_id) LEFT JOIN r USING (file_id)""")(lambda s, d: KB.provenance(_files(s, d), _facts(s, d), _relations(s, d), _pinned(s, d)))
+PLACED = lambda names, by: "CASE " + " ".join(f"WHEN {by} = '{n}' THEN {i}" for i, n in enumerate(names)) + " END"
+query("k17_j24_provenance", f"""{W('facts', 'relations')}, a AS (SELECT entity_id AS file_id, string_agg(concat_ws('|', key, value, source, confidence::VARCHAR), ';' ORDER BY place, id) AS facts FROM (SELECT *, {PLACED(KB.PROVENANCE_KEYS, 'key')} AS place FROM facts) WHERE place IS NOT NULL GROUP BY 1),
+r AS (SELECT subject_id AS file_id, string_agg(concat_ws('|', predicate, coalesce(path, '?'), 'heuristic:h', '0.5'), ';' ORDER BY place, object_id) AS relations FROM (SELECT *, {PLACED(KB.PROVENANCE_PREDICATES, 'predicate')} AS place FROM relations) LEFT JOIN doc_files ON file_id = object_id WHERE place IS NOT NULL GROUP BY 1)
+SELECT f.file_id, f.path, f.file_id % 50 = 0 AS pinned, coalesce(facts, '') AS facts, coalesce(relations, '') AS relations FROM doc_files f LEFT JOIN a USING (file_id) LEFT JOIN r USING (file_id)""")(lambda s, d: _provenance(s, d))
+
+
+def _provenance(s: SparkSession, d: str) -> DataFrame:
+    k = knowledge.of(s, d)
+    told = k.relations.withColumn("source", F.lit("heuristic:h")).withColumn("confidence", F.lit(0.5)).withColumn("id", F.col("object_id"))
+    text = lambda name, *fields: F.coalesce(F.array_join(F.transform(name, lambda x: F.concat_ws("|", *[F.coalesce(x[f].cast("string"), F.lit("?")) for f in fields])), ";"), F.lit("")).alias(name)
+    return KB.provenance(k.files, k.facts, told, k.pinned).select("file_id", "path", "pinned", text("facts", "key", "value", "source", "confidence"), text("relations", "predicate", "object_path", "source", "confidence"))
+
+
 query("k18_override", f"{W('facts')}, o AS (SELECT entity_id, key, value, source, confidence, asserted_at, id FROM facts UNION ALL SELECT doc_id, 'role', 'source', 'user', 1.0, {N + 9}, -doc_id FROM documents WHERE doc_id % 100 = 4) SELECT entity_id, value FROM o WHERE key = 'role' QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY confidence DESC, {PRIO} DESC, asserted_at DESC, id DESC) = 1")(
     lambda s, d: KB.resolve(_facts(s, d).select("entity_id", "key", "value", "source", "confidence", "asserted_at", "id").union(
         B.table(s, d, "documents").filter("doc_id % 100 = 4").select("doc_id", F.lit("role"), F.lit("source"), F.lit("user"), F.lit(1.0), F.lit(N + 9).cast("long"), -F.col("doc_id")))).filter("key = 'role'").select("entity_id", "value"))
@@ -191,7 +191,7 @@ query("f10_extractor_visible", f"{W('facts')}, t AS (SELECT * FROM facts WHERE k
 
 
 def _candidates(s: SparkSession, d: str) -> DataFrame:
-    return K.candidates(_files(s, d), _facts(s, d), _relations(s, d), _lifecycles(s), _pinned(s, d))
+    return K.candidates(_files(s, d), _facts(s, d), _relations(s, d), _lifecycles(s, d), _pinned(s, d))
 
 
 query("c1_cleanup_candidates", f"{W('candidates')} SELECT * FROM candidates")(_candidates)
@@ -215,11 +215,16 @@ VIEW_SQL = {
 }
 for _i, _view in enumerate(K.VIEWS):
     query(f"g{_i + 1}_{_view.replace('-', '_')}", f"{W('top', 'relations', 'stage')} SELECT file_id, path, size FROM live WHERE {VIEW_SQL[f'g{_i + 1}']} AND {SHOWN}")(
-        lambda s, d, v=_view: K.saved_view(v, _files(s, d), _facts(s, d), _relations(s, d), _lifecycles(s), N, least=500))
+        lambda s, d, v=_view: K.saved_view(v, _files(s, d), _facts(s, d), _relations(s, d), _lifecycles(s, d), N, least=500))
 
 
 def _lens(s: SparkSession, d: str) -> DataFrame:
-    return K.lens(_files(s, d), _facts(s, d), _relations(s, d), _lifecycles(s), _candidates(s, d))
+    return K.lens(_files(s, d), _facts(s, d), _relations(s, d), _lifecycles(s, d), _candidates(s, d))
+
+
+def _kept_lens(s: SparkSession, d: str) -> DataFrame:
+    """The lens, written: for those that read it more than once."""
+    return shared.written(_lens(s, d), "lens")
 
 
 _UP = "SELECT unnest(CAST(list_transform(range(len(parts), 0, -1), lambda i: '/' || array_to_string(parts[1:i], '/')) AS VARCHAR[])) AS path, * EXCLUDE (path, parts) FROM (SELECT *, string_split(ltrim(folder_path, '/'), '/') AS parts FROM {})"
@@ -227,7 +232,7 @@ _DOM = "(SELECT path, value FROM (SELECT path, value, row_number() OVER (PARTITI
 LENS = f"""{W('candidates')}, shown AS (SELECT entity_id AS file_id, key, value FROM facts WHERE display QUALIFY row_number() OVER (PARTITION BY entity_id, key ORDER BY confidence DESC, asserted_at DESC, id DESC) = 1),
 up AS ({_UP.format('live')}), allf AS (SELECT DISTINCT path FROM ({_UP.format('doc_files')})), lens AS (SELECT a.path, r.value AS role, p.value AS replaceability, l.value AS lifecycle, c.value AS cleanup_reason, coalesce(w.b, 0) AS reclaimable_bytes FROM allf a
  LEFT JOIN {_DOM.format("SELECT file_id, value FROM shown WHERE key = 'role'")} r USING (path) LEFT JOIN {_DOM.format("SELECT file_id, value FROM shown WHERE key = 'replaceability'")} p USING (path)
- LEFT JOIN {_DOM.format('SELECT file_id, lifecycle AS value FROM stage')} l USING (path) LEFT JOIN {_DOM.format('SELECT file_id, reason AS value FROM candidates')} c USING (path)
+ LEFT JOIN {_DOM.format('SELECT file_id, lifecycle AS value FROM stage WHERE lshown QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY lconf DESC, project_id DESC) = 1')} l USING (path) LEFT JOIN {_DOM.format('SELECT file_id, reason AS value FROM candidates')} c USING (path)
  LEFT JOIN (SELECT path, sum(size)::BIGINT AS b FROM up WHERE file_id IN (SELECT file_id FROM candidates) GROUP BY path) w USING (path))"""
 query("l1_a13_treemap_lens", f"{LENS} SELECT * FROM lens")(_lens)
 VERDICT = "CASE WHEN coalesce(replaceability = 'irreplaceable', false) OR coalesce(role IN ('source', 'system', 'asset', 'tool'), false) OR coalesce(lifecycle = 'active', false) THEN 'protected' WHEN cleanup_reason IN ('safe-derivative', 'redundant-backup', 'scratch') THEN 'safe' WHEN cleanup_reason = 'finished-project-cruft' THEN 'review' WHEN reclaimable_bytes > 0 THEN 'review' ELSE 'keep' END"
@@ -244,8 +249,8 @@ query("l3_explanations", f"""{LENS}, t AS (SELECT path, concat_ws(' · ', CASE r
 SELECT path, CASE WHEN x = '' THEN 'A directory in your storage.' ELSE concat(upper(substr(x, 1, 1)), substr(x, 2), '.') END AS explanation FROM t""")(
     lambda s, d: _lens(s, d).select("path", K.explanation(F.col("role"), F.col("replaceability"), F.col("lifecycle")).alias("explanation")))
 query("f17_l4_offered_folders", f"{LENS}, o AS (SELECT * FROM lens WHERE cleanup_reason IN ('scratch', 'safe-derivative') AND reclaimable_bytes > 0) SELECT path, reclaimable_bytes FROM o WHERE NOT EXISTS (SELECT 1 FROM o p WHERE starts_with(o.path, p.path || '/'))")(
-    lambda s, d: K.outermost_candidates(_lens(s, d), ["scratch", "safe-derivative"]).select("path", "reclaimable_bytes"))
-query("a18_reclaimable_headline", f"{LENS} SELECT sum(reclaimable_bytes)::BIGINT AS reclaimable FROM lens WHERE path = '/corpus'")(lambda s, d: _lens(s, d).filter("path = '/corpus'").agg(F.sum("reclaimable_bytes").alias("reclaimable")))
+    lambda s, d: K.outermost_candidates(_kept_lens(s, d), ["scratch", "safe-derivative"]).select("path", "reclaimable_bytes"))
+query("a18_reclaimable_headline", f"{LENS} SELECT sum(reclaimable_bytes)::BIGINT AS reclaimable_bytes FROM lens l WHERE NOT EXISTS (SELECT 1 FROM lens p WHERE starts_with(l.path, p.path || '/'))")(lambda s, d: K.headline(_kept_lens(s, d)))
 query("f15_held_back", f"{LENS}, v AS (SELECT path, {VERDICT} AS verdict FROM lens) SELECT path FROM v WHERE verdict = 'protected' OR NOT EXISTS (SELECT 1 FROM candidates c WHERE starts_with(c.path, v.path || '/'))")(
     lambda s, d: (lambda v, up: v.join(up, "path", "left").filter("verdict = 'protected' OR covered IS NULL").select("path"))(
         _lens(s, d).withColumn("verdict", _verdict()), _candidates(s, d).select(F.explode(paths.ancestors(F.col("path"))).alias("path")).distinct().withColumn("covered", F.lit(True))))

@@ -1,7 +1,7 @@
 """Catalog tables read from a folder of Parquet tables.
 
 A catalog is three kinds of tables: files, the facts known about them, and the
-relations between them. Here they are bound to the driver's tables; a scan of a
+relations between them. Here they are bound to the driver's tables; a crawl of a
 file tree (:mod:`shelfmark.sources.filesystem`) yields files of the same schema.
 """
 
@@ -99,4 +99,4 @@ def with_tables(*names: str, recursive: bool = False) -> str:
 
     for name in names:
         add(name)
-    return f"WITH {'RECURSIVE ' if recursive else ''}" + ",\n".join(f"{n} AS ({SQL[n]})" for n in order)
+    return f"WITH {'RECURSIVE ' if recursive else ''}" + ",\n".join(f"{n} AS MATERIALIZED ({SQL[n]})" for n in order)
