@@ -85,8 +85,8 @@ SENTENCES = [
     ("CcBySa4", r"(?:this work is )?licen[cs]ed under (?:a )?(?:the )?(?:cc by sa 4 0|creative commons attribution share ?alike 4 0 .*)"),
     ("CcBy4", r"(?:this work is )?licen[cs]ed under (?:a )?(?:the )?(?:cc by 4 0|creative commons attribution 4 0 .*)"),
     ("BsdTerms", r"redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("BsdSource", r"redistributions of source code must retain the above copyright notice .*"),
-    ("BsdBinary", r"redistributions in binary form must reproduce the above copyright notice .*"),
+    ("BsdSource", r"redistributions of source code must retain the above copyright notice(?: .*)?"),
+    ("BsdBinary", r"redistributions in binary form must reproduce the above copyright notice(?: .*)?"),
     ("BsdEndorse", r"neither the names? of .* nor the names of .* contributors may be used to endorse .*"),
     ("BsdAsIs", r"this software is provided by .* as is and any express or implied warranties .*"),
     ("Bsd3Title", r"(?:the )?(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd) licen[cs]e"),
@@ -179,7 +179,7 @@ RULES = [
     *[(name, (id_,)) for id_, _, name in SPDX],
 ]
 #: Every known sentence holds one of these.
-HINT = r"licen|permission|redistribut|warrant|nor the names|rights reserved|public domain|unencumbered|cc0|creative commons|anyone is free|except in compliance|copy of the mpl"
+HINT = r"licen|permission|redistribut|warrant|nor the names|rights reserved|public domain|unencumbered|cc0|creative commons|anyone is free|neighboring rights|except in compliance|copy of the mpl"
 #: Marks of comments at the start of a line, and what ends a paragraph, a sentence, a line's sentence.
 MARK = r"(?m)^[ \t]*(?:/\*+|\*+/?|//+|#+|;+|--+|%+|<!--|dnl\b|rem\b)[ \t]*"
 PARAGRAPH = r"\r?\n[ \t]*\r?\n\s*"
@@ -192,11 +192,12 @@ SPDX_START = "spdx license identifier"
 
 def _known(sentence: Column) -> Column:
     """Identifiers of a normalised sentence, joined by blanks: one, or those that an SPDX sentence names; else null."""
-    out = F.lit(None).cast("string")
-    for name, pattern in reversed(SENTENCES):
-        out = F.when(sentence.rlike(f"^(?:{pattern})$"), F.lit(name)).otherwise(out)
-    named = F.concat_ws(" ", *[F.when(sentence.rlike(_spdx(i)), F.lit(SPDX[i][0])) for i in range(len(SPDX))])
-    return F.when(sentence.startswith(SPDX_START), F.when(named == "", F.lit("SpdxOther")).otherwise(named)).otherwise(out)
+    # The patterns are a literal array that is walked, not an expression each: the plan stays small.
+    table = lambda pairs: F.array(*[F.struct(F.lit(n).alias("name"), F.lit(p).alias("pattern")) for n, p in pairs])
+    fits = lambda pairs: F.transform(F.filter(table(pairs), lambda p: F.rlike(sentence, p["pattern"])), lambda p: p["name"])
+    one = F.get(fits([(n, f"^(?:{p})$") for n, p in SENTENCES]), 0)
+    named = F.array_join(fits([(SPDX[i][0], _spdx(i)) for i in range(len(SPDX))]), " ")
+    return F.when(sentence.startswith(SPDX_START), F.when(named == "", F.lit("SpdxOther")).otherwise(named)).otherwise(one)
 
 
 def _spdx(i: int) -> str:
@@ -269,10 +270,10 @@ WITH p AS (SELECT doc_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS pos FRO
   SELECT doc_id, regexp_split_to_array(regexp_replace(lower(text), '{MARK}', '', 'g'), '{PARAGRAPH}') AS ps FROM documents WHERE regexp_matches(lower(text), '{HINT}'))),
 c AS (SELECT doc_id, pos, 1 AS way, regexp_split_to_array(regexp_replace(p, '{VERSION}', ' either ', 'g') || ' ', '{STOP}') AS ss FROM p WHERE regexp_matches(p, '{HINT}')
   UNION ALL SELECT doc_id, pos, 2, regexp_split_to_array(p, '{LINE}') FROM p WHERE regexp_matches(p, '{HINT}')),
-s AS (SELECT doc_id, pos, way, unnest(ss) AS raw, generate_subscripts(ss, 1) AS at FROM c),
-k AS (SELECT doc_id, pos, way, at, {known} AS id
-      FROM (SELECT doc_id, pos, way, at, trim(regexp_replace(raw, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS x FROM s WHERE regexp_matches(raw, '{HINT}'))),
-w AS (SELECT doc_id, pos, way, string_agg(id, ' ' ORDER BY at) AS ids, bool_or(id <> 'Other') AS named FROM k WHERE id IS NOT NULL GROUP BY ALL),
+s AS (SELECT doc_id, pos, way, unnest(ss) AS raw, generate_subscripts(ss, 1) AS spot FROM c),
+k AS (SELECT doc_id, pos, way, spot, {known} AS id
+      FROM (SELECT doc_id, pos, way, spot, trim(regexp_replace(raw, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS x FROM s WHERE regexp_matches(raw, '{HINT}'))),
+w AS (SELECT doc_id, pos, way, string_agg(id, ' ' ORDER BY spot) AS ids, bool_or(id <> 'Other') AS named FROM k WHERE id IS NOT NULL GROUP BY ALL),
 v AS (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.pos, b.pos) AS pos, CASE WHEN a.named OR b.ids IS NULL THEN a.ids ELSE b.ids END AS ids
       FROM (SELECT * FROM w WHERE way = 1) a FULL JOIN (SELECT * FROM w WHERE way = 2) b ON a.doc_id = b.doc_id AND a.pos = b.pos),
 g AS (SELECT doc_id, string_agg(ids, ' ' ORDER BY pos) AS ids FROM v GROUP BY doc_id),

@@ -304,10 +304,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, index: Levels | N
     asked = store.written(queries.withColumn("part", F.explode(F.pandas_udf(route, "array<int>")("v"))), "asked")
     asks = {r["part"]: r["count"] for r in asked.groupBy("part").count().collect()}  # a row for each part
     blocks = [(p, -(-int(sizes[p]) // BLOCK_ROWS), -(-n // BLOCK_QUERIES)) for p, n in asks.items() if sizes[p]]
-    plan = F.broadcast(spark.createDataFrame(blocks, "part int, salts int, chunks int"))  # MOST_PARTS squared rows at most
+    plan = lambda: F.broadcast(spark.createDataFrame(blocks, "part int, salts int, chunks int"))  # noqa: E731  MOST_PARTS squared rows at most
     hashed = F.xxhash64("vec_id")
-    cand = homed.join(plan, "part").withColumn("salt", F.pmod(hashed, F.col("salts")).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    asked = asked.join(plan, "part").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).withColumn("chunk", F.pmod(hashed, F.col("chunks")).cast("int"))
+    cand = homed.join(plan(), "part").withColumn("salt", F.pmod(hashed, F.col("salts")).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    asked = asked.join(plan(), "part").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).withColumn("chunk", F.pmod(hashed, F.col("chunks")).cast("int"))
 
     def rerank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})

@@ -176,7 +176,7 @@ def test_long_texts_train_too(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     model = toxicity.fit(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"), most_chars=1_200)
     assert model.net is not None
-    bad, good = model.scores(["you scum idiot " + prose(rng, "en", 20), prose(rng, "en", 40)])
+    bad, good = model.scores([" ".join("scum idiot " + prose(rng, "en", 6) for _ in range(8)), prose(rng, "en", 40)])
     assert bad > 0.5 > good
     with pytest.raises(ValueError):
         toxicity.fit(docs.filter("toxic = 0"), docs.select("doc_id", "toxic"))
