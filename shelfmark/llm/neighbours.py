@@ -202,17 +202,18 @@ class Levels:
 
     top: Index
     below: dict[int, Index]
+    width: int  # part numbers for each part of the first level
 
     def numbers(self) -> int:
         """Part numbers run below this."""
-        return self.top.parts * (MOST_PARTS if self.below else 1)
+        return self.top.parts * (self.width if self.below else 1)
 
     def home(self, x: np.ndarray) -> np.ndarray:
         """Part number of each row."""
         first = self.top.order(x)[:, 0]
         if not self.below:
             return first
-        out = first * MOST_PARTS
+        out = first * self.width
         for p in np.unique(first):
             out[first == p] += self.below[int(p)].order(x[first == p])[:, 0]
         return out
@@ -220,7 +221,7 @@ class Levels:
     def routes(self, x: np.ndarray, sure: np.ndarray, k: int) -> list[np.ndarray]:
         """Part numbers that each query visits; ``sure`` counts the ids that only that part has."""
         order = self.top.order(x)
-        width = MOST_PARTS if self.below else 1
+        width = self.width if self.below else 1
         first = sure.reshape(-1, width).sum(1)
         visited = np.maximum(self.top.probes, (np.cumsum(first[order], 1) < k + 1).sum(1) + 1)
         out: list[list[np.ndarray]] = [[] for _ in x]
@@ -253,7 +254,7 @@ def fit(vectors: DataFrame, total: int, k: int = K, sample: int = SAMPLE, target
     each = target ** 0.5 if two else target
     got = _sampled(vectors.withColumn("_all", F.lit(0)), min(1.0, 1.5 * sample / max(1, total)), sample, "_all").select("v").toArrow()["v"]
     x = np.array(got.to_pylist(), float) if len(got) else np.zeros((0, 1))  # ``sample`` rows at most
-    top = Levels(learn(x, min(parts, MOST_PARTS), found_in_sample(k, len(x), total), each), {})
+    top = Levels(learn(x, min(parts, MOST_PARTS), found_in_sample(k, len(x), total), each), {}, MOST_PARTS)
     if not two or top.top.router is None:
         return top
     homed = store.written(_homed(vectors, top), "homed")
@@ -268,7 +269,7 @@ def fit(vectors: DataFrame, total: int, k: int = K, sample: int = SAMPLE, target
 
     learnt = picked.groupBy("part").applyInPandas(below, "part int, index binary").collect()  # a model a part, MOST_PARTS at most
     store.drop(homed)
-    return Levels(top.top, {p: Index() for p in range(top.top.parts)} | {r["part"]: pickle.loads(r["index"]) for r in learnt})
+    return Levels(top.top, {p: Index() for p in range(top.top.parts)} | {r["part"]: pickle.loads(r["index"]) for r in learnt}, MOST_PARTS)
 
 
 def _homed(vectors: DataFrame, levels: Levels) -> DataFrame:

@@ -21,10 +21,12 @@ counts once, with its largest weight. Every node divides its score among its
 edges by weight; scores that reach a node without edges end there.
 
 Both ranks are propagated together by joins and sums over one (host, trust,
-distrust) table, written to the shared folder every few rounds to cut lineage,
-until no new host was reached and no rank grew by more than ``settled`` of itself,
-however small it is and however many rounds that takes. Nothing but a count and
-the largest change reaches the driver.
+distrust) table, written to the shared folder every second round to cut lineage.
+What two rounds add to a rank shrinks by damping squared with every two more, once
+it has spread; the geometric sum of all that is to come is added as an estimate.
+Rounds go on until no host's estimate changes by more than ``settled`` of itself
+(so no new host was reached), however small it is and however many rounds that
+takes. Nothing but the largest change reaches the driver.
 
 Defined results: a null url, or one without ``://``, has empty host and path and
 fits no rule; it is judged by the host "" like any other. Null html has no
@@ -45,8 +47,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 DAMPING, THRESHOLD = 0.85, 0.5
 #: Weight of the tie between a host and the domain above it, where a link weighs 1.
 DOMAIN_WEIGHT = 0.25
-#: Largest growth of a rank over some rounds, as a share of it, at which it is settled.
-SETTLED, ROUNDS_A_JOB = 1e-6, 4
+#: Largest change of a rank's estimate in two rounds, as a share of it, at which it is settled.
+SETTLED = 1e-6
 LINK = r"""(?i)\b(?:href|src|action|cite|content|data|poster)\s*=\s*["']?(?:\s*//|[^"'<>]*?[a-z][a-z0-9+.-]*://)(?:[^/?#"'\s<>@]*@)?([^/?#"'\s<>@]+)"""
 #: A url in a query, plain or with its marks escaped.
 QUERY_LINK = r"""(?i)[?&;][^=&#]*=[a-z][a-z0-9+.-]*(?::|%3a)(?:/|%2f){2}([^/?#&;"'\s<>%@]+)"""
@@ -119,21 +121,26 @@ def _shares(edges: DataFrame, damping: float, name: str) -> DataFrame:
 def _spread(base: DataFrame, moves: DataFrame, names: list[str], damping: float, settled: float) -> DataFrame:
     """Ranks ``names`` of each host: (1 - damping) * base plus what ``moves`` (src, dst and a share for each name) bring, settled."""
     start = base.select("host", *[((1 - damping) * F.col(n)).alias(n) for n in names])
-    last = rank = store.written(start, "rank")
+    first = start.select("host", *names, *[F.col(n).alias(f"{n}_end") for n in names], *[F.lit(0.0).alias(f"{n}_was") for n in names])
+    last = store.written(first, "rank")
     if not moves.limit(1).count():
-        return rank
+        return last.select("host", *names)
+    # What two rounds add shrinks by damping squared in two more, so all that is to come is a geometric sum.
+    rest = damping**2 / (1 - damping**2)
     while True:
-        for _ in range(ROUNDS_A_JOB):
+        rank = last.select("host", *names)
+        for _ in range(2):
             moved = moves.alias("m").join(rank.alias("r"), F.col("m.src") == F.col("r.host")).select(F.col("m.dst").alias("host"), *[(F.col(f"m.{n}") * F.col(f"r.{n}")).alias(n) for n in names])
             rank = moved.unionByName(start).groupBy("host").agg(*[F.sum(n).alias(n) for n in names])
-        rank = store.written(rank, "rank")
-        # Ranks only grow, and a host once reached stays: hosts not in ``last`` are new.
-        grown = [F.when(F.col("l.host").isNull() | (F.col(f"n.{n}") > 0) & (F.col(f"l.{n}") <= 0), F.lit(1.0)).when(F.col(f"n.{n}") > 0, 1 - F.col(f"l.{n}") / F.col(f"n.{n}")).otherwise(F.lit(0.0)) for n in names]
-        change = rank.alias("n").join(last.alias("l"), "host", "left").agg(F.max(F.greatest(F.lit(0.0), *grown)).alias("c")).first()["c"] or 0.0
+        joined = rank.alias("n").join(last.alias("l"), "host", "left")
+        before = lambda n: F.coalesce(f"l.{n}", F.lit(0.0))
+        end = [(F.col(f"n.{n}") + rest * F.greatest(F.lit(0.0), F.col(f"n.{n}") - before(n))).alias(f"{n}_end") for n in names]
+        new = store.written(joined.select("host", *[F.col(f"n.{n}") for n in names], *end, *[before(f"{n}_end").alias(f"{n}_was") for n in names]), "rank")
         store.drop(last)
-        last = rank
-        if change <= settled:
-            return rank
+        last = new
+        moved_by = [F.when(F.col(f"{n}_end") > 0, F.abs(F.col(f"{n}_end") - F.col(f"{n}_was")) / F.col(f"{n}_end")).otherwise(F.lit(0.0)) for n in names]
+        if (last.agg(F.max(F.greatest(F.lit(0.0), *moved_by)).alias("c")).first()["c"] or 0.0) <= settled:
+            return last.select("host", *[F.col(f"{n}_end").alias(n) for n in names])
 
 
 def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, settled: float = SETTLED) -> DataFrame:

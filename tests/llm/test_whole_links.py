@@ -42,4 +42,5 @@ def test_pages_without_a_rule_get_scores_that_are_no_seeds(spark):
     for r in rows:
         by_host.setdefault(r.host, []).append(r)
     unseeded = [r for own in by_host.values() if all(x.rule is None for x in own) for r in own]
-    assert unseeded and sum(r.trust > 0 and r.distrust > 0 for r in unseeded) > 0.9 * len(unseeded)
+    assert unseeded and sum(r.trust + r.distrust > 0 for r in unseeded) > 0.9 * len(unseeded)
+    assert {r.verdict for r in unseeded} == {"allow", "block"}
