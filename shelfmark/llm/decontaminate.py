@@ -33,11 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm import textops
+from shelfmark.llm import store, textops
 
 WIDTH, THRESHOLD = 5, 0.8
 #: Bound on what is sent to every task: two million 8-byte shingles and as many item numbers.
 MOST_ITEM_SHINGLES = 2_000_000
+#: Bits of the filter of the joined search: eight megabytes.
+BLOOM_BITS = 26
 
 
 def needed(n: int, threshold: float) -> int:
@@ -90,20 +92,26 @@ def item_shingles(benchmark: DataFrame, width: int = WIDTH, threshold: float = T
 class Index:
     """Item sketches and shingles for lookup within a task."""
 
-    def __init__(self, rows: list, threshold: float):
+    def __init__(self, rows: pa.Table, threshold: float):
         """Rows of :func:`item_shingles`."""
-        items: dict = {}
-        for r in rows:
-            items.setdefault((r["item_id"], r["width"], r["n"], r["set_id"]), []).append((r["token"], r["sketched"]))
+        column = lambda name, dtype: rows[name].combine_chunks().fill_null(dtype(0) if dtype is bool else 0).to_numpy(zero_copy_only=False).astype(dtype)
+        known = rows["item_id"].combine_chunks().is_valid().to_numpy(zero_copy_only=False)
+        keys = [known, *(column(c, np.int64) for c in ("item_id", "width", "n", "set_id"))]
+        token, sketched = column("token", np.int64), column("sketched", bool)
+        order = np.lexsort((token, *reversed(keys)))
+        keys, token, sketched = [k[order] for k in keys], token[order], sketched[order]
+        new = np.arange(len(order)) == 0
+        for k in keys:
+            new[1:] |= k[1:] != k[:-1]
+        first = np.flatnonzero(new)
         self.ids, self.n, self.tokens, sketch = [], [], [], {}
-        for (item, width, n, _), tokens in items.items():
-            c = (width, size_class(n))
-            for t, sketched in tokens:
-                if sketched:
-                    sketch.setdefault(c, []).append((t, len(self.ids)))
-            self.ids.append(item)
+        for a, b in zip(first, [*first[1:], len(order)][: len(first)], strict=True):
+            width, n = int(keys[2][a]), int(keys[3][a])
+            for t in token[a:b][sketched[a:b]].tolist():
+                sketch.setdefault((width, size_class(n)), []).append((t, len(self.ids)))
+            self.ids.append(int(keys[1][a]) if keys[0][a] else None)
             self.n.append(n)
-            self.tokens.append(np.sort(np.array([t for t, _ in tokens], np.int64)))
+            self.tokens.append(token[a:b])
         self.need = [needed(n, threshold) for n in self.n]
         self.parts = []
         for (width, c), pairs in sorted(sketch.items()):
@@ -134,8 +142,8 @@ class Index:
 
 def _index(items: DataFrame, threshold: float, most: int):
     """The broadcast index, or None if the items exceed the bound."""
-    rows = items.limit(most + 1).collect()  # one more than the bound: enough to know it is passed
-    if len(rows) > most:
+    rows = items.limit(most + 1).toArrow()  # one more than the bound: enough to know it is passed
+    if rows.num_rows > most:
         return None
     return items.sparkSession.sparkContext.broadcast(Index(rows, threshold))
 
@@ -175,31 +183,56 @@ def _scan_local(rows: DataFrame, index) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, item_id long, item_shingles int, shared int")
 
 
+def _spots(tokens: np.ndarray) -> list[np.ndarray]:
+    """Two bit numbers of a token in the filter."""
+    return [((tokens.view(np.uint64) >> np.uint64(s)) & np.uint64((1 << BLOOM_BITS) - 1)).astype(np.int64) for s in (0, 32)]
+
+
+def _filter_of(sketch: DataFrame) -> np.ndarray:
+    """A Bloom filter, of fixed size whatever the input, of the sketched tokens."""
+    spots = [F.pmod(F.shiftrightunsigned("token", s), F.lit(1 << BLOOM_BITS)) for s in (0, 32)]
+    words = sketch.select(F.explode(F.array(*spots)).alias("bit")).groupBy(F.shiftright("bit", 6).cast("int").alias("w"))
+    got = words.agg(F.bit_or(F.expr("shiftleft(1L, CAST(pmod(bit, 64) AS INT))")).alias("m")).toArrow()  # 2^(BLOOM_BITS - 6) rows at most
+    out = np.zeros(1 << (BLOOM_BITS - 6), np.int64)
+    out[got["w"].to_numpy()] = got["m"].to_numpy()
+    return out.view(np.uint64)
+
+
 def _scan_joined(rows: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
-    """The same search as joins: sketches find candidates, all shingles of the candidates verify them."""
-    widths = [r["width"] for r in items.select("width").distinct().collect()]  # WIDTH of them at most
+    """The same search as joins: sketches find candidates, all shingles of the candidates verify them.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, keys = batch.column(0), batch.column(1)
-            for i, words in textops.doc_words(_lowered(batch.column(2).to_pylist()), textops.MARKS, False):
-                for width in widths:
-                    if len(words) >= width:
-                        tokens = textops.shingles(words, width).view(np.int64)
-                        n = len(tokens)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([ids[i].as_py()] * n, pa.int64()), pa.array([keys[i].as_py()] * n), pa.array([width] * n, pa.int32()), pa.array(tokens)],
-                            names=["doc_id", "text_key", "width", "token"],
-                        )
-
-    keyed = rows.filter(F.col("text").isNotNull()).select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_key"), "text")
-    tokens = keyed.mapInArrow(run, "doc_id long, text_key string, width int, token long")
+    A filter of fixed size keeps most shingles of documents out of the first shuffle;
+    only documents with a hit send all their shingles to the second.
+    """
+    widths = [r["width"] for r in items.select("width").distinct().collect()]  # WIDTH of them at most
     sketch = items.filter("sketched").select("item_id", "set_id", "width", "n", "token").distinct()
-    hits = tokens.join(sketch, ["width", "token"]).select("doc_id", "text_key", "item_id", "set_id", "width", "n").distinct()
-    wanted = hits.join(items.select("item_id", "set_id", "width", "n", "token"), ["set_id", "width", "n"]).select(
-        "doc_id", "text_key", hits["item_id"], "set_id", "width", "n", "token"
-    ).distinct()
-    held = tokens.distinct().withColumnRenamed("doc_id", "_d")
+    shared_filter = rows.sparkSession.sparkContext.broadcast(_filter_of(sketch))
+
+    def tokens_of(filtered: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids, keys = batch.column(0), batch.column(1)
+                for i, words in textops.doc_words(_lowered(batch.column(2).to_pylist()), textops.MARKS, False):
+                    for width in widths:
+                        if len(words) >= width:
+                            tokens = textops.shingles(words, width).view(np.int64)
+                            if filtered:
+                                a, b = (shared_filter.value[s >> 6] >> (s & 63).astype(np.uint64) & np.uint64(1) for s in _spots(tokens))
+                                tokens = tokens[(a & b).astype(bool)]
+                            n = len(tokens)
+                            yield pa.RecordBatch.from_arrays(
+                                [pa.array([ids[i].as_py()] * n, pa.int64()), pa.array([keys[i].as_py()] * n, pa.binary()), pa.array([width] * n, pa.int32()), pa.array(tokens, pa.int64())],
+                                names=["doc_id", "text_key", "width", "token"],
+                            )
+
+        return run
+
+    schema = "doc_id long, text_key binary, width int, token long"
+    keyed = rows.filter(F.col("text").isNotNull()).select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("text_key"), "text")
+    hits = keyed.mapInArrow(tokens_of(True), schema).join(sketch, ["width", "token"]).select("doc_id", "text_key", "item_id", "set_id", "width", "n").distinct()
+    hits = store.written(hits, "hits")
+    wanted = hits.join(items.select("set_id", "width", "n", "token").distinct(), ["set_id", "width", "n"]).select("doc_id", "text_key", "item_id", "set_id", "width", "n", "token")
+    held = keyed.join(hits.select("text_key").distinct(), "text_key", "left_semi").select("doc_id", "text_key", "text").mapInArrow(tokens_of(False), schema).distinct().withColumnRenamed("doc_id", "_d")
     on = (wanted["text_key"] == held["text_key"]) & wanted["doc_id"].eqNullSafe(held["_d"]) & (wanted["width"] == held["width"]) & (wanted["token"] == held["token"])
     shared = wanted.join(held, on, "left_semi").groupBy("doc_id", "text_key", "item_id", "set_id", "n").agg(F.count(F.lit(1)).cast("int").alias("shared"))
     enough = F.col("shared") >= F.greatest(F.lit(1), F.ceil(threshold * F.col("n") - 1e-9))
@@ -231,7 +264,7 @@ def remove_contaminated(
                 yield batch.filter(pa.array(clean))
 
         return docs.mapInArrow(keep, docs.schema)
-    key = F.md5(F.col(f"`{text}`").cast("binary"))
+    key = F.unhex(F.md5(F.col(f"`{text}`").cast("binary")))
     by_text = docs.select(F.hash(F.col(f"`{text}`")).cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).distinct()
     dirty = _scan_joined(by_text, items, threshold).select("text_key").distinct()
     return docs.join(dirty, key.eqNullSafe(dirty["text_key"]), "left_anti")
