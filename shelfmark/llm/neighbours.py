@@ -15,9 +15,11 @@ squared times rows_per_part, 33 million rows, parts grow with the table.)
 
 Parts are searched in blocks of ``block_rows`` candidates by ``block_queries``
 queries, both counted for each part, so a part that holds a third of all rows is
-many tasks, and a part is copied only as often as its own queries ask for. A block
-keeps each query's k nearest ids, and the nearest of all blocks are merged by a
-window of k rows a block. Scores are double-precision sums over the original
+many tasks, and a part is copied only as often as its own queries ask for. The
+FIRST_PARTS most probable parts are searched first; a query's k-th best score there
+is an edge that candidates of its other parts must reach to leave their task, so
+what is merged stays near k rows a query however many parts it visits. A block
+keeps each query's k nearest ids at most. Scores are double-precision sums over the original
 components, all by the same routine, so equal vectors get equal scores; ties go
 to the smaller vec_id.
 
@@ -48,6 +50,8 @@ ROWS_PER_PART, MOST_PARTS = 2_000, 128
 SAMPLE_PER_PART = 16
 TARGET = 0.95
 BLOCK_ROWS, BLOCK_QUERIES = 8_192, 1_024
+#: Parts that give a query the score which candidates of later parts must reach.
+FIRST_PARTS = 4
 
 
 def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -288,7 +292,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, index: Levels | N
     """
     spark = vectors.sparkSession
     index = index or fit(vectors, vectors.count(), k, target=target, rows_per_part=rows_per_part)
-    homed = _homed(vectors, index)
+    homed = store.written(_homed(vectors, index), "homed")
     # Rows of each part, and its ids that no other part has: so many candidates are sure.
     sizes, sure = (np.zeros(index.numbers(), np.int64) for _ in range(2))
     spread = homed.groupBy("vec_id", "part").count().groupBy("vec_id").agg(F.collect_list(F.struct("part", "count")).alias("at"))
@@ -301,42 +305,62 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, index: Levels | N
         own, known = shared.value
         return pd.Series(own.routes(np.stack(v.to_numpy()), known, k) if len(v) else [], dtype=object)
 
-    # Blocks: a part's candidates are dealt to salts, its queries to chunks; each pair of them is one group.
-    asked = store.written(queries.withColumn("part", F.explode(F.pandas_udf(route, "array<int>")("v"))), "asked")
+    routed = queries.select("vec_id", "v", F.posexplode(F.pandas_udf(route, "array<int>")("v")).alias("place", "part"))
+    asked = store.written(routed.withColumn("edge", F.lit(None).cast("double")), "asked")
+    # The first parts give each query an edge, its k-th best score so far; later parts return only what reaches it.
+    near = _nearest_of(_reranked(homed, asked.filter(F.col("place") < FIRST_PARTS), sizes, k, "first"), k)
+    near = store.written(near, "near")
+    edges = near.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("edge"))
+    later = asked.filter(F.col("place") >= FIRST_PARTS).drop("edge").join(edges, "vec_id", "left")
+    far = _reranked(homed, later, sizes, k, "later")
+    return _nearest_of(near.select("query_id", "vec_id", "score").union(far), k)
+
+
+def _nearest_of(found: DataFrame, k: int) -> DataFrame:
+    """Each query's k nearest ids among what blocks found: query_id, rank, vec_id, score."""
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _reranked(homed: DataFrame, asked: DataFrame, sizes: np.ndarray, k: int, stage: str) -> DataFrame:
+    """(query_id, vec_id, score) of each query's k nearest ids of every block of the parts it asks, from its edge on.
+
+    A part's candidates are dealt to salts, its queries to chunks; each pair of them is a block.
+    """
     asks = {r["part"]: r["count"] for r in asked.groupBy("part").count().collect()}  # a row for each part
     blocks = [(p, -(-int(sizes[p]) // BLOCK_ROWS), -(-n // BLOCK_QUERIES)) for p, n in asks.items() if sizes[p]]
-    plan = lambda: F.broadcast(spark.createDataFrame(blocks, "part int, salts int, chunks int"))  # noqa: E731  MOST_PARTS squared rows at most
+    plan = lambda: F.broadcast(homed.sparkSession.createDataFrame(blocks, "part int, salts int, chunks int"))  # noqa: E731  MOST_PARTS squared rows at most
     hashed = F.xxhash64("vec_id")
-    cand = homed.join(plan(), "part").withColumn("salt", F.pmod(hashed, F.col("salts")).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    asked = asked.join(plan(), "part").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).withColumn("chunk", F.pmod(hashed, F.col("chunks")).cast("int"))
+    cand = homed.join(plan(), "part").select("part", "vec_id", "v", F.pmod(hashed, F.col("salts")).cast("int").alias("salt"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    queries = asked.join(plan(), "part").select("part", "vec_id", "v", "edge", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.pmod(hashed, F.col("chunks")).cast("int").alias("chunk"))
 
     def rerank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        if not len(left) or not len(right):
-            return empty
-        x, q = np.stack(left["v"].to_numpy()), np.stack(right["v"].to_numpy())
-        ids, asked_by = left["vec_id"].to_numpy(), right["vec_id"].to_numpy()
-        by_id = np.argsort(ids, kind="stable")
-        x, ids = x[by_id], ids[by_id]
-        first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))  # of each id's rows
-        rough = q @ x.T
-        rough[asked_by[:, None] == ids[None]] = -np.inf
-        out = []
-        for row, vector, who in zip(rough, q, asked_by, strict=True):
-            tops = row if len(first) == len(row) else np.maximum.reduceat(row, first)  # the best of each id
-            edge = np.partition(tops, len(tops) - k)[len(tops) - k] if len(tops) > k else -np.inf
-            # Matrix products differ in their last bits by position: all within reach are summed anew.
-            reach = np.flatnonzero((row >= edge - 1e-9 * max(1.0, abs(edge)) if np.isfinite(edge) else row > -np.inf) & np.isfinite(row))
-            exact = (x[reach] * vector).sum(1)
-            best = reach[np.lexsort((ids[reach], -exact))]
-            if len(first) < len(row):
-                best = best[np.sort(np.unique(ids[best], return_index=True)[1])]
-            best = best[:k]
-            out.append(pd.DataFrame({"query_id": who, "vec_id": ids[best], "score": (x[best] * vector).sum(1)}))
-        return pd.concat(out) if out else empty
-
+        out: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if len(left) and len(right):
+            x, q = np.stack(left["v"].to_numpy()), np.stack(right["v"].to_numpy())
+            ids, asked_by = left["vec_id"].to_numpy(), right["vec_id"].to_numpy()
+            least = right["edge"].to_numpy(dtype=float, na_value=np.nan)
+            by_id = np.argsort(ids, kind="stable")
+            x, ids = x[by_id], ids[by_id]
+            first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))  # of each id's rows
+            rough = q @ x.T
+            rough[asked_by[:, None] == ids[None]] = -np.inf
+            for row, vector, who, bound in zip(rough, q, asked_by, np.where(np.isnan(least), -np.inf, least), strict=True):
+                tops = row if len(first) == len(row) else np.maximum.reduceat(row, first)  # the best of each id
+                edge = max(bound, np.partition(tops, len(tops) - k)[len(tops) - k] if len(tops) > k else -np.inf)
+                # Matrix products differ in their last bits by position: all within reach are summed anew.
+                reach = np.flatnonzero((row >= edge - 1e-9 * max(1.0, abs(edge)) if np.isfinite(edge) else row > -np.inf) & np.isfinite(row))
+                exact = (x[reach] * vector).sum(1)
+                order = np.lexsort((ids[reach], -exact))
+                best, exact = reach[order], exact[order]
+                if len(first) < len(row):
+                    kept = np.sort(np.unique(ids[best], return_index=True)[1])
+                    best, exact = best[kept], exact[kept]
+                best, exact = best[:k][exact[:k] >= bound], exact[:k][exact[:k] >= bound]
+                out.append((np.full(len(best), who), ids[best], exact))
+        return pd.DataFrame({name: np.concatenate([o[i] for o in out]) for i, name in enumerate(("query_id", "vec_id", "score"))})
+
+    rerank.__name__ = f"rerank_{stage}"
     keys = ["part", "salt", "chunk"]
-    found = cand.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(rerank, "query_id long, vec_id long, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return cand.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(rerank, "query_id long, vec_id long, score double")
