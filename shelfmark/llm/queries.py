@@ -1,11 +1,11 @@
-"""The ten operators' queries, each over its whole table with production parameters."""
+"""The operators' queries, each over its whole table with production parameters."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import decontaminate, jaccard, langid, licenses, mixing, neighbours, sharding, toxicity, urlfilter, wrappers
+from shelfmark.llm import centroids, decontaminate, integers, jaccard, langid, licenses, mixing, negatives, neighbours, sharding, toxicity, urlfilter, wrappers
 
 #: Target weights of the mixture: the large crawl source at twice the weight of any other.
 MIX_WEIGHTS = {"src0": 2.0}
@@ -95,6 +95,19 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.scan(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every vector whose id 50 divides."""
+    rows = _table(spark, sf_dir, "embeddings")
+    vectors = integers.whole(rows, "vec_id", "label")
+    vectors = vectors.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.mine(vectors, F.col("vec_id") % 50 == 0)
+
+
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forty clusters of all vectors."""
+    return centroids.cluster(integers.whole(_table(spark, sf_dir, "embeddings"), "vec_id", dimensions=centroids.DIMENSIONS))
+
+
 def queries() -> dict:
     """Query by name."""
     return {
@@ -108,6 +121,8 @@ def queries() -> dict:
         "op8_learned_partitions": op8,
         "op9_page_wrappers": op9,
         "op10_containment_search": op10,
+        "op11_voronoi_negatives": op11,
+        "op13_hamerly_centroids": op13,
     }
 
 
@@ -119,4 +134,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_license_scan": licenses.oracle(),
         "op6_stratified_shards": sharding.oracle(SHARDS),
         "op10_containment_search": decontaminate.oracle(),
+        "op11_voronoi_negatives": negatives.oracle(),
+        "op13_hamerly_centroids": centroids.oracle(),
     }
