@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import centroids, decontaminate, integers, jaccard, langid, licenses, mixing, negatives, neighbours, sharding, toxicity, urlfilter, wrappers
+from shelfmark.llm import centroids, decontaminate, integers, jaccard, langid, licenses, mixing, negatives, neighbours, rules, sharding, toxicity, urlfilter, wrappers
 
 #: Target weights of the mixture: the large crawl source at twice the weight of any other.
 MIX_WEIGHTS = {"src0": 2.0}
@@ -103,6 +103,15 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(vectors, F.col("vec_id") % 50 == 0)
 
 
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents, learnt from two thirds of the labelled ones."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = langid.fold(F.col("doc_id"), 3) == 1
+    model = rules.fit(docs, _table(spark, sf_dir, "labels").filter(~held_out))
+    out = rules.score(docs, model)
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forty clusters of all vectors."""
     return centroids.cluster(integers.whole(_table(spark, sf_dir, "embeddings"), "vec_id", dimensions=centroids.DIMENSIONS))
@@ -122,6 +131,7 @@ def queries() -> dict:
         "op9_page_wrappers": op9,
         "op10_containment_search": op10,
         "op11_voronoi_negatives": op11,
+        "op12_rule_ensemble": op12,
         "op13_hamerly_centroids": op13,
     }
 
