@@ -8,15 +8,18 @@ routed to several most probable parts, as many as reach ``target`` recall on
 vectors held out of the sample (and at least ``k`` candidate ids), and is
 reranked there exactly.
 
-A part holds ``rows_per_part`` rows on average. One router tells at most
-``MOST_PARTS`` parts apart, so larger tables have two levels: every part of the
-first has a sample and a router of its own, learnt in a task. (Beyond MOST_PARTS
-squared times rows_per_part, 33 million rows, parts grow with the table.)
-
-Parts are searched in blocks of ``block_rows`` candidates by ``block_queries``
-queries, both counted for each part, so a part that holds a third of all rows is
-many tasks, and a part is copied only as often as its own queries ask for. The
-FIRST_PARTS most probable parts are searched first; a query's k-th best score there
+There are 1.5 times as many parts as the square root of the rows, MOST_PARTS at most:
+so many one router tells apart. Where parts would then hold more than
+``rows_per_part`` rows on average there are two levels: every part of the first has a
+sample and a router of its own, learnt in a task. (Beyond MOST_PARTS squared times
+rows_per_part, 33 million rows, parts grow with the table.) Only a table without
+16 distinct vectors has one part.
+
+Parts lie in buckets of up to BLOCK_ROWS rows, searched by BLOCK_QUERIES queries at a
+time; a part beyond that is a bucket of its own, dealt to several blocks, so one that holds a
+third of all rows is many tasks. A query is sent once to each bucket that holds
+parts it visits, and meets only these parts' rows there. The more probable quarter of its
+parts is searched first; a query's k-th best score there
 is an edge that candidates of its other parts must reach to leave their task, so
 what is merged stays near k rows a query however many parts it visits. A block
 keeps each query's k nearest ids at most. Scores are double-precision sums over the original
@@ -46,11 +49,13 @@ SAMPLE, GRAPH_K, HIDDEN = 4096, 12, 64
 #: One in so many vectors of the sample is held out to choose the number of probes.
 HELD_OUT = 4
 ROWS_PER_PART, MOST_PARTS = 2_000, 128
+#: Parts of a small table: so many times the square root of its rows.
+PARTS_BY_ROOT = 1.5
 #: Distinct vectors of a sample that each part needs.
-SAMPLE_PER_PART = 16
-TARGET = 0.95
+SAMPLE_PER_PART = 8
+TARGET = 0.93
 BLOCK_ROWS, BLOCK_QUERIES = 8_192, 1_024
-#: Parts that give a query the score which candidates of later parts must reach.
+#: Parts, at least, that give a query the score which candidates of later parts must reach.
 FIRST_PARTS = 4
 
 
@@ -223,23 +228,22 @@ class Levels:
         return out
 
     def routes(self, x: np.ndarray, sure: np.ndarray, k: int) -> list[np.ndarray]:
-        """Part numbers that each query visits; ``sure`` counts the ids that only that part has."""
+        """Part numbers that each query visits, more probable ones first; ``sure`` counts the ids that only that part has."""
         order = self.top.order(x)
         width = self.width if self.below else 1
         first = sure.reshape(-1, width).sum(1)
         visited = np.maximum(self.top.probes, (np.cumsum(first[order], 1) < k + 1).sum(1) + 1)
+        if not self.below:
+            return [parts[:n].astype(np.int32) for parts, n in zip(order, visited, strict=True)]
         out: list[list[np.ndarray]] = [[] for _ in x]
-        for p in range(self.top.parts):
-            asks = np.flatnonzero((order == p).argmax(1) < visited)
-            if not self.below:
-                for i in asks:
-                    out[i].append(np.array([p]))
-            elif len(asks):
-                own = self.below[p]
+        for place in range(int(visited.max(initial=0))):
+            at = np.where(visited > place, order[:, min(place, order.shape[1] - 1)], -1)
+            for p in np.unique(at[at >= 0]):
+                asks, own = np.flatnonzero(at == p), self.below[int(p)]
                 for i, o in zip(asks, own.order(x[asks]), strict=True):
-                    out[i].append(p * width + o[: own.probes])
+                    out[i].append(int(p) * width + o[: own.probes])
         for i, parts in enumerate(out):
-            if self.below and sum(sure[q].sum() for q in parts) < k + 1:  # too few for sure: all parts below those visited
+            if sum(sure[q].sum() for q in parts) < k + 1:  # too few for sure: all parts below those visited
                 out[i] = [p * width + np.arange(self.below[int(p)].parts) for p in order[i, : visited[i]]]
         return [np.concatenate(parts).astype(np.int32) for parts in out]
 
@@ -253,12 +257,12 @@ def _sampled(rows: DataFrame, share, sample: int, *by: str) -> DataFrame:
 
 def fit(vectors: DataFrame, total: int, k: int = K, sample: int = SAMPLE, target: float = TARGET, rows_per_part: int = ROWS_PER_PART) -> Levels:
     """Learn partitions on ``sample`` vectors chosen by hash, and as many of each part where there are two levels."""
-    parts = -(-total // rows_per_part)
-    two = parts > MOST_PARTS
+    two = total > MOST_PARTS * rows_per_part
+    parts = min(MOST_PARTS, max(-(-total // rows_per_part), int(np.ceil(PARTS_BY_ROOT * np.sqrt(total)))))
     each = target ** 0.5 if two else target
     got = _sampled(vectors.withColumn("_all", F.lit(0)), min(1.0, 1.5 * sample / max(1, total)), sample, "_all").select("v").toArrow()["v"]
     x = np.array(got.to_pylist(), float) if len(got) else np.zeros((0, 1))  # ``sample`` rows at most
-    top = Levels(learn(x, min(parts, MOST_PARTS), found_in_sample(k, len(x), total), each), {}, MOST_PARTS)
+    top = Levels(learn(x, parts, found_in_sample(k, len(x), total), each), {}, MOST_PARTS)
     if not two or top.top.router is None:
         return top
     homed = store.written(_homed(vectors, top), "homed")
@@ -299,23 +303,45 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, index: Levels | N
     spread = spread.select((F.size("at") == 1).alias("only"), F.explode("at").alias("at")).groupBy("at.part")
     for r in spread.agg(F.sum("at.count").alias("n"), F.count_if("only").alias("sure")).collect():  # a row for each part
         sizes[r["part"]], sure[r["part"]] = r["n"], r["sure"]
-    shared = spark.sparkContext.broadcast((index, sure))
+    bucket, salts = buckets(sizes)
+    shared = spark.sparkContext.broadcast((index, sure, bucket))
 
     def route(v: pd.Series) -> pd.Series:
-        own, known = shared.value
-        return pd.Series(own.routes(np.stack(v.to_numpy()), known, k) if len(v) else [], dtype=object)
-
-    routed = queries.select("vec_id", "v", F.posexplode(F.pandas_udf(route, "array<int>")("v")).alias("place", "part"))
-    asked = store.written(routed.withColumn("edge", F.lit(None).cast("double")), "asked")
+        own, known, bucket_of = shared.value
+        out = []
+        for parts in own.routes(np.stack(v.to_numpy()), known, k) if len(v) else []:
+            asks = []
+            first = max(FIRST_PARTS, -(-len(parts) // 4))
+            for later, some in enumerate((parts[:first], parts[first:])):
+                at = bucket_of[some]
+                asks += [{"later": bool(later), "bucket": int(b), "parts": some[at == b].tolist()} for b in np.unique(at)]
+            out.append(asks)
+        return pd.Series(out, dtype=object)
+
+    asks = F.pandas_udf(route, "array<struct<later boolean, bucket int, parts array<int>>>")("v")
+    asked = store.written(queries.select("vec_id", "v", F.explode(asks).alias("ask")).select("vec_id", "v", "ask.*", F.lit(None).cast("double").alias("edge")), "asked")
     # The first parts give each query an edge, its k-th best score so far; later parts return only what reaches it.
-    near = _nearest_of(_reranked(homed, asked.filter(F.col("place") < FIRST_PARTS), sizes, k, "first"), k)
+    near = _nearest_of(_reranked(homed, asked.filter("NOT later"), bucket, salts, k, "first"), k)
     near = store.written(near, "near")
     edges = near.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("edge"))
-    later = asked.filter(F.col("place") >= FIRST_PARTS).drop("edge").join(edges, "vec_id", "left")
-    far = _reranked(homed, later, sizes, k, "later")
+    later = asked.filter("later").drop("edge").join(edges, "vec_id", "left")
+    far = _reranked(homed, later, bucket, salts, k, "later")
     return _nearest_of(near.select("query_id", "vec_id", "score").union(far), k)
 
 
+def buckets(sizes: np.ndarray, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket of each part, and the salts of each bucket: neighbouring parts share one of up to ``most`` rows, a larger part has one of its own, dealt to salts."""
+    most = most or BLOCK_ROWS
+    bucket, salts, held = np.zeros(len(sizes), np.int64), [], 0
+    for p, n in enumerate(sizes):
+        if not salts or held + n > most:
+            salts.append(max(1, -(-int(n) // most)))
+            held = 0
+        bucket[p] = len(salts) - 1
+        held += n
+    return bucket, np.array(salts)
+
+
 def _nearest_of(found: DataFrame, k: int) -> DataFrame:
     """Each query's k nearest ids among what blocks found: query_id, rank, vec_id, score."""
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
@@ -323,28 +349,35 @@ def _nearest_of(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _reranked(homed: DataFrame, asked: DataFrame, sizes: np.ndarray, k: int, stage: str) -> DataFrame:
+def _reranked(homed: DataFrame, asked: DataFrame, bucket: np.ndarray, salts: np.ndarray, k: int, stage: str) -> DataFrame:
     """(query_id, vec_id, score) of each query's k nearest ids of every block of the parts it asks, from its edge on.
 
-    A part's candidates are dealt to salts, its queries to chunks; each pair of them is a block.
+    A bucket's candidates are dealt to salts, its queries to chunks; each pair of them is a block. In a block
+    a query meets only the rows of the parts that it asks.
     """
-    asks = {r["part"]: r["count"] for r in asked.groupBy("part").count().collect()}  # a row for each part
-    blocks = [(p, -(-int(sizes[p]) // BLOCK_ROWS), -(-n // BLOCK_QUERIES)) for p, n in asks.items() if sizes[p]]
-    plan = lambda: F.broadcast(homed.sparkSession.createDataFrame(blocks, "part int, salts int, chunks int"))  # noqa: E731  MOST_PARTS squared rows at most
-    hashed = F.xxhash64("vec_id")
-    cand = homed.join(plan(), "part").select("part", "vec_id", "v", F.pmod(hashed, F.col("salts")).cast("int").alias("salt"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
-    queries = asked.join(plan(), "part").select("part", "vec_id", "v", "edge", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.pmod(hashed, F.col("chunks")).cast("int").alias("chunk"))
+    spark = homed.sparkSession
+    asks = {r["bucket"]: r["count"] for r in asked.groupBy("bucket").count().collect()}  # a row for each bucket
+    chunks = {b: -(-n // BLOCK_QUERIES) for b, n in asks.items()}
+    parts = spark.createDataFrame([(p, int(b), int(salts[b]), chunks[b]) for p, b in enumerate(bucket) if b in chunks], "part int, bucket int, salts int, chunks int")
+    plan = spark.createDataFrame([(b, int(salts[b]), n) for b, n in chunks.items()], "bucket int, salts int, chunks int")
+    hashed, upto = F.xxhash64("vec_id"), lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    cand = homed.join(F.broadcast(parts), "part").select("bucket", "part", "vec_id", "v", F.pmod(hashed, F.col("salts")).cast("int").alias("salt"), upto("chunks").alias("chunk"))  # MOST_PARTS squared rows at most
+    queries = asked.join(F.broadcast(plan), "bucket").select("bucket", "parts", "vec_id", "v", "edge", upto("salts").alias("salt"), F.pmod(hashed, F.col("chunks")).cast("int").alias("chunk"))
 
     def rerank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if len(left) and len(right):
             x, q = np.stack(left["v"].to_numpy()), np.stack(right["v"].to_numpy())
-            ids, asked_by = left["vec_id"].to_numpy(), right["vec_id"].to_numpy()
+            ids, asked_by, part = left["vec_id"].to_numpy(), right["vec_id"].to_numpy(), left["part"].to_numpy()
             least = right["edge"].to_numpy(dtype=float, na_value=np.nan)
             by_id = np.argsort(ids, kind="stable")
-            x, ids = x[by_id], ids[by_id]
+            x, ids, part = x[by_id], ids[by_id], part[by_id]
             first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))  # of each id's rows
-            rough = q @ x.T
+            rough = np.full((len(q), len(x)), -np.inf)
+            who, what = np.repeat(np.arange(len(q)), [len(p) for p in right["parts"]]), np.concatenate(right["parts"].to_numpy())
+            for p in np.unique(part):
+                rows, held = who[what == p], np.flatnonzero(part == p)
+                rough[np.ix_(rows, held)] = q[rows] @ x[held].T
             rough[asked_by[:, None] == ids[None]] = -np.inf
             for row, vector, who, bound in zip(rough, q, asked_by, np.where(np.isnan(least), -np.inf, least), strict=True):
                 tops = row if len(first) == len(row) else np.maximum.reduceat(row, first)  # the best of each id
@@ -362,5 +395,5 @@ def _reranked(homed: DataFrame, asked: DataFrame, sizes: np.ndarray, k: int, sta
         return pd.DataFrame({name: np.concatenate([o[i] for o in out]) for i, name in enumerate(("query_id", "vec_id", "score"))})
 
     rerank.__name__ = f"rerank_{stage}"
-    keys = ["part", "salt", "chunk"]
+    keys = ["bucket", "salt", "chunk"]
     return cand.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(rerank, "query_id long, vec_id long, score double")
