@@ -12,7 +12,10 @@ line starts are taken off, blank lines part paragraphs, and the lines of a
 paragraph are joined before it is cut at stops. A paragraph that so gives no known
 sentence, or only one of an unnamed licence, is cut at its line ends too (a
 title over a copyright line; a licence line amid lines without stops). The
-sentence of an SPDX identifier gives an identifier for each licence it names.
+sentence of an SPDX identifier gives an identifier for each licence and exception of its
+expression. A sentence that says what something is licensed under, or that is a
+licence's name alone, and is no other known sentence gives one for each licence that it names, whatever
+clauses follow; a denied one ("not licensed under") gives none.
 
 Everything is DataFrame functions over one row at a time: no shuffle. Only texts,
 and of them paragraphs and sentences, that hold one of the words that every known
@@ -26,6 +29,7 @@ ignored. Very long texts are one row's arrays of sentences.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -97,19 +101,49 @@ SENTENCES = [
     ("AllRights", r"all rights reserved"),
     ("Other", r".*\b(?:licen[cs]ed|released) under (?:the |a |an )?.*licen[cs]e.*"),
 ]
-#: Identifiers that an SPDX sentence may name, after normalisation, and their licences.
-SPDX = [
-    ("SpdxMit", "mit", "MIT"), ("SpdxIsc", "isc", "ISC"), ("SpdxApache2", "apache 2 0", "Apache-2.0"),
-    ("SpdxGpl3Later", "gpl 3 0 or later", "GPL-3.0-or-later"), ("SpdxGpl2Later", "gpl 2 0 or later", "GPL-2.0-or-later"),
-    ("SpdxGpl3", "gpl 3 0(?: only)?", "GPL-3.0"), ("SpdxGpl2", "gpl 2 0(?: only)?", "GPL-2.0"),
-    ("SpdxLgpl3Later", "lgpl 3 0 or later", "LGPL-3.0-or-later"), ("SpdxLgpl21Later", "lgpl 2 1 or later", "LGPL-2.1-or-later"),
-    ("SpdxLgpl3", "lgpl 3 0(?: only)?", "LGPL-3.0"), ("SpdxLgpl21", "lgpl 2 1(?: only)?", "LGPL-2.1"),
-    ("SpdxAgpl3Later", "agpl 3 0 or later", "AGPL-3.0-or-later"), ("SpdxAgpl3", "agpl 3 0(?: only)?", "AGPL-3.0"),
-    ("SpdxMpl2", "mpl 2 0", "MPL-2.0"), ("SpdxEpl2", "epl 2 0", "EPL-2.0"), ("SpdxEpl1", "epl 1 0", "EPL-1.0"),
-    ("SpdxBoost", "bsl 1 0", "BSL-1.0"), ("SpdxZlib", "zlib", "Zlib"), ("SpdxUnlicense", "unlicense", "Unlicense"), ("SpdxCc0", "cc0 1 0", "CC0-1.0"),
-    ("SpdxArtistic2", "artistic 2 0", "Artistic-2.0"), ("SpdxBsd3", "bsd 3 clause", "BSD-3-Clause"), ("SpdxBsd2", "bsd 2 clause", "BSD-2-Clause"),
-    ("SpdxCcBy4", "cc by 4 0", "CC-BY-4.0"), ("SpdxCcBySa4", "cc by sa 4 0", "CC-BY-SA-4.0"), ("SpdxCcByNc4", "cc by nc 4 0", "CC-BY-NC-4.0"),
+#: Identifiers of SPDX expressions; of GNU licences the plain ones, "-only" and "-or-later" follow.
+PLAIN = (
+    "0BSD AFL-3.0 Apache-1.1 Apache-2.0 Artistic-1.0 Artistic-2.0 BSD-2-Clause BSD-3-Clause BSD-4-Clause BSL-1.0 CC0-1.0 CDDL-1.0 CDDL-1.1 ECL-2.0 EPL-1.0 EPL-2.0 "
+    "EUPL-1.1 EUPL-1.2 ISC MIT MIT-0 MPL-1.1 MPL-2.0 MS-PL NCSA OFL-1.1 OpenSSL PostgreSQL Python-2.0 Ruby Unlicense UPL-1.0 Vim W3C WTFPL X11 Zlib ZPL-2.1"
+).split()
+GNU = "GPL-1.0 GPL-2.0 GPL-3.0 LGPL-2.0 LGPL-2.1 LGPL-3.0 AGPL-3.0".split()
+EXCEPTIONS = "Autoconf-exception-3.0 Bison-exception-2.2 Classpath-exception-2.0 Font-exception-2.0 GCC-exception-3.1 Linux-syscall-note LLVM-exception OpenJDK-assembly-exception-1.0".split()
+CC_KINDS, CC_VERSIONS = "BY BY-SA BY-NC BY-ND BY-NC-SA BY-NC-ND".split(), "1.0 2.0 2.5 3.0 4.0".split()
+#: How sentences name licences, once GNU and Creative Commons names are in their short form.
+NAMED = [
+    ("MIT", r"\b(?:mit|expat)(?: x11)?(?: style)? licen[cs]es?\b|\b(?:under|or|and|either|licen[cs]e) (?:the )?mit\b"),
+    ("ISC", r"\bisc licen[cs]es?\b|\b(?:under|or|and|either|licen[cs]e) (?:the )?isc\b"),
+    ("Zlib", r"\bzlib(?: libpng)? licen[cs]es?\b|\b(?:under|or|and|either|licen[cs]e) (?:the )?zlib\b"),
+    ("Apache-2.0", r"\bapache(?: software)?(?: licen[cs]e)?(?: version| v)? ?2(?: 0)?\b"),
+    ("Apache-1.1", r"\bapache(?: software)?(?: licen[cs]e)?(?: version| v)? ?1 1\b"),
+    ("MPL-2.0", r"\b(?:mpl|mozilla public licen[cs]e)(?: version| v)? ?2(?: 0)?\b"),
+    ("MPL-1.1", r"\b(?:mpl|mozilla public licen[cs]e)(?: version| v)? ?1 1\b"),
+    ("EPL-2.0", r"\b(?:epl|eclipse public licen[cs]e)(?: version| v)? ?2(?: 0)?\b"),
+    ("EPL-1.0", r"\b(?:epl|eclipse public licen[cs]e)(?: version| v)? ?1(?: 0)?\b"),
+    ("BSL-1.0", r"\bboost software licen[cs]e\b"),
+    ("Artistic-2.0", r"\bartistic licen[cs]e(?: version| v)? ?2(?: 0)?\b"),
+    ("BSD-3-Clause", r"\b(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd|bsd new)\b"),
+    ("BSD-2-Clause", r"\b(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd) ?"),
+    ("Unlicense", r"\bunlicense\b"),
+    ("CC0-1.0", r"\bcc0\b|\bcc zero\b"),
+    ("WTFPL", r"\bwtfpl\b|\bdo what the fuck you want to public licen[cs]e\b"),
+    *[(f"{n[:-4]}-{v}{end}", rf"\b{n[:-4].lower()}{word} {v[0]}{r'(?: 0)?' if v[2] == '0' else f' {v[2]}'}\b") for n in GNU if n != "LGPL-2.0" for v in (n[-3:],) for end, word in (("", ""), ("-or-later", "plus"))],
 ]
+#: Rewriting to those short forms, in order: pattern, and what stands for it (groups as {1}, {2}).
+SHORT = [
+    (r"(?:gnu )?affero (?:gnu )?general public licen[cs]e", "agpl"),
+    (r"(?:gnu )?(?:lesser|library) (?:gnu )?general public licen[cs]e", "lgpl"),
+    (r"(?:gnu )?general public licen[cs]e", "gpl"),
+    (r"\b([al]?gpl)(?: licen[cs]e)?(?: version| v)? ?v?([0-9])\b", "{1} {2}"),
+    (r"\b([al]?gpl) ([0-9](?: [0-9])?)(?: licen[cs]e)?(?: and)? or (?:at your option )?(?:any )?(?:later|newer|greater)\b", "{1}plus {2}"),
+    (r"\bcreative commons\b", "cc"), (r"\battribution\b", "by"), (r"\bnon ?commercial\b", "nc"), (r"\bshare ?alike\b", "sa"), (r"\bno ?deriv(?:ative)?s?(?: works)?\b", "nd"),
+    (r"\b(by|sa|nc|nd) (?:international |unported |generic )?(?:licen[cs]e )?(?:version |v ?)?([1-4])\b", "{1} {2}"),
+]
+CC_NAME = r"\bcc (by(?: nc)?(?: sa| nd)?) ([1-4] [05])\b"
+#: A sentence that says what something is licensed under, one that is little but a name, and a denial.
+SAYS = r"\b(?:licen[cs]ed|released|distributed|available|provided|published|covered|governed|usable|offered)(?: \w+){0,3} (?:under|by)\b|^(?:project |code |software )?licen[cs]es? (?:type |is |are )?(?:the )?\w+(?: \w+){0,6}$"
+TITLE = r"^(?:the )?(?:wtfpl|do what the fuck you want to public licen[cs]e|(?:gnu )?[al]?gpl(?:plus)? [0-9](?: [0-9])?|cc by(?: nc)?(?: sa| nd)? [1-4] [05]|unlicense|mit x11 licen[cs]e)(?: licen[cs]e| international| unported| universal| version [0-9].*)*$"
+DENIES = r"\b(?:not|never|neither|no longer) (?:\w+ ){0,2}(?:licen[cs]ed|released|distributed|available|provided|published|covered|governed|usable|offered)\b"
 #: Rules in order; a sequence of identifiers that stand next to one another.
 RULES = [
     ("MIT", ("MitTitle", "MitPermission", "MitNotice", "AsIs")),
@@ -176,10 +210,9 @@ RULES = [
     ("MIT", ("MitTitle",)),
     ("ISC", ("IscRelease",)),
     ("Public-Domain", ("PublicDomain",)),
-    *[(name, (id_,)) for id_, _, name in SPDX],
 ]
 #: Every known sentence holds one of these.
-HINT = r"licen|permission|redistribut|warrant|nor the names|rights reserved|public domain|unencumbered|cc0|creative commons|anyone is free|neighboring rights|except in compliance|copy of the mpl"
+HINT = r"licen|gpl|wtf|cc[ -]by|permission|redistribut|warrant|nor the names|rights reserved|public domain|unencumbered|cc0|creative commons|anyone is free|neighboring rights|except in compliance|copy of the mpl"
 #: Marks of comments at the start of a line, and what ends a paragraph, a sentence, a line's sentence.
 MARK = r"(?m)^[ \t]*(?:/\*+|\*+/?|//+|#+|;+|--+|%+|<!--|dnl\b|rem\b)[ \t]*"
 PARAGRAPH = r"\r?\n[ \t]*\r?\n\s*"
@@ -190,26 +223,66 @@ VERSION = r";\s+either\s"
 SPDX_START = "spdx license identifier"
 
 
+#: Identifiers of single licences: one that an expression or a sentence names is a rule of its own.
+SPDX_IS, NAMED_IS = "Spdx", "Named"
+SINGLE = r"<(?:Spdx|Named)([^<>]+)>"
+#: A version with a plus says "or later".
+PLUS = r"([0-9])\+"
+
+
+def spdx_keys() -> dict[str, str]:
+    """Licence or exception by its normalised identifier; a key "... plus" stands for "or later"."""
+    out = {n: n for n in [*PLAIN, *EXCEPTIONS, *(f"CC-{k}-{v}" for k in CC_KINDS for v in CC_VERSIONS)]}
+    out |= {f"{n}{end}": f"{n}{'-or-later' if end == ' plus' else ''}" for n in GNU for end in ("", "-only", " plus")}
+    return {re.sub(r"[^a-z0-9]+", " ", key.lower()): name for key, name in out.items()}
+
+
+def _spdx_key(words: str = " ") -> str:
+    """Pattern of an expression's part: a known identifier, longer ones first, and what follows it."""
+    return rf"^({'|'.join(sorted(spdx_keys(), key=lambda k: (-len(k), k)))})(?:{words}.*)?$"
+
+
+#: What parts an expression, after "or later" has become "plus".
+OPERATOR = " (?:or|and|with) "
+LATER = r"\b([0-9]) or later\b"
+
+
+def _any(pairs: list[tuple[str, str]]) -> str:
+    return "^(?:" + "|".join(f"(?:{p})" for _, p in pairs) + ")$"
+
+
 def _known(sentence: Column) -> Column:
-    """Identifiers of a normalised sentence, joined by blanks: one, or those that an SPDX sentence names; else null."""
-    # The patterns are a literal array that is walked, not an expression each: the plan stays small.
+    """Identifiers of a normalised sentence, joined by blanks: one, or those of all licences that it names; else null."""
+    # The patterns are a literal array that is walked, not an expression each: the plan stays small. One pattern
+    # of all of them comes first, so few sentences are walked.
     table = lambda pairs: F.array(*[F.struct(F.lit(n).alias("name"), F.lit(p).alias("pattern")) for n, p in pairs])
-    fits = lambda pairs: F.transform(F.filter(table(pairs), lambda p: F.rlike(sentence, p["pattern"])), lambda p: p["name"])
-    one = F.get(fits([(n, f"^(?:{p})$") for n, p in SENTENCES]), 0)
-    named = F.array_join(fits([(SPDX[i][0], _spdx(i)) for i in range(len(SPDX))]), " ")
-    return F.when(sentence.startswith(SPDX_START), F.when(named == "", F.lit("SpdxOther")).otherwise(named)).otherwise(one)
+    fits = lambda s, pairs: F.transform(F.filter(table(pairs), lambda p: F.rlike(s, p["pattern"])), lambda p: p["name"])
+    exact, other = SENTENCES[:-1], SENTENCES[-1]
+    one = F.when(sentence.rlike(_any(exact)), F.get(fits(sentence, [(n, f"^(?:{p})$") for n, p in exact]), 0))
+    # An SPDX expression.
+    parts = F.split(F.trim(F.regexp_replace(F.substring(sentence, len(SPDX_START) + 1, 1 << 30), LATER, "$1 plus")), OPERATOR)
+    keys = F.map_from_arrays(F.array(*map(F.lit, spdx_keys())), F.array(*map(F.lit, spdx_keys().values())))
+    found = F.filter(F.transform(parts, lambda p: F.try_element_at(keys, F.regexp_extract(p, _spdx_key(), 1))), lambda n: n.isNotNull())
+    spdx = F.array_join(F.array_distinct(F.transform(found, lambda n: F.concat(F.lit(SPDX_IS), n))), " ")
+    # Names in a sentence that says what something is licensed under.
+    short = sentence
+    for pattern, to in SHORT:
+        short = F.regexp_replace(short, pattern, to.replace("{1}", "$1").replace("{2}", "$2"))
+    says = F.lit("|".join(f"(?:{p})" for _, p in NAMED) + f"|{CC_NAME}")
 
+    def names(short: Column) -> Column:
+        of_cc = F.transform(F.regexp_extract_all(short, F.lit(CC_NAME), 0), lambda x: F.regexp_replace(F.regexp_replace(F.upper(x), " ([0-9]) ([0-9])$", "-$1.$2"), " ", "-"))
+        return F.array_join(F.array_distinct(F.transform(F.concat(fits(short, NAMED), of_cc), lambda n: F.concat(F.lit(NAMED_IS), n))), " ")
 
-def _spdx(i: int) -> str:
-    """Pattern of an SPDX sentence that names the licence, by itself or with others; "or later" makes another one."""
-    named = SPDX[i][1]
-    ends = "(?: .*)?" if named.endswith("later") else "(?: (?:[^o]|o[^r]|or [^l]|or l[^a]).*)?"
-    return f"^{SPDX_START} (?:.* )?{named}{ends}$"
+    told = (sentence.rlike(SAYS) & ~sentence.rlike(DENIES)) | short.rlike(TITLE)
+    named = F.when(told & F.rlike(short, says), names(short))
+    rest = F.when(sentence.rlike(f"^(?:{other[1]})$") & ~sentence.rlike(DENIES), F.lit(other[0]))
+    return F.when(sentence.startswith(SPDX_START), F.when(spdx == "", F.lit("OtherSpdx")).otherwise(spdx)).otherwise(F.coalesce(one, named, rest))
 
 
 def _ids(text: Column, cut: str) -> Column:
     sentences = F.filter(F.split(text, cut), lambda s: s.rlike(HINT))
-    plain = F.transform(sentences, lambda s: F.trim(F.regexp_replace(s, r"[^\p{L}\p{N}]+", " ")))
+    plain = F.transform(sentences, lambda s: F.trim(F.regexp_replace(F.regexp_replace(s, PLUS, "$1 or later "), r"[^\p{L}\p{N}]+", " ")))
     return F.filter(F.transform(plain, _known), lambda s: s.isNotNull())
 
 
@@ -245,17 +318,31 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     for name in dict.fromkeys(name for name, _ in RULES):
         fits = [h for h, (other, _) in zip(hits, RULES, strict=True) if other == name]
         listed.append(F.when(reduce(Column.__or__, fits), F.lit(name)))
-    names = F.concat_ws(" ", *listed)
-    unknown = F.regexp_count("_left", F.lit("<"))
+    # What is left of single licences names them itself; each is listed once.
+    single = F.regexp_extract_all("_left", F.lit(SINGLE), 1)
+    by_rule = F.array_compact(F.array(*listed))
+    names = F.array_join(F.concat(by_rule, F.array_except(single, by_rule)), " ")
+    unknown = F.regexp_count(F.regexp_replace("_left", SINGLE, "|"), F.lit("<"))
     shown = F.when(F.col("_n") == 0, F.lit("NONE")).when(names == "", F.lit("UNKNOWN")).otherwise(names)
     return ids.select("doc_id", "sentence_ids", shown.alias("licenses"), unknown.cast("int").alias("unknown_sentences"))
 
 
 def oracle() -> str:
     """The same in DuckDB SQL."""
-    known = " ".join(f"WHEN regexp_full_match(x, '{p}') THEN '{n}'" for n, p in SENTENCES)
-    named = ", ".join(f"CASE WHEN regexp_matches(x, '{_spdx(i)}') THEN '{SPDX[i][0]}' END" for i in range(len(SPDX)))
-    known = f"CASE WHEN starts_with(x, '{SPDX_START}') THEN coalesce(nullif(concat_ws(' ', {named}), ''), 'SpdxOther') ELSE CASE {known} END END"
+    exact, other = SENTENCES[:-1], SENTENCES[-1]
+    one = " ".join(f"WHEN regexp_full_match(x, '{p}') THEN '{n}'" for n, p in exact)
+    keys = ", ".join(f"'{k}': '{SPDX_IS}{n}'" for k, n in spdx_keys().items())
+    parts = f"regexp_split_to_array(trim(regexp_replace(substr(x, {len(SPDX_START) + 1}), '{LATER}', '\\1 plus', 'g')), '{OPERATOR}')"
+    spdx = f"list_transform({parts}, lambda p: MAP {{{keys}}}[regexp_extract(p, '{_spdx_key()}', 1)])"
+    short = "x"
+    for pattern, to in SHORT:
+        short = f"regexp_replace({short}, '{pattern}', '{to.replace('{1}', chr(92) + '1').replace('{2}', chr(92) + '2')}', 'g')"
+    cc = f"list_transform(regexp_extract_all(y, '{CC_NAME}'), lambda n: '{NAMED_IS}' || replace(regexp_replace(upper(n), ' ([0-9]) ([0-9])$', '-\\1.\\2'), ' ', '-'))"
+    named = f"list_concat([{', '.join(f"CASE WHEN regexp_matches(y, '{p}') THEN '{NAMED_IS}{n}' END" for n, p in NAMED)}], {cc})"
+    once = lambda names: f"list_reduce({names}, lambda a, b: CASE WHEN b IS NULL OR list_contains(string_split(a, ' '), b) THEN a WHEN a = '' THEN b ELSE a || ' ' || b END, '')"
+    told = f"((regexp_matches(x, '{SAYS}') AND NOT regexp_matches(x, '{DENIES}')) OR regexp_matches(y, '{TITLE}'))"
+    known = f"""CASE WHEN starts_with(x, '{SPDX_START}') THEN coalesce(nullif({once(spdx)}, ''), 'OtherSpdx')
+      ELSE coalesce(CASE {one} END, CASE WHEN {told} THEN nullif({once(named)}, '') END, CASE WHEN regexp_full_match(x, '{other[1]}') AND NOT regexp_matches(x, '{DENIES}') THEN '{other[0]}' END) END"""
     steps, before = [], "l0"
     for i, (_, sequence) in enumerate(RULES):
         mark = "".join(f"<{s}>" for s in sequence)
@@ -271,16 +358,17 @@ WITH p AS (SELECT doc_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS pos FRO
 c AS (SELECT doc_id, pos, 1 AS way, regexp_split_to_array(regexp_replace(p, '{VERSION}', ' either ', 'g') || ' ', '{STOP}') AS ss FROM p WHERE regexp_matches(p, '{HINT}')
   UNION ALL SELECT doc_id, pos, 2, regexp_split_to_array(p, '{LINE}') FROM p WHERE regexp_matches(p, '{HINT}')),
 s AS (SELECT doc_id, pos, way, unnest(ss) AS raw, generate_subscripts(ss, 1) AS spot FROM c),
-k AS (SELECT doc_id, pos, way, spot, {known} AS id
-      FROM (SELECT doc_id, pos, way, spot, trim(regexp_replace(raw, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS x FROM s WHERE regexp_matches(raw, '{HINT}'))),
+x AS (SELECT doc_id, pos, way, spot, trim(regexp_replace(regexp_replace(raw, '{PLUS}', '\\1 or later ', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS x FROM s WHERE regexp_matches(raw, '{HINT}')),
+k AS (SELECT doc_id, pos, way, spot, {known} AS id FROM (SELECT *, {short} AS y FROM x)),
 w AS (SELECT doc_id, pos, way, string_agg(id, ' ' ORDER BY spot) AS ids, bool_or(id <> 'Other') AS named FROM k WHERE id IS NOT NULL GROUP BY ALL),
 v AS (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.pos, b.pos) AS pos, CASE WHEN a.named OR b.ids IS NULL THEN a.ids ELSE b.ids END AS ids
       FROM (SELECT * FROM w WHERE way = 1) a FULL JOIN (SELECT * FROM w WHERE way = 2) b ON a.doc_id = b.doc_id AND a.pos = b.pos),
 g AS (SELECT doc_id, string_agg(ids, ' ' ORDER BY pos) AS ids FROM v GROUP BY doc_id),
 l0 AS (SELECT d.doc_id, coalesce(ids, '') AS sentence_ids, CASE WHEN ids IS NULL THEN '' ELSE '<' || replace(ids, ' ', '><') || '>' END AS lft0 FROM documents d LEFT JOIN g USING (doc_id)),
 {", ".join(steps)},
-r AS (SELECT *, concat_ws(' ', {", ".join(listed)}) AS found FROM {before})
+n AS (SELECT *, list_filter([{", ".join(listed)}], lambda n: n IS NOT NULL) AS by_rule, regexp_extract_all(lft{len(RULES)}, '{SINGLE}', 1) AS single FROM {before}),
+r AS (SELECT *, regexp_replace(lft{len(RULES)}, '{SINGLE}', '|', 'g') AS rest, {once('list_concat(by_rule, single)')} AS found FROM n)
 SELECT doc_id, sentence_ids,
   CASE WHEN sentence_ids = '' THEN 'NONE' WHEN found = '' THEN 'UNKNOWN' ELSE found END AS licenses,
-  (len(lft{len(RULES)}) - len(replace(lft{len(RULES)}, '<', '')))::INTEGER AS unknown_sentences FROM r
+  (len(rest) - len(replace(rest, '<', '')))::INTEGER AS unknown_sentences FROM r
 """.strip()

@@ -8,9 +8,9 @@ suspect). A host whose share of distrust, distrust / (trust + distrust), is over
 ``threshold`` is blocked; other hosts, also those that neither reaches, are
 allowed.
 
-Seeds are hosts whose own pages the rules judge alike: at least half of the
-host's pages fit a rule and all that fit have one verdict. More seeds can be
-named.
+Seeds: a host is trusted by the number of its pages that a rule allows, and
+distrusted by the number that a rule blocks; it can be both. More seeds can be
+named; a named host is only what it is named.
 
 Edges. A page's host links to every other host of a url in its html (``href``,
 ``src``, ``action``, ``cite``, ``content``, ``data`` and ``poster`` attributes) and
@@ -21,12 +21,13 @@ counts once, with its largest weight. Every node divides its score among its
 edges by weight; scores that reach a node without edges end there.
 
 Both ranks are propagated together by joins and sums over one (host, trust,
-distrust) table, written to the shared folder every second round to cut lineage.
-What two rounds add to a rank shrinks by damping squared with every two more, once
-it has spread; the geometric sum of all that is to come is added as an estimate.
-Rounds go on until no host's estimate changes by more than ``settled`` of itself
-(so no new host was reached), however small it is and however many rounds that
-takes. Nothing but the largest change reaches the driver.
+distrust) table; STEP rounds are one plan, whose result is written to the shared
+folder to cut lineage. What a step adds to a rank shrinks by the damping of its rounds with every
+one more, once it has spread; the geometric sum of all that is to come is added as an
+estimate. Steps go on until no new host is reached and no host's share of distrust, by
+these estimates, changes by more than ``settled``, however small its ranks are (of a single rank:
+until it changes by no more than ``settled`` of itself). Nothing but the largest change reaches
+the driver.
 
 Defined results: a null url, or one without ``://``, has empty host and path and
 fits no rule; it is judged by the host "" like any other. Null html has no
@@ -47,8 +48,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 DAMPING, THRESHOLD = 0.85, 0.5
 #: Weight of the tie between a host and the domain above it, where a link weighs 1.
 DOMAIN_WEIGHT = 0.25
-#: Largest change of a rank's estimate in two rounds, as a share of it, at which it is settled.
-SETTLED = 1e-6
+#: Largest change in a step at which ranks are settled, and the rounds of a step.
+SETTLED, STEP = 1e-4, 6
 LINK = r"""(?i)\b(?:href|src|action|cite|content|data|poster)\s*=\s*["']?(?:\s*//|[^"'<>]*?[a-z][a-z0-9+.-]*://)(?:[^/?#"'\s<>@]*@)?([^/?#"'\s<>@]+)"""
 #: A url in a query, plain or with its marks escaped.
 QUERY_LINK = r"""(?i)[?&;][^=&#]*=[a-z][a-z0-9+.-]*(?::|%3a)(?:/|%2f){2}([^/?#&;"'\s<>%@]+)"""
@@ -125,11 +126,11 @@ def _spread(base: DataFrame, moves: DataFrame, names: list[str], damping: float,
     last = store.written(first, "rank")
     if not moves.limit(1).count():
         return last.select("host", *names)
-    # What two rounds add shrinks by damping squared in two more, so all that is to come is a geometric sum.
-    rest = damping**2 / (1 - damping**2)
+    # What a step adds shrinks by so much in the next one: all that is to come is a geometric sum.
+    rest = damping**STEP / (1 - damping**STEP)
     while True:
         rank = last.select("host", *names)
-        for _ in range(2):
+        for _ in range(STEP):
             moved = moves.alias("m").join(rank.alias("r"), F.col("m.src") == F.col("r.host")).select(F.col("m.dst").alias("host"), *[(F.col(f"m.{n}") * F.col(f"r.{n}")).alias(n) for n in names])
             rank = moved.unionByName(start).groupBy("host").agg(*[F.sum(n).alias(n) for n in names])
         joined = rank.alias("n").join(last.alias("l"), "host", "left")
@@ -138,8 +139,14 @@ def _spread(base: DataFrame, moves: DataFrame, names: list[str], damping: float,
         new = store.written(joined.select("host", *[F.col(f"n.{n}") for n in names], *end, *[before(f"{n}_end").alias(f"{n}_was") for n in names]), "rank")
         store.drop(last)
         last = new
-        moved_by = [F.when(F.col(f"{n}_end") > 0, F.abs(F.col(f"{n}_end") - F.col(f"{n}_was")) / F.col(f"{n}_end")).otherwise(F.lit(0.0)) for n in names]
-        if (last.agg(F.max(F.greatest(F.lit(0.0), *moved_by)).alias("c")).first()["c"] or 0.0) <= settled:
+        share = lambda end: F.col(names[-1] + end) / sum((F.col(n + end) for n in names), F.lit(0.0))
+        fresh = sum((F.col(f"{n}_was") for n in names), F.lit(0.0)) == 0
+        if len(names) > 1:
+            change = F.when(fresh, F.lit(1.0)).otherwise(F.abs(share("_end") - share("_was")))
+        else:
+            change = F.when(fresh, F.lit(1.0)).otherwise(F.abs(F.col(f"{names[0]}_end") / F.col(f"{names[0]}_was") - 1))
+        reached = sum((F.col(f"{n}_end") for n in names), F.lit(0.0)) > 0
+        if (last.agg(F.max(F.when(reached, change).otherwise(F.lit(0.0))).alias("c")).first()["c"] or 0.0) <= settled:
             return last.select("host", *[F.col(f"{n}_end").alias(n) for n in names])
 
 
@@ -169,14 +176,12 @@ def judge(
     hosts = narrow.groupBy("host").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("_by_rule") == "allow").alias("good"), F.count_if(F.col("_by_rule") == "block").alias("bad")
     )
-    fits = F.col("good") + F.col("bad")
-    alike = (2 * fits >= F.col("n")) & ((F.col("good") == 0) | (F.col("bad") == 0))
     named_good, named_bad = F.col("host").isin(list(trusted or [])), F.col("host").isin(list(blocked or []))
     seeds = store.written(
         hosts.filter(F.col("host") != "").select(
             "host",
-            F.when(named_good, F.col("n")).when(named_bad, F.lit(0)).otherwise(F.when(alike, F.col("good")).otherwise(0)).alias("good"),
-            F.when(named_bad, F.col("n")).when(named_good, F.lit(0)).otherwise(F.when(alike, F.col("bad")).otherwise(0)).alias("bad"),
+            F.when(named_good, F.col("n")).when(named_bad, F.lit(0)).otherwise(F.col("good")).alias("good"),
+            F.when(named_bad, F.col("n")).when(named_good, F.lit(0)).otherwise(F.col("bad")).alias("bad"),
         ).filter("good + bad > 0"),
         "seeds",
     )

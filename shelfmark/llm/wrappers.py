@@ -14,10 +14,11 @@ few to tell (fewer than three, copies counted once, or the heaviest block is the
 same on all), all characters count. From the root, the way goes down as long as
 one child holds more than half of what is left; an ``article`` or ``main`` element,
 or one of that role, is evidence of its own and counts ``TAGGED`` times. Where the
-way ends is the article; texts in it that are the same on all pages are left out,
-unless a tag named it. Menus, headers, footers, sidebars, notices, adverts, forms
+way ends is the article: what is the same on all pages weighs nothing on the way, but in
+the article nothing is left out for being the same. Menus, headers, footers, sidebars, notices, adverts, forms
 and comments are left out by tag and by whole class, id or role words; an
-``article`` or ``main`` never is. Every page is read with its host's wrapper; text
+``article`` or ``main`` never is, nor a header in the article. A page of which these words would
+leave nothing is read without them, by tags alone. Every page is read with its host's wrapper; text
 is dropped for no other reason.
 
 Sequences are aligned along a longest common subsequence, found with bit vectors
@@ -34,7 +35,7 @@ it chooses between a broadcast and a shuffle join with the pages.
 Defined results: null or empty html gives an empty text; pages whose url is null
 or has no ``://`` share the host ""; unclosed, broken or cut markup is read as
 far as it goes; a page without the wrapper's article, or without text in it,
-falls back to its own expression; repeated rows give repeated results; extra
+falls back to its own expression, then to all of the page outside the tags that never hold an article; repeated rows give repeated results; extra
 columns are ignored.
 """
 
@@ -73,13 +74,20 @@ STOPS = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td
 DROPPED = frozenset("head nav footer aside form script style noscript template iframe button select textarea svg dialog menu object canvas".split())
 ARTICLE = frozenset(("article", "main"))
 #: Label words of what is not the article; words of layout may stand beside them ("site-footer").
+_HEAD = r"(?:header|masthead)"
 _AWAY = (
-    r"(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav[^\W_]*|menu[^\W_]*|breadcrumbs?|sidebar|side|footer|header|masthead|comments?|commentlist|"
-    r"repl(?:y|ies)|disqus|respond|notices?|cookies?|consent|gdpr|alert|newsletter|subscribe|shar(?:e|ing)|social|related|recommend\w*|popup|modal|"
+    r"(?:ads?|adsby\w+|adsense|ad(?:box|slot|unit|block)s?|advert\w*|sponsor\w*|promo\w*|banner|nav[^\W_]*|menu[^\W_]*|breadcrumbs?|sidebar|side|footer|"
+    r"disqus|respond|notices?|cookies?|consent|gdpr|alert|newsletter|subscribe|shar(?:e|ing)|social|related|recommend\w*|popup|modal|"
     r"widget|skip|login|search|contentinfo|complementary|navigation)"
 )
 _LAYOUT = r"(?:site|page|main|global|primary|secondary|top|bottom|left|right|bar|box|list|links?|area|wrap(?:per)?|container|inner|outer|block|section|form|slot|unit)"
-AWAY = re.compile(rf"(?:^|[.#@])(?:{_LAYOUT}[_-]+)*{_AWAY}(?:[_-]+(?:{_AWAY}|{_LAYOUT}))*[_-]*(?=$|[.#@])")
+#: Words of reader comments, and of who writes them, where and what of them.
+_COMMENTS = r"(?:comments?|commentlist|repl(?:y|ies)|discussion|disqus)"
+_OF_COMMENTS = rf"(?:{_LAYOUT}|users?|readers?|visitors?|guests?|post|fb|facebook|thread|feed|count|item|body|content|text|author|meta|title|children|new|add|all)"
+_WORDS = rf"(?:(?:{_LAYOUT}[_-]+)*{_AWAY}(?:[_-]+(?:{_AWAY}|{_LAYOUT}))*|(?:{_OF_COMMENTS}[_-]+)*{_COMMENTS}(?:[_-]+(?:{_COMMENTS}|{_OF_COMMENTS}))*)"
+_HEADS = rf"(?:{_LAYOUT}[_-]+)*{_HEAD}(?:[_-]+(?:{_AWAY}|{_HEAD}|{_LAYOUT}))*"
+INSIDE = re.compile(rf"(?:^|[.#@]){_WORDS}[_-]*(?=$|[.#@])")
+AWAY = re.compile(rf"(?:^|[.#@])(?:{_WORDS}|{_HEADS})[_-]*(?=$|[.#@])")
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 SPACE = re.compile(r"\s+")
@@ -333,7 +341,7 @@ def _is_away(label: str, in_article: bool) -> bool:
         return True
     if _is_article(label):
         return False
-    return tag not in ("html", "body") and tag != label and bool(AWAY.search(label[len(tag) :]))
+    return tag not in ("html", "body") and tag != label and bool((INSIDE if in_article else AWAY).search(label[len(tag) :]))
 
 
 def _is_article(label: str) -> bool:
@@ -368,7 +376,7 @@ def _step(path: int, label: str) -> int:
 
 
 def plan(wrapper: list, differing: int) -> dict:
-    """What a page is read by: the label paths of the article, and paths of fixed text to leave out.
+    """What a page is read by: the label path of the article.
 
     ``differing`` is the number of pages of different text that the wrapper was met on.
     """
@@ -381,21 +389,19 @@ def plan(wrapper: list, differing: int) -> dict:
 
     top = heaviest(wrapper)
     articles_differ = differing >= DIFFERING and (top[SAME] is None or top[OPTIONAL])
-    fixed: set[int] = set()
     weights: dict[int, int] = {}
 
-    def weigh(node: list, path: int) -> int:
+    def weigh(node: list) -> int:
         """Characters of the slots below, kept for each node."""
         own = max(0, node[MASS] - node[LINKED])
         if node[TEXT] and articles_differ and not node[OPTIONAL]:
-            fixed.add(path)
             own = 0
-        own += sum(weigh(c, _step(path, c[LABEL])) for c in shown(node))
+        own += sum(weigh(c) for c in shown(node))
         weights[id(node)] = own * TAGGED if _is_article(node[LABEL]) else own
         return weights[id(node)]
 
     node, path = wrapper, 0
-    weigh(wrapper, 0)
+    weigh(wrapper)
     while not _is_article(node[LABEL]):
         best = max(shown(node), key=lambda c: weights[id(c)], default=None)
         if best is None or not weights[id(best)] or weights[id(best)] * 2 <= weights[id(node)]:
@@ -404,18 +410,21 @@ def plan(wrapper: list, differing: int) -> dict:
         if not _is_article(best[LABEL]) and (best[REPEATED] or tag in ("p", "h1", "h2", "h3", "ul", "ol", "table", "blockquote", "pre") or tag in INLINE):
             break
         node, path = best, _step(path, best[LABEL])
-    return {"root": path, "fixed": frozenset() if _is_article(node[LABEL]) else frozenset(fixed)}
+    return {"root": path}
 
 
-def read(page: str, how: dict) -> str | None:
-    """Text of the article's slots by ``how``; None if the page has none of the article's elements."""
-    root, fixed = how["root"], how["fixed"]
+def read(page: str, how: dict, words: bool = True) -> str | None:
+    """Text of the article's slots by ``how``; None if the page has none of the article's elements.
+
+    Without ``words`` only tags tell what is not the article.
+    """
+    root = how["root"]
     blocks, parts, paths = [], [], [0]
     inside, away, met = int(root == 0), 0, root == 0
     marks: list[tuple[bool, bool]] = []
     for kind, stack, value in walk(page):
         if kind == "text":
-            if inside and not away and paths[-1] not in fixed:
+            if inside and not away:
                 parts.append(value)
             continue
         if value == "br":
@@ -426,7 +435,7 @@ def read(page: str, how: dict) -> str | None:
         if kind == "push":
             label = stack[-1][1]
             paths.append(_step(paths[min(len(paths) - 1, DEEPEST)], label))
-            start, gone = paths[-1] == root, _is_away(label, inside > 0)
+            start, gone = paths[-1] == root, _is_away(label if words else value, inside > 0)
             marks.append((start, gone))
             inside, away, met = inside + start, away + gone, met or start
         else:
@@ -444,7 +453,7 @@ def extract(page: str | None, how: dict | None) -> str:
     """Main text of a page by its host's plan, or by its own expression if that does not fit."""
     if not page:
         return ""
-    return (read(page, how) if how else None) or read(page, plan(expression(page), 1)) or ""
+    return (read(page, how) if how else None) or read(page, plan(expression(page), 1)) or read(page, {"root": 0}, words=False) or ""
 
 
 def host_of(url: Column) -> Column:

@@ -119,3 +119,52 @@ def test_query_against_a_naive_extractor(spark):
     assert len(out) == len(pages)
     wrong = [r.page_id for r in out if r.text != naive(pages[r.page_id]) or r.n_chars != len(r.text)]
     assert not wrong, (wrong[:5], naive(pages[wrong[0]])[:300], next(r.text for r in out if r.page_id == wrong[0])[:300])
+
+
+def body_of(i, about="Background"):
+    return f"<h1>Title {i}</h1><p>First words of story {i}, which go on for a while.</p><h2>{about}</h2><p>Second part of story {i}, long enough too.</p>"
+
+
+def test_the_same_words_on_two_and_three_pages(spark):
+    """What all pages of a host share stays in their articles, however many pages there are."""
+    for n in (1, 2, 3, 7):
+        out = texts(spark, [(f"http://h{n}.org/{i}", body_of(i)) for i in range(n)])
+        want = lambda i: f"Title {i}\nFirst words of story {i}, which go on for a while.\nBackground\nSecond part of story {i}, long enough too."
+        assert out == {i: want(i) for i in range(n)}
+
+
+def test_headers_notices_comments_and_adverts(spark):
+    story = "<p>The story itself, which is long enough to be found.</p>"
+    out = texts(spark, [
+        ("http://a.org/", f"<article><div class='header'><h1>Title</h1></div>{story}</article>"),
+        ("http://b.org/", f"<div class='header'>Site</div><div class='text'><div class='header'>Title</div>{story}{story}</div>"),
+        ("http://c.org/", "<div class='alert'>The only text.</div>"),
+        ("http://d.org/", f"<article>{story}<div class='user-comments'><p>Reader</p></div><ins class='adsbygoogle'>Buy</ins><div id='comment-12-body'>me too</div></article>"),
+        ("http://e.org/", f"<article>{story}<div class='reader_comments'>x</div><div class='ad-slot'>y</div><div class='google'>kept</div><div class='commentary'>kept too</div></article>"),
+        ("http://f.org/", "<nav>Home</nav><footer>End</footer>"),
+        ("http://g.org/", "<nav>Home</nav><div id='cookie-notice'>Words</div><form>Box</form>"),
+    ])
+    one = "The story itself, which is long enough to be found."
+    assert out == {0: f"Title\n{one}", 1: f"Title\n{one}\n{one}", 2: "The only text.", 3: one, 4: f"{one}\nkept\nkept too", 5: "", 6: "Words"}
+
+
+def test_pages_without_article_tags_against_a_naive_extractor(spark):
+    """The wrapper alone finds the article: ``article`` and ``main`` are turned into ``div``."""
+    import re
+
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    bare = [(r.page_id, r.url, re.sub(r"(?i)<(/?)(?:article|main)\b", r"<\1div", r.html) if r.html else r.html) for r in rows]
+    out = {r.page_id: r.text for r in wrappers.main_text(spark.createDataFrame(bare, "page_id long, url string, html string").repartition(4)).collect()}
+    wrong = [r.page_id for r in rows if out[r.page_id] != naive(r.html)]
+    print(len(wrong), "of", len(rows))
+    for i in wrong[:3]:
+        html = next(r.html for r in rows if r.page_id == i)
+        print(repr(naive(html)[:200]), repr(out[i][:200]), len(naive(html)), len(out[i]))
+    assert len(wrong) <= 0.02 * len(rows)
+
+
+def test_clashing_names(spark):
+    rows = [(1, "http://a.org/", "<article><p>Text</p></article>", "host", "wrapper", 3), (None, None, None, None, None, None), (2, "http://a.org/2", "", "x", "y", 1), (2, "http://a.org/2", "", "x", "y", 1)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string, host string, wrapper string, n_chars int")
+    out = sorted(((r.page_id or 0, r.text, r.n_chars) for r in wrappers.main_text(table).collect()))
+    assert out == [(0, "", 0), (1, "Text", 4), (2, "", 0), (2, "", 0)]
