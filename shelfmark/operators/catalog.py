@@ -221,10 +221,11 @@ def age_bands(files: DataFrame, as_of: int) -> DataFrame:
 
 
 def rollup(files: DataFrame) -> DataFrame:
-    """Files and bytes of every folder with all below it.
+    """Files and bytes of every folder with all below it (A8), in one pass.
 
     Files are summed per folder before they climb, so the explosion to ancestors
-    has a row per folder and level, not per file and level.
+    has a row per folder and level, not per file and level. Fit for small sets of
+    folders; :func:`trees.totals` needs no such explosion.
     """
     direct = files.groupBy("folder_path").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("b"))
     up = direct.select(F.explode(paths.ancestors(F.col("folder_path"))).alias("path"), "n", "b")
