@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions import paths
+from shelfmark.operators import ordered
+from shelfmark.sources import shared
 
 ISSUE_CAP = 500
 
@@ -268,6 +270,19 @@ def nearest_ancestor(some: DataFrame) -> DataFrame:
     return some.select("path").join(met, "path", "left")
 
 
+def scope_children(folders: DataFrame, scope: str | None) -> DataFrame:
+    """What a folder view draws (L7): of ``folders`` (path, total_files, total_bytes) those whose nearest other one above is ``scope``, largest first.
+
+    Without a scope, or with one that isn't among them, the outermost folders. Adds ``name`` and ``has_children``.
+    """
+    up = shared.written(nearest_ancestor(folders), "parents")
+    parents = up.select(F.col("parent_path").alias("path")).filter("path IS NOT NULL").distinct().withColumn("has_children", F.lit(True))
+    known = scope is not None and bool(folders.filter(F.col("path") == scope).limit(1).count())
+    drawn = up.filter(F.col("parent_path") == scope) if known else up.filter("parent_path IS NULL")
+    rows = folders.join(drawn.select("path"), "path").join(parents, "path", "left")
+    return rows.select("path", paths.base_name(F.col("path")).alias("name"), "total_files", "total_bytes", F.coalesce("has_children", F.lit(False)).alias("has_children")).orderBy(F.desc("total_bytes"), "path")
+
+
 def timeline_insights(months: DataFrame) -> DataFrame:
     """Busiest, fullest and quietest month, the earliest on ties, and bytes per month."""
     known = months.filter("bucket <> 'unknown'")
@@ -291,6 +306,32 @@ def sorted_files(files: DataFrame, by: str = "size", limit: int = 200) -> DataFr
     return live(files).orderBy(*order, F.desc("size"), "file_id").limit(limit)
 
 
+def page(rows: DataFrame, order: list[tuple[str, str]], size: int, after: dict | None = None) -> DataFrame:
+    """The next ``size`` rows of an order after the row ``after``, a dict of its order columns (T-6, T-8).
+
+    ``order`` is of (column, "asc" or "desc") and tells rows apart; nulls come last. The
+    place is a filter on the rows, not an offset: a page reads what can lie on it and keeps a
+    page's rows a task, however far down it is.
+    """
+    if after is not None:
+        later, same = F.lit(False), F.lit(True)
+        for name, way in order:
+            value, column = F.lit(after[name]), F.col(name)
+            if after[name] is None:
+                same = same & column.isNull()
+                continue
+            beyond = column > value if way == "asc" else column < value
+            later = later | (same & (beyond | column.isNull()))
+            same = same & (column == value)
+        # What the first column alone rules out can be left to the scan.
+        name, way = order[0]
+        if after[name] is not None:
+            column = F.col(name)
+            rows = rows.filter(column.isNull() | (column >= F.lit(after[name]) if way == "asc" else column <= F.lit(after[name])))
+        rows = rows.filter(later)
+    return rows.orderBy(*[F.asc_nulls_last(n) if way == "asc" else F.desc_nulls_last(n) for n, way in order]).limit(size)
+
+
 def prefix_tree(rows: DataFrame) -> DataFrame:
     """Rows (path, size) as a tree of path segments, their common beginning folded into the root.
 
@@ -334,11 +375,12 @@ def icicle(tree: DataFrame, width: float = 1.0, most_depth: int = 6) -> DataFram
     """Each node's place (x, w) in its level: children part their parent's width by bytes, largest first.
 
     ``tree`` is of :func:`prefix_tree`. A node's own start is what its larger
-    siblings take; its place is the sum of starts up its ancestors.
+    siblings take, cumulated over ranges of the order, so a folder with very many children is many
+    tasks; its place is the sum of starts up its ancestors.
     """
     rows = tree.filter((F.col("depth") <= most_depth) & (F.col("bytes") > 0))
-    order = Window.partitionBy("parent_path").orderBy(F.desc("bytes"), "path").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("start", F.coalesce(F.sum("bytes").over(order), F.lit(0)))
+    keyed = rows.withColumns({"_parent": F.coalesce("parent_path", F.lit("")), "_least": -F.col("bytes")})
+    rows = shared.written(ordered.before_in_group(keyed, ["_parent"], ["_least", "path"], {"start": F.col("bytes")}).drop("_parent", "_least"), "icicle")
     root = F.broadcast(tree.filter("depth = 0").select(F.col("bytes").alias("all")))  # one row
     up = rows.select("path", F.explode(paths.ancestors(F.col("path"))).alias("on"))
     starts = up.join(rows.filter("depth > 0").select(F.col("path").alias("on"), "start"), "on").groupBy("path").agg(F.sum("start").alias("at"))

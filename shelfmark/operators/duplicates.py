@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 import xxhash
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions import paths
+from shelfmark.sources import contents
 
 #: Sampled block and the size limits of the chunk plans.
 BLOCK, SMALL, MEDIUM, LARGE = 65_536, 262_144, 1_048_576, 536_870_912
@@ -80,18 +82,25 @@ def keep_newest(found: DataFrame) -> DataFrame:
 
 def suggest_keep(found: DataFrame) -> DataFrame:
     """Per group the path to keep: not in a suspect place, newest, shallowest."""
-    order = Window.partitionBy("hash").orderBy(F.col("path").rlike(SUSPECT), F.desc(F.coalesce("modified_at", F.lit(0))), F.size(F.split("path", "/")), "path")
+    order = Window.partitionBy("hash").orderBy(F.col("path").rlike(SUSPECT), F.desc(F.coalesce("modified_at", F.lit(0))), F.size(F.split("path", r"[/\\]")), "path")
     return found.withColumn("r", F.row_number().over(order)).filter("r = 1").select("hash", F.col("path").alias("keep_path"))
 
 
-def smart_moves(found: DataFrame) -> DataFrame:
-    """Per group in several folders, the folder that holds most of it (D15): target and files to stage."""
+def move_targets(found: DataFrame) -> DataFrame:
+    """Per group in several folders, the folder that holds most of it (D15): (hash, target, to_stage), the last how many files lie elsewhere."""
     placed = found.withColumn("folder", paths.parent(F.col("path")))
     by = placed.groupBy("hash", "folder").agg(F.count(F.lit(1)).alias("n"), F.max(F.coalesce("modified_at", F.lit(0))).alias("newest"))
-    group = Window.partitionBy("hash")
-    order = group.orderBy(F.desc("n"), F.desc("newest"), F.size(F.split("folder", "/")), "folder")
-    best = by.withColumn("r", F.row_number().over(order)).withColumn("folders", F.count(F.lit(1)).over(group)).withColumn("all", F.sum("n").over(group))
-    return best.filter("r = 1 AND folders > 1").select("hash", F.col("folder").alias("target"), (F.col("all") - F.col("n")).alias("to_stage"))
+    # By partial minima and sums: a group may lie in very many folders.
+    first = F.min(F.struct((-F.col("n")).alias("n"), (-F.col("newest")).alias("newest"), F.size(F.split("folder", r"[/\\]")).alias("depth"), "folder")).alias("best")
+    best = by.groupBy("hash").agg(first, F.count(F.lit(1)).alias("folders"), F.sum("n").alias("all"))
+    return best.filter("folders > 1").select("hash", F.col("best.folder").alias("target"), (F.col("all") + F.col("best.n")).alias("to_stage"))
+
+
+def smart_moves(found: DataFrame) -> DataFrame:
+    """The files to stage (D15): (hash, file_id, path, destination) of every file of a group that lies outside the group's target folder."""
+    placed = found.withColumn("folder", paths.parent(F.col("path")))
+    to = placed.join(move_targets(found).select("hash", "target"), "hash").filter("folder <> target")
+    return to.select("hash", "file_id", "path", paths.join_destination(F.col("target"), paths.base_name(F.col("path"))).alias("destination"))
 
 
 def label(confidence: Column) -> Column:
@@ -123,11 +132,24 @@ def partial_hash(read, size: int) -> str:
     return _chunk_hash(read, size, [0, max(0, size - BLOCK)])
 
 
+#: Bytes that are read ahead while the last ones are hashed.
+AHEAD = 8 << 20
+
+
 def whole_hash(read, size: int) -> str:
-    """Hash of all bytes, block by block."""
+    """Hash of all bytes, block by block (D6); of a large file the next bytes are read while the last are hashed."""
     x = xxhash.xxh3_128()
-    for at in range(0, size, 2 * BLOCK):
-        x.update(read(at, min(2 * BLOCK, size - at)))
+    if size <= AHEAD:
+        for at in range(0, size, 2 * BLOCK):
+            x.update(read(at, min(2 * BLOCK, size - at)))
+        return f"{x.intdigest():032x}"
+    with ThreadPoolExecutor(1) as pool:
+        coming = pool.submit(read, 0, AHEAD)
+        for at in range(0, size, AHEAD):
+            data = coming.result()
+            if at + AHEAD < size:
+                coming = pool.submit(read, at + AHEAD, min(AHEAD, size - at - AHEAD))
+            x.update(data)
     return f"{x.intdigest():032x}"
 
 
@@ -144,13 +166,22 @@ STAGED = "file_id long, partial_hash string, sample_hash string, full_hash strin
 
 def _reader(uri: str):
     """(read, size) of a file that every executor can reach: file, hdfs, s3 or gs."""
-    from pyarrow import fs
-
-    system, path = fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri.removeprefix("file:"))
-    handle = system.open_input_file(path)
+    handle = contents.opened(uri)
     return (lambda at, n: handle.read_at(n, at)), handle.size()
 
 
+def sampled_bytes(size: Column) -> Column:
+    """Bytes that the sampling stage reads of a file of this size."""
+    return F.aggregate(chunk_plan(size), F.lit(0).cast("long"), lambda a, c: a + c["len"])
+
+
+def _dealt(files: DataFrame, source: str, weight: Column) -> DataFrame:
+    """(file_id, source), dealt to tasks by bytes where sizes are known and contents are to be read."""
+    if source == "content" or "size" not in files.columns:
+        return files.select("file_id", source)
+    return contents.packed(files.select("file_id", source, "size"), F.coalesce(weight, F.lit(0))).select("file_id", source)
+
+
 def _hashed(rows: pd.DataFrame, source: str, work) -> list[tuple]:
     out = []
     for file_id, value in zip(rows["file_id"], rows[source], strict=True):
@@ -176,7 +207,7 @@ def staged_hashes(files: DataFrame, source: str = "path") -> DataFrame:
             rows = [(i, *(h or (None, None, None, 0, None)), e) for i, h, e in _hashed(part, source, staged)]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in STAGED.split(", ")])
 
-    return files.select("file_id", source).mapInPandas(run, STAGED)
+    return _dealt(files, source, sampled_bytes(F.col("size"))).mapInPandas(run, STAGED)
 
 
 def full_hashes(files: DataFrame, source: str = "path") -> DataFrame:
@@ -186,7 +217,7 @@ def full_hashes(files: DataFrame, source: str = "path") -> DataFrame:
         for part in parts:
             yield pd.DataFrame(_hashed(part, source, whole_hash), columns=["file_id", "full_hash", "error"])
 
-    return files.select("file_id", source).mapInPandas(run, "file_id long, full_hash string, error string")
+    return _dealt(files, source, F.col("size")).mapInPandas(run, "file_id long, full_hash string, error string")
 
 
 def refine(files: DataFrame, mode: str = "smart", source: str = "path") -> tuple[DataFrame, DataFrame]:

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions import paths
+from shelfmark.operators import components
+from shelfmark.sources import shared
 
 
 @dataclass(frozen=True)
@@ -222,10 +224,16 @@ def redownloadable(files: DataFrame, facts: DataFrame) -> DataFrame:
     return rows.select(F.col("file_id").alias("entity_id"), F.lit("replaceability").alias("key"), F.lit("redownloadable").alias("value"), F.lit("heuristic:installer").alias("source"), paths.f32(F.lit(0.6)).alias("confidence"))
 
 
-def near_pairs(hashes: DataFrame, most: int = NEAR_DISTANCE, bits: int = 128) -> DataFrame:
-    """Pairs (left_id, right_id, distance) of hashes (id, a, b) at most so many bits apart.
+def near_classes(hashes: DataFrame) -> DataFrame:
+    """(id, class_id, a, b): the members of each class of equal hashes (id, a, b), named by its smallest id."""
+    named = hashes.groupBy("a", "b").agg(F.min("id").alias("class_id"))
+    return hashes.select("id", "a", "b").join(named, ["a", "b"]).select("id", "class_id", "a", "b")
+
+
+def near_class_pairs(hashes: DataFrame, most: int = NEAR_DISTANCE, bits: int = 128) -> DataFrame:
+    """Pairs (left_id, right_id, distance) of classes of equal hashes at most so many bits apart, by their smallest ids.
 
-    Equal hashes are one class first. With ``most`` // 2 + 1 bands of bits, two
+    With :func:`near_classes` this is all there is to know, in rows that follow the number of hashes. With ``most`` // 2 + 1 bands of bits, two
     hashes so near differ by one bit at most in some band: the lesser one looks
     every band up as it is and with each bit of it turned, in an equal join that
     finds all; a bit count verifies. Class pairs are expanded to ids at the end.
@@ -249,10 +257,31 @@ def near_pairs(hashes: DataFrame, most: int = NEAR_DISTANCE, bits: int = 128) ->
     distance = paths.hamming(F.col("l.a"), F.col("r.a")) + paths.hamming(F.col("l.b"), F.col("r.b"))
     met = left.join(right, (F.col("l.k") == F.col("r.k")) & lesser & (distance <= most))
     near = met.select(F.col("l.a").alias("a"), F.col("l.b").alias("b"), F.col("r.a").alias("a2"), F.col("r.b").alias("b2"), distance.alias("distance")).distinct()
-    other = hashes.select(F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("id").alias("id2"))
-    apart = near.join(hashes.select("a", "b", "id"), ["a", "b"]).join(other, ["a2", "b2"]).select(F.least("id", "id2").alias("left_id"), F.greatest("id", "id2").alias("right_id"), "distance")
-    same = hashes.select("a", "b", "id").join(other.select(F.col("a2").alias("a"), F.col("b2").alias("b"), "id2"), ["a", "b"]).filter("id < id2")
-    return apart.union(same.select("id", "id2", F.lit(0)))
+    named = hashes.groupBy("a", "b").agg(F.min("id").alias("left_id"))
+    other = named.select(F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("left_id").alias("right_id"))
+    apart = near.join(named, ["a", "b"]).join(other, ["a2", "b2"])
+    return apart.select(F.least("left_id", "right_id").alias("left_id"), F.greatest("left_id", "right_id").alias("right_id"), "distance")
+
+
+def near_clusters(hashes: DataFrame, most: int = NEAR_DISTANCE, bits: int = 128) -> DataFrame:
+    """(id, class_id, cluster_id) of every hash (id, a, b): its class of equal hashes, and the smallest id that near pairs lead to."""
+    members = shared.written(near_classes(hashes), "classes")
+    found = components.components(near_class_pairs(hashes, most, bits).select(F.col("left_id").alias("src"), F.col("right_id").alias("dst")))
+    joined = members.join(found.withColumnRenamed("id", "class_id"), "class_id", "left")
+    return joined.select("id", "class_id", F.coalesce("component", "class_id").alias("cluster_id"))
+
+
+def near_pairs(hashes: DataFrame, most: int = NEAR_DISTANCE, bits: int = 128) -> DataFrame:
+    """All pairs (left_id, right_id, distance) of hashes (id, a, b) at most so many bits apart (J19, V4), classes expanded.
+
+    The square of a class's size in rows: for tables whose equal hashes are few; else :func:`near_class_pairs` or :func:`near_clusters`.
+    """
+    members = near_classes(hashes)
+    left, right = members.select(F.col("class_id").alias("left_class"), F.col("id").alias("l")), members.select(F.col("class_id").alias("right_class"), F.col("id").alias("r"))
+    pairs = near_class_pairs(hashes, most, bits).select(F.col("left_id").alias("left_class"), F.col("right_id").alias("right_class"), "distance")
+    apart = pairs.join(left, "left_class").join(right, "right_class").select(F.least("l", "r").alias("left_id"), F.greatest("l", "r").alias("right_id"), "distance")
+    same = left.join(right, F.col("left_class") == F.col("right_class")).filter("l < r").select("l", "r", F.lit(0))
+    return apart.union(same)
 
 
 def near_confidence(distance: Column) -> Column:

@@ -1,10 +1,11 @@
-"""File trees as catalog tables: a crawl by levels, and re-probing of what failed.
+"""File trees as catalog tables: a crawl by work budget, and re-probing of what failed.
 
-A crawl starts with one folder and lists all folders of a level in parallel, a
-task for some of them; the folders found make the next level. Folders must lie on
+A crawl starts with the roots. A task walks its folders depth first until it has listed
+as many entries as its budget allows; folders still open are returned and dealt out anew, so rounds follow the
+size of the tree and not its depth, and a deep chain is one task's walk. Folders must lie on
 a file system that every executor mounts (for object stores use
-:func:`listed`). Each level is written before the next, so a lost executor costs a
-level, not the crawl. The driver sees counts.
+:func:`listed`). Each round is written before the next, so a lost executor costs a
+round, not the crawl. The driver sees counts.
 """
 
 from __future__ import annotations
@@ -23,8 +24,14 @@ from shelfmark.sources import shared
 
 EVENT = "kind string, path string, folder_path string, name string, size long, modified_at long, accessed_at long, created_at long, message string"
 WORKERS = (2, 32)
-#: Folders a task lists.
-FOLDERS_A_TASK = 500
+#: Entries that a task lists, in the first round and later, and open folders of a later task.
+FIRST_BUDGET, BUDGET, FOLDERS_A_TASK = 5_000, 100_000, 100
+
+
+def _born(info: os.stat_result) -> int | None:
+    """Birth time, where the system tells it; a change of the inode is no birth."""
+    born = getattr(info, "st_birthtime", None)
+    return None if born is None else int(born)
 
 
 def _entries(folder: str) -> Iterator[tuple]:
@@ -44,27 +51,46 @@ def _entries(folder: str) -> Iterator[tuple]:
         if stat.S_ISDIR(info.st_mode):
             yield ("folder", entry.path, folder, entry.name, None, None, None, None, None)
         elif stat.S_ISREG(info.st_mode):
-            yield ("file", entry.path, folder, entry.name, info.st_size, int(info.st_mtime), int(info.st_atime), int(info.st_ctime), None)
+            yield ("file", entry.path, folder, entry.name, info.st_size, int(info.st_mtime), int(info.st_atime), _born(info), None)
 
 
-def _list(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _explorer(budget: int):
+    """A task: events below its folders until ``budget`` entries are listed, then its open folders (kind ``open``)."""
     names = [c.split()[0] for c in EVENT.split(", ")]
-    for part in parts:
-        rows = [event for folder in part["path"] for event in _entries(folder)]
-        yield pd.DataFrame(rows, columns=names).astype({c: "Int64" for c in ("size", "modified_at", "accessed_at", "created_at")})
 
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=names).astype({c: "Int64" for c in ("size", "modified_at", "accessed_at", "created_at")})
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        todo = [folder for part in parts for folder in part["path"]][::-1]
+        rows, listed = [], 0
+        while todo and listed < budget:
+            for event in _entries(todo.pop()):
+                rows.append(event)
+                listed += 1
+                if event[0] == "folder":
+                    todo.append(event[1])
+            if len(rows) >= 10_000:
+                yield frame(rows)
+                rows = []
+        yield frame(rows + [("open", folder, *[None] * 7) for folder in todo])
+
+    return run
 
-def crawl(spark: SparkSession, roots: list[str]) -> DataFrame:
+
+def crawl(spark: SparkSession, roots: list[str], budget: int = BUDGET) -> DataFrame:
     """One event for each file, folder and failure below the roots (S1), the roots being folders themselves."""
     level = spark.createDataFrame([("folder", r.rstrip("/") or "/", None, os.path.basename(r.rstrip("/")), None, None, None, None, None) for r in roots], EVENT)
-    levels = [level]
-    while n := level.filter("kind = 'folder'").count():
+    rounds, n, now = [level], len(roots), min(budget, FIRST_BUDGET)
+    todo = level.select("path")
+    while n:
         tasks = min(max(WORKERS[0], -(-n // FOLDERS_A_TASK)), 100 * WORKERS[1])
-        folders = level.filter("kind = 'folder'").select("path").repartition(tasks)
-        level = shared.written(folders.mapInPandas(_list, EVENT), "level")
-        levels.append(level)
-    out = levels[0]
-    for other in levels[1:]:
+        level = shared.written(todo.repartition(tasks).mapInPandas(_explorer(now), EVENT), "round")
+        rounds.append(level.filter("kind <> 'open'"))
+        todo, now = level.filter("kind = 'open'").select("path"), budget
+        n = todo.count()
+    out = rounds[0]
+    for other in rounds[1:]:
         out = out.union(other)
     return out
 
@@ -92,6 +118,12 @@ def issues_of(events: DataFrame, scan_id: int) -> DataFrame:
     return events.filter("kind = 'error'").select(F.lit(scan_id).cast("long").alias("scan_id"), F.lit("walk").alias("phase"), "path", "message")
 
 
+def capped(issues: DataFrame, scan_id: int, cap: int = catalog.ISSUE_CAP) -> DataFrame:
+    """Issues of which a scan keeps its first ``cap`` (S12), as they come by phase and path."""
+    own = F.col("scan_id") == scan_id
+    return issues.filter(~own).unionByName(issues.filter(own).orderBy(F.desc("phase"), "path").limit(cap))
+
+
 def scan_to_index(spark: SparkSession, root: str) -> tuple[DataFrame, dict[str, int]]:
     """File records of a tree, and its counts of files, folders and bytes; duplicates aren't refined."""
     events = crawl(spark, [root])
@@ -105,17 +137,17 @@ def probe(spark: SparkSession, files: DataFrame, issues: DataFrame, scan_id: int
     Issue paths are taken as folders (a file's as its folder) and only the
     outermost are walked; their old issues of the walk go, new ones come.
     """
-    walk = issues.filter((F.col("scan_id") == scan_id) & (F.col("phase") == "walk"))
+    walk = capped(issues, scan_id).filter((F.col("scan_id") == scan_id) & (F.col("phase") == "walk"))
     where = walk.select("path").distinct().mapInPandas(lambda parts: (pd.DataFrame({"path": [p if os.path.isdir(p) or not os.path.exists(p) else os.path.dirname(p) for p in part["path"]]}) for part in parts), "path string")
     roots = catalog.outermost(where.distinct())
-    names = [r["path"] for r in roots.collect()]  # of capped issues: 500 at most
+    names = [r["path"] for r in roots.collect()]  # of capped issues: ISSUE_CAP at most
     if not names:
         return files, issues
     events = crawl(spark, names)
     below = walk.select("path", F.explode(paths.ancestors(F.col("path"))).alias("up")).join(F.broadcast(roots.select(F.col("path").alias("up"))), "up", "left_semi").select("path").distinct()
     old = issues.join(below.withColumn("scan_id", F.lit(scan_id)).withColumn("phase", F.lit("walk")), ["scan_id", "phase", "path"], "left_anti")
     fresh = issues_of(events, scan_id)
-    return catalog.upsert(files, files_of(events)), old.select(fresh.columns).unionByName(fresh)
+    return catalog.upsert(files, files_of(events)), capped(old.select(fresh.columns).unionByName(fresh), scan_id)
 
 
 def retry_issues(spark: SparkSession, files: DataFrame, issues: DataFrame, scan_id: int, mode: str = "smart") -> tuple[DataFrame, DataFrame, dict[str, int]]:
