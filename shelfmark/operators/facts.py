@@ -266,7 +266,7 @@ def near_class_pairs(hashes: DataFrame, most: int = NEAR_DISTANCE, bits: int = 1
 def near_clusters(hashes: DataFrame, most: int = NEAR_DISTANCE, bits: int = 128) -> DataFrame:
     """(id, class_id, cluster_id) of every hash (id, a, b): its class of equal hashes, and the smallest id that near pairs lead to."""
     members = shared.written(near_classes(hashes), "classes")
-    found = components.components(near_class_pairs(hashes, most, bits).select(F.col("left_id").alias("src"), F.col("right_id").alias("dst")))
+    found = components.components(near_class_pairs(members.filter("id = class_id"), most, bits).select(F.col("left_id").alias("src"), F.col("right_id").alias("dst")))
     joined = members.join(found.withColumnRenamed("id", "class_id"), "class_id", "left")
     return joined.select("id", "class_id", F.coalesce("component", "class_id").alias("cluster_id"))
 
@@ -276,9 +276,9 @@ def near_pairs(hashes: DataFrame, most: int = NEAR_DISTANCE, bits: int = 128) ->
 
     The square of a class's size in rows: for tables whose equal hashes are few; else :func:`near_class_pairs` or :func:`near_clusters`.
     """
-    members = near_classes(hashes)
+    members = shared.written(near_classes(hashes), "classes")
     left, right = members.select(F.col("class_id").alias("left_class"), F.col("id").alias("l")), members.select(F.col("class_id").alias("right_class"), F.col("id").alias("r"))
-    pairs = near_class_pairs(hashes, most, bits).select(F.col("left_id").alias("left_class"), F.col("right_id").alias("right_class"), "distance")
+    pairs = near_class_pairs(members.filter("id = class_id"), most, bits).select(F.col("left_id").alias("left_class"), F.col("right_id").alias("right_class"), "distance")
     apart = pairs.join(left, "left_class").join(right, "right_class").select(F.least("l", "r").alias("left_id"), F.greatest("l", "r").alias("right_id"), "distance")
     same = left.join(right, F.col("left_class") == F.col("right_class")).filter("l < r").select("l", "r", F.lit(0))
     return apart.union(same)

@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 from shelfmark.functions import paths
 from shelfmark.operators import catalog as C
 from shelfmark.operators import duplicates as D
+from shelfmark.operators import trees as T
 from shelfmark.plans import kb_queries, more_queries
 from shelfmark.plans.registry import ORACLES, QUERIES, query
 from shelfmark.sources import bindings as B
+from shelfmark.sources import shared
 
 FLAGSHIP = "a8_recursive_rollup"
 N = B.AS_OF
@@ -34,6 +36,22 @@ def _up(source: str, columns: str) -> str:
 
 Q = Callable[[SparkSession, str], DataFrame]
 
+
+def _tree(spark: SparkSession, sf: str) -> DataFrame:
+    """Intervals and totals of the hierarchy's folders."""
+    direct = B.hier_files(spark, sf).groupBy(F.col("folder_path").alias("path")).agg(F.count(F.lit(1)).alias("n"))
+    known = T.with_ancestors(direct.select("path")).join(direct, "path", "left")
+    return shared.written(T.intervals(known, total_files=F.col("n")), "tree")
+
+
+def _full_hashes(spark: SparkSession, sf: str) -> DataFrame:
+    """Files whose bytes hash to the same XXH3: how many there are and the first of them."""
+    files = B.table(spark, sf, "documents").filter("text IS NOT NULL").select(F.col("doc_id").alias("file_id"), F.col("text").cast("binary").alias("content"))
+    hashed = shared.written(D.full_hashes(files, "content"), "hashed")
+    same = hashed.groupBy("full_hash").agg(F.count(F.lit(1)).alias("same"), F.min("file_id").alias("first_id"))
+    return hashed.join(same, "full_hash").select("file_id", "same", "first_id")
+
+
 # Scans and snapshots --------------------------------------------------------
 
 query("s2_file_records", f"{B.with_tables('doc_files')} SELECT file_id, name, folder_path, extension, size FROM doc_files")(
@@ -184,6 +202,13 @@ query("j20_j21_ancestor_join", f"{B.with_tables('doc_files')} SELECT file_id, pa
 TOPF = f"SELECT path, total_bytes FROM ({ROLL}) ORDER BY total_bytes DESC, path LIMIT 40"
 query("j22_l7_nearest_ancestor", f"""{B.with_tables('hier_files')}, t AS ({TOPF}) SELECT t.path, (SELECT u.path FROM t u WHERE starts_with(t.path, u.path || '/') ORDER BY length(u.path) DESC LIMIT 1) AS parent_path FROM t""")(
     lambda s, d: C.nearest_ancestor(C.rollup(B.hier_files(s, d)).orderBy(F.desc("total_bytes"), "path").limit(40).select("path")))
+query("j22_tree_parents", ORACLES["j22_l7_nearest_ancestor"])(
+    lambda s, d: (lambda totals: T.enclosing(T.intervals(totals.orderBy(F.desc("total_bytes"), "path").limit(40).select("path"))))(C.rollup(B.hier_files(s, d))))
+query("a8_tree_totals", f"{B.with_tables('hier_files')} {ROLL}")(lambda s, d: T.totals(B.hier_files(s, d)))
+query("f6_tree_range", f"{B.with_tables('hier_files')} SELECT path, total_files FROM ({ROLL}) WHERE path = '/ASIA' OR starts_with(path, '/ASIA/')")(
+    lambda s, d: (lambda tree: T.inside(tree, tree, "/ASIA").select("path", "total_files"))(_tree(s, d)))
+query("l7_scope_children", f"{B.with_tables('hier_files')} SELECT path, regexp_extract(path, '[^/]*$') AS name, total_files, total_bytes, true AS has_children FROM ({ROLL}) WHERE regexp_matches(path, '^/ASIA/[^/]*$')")(
+    lambda s, d: C.scope_children(C.rollup(B.hier_files(s, d)), "/ASIA"))
 query("l5_squarify")(lambda s, d: C.squarify(C.rollup(B.hier_files(s, d)).select(paths.parent(F.col("path")).alias("parent_path"), F.col("path").alias("name"), F.col("total_bytes").alias("value"))))
 
 # Scalar functions --------------------------------------------------------------
@@ -229,7 +254,7 @@ query("d2_j6_needs_hash", f"{B.with_tables('live')}, h AS ({HASHED}) SELECT file
 query("d3_chunk_plan", f"""{B.with_tables('doc_files')}, x AS (SELECT file_id, size * 40001 + file_id % 7 AS z FROM doc_files), o AS (SELECT file_id, z, CASE WHEN z <= 262144 THEN [0] WHEN z <= 1048576 THEN [0, z - 65536] WHEN z <= 536870912 THEN [0, (z - 65536) // 2, z - 65536] ELSE [0, (z - 65536) // 4, (z - 65536) * 2 // 4, (z - 65536) * 3 // 4, z - 65536] END AS p FROM x)
 SELECT file_id, array_to_string(list_transform(p, lambda a: concat(a, '+', CASE WHEN z <= 262144 THEN z ELSE least(65536, z - a) END)), ',') AS plan FROM o""")(
     lambda s, d: _docs(s, d).select("file_id", D.chunk_plan(F.col("size") * 40001 + F.col("file_id") % 7).alias("p")).select("file_id", F.array_join(F.transform("p", lambda c: F.concat_ws("+", c["offset"].cast("string"), c["len"].cast("string"))), ",").alias("plan")))
-query("d6_full_hash", "SELECT doc_id AS file_id, md5(text) AS full_hash FROM documents")(lambda s, d: _docs(s, d).select("file_id", F.col("content_hash").alias("full_hash")))
+query("d6_full_hash", """SELECT doc_id AS file_id, count(*) OVER (PARTITION BY md5(text)) AS same, min(doc_id) OVER (PARTITION BY md5(text)) AS first_id FROM documents WHERE text IS NOT NULL""")(lambda s, d: _full_hashes(s, d))
 query("d8_j5_escalation", f"""{B.with_tables('doc_files')}, h AS ({HASHED}) SELECT file_id FROM h WHERE deleted_at IS NULL AND sample_hash IS NOT NULL AND full_hash IS NULL AND (size, sample_hash) IN (SELECT (size, sample_hash) FROM h WHERE deleted_at IS NULL AND sample_hash IS NOT NULL GROUP BY size, sample_hash HAVING count(*) > 1)""")(lambda s, d: D.escalation(_hashed(s, d)).select("file_id"))
 query("a10_duplicate_groups", f"{B.with_tables('doc_files')}, h AS ({HASHED}) {GROUPED}")(lambda s, d: D.groups(_hashed(s, d)))
 query("d10_a11_group_members", f"""{B.with_tables('doc_files')}, h AS ({HASHED}), g AS ({GROUPED})
@@ -246,7 +271,10 @@ query("d12_confidence_label", f"{B.with_tables('doc_files')}, h AS ({HASHED}) SE
 query("d13_keep_newest", f"{B.with_tables('live')}, g AS ({DUPS}) SELECT hash, file_id, row_number() OVER (PARTITION BY hash ORDER BY coalesce(modified_at, -1) DESC, path) = 1 AS keep FROM g")(lambda s, d: D.keep_newest(_dups(s, d)).select("hash", "file_id", "keep"))
 query("d14_suggest_keep", f"""{B.with_tables('live')}, g AS ({DUPS}) SELECT hash, path AS keep_path FROM (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY regexp_matches(path, '(?i)\\b(backup|old|archive|copy|temp|202\\d)\\b'), coalesce(modified_at, 0) DESC, len(string_split(path, '/')), path) AS r FROM g) WHERE r = 1""")(lambda s, d: D.suggest_keep(_dups(s, d)))
 query("d15_smart_moves", f"""{B.with_tables('live')}, g AS (SELECT *, regexp_replace(path, '/[^/]*$', '') AS folder FROM ({DUPS})), b AS (SELECT hash, folder, count(*) AS n, max(coalesce(modified_at, 0)) AS newest FROM g GROUP BY 1, 2)
-SELECT hash, folder AS target, (alln - n)::BIGINT AS to_stage FROM (SELECT *, count(*) OVER (PARTITION BY hash) AS k, sum(n) OVER (PARTITION BY hash) AS alln, row_number() OVER (PARTITION BY hash ORDER BY n DESC, newest DESC, len(string_split(folder, '/')), folder) AS r FROM b) WHERE r = 1 AND k > 1""")(lambda s, d: D.smart_moves(_dups(s, d)))
+SELECT hash, folder AS target, (alln - n)::BIGINT AS to_stage FROM (SELECT *, count(*) OVER (PARTITION BY hash) AS k, sum(n) OVER (PARTITION BY hash) AS alln, row_number() OVER (PARTITION BY hash ORDER BY n DESC, newest DESC, len(string_split(folder, '/')), folder) AS r FROM b) WHERE r = 1 AND k > 1""")(lambda s, d: D.move_targets(_dups(s, d)))
+query("d15_files_to_stage", f"""{B.with_tables('live')}, g AS (SELECT *, regexp_replace(path, '/[^/]*$', '') AS folder FROM ({DUPS})), b AS (SELECT hash, folder, count(*) AS n, max(coalesce(modified_at, 0)) AS newest FROM g GROUP BY 1, 2),
+t AS (SELECT hash, folder AS target FROM b QUALIFY row_number() OVER (PARTITION BY hash ORDER BY n DESC, newest DESC, len(string_split(folder, '/')), folder) = 1)
+SELECT hash, file_id, path, concat(target, '/', regexp_extract(path, '[^/]*$')) AS destination FROM g JOIN t USING (hash) WHERE folder <> target""")(lambda s, d: D.smart_moves(_dups(s, d)))
 
 
 def queries() -> dict[str, Q]:

@@ -121,6 +121,11 @@ HASHES = f"SELECT vec_id AS id, list_sum(list_transform(range({BITS}), lambda i:
 query("v4_j19_u8_near_pairs", f"WITH h AS ({HASHES}) SELECT l.id AS left_id, r.id AS right_id, bit_count(xor(l.a, r.a))::INTEGER AS distance, CAST(CAST(greatest(0.95::DOUBLE - 0.03::DOUBLE * bit_count(xor(l.a, r.a)), 0.6) AS FLOAT) AS DOUBLE) AS confidence FROM h l JOIN h r ON l.id < r.id AND bit_count(xor(l.a, r.a)) <= {NEAR}")(
     lambda s, d: KB.near_pairs(_hashes(s, d), NEAR, BITS).withColumn("confidence", KB.near_confidence(F.col("distance"))))
 
+query("v4_near_clusters", f"""WITH RECURSIVE h AS MATERIALIZED ({HASHES}), p AS MATERIALIZED (SELECT l.id AS x, r.id AS y FROM h l JOIN h r ON bit_count(xor(l.a, r.a)) <= {NEAR}),
+c(id, cluster_id) AS (SELECT id, id FROM h UNION SELECT p.y, c.cluster_id FROM c JOIN p ON p.x = c.id), e AS (SELECT a, min(id) AS class_id FROM h GROUP BY 1)
+SELECT h.id, e.class_id, min(c.cluster_id) AS cluster_id FROM c JOIN h USING (id) JOIN e USING (a) GROUP BY 1, 2""")(
+    lambda s, d: KB.near_clusters(_hashes(s, d), NEAR, BITS))
+
 # Facts ------------------------------------------------------------------------
 
 PRIO = "CASE WHEN source = 'user' THEN 100 WHEN source LIKE 'extractor:%' THEN 80 WHEN source LIKE 'rule:%' THEN 60 WHEN source LIKE 'heuristic:%' THEN 40 WHEN source = 'phash' THEN 30 WHEN source LIKE 'ml:%' THEN 20 WHEN source = 'system' THEN 10 ELSE 0 END"
@@ -204,17 +209,42 @@ query("c5_c6_restore_expire", f"{W('candidates')} SELECT file_id, CASE WHEN file
     lambda s, d: K.restore(K.expire(K.execute(_candidates(s, d), 7, N).withColumn("expires_at", F.when(F.col("file_id") % 2 == 1, F.lit(N)).otherwise(F.col("expires_at"))), N), [6, 18, 30]).select("file_id", "restore_status"))
 query("t8_recently_cleaned", f"{W('candidates')} SELECT file_id, {N} - file_id AS cleaned_at FROM candidates ORDER BY 2 DESC, 1 LIMIT 20 OFFSET 10")(
     lambda s, d: K.execute(_candidates(s, d), 7, N).select("file_id", (F.lit(N) - F.col("file_id")).alias("cleaned_at")).orderBy(F.desc("cleaned_at"), "file_id").offset(10).limit(20))
+
+
+def _second_page(s: SparkSession, d: str) -> DataFrame:
+    """The page of the log after its first, by the key of the first one's last row."""
+    log = K.execute(_candidates(s, d), 7, N).select("file_id", (F.lit(N) - F.col("file_id")).alias("cleaned_at"))
+    order = [("cleaned_at", "desc"), ("file_id", "asc")]
+    last = C.page(log, order, 10).tail(1)
+    return C.page(log, order, 20, last[0].asDict()) if last else log.limit(0)
+
+
+query("t8_page_by_key", f"{W('candidates')} SELECT file_id, {N} - file_id AS cleaned_at FROM candidates ORDER BY 2 DESC, 1 LIMIT 20 OFFSET 10")(_second_page)
 SHOWN = "file_id NOT IN (SELECT entity_id FROM top WHERE key = 'sensitivity' AND NOT display)"
 VIEW_SQL = {
     "g1": f"modified_at < {N - 365 * 86400} AND file_id IN (SELECT file_id FROM stage WHERE lifecycle IN ('finished', 'archived'))",
-    "g2": "size > 500 AND file_id IN (SELECT entity_id FROM facts WHERE key = 'role' AND value = 'derivative') AND file_id IN (SELECT entity_id FROM facts WHERE key = 'replaceability' AND value = 'regenerable')",
+    "g2": "size > 500 AND derivative AND regenerable",
     "g3": "file_id NOT IN (SELECT subject_id FROM relations WHERE predicate = 'partOf')",
     "g4": "file_id NOT IN (SELECT entity_id FROM facts WHERE key = 'role')",
-    "g5": "file_id IN (SELECT entity_id FROM facts WHERE key = 'role' AND value = 'source') AND NOT EXISTS (SELECT 1 FROM relations x JOIN live y ON y.file_id = x.subject_id WHERE x.predicate = 'derivedFrom' AND x.object_id = live.file_id)",
-    "g6": "file_id IN (SELECT entity_id FROM facts WHERE key = 'role' AND value = 'backup') AND EXISTS (SELECT 1 FROM relations x LEFT JOIN doc_files y ON y.file_id = x.object_id WHERE x.predicate = 'backupOf' AND x.subject_id = live.file_id AND (y.file_id IS NULL OR y.deleted_at IS NOT NULL))",
+    "g5": "is_source AND has_derived IS NULL",
+    "g6": "is_backup AND lost",
 }
+#: Flags of each file, joined once: no subquery depends on a row.
+FLAGS = """, told AS MATERIALIZED (SELECT entity_id AS file_id, bool_or(key = 'role' AND value = 'derivative') AS derivative, bool_or(key = 'role' AND value = 'source') AS is_source, bool_or(key = 'role' AND value = 'backup') AS is_backup,
+  bool_or(key = 'replaceability' AND value = 'regenerable') AS regenerable FROM facts GROUP BY 1),
+hid AS MATERIALIZED (SELECT entity_id AS file_id, true AS hidden FROM top WHERE key = 'sensitivity' AND NOT display GROUP BY 1),
+made AS MATERIALIZED (SELECT x.object_id AS file_id, true AS has_derived FROM relations x JOIN live y ON y.file_id = x.subject_id WHERE x.predicate = 'derivedFrom' GROUP BY 1),
+gone AS MATERIALIZED (SELECT x.subject_id AS file_id, true AS lost FROM relations x LEFT JOIN doc_files y ON y.file_id = x.object_id WHERE x.predicate = 'backupOf' AND (y.file_id IS NULL OR y.deleted_at IS NOT NULL) GROUP BY 1)
+SELECT file_id, path, size FROM live LEFT JOIN told USING (file_id) LEFT JOIN hid USING (file_id) LEFT JOIN made USING (file_id) LEFT JOIN gone USING (file_id) WHERE hidden IS NULL AND """
+
+
+def _view_oracle(number: int) -> str:
+    tables, where = W("top", "relations", "stage"), VIEW_SQL[f"g{number}"]
+    return f"{tables}{FLAGS}{where}" if number in (2, 5, 6) else f"{tables} SELECT file_id, path, size FROM live WHERE {where} AND {SHOWN}"
+
+
 for _i, _view in enumerate(K.VIEWS):
-    query(f"g{_i + 1}_{_view.replace('-', '_')}", f"{W('top', 'relations', 'stage')} SELECT file_id, path, size FROM live WHERE {VIEW_SQL[f'g{_i + 1}']} AND {SHOWN}")(
+    query(f"g{_i + 1}_{_view.replace('-', '_')}", _view_oracle(_i + 1))(
         lambda s, d, v=_view: K.saved_view(v, _files(s, d), _facts(s, d), _relations(s, d), _lifecycles(s, d), N, least=500))
 
 

@@ -2,7 +2,8 @@
 
 As in any catalog, populators write their facts and queries read them. Tables of one
 folder are populated on first use in a session, written to the shared folder, and
-read from there by every query after.
+read from there by every query after, as long as the table that they were made from is the same: its
+files' names, sizes and times are looked at each time, and facts of another state are dropped.
 """
 
 from __future__ import annotations
@@ -35,15 +36,32 @@ class Knowledge:
     pinned: DataFrame
 
 
-_KEPT: dict[tuple[str, str, str], Knowledge] = {}
+_KEPT: dict[tuple[str, str, str], tuple[list, Knowledge]] = {}
+
+
+def _state(spark: SparkSession, sf_dir: str) -> list[tuple[str, int, int]]:
+    """(name, size, time) of the files of the table that facts are made from."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    return sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in found)
 
 
 def of(spark: SparkSession, sf_dir: str) -> Knowledge:
-    """The knowledge base of a folder of tables."""
-    key = (spark.sparkContext.applicationId, shared.root(spark), sf_dir)
-    if key not in _KEPT or not shared.exists(_KEPT[key].rule_facts):
-        _KEPT[key] = _populated(spark, sf_dir)
-    return _KEPT[key]
+    """The knowledge base of a folder of tables as they are now."""
+    key, state = (spark.sparkContext.applicationId, shared.root(spark), sf_dir), _state(spark, sf_dir)
+    seen, kept = _KEPT.get(key, (None, None))
+    if seen != state or not shared.exists(kept.rule_facts):
+        if kept is not None:
+            drop(spark, sf_dir)
+        _KEPT[key] = (state, _populated(spark, sf_dir))
+    return _KEPT[key][1]
+
+
+def drop(spark: SparkSession, sf_dir: str) -> None:
+    """Delete the written facts of a folder."""
+    _, kept = _KEPT.pop((spark.sparkContext.applicationId, shared.root(spark), sf_dir), (None, None))
+    for table in (kept.rule_facts, kept.derived, kept.backups, kept.relations) if kept else ():
+        shared.drop(table)
 
 
 def _rule_facts(files: DataFrame) -> DataFrame:

@@ -37,3 +37,9 @@ def exists(df: DataFrame) -> bool:
     """Whether a written table is still there."""
     path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.shelfmark_path)
     return path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
+def drop(df: DataFrame) -> None:
+    """Delete a written table once nothing reads it any more."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.shelfmark_path)
+    path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
