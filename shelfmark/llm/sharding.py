@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 LAW = "rows"
 #: Average rows of a bucket.
 BUCKET_ROWS = 2_000
+#: Buckets that are cumulated in one window.
+RUN = 1_024
 DIGITS = 8  # hex digits of the hash that choose a bucket
 
 
@@ -44,6 +46,19 @@ def file_position(rows: DataFrame) -> DataFrame | None:
         return None
 
 
+def _before(counts: DataFrame, by: list[str], key: str) -> DataFrame:
+    """(by, key, before): for each count ``c`` the sum of those of smaller keys, within a value of ``by``.
+
+    In two levels: runs of RUN keys are cumulated each on their own, and their totals, a row a run, together.
+    """
+    run = F.floor(F.col(key) / RUN).alias("run")
+    earlier = Window.partitionBy(*by, "run").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    runs = counts.groupBy(*by, run).agg(F.sum("c").alias("c"))
+    starts = runs.select(*by, "run", F.coalesce(F.sum("c").over(Window.partitionBy(*by).orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    within = counts.select(*by, key, run, "c").withColumn("within", F.coalesce(F.sum("c").over(earlier), F.lit(0)))
+    return within.join(starts, [*by, "run"]).select(*by, key, (F.col("start") + F.col("within")).alias("before"))
+
+
 def interleave(
     rows: DataFrame,
     shards: int = 8,
@@ -75,17 +90,14 @@ def interleave(
     base = packed.select("row", stratum.alias("s"), hashed.alias("h"), fine.alias("b"), F.struct(*[c.alias(f"t{i}") for i, c in enumerate([*ties, *tell])]).alias("t"))
 
     counts = base.groupBy("s", "b").agg(F.count(F.lit(1)).alias("c"))
-    by_source = Window.partitionBy("s")
-    below = by_source.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("s", "b", F.coalesce(F.sum("c").over(below), F.lit(0)).alias("before"), F.sum("c").over(by_source).alias("n"))
+    starts = _before(counts, ["s"], "b").join(counts.groupBy("s").agg(F.sum("c").alias("n")), "s")
     inside = Window.partitionBy("s", "b").orderBy("h", "t")
     ranked = base.join(starts, ["s", "b"], "left").withColumn("r", F.col("before") + F.row_number().over(inside))
     # Fraction (2r - 1) / 2n; its bucket is floor(fraction * buckets), in whole numbers.
     ranked = ranked.select("row", "s", "r", "n", F.expr(f"CAST(((2 * r - 1) * {buckets}L) DIV (2 * n) AS INT)").alias("x"))
 
     sizes = ranked.groupBy("x").agg(F.count(F.lit(1)).alias("c"))
-    earlier = Window.orderBy("x").rowsBetween(Window.unboundedPreceding, -1)  # one row a bucket
-    borders = sizes.select("x", F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias("before"))
+    borders = _before(sizes, [], "x")
     across = Window.partitionBy("x").orderBy((2 * F.col("r") - 1).cast("double") / (2 * F.col("n")).cast("double"), "s", "r")
     position = (F.col("before") + F.row_number().over(across) - 1).cast("long")
     placed = ranked.join(borders, "x", "left").select("row", position.alias("position"))

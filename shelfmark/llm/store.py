@@ -2,39 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
+from shelfmark.sources import shared
 
-_LOCAL: list[str] = []
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``, or the context's checkpoint folder.
-
-    Where neither is set, one of our own on a local master; on a cluster that
-    would be a folder of each machine, so it is an error.
-    """
-    if root := spark.conf.get("spark.checkpoint.dir", None):
-        return root.rstrip("/")
-    if (own := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
-        return own.get().rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    if not _LOCAL:
-        _LOCAL.append(tempfile.mkdtemp(prefix="shelfmark-"))
-    return f"file://{_LOCAL[0]}"
+#: The folder that driver and executors share.
+shared_root = shared.root
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: a cut of lineage that outlives executors."""
-    spark = df.sparkSession
-    path = f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.shelfmark_path = path
-    _LIVE[path] = out
+    out = shared.written(df, tag)
+    _LIVE[out.shelfmark_path] = out
     return out
 
 
@@ -44,9 +23,7 @@ _LIVE: dict[str, DataFrame] = {}
 
 def drop(df: DataFrame) -> None:
     """Delete a table made by :func:`written` once nothing reads it any more."""
-    jvm, spark = df.sparkSession._jvm, df.sparkSession
-    path = jvm.org.apache.hadoop.fs.Path(df.shelfmark_path)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    shared.drop(df)
     _LIVE.pop(df.shelfmark_path, None)
 
 

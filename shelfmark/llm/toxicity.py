@@ -73,7 +73,7 @@ def words_of(texts: list[str]) -> Words:
     ends = gap[np.searchsorted(gap, starts)] if len(starts) else starts
     size = (ends - starts)[first]
     begin = starts[first]
-    padded = np.concatenate((buf, np.zeros(16, np.uint8))).astype(np.uint64)
+    padded = np.concatenate((buf, np.zeros(16, np.uint8)))
     grams = []
     for j, (kind, n) in enumerate(PIECES):
         # A word shorter than the piece is its own piece.
@@ -83,7 +83,7 @@ def words_of(texts: list[str]) -> Words:
         span = np.minimum(size, n)[who]
         key = span.astype(np.uint64)
         for i in range(n):
-            key = key * np.uint64(0x100000001B3) + np.where(i < span, padded[at + i], 0).astype(np.uint64)
+            key = key * np.uint64(0x100000001B3) + np.where(i < span, padded[at + i], np.uint8(0)).astype(np.uint64)
         grams.append((who, (textops.mix(key + np.uint64(j << 8)) >> np.uint64(48)).astype(np.int64)))
     return Words(distinct, size, grams, [number[cut[i] : cut[i + 1]] for i in range(len(texts))])
 
@@ -134,12 +134,12 @@ def windows(texts: list[np.ndarray], pad: int) -> tuple[np.ndarray, np.ndarray]:
     for i, text in enumerate(texts):
         if n := len(text):
             k = 1 + max(0, -(-(n - WINDOW) // STRIDE))
-            filled = np.full((k - 1) * STRIDE + WINDOW, pad)
+            filled = np.full((k - 1) * STRIDE + WINDOW, pad, np.int32)
             filled[:n] = text
             rows.append(np.lib.stride_tricks.sliding_window_view(filled, WINDOW)[::STRIDE])
             owner.append(np.full(k, i))
     if not rows:
-        return np.zeros((0, WINDOW), np.int64), np.zeros(0, np.int64)
+        return np.zeros((0, WINDOW), np.int32), np.zeros(0, np.int64)
     return np.concatenate(rows), np.concatenate(owner)
 
 
@@ -290,7 +290,8 @@ def train(texts: list[str], labels: list[int], share: float | None = None, epoch
         owner.append(who)
     x = np.concatenate([v[:n] for v in xs] + [xs[0][n:]])
     pad = len(x) - 1
-    index = np.concatenate([np.where(r == n, pad, r + f[:, None] * n) if len(r) else r for r, f in rows])
+    index = np.concatenate([np.where(r == n, np.int32(pad), r + (f[:, None] * n).astype(np.int32)) if len(r) else r for r, f in rows])
+    del rows
     owner = np.concatenate(owner)
     if not len(index):
         return Model(prior)

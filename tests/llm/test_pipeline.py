@@ -23,6 +23,6 @@ def test_stages_on_messy_rows(spark, messy, tmp_path):
 
 
 def test_names():
-    assert [int(n[2:].split("_")[0]) for n in queries.queries()] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in queries.queries()] == list(range(1, 14))
     assert set(queries.oracle_sql()) <= set(queries.queries())
     assert list(corpus_pipeline.queries()) == ["pipeline"]
