@@ -153,8 +153,15 @@ def age_label(seconds: Column) -> Column:
 
 
 def number_text(value: Column) -> Column:
-    """A double as it stands in a JSON payload: shortest digits, a point always."""
-    return F.regexp_extract(F.to_json(F.struct(value.cast("double").alias("v"))), r":([^}]*)", 1)
+    """A double as it stands in a JSON payload: shortest digits, a point always; an exponent only below 1e-5 and from 1e16 on."""
+    java = F.regexp_extract(F.to_json(F.struct(value.cast("double").alias("v"))), r":([^}]*)", 1)
+    sign, digits = F.regexp_extract(java, "^(-?)", 1), F.regexp_replace(F.regexp_extract(java, r"^-?([0-9.]+)E", 1), r"\.|\.?0$", "")
+    power = F.regexp_extract(java, r"E(-?[0-9]+)$", 1).try_cast("int")
+    small = F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+    whole = F.rpad(digits, F.greatest(F.length(digits), power + 1), F.lit("0"))
+    large = F.concat(sign, F.substring(whole, F.lit(1), power + 1), F.lit("."), F.when(F.length(whole) > power + 1, F.substring(whole, power + 2, F.length(whole))).otherwise(F.lit("0")))
+    scientific = F.concat(sign, F.substring(digits, 1, 1), F.when(F.length(digits) > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), F.length(digits)))).otherwise(F.lit("")), F.lit("e"), power.cast("string"))
+    return F.when(power.isNull(), java).when(power.between(-5, -1), small).when(power.between(0, 15), large).otherwise(scientific)
 
 
 def hamming(a: Column, b: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +18,8 @@ from shelfmark.plans import kb_queries as Q
 from shelfmark.plans import overview as O
 from shelfmark.plans.registry import query
 from shelfmark.sources import bindings as B
-from shelfmark.sources import filesystem, knowledge
+from shelfmark.sources import filesystem, knowledge, shared
+from shelfmark.sources.decision_log import DecisionLog
 
 N = B.AS_OF
 W = B.with_tables
@@ -235,18 +238,22 @@ query("u10_names", f"{W('doc_files')} SELECT file_id, CASE WHEN file_id % 3 = 0
     lambda s, d: (lambda f, bare: f.select("file_id", paths.folder_of(F.when(bare, F.lit("name")).otherwise(F.col("path"))).alias("folder"), paths.shown_extension(F.when(bare, F.lit("name")).otherwise(F.col("name"))).alias("ext")))(_k(s, d).files, F.col("file_id") % 3 == 0))
 query("u4_windows_paths", f"{W('doc_files')} SELECT DISTINCT concat('C:', replace(folder_path, '/', '\\')) AS p, (2 + len(string_split(ltrim(folder_path, '/'), '/')))::INTEGER AS depth, concat('C:', replace(regexp_replace(folder_path, '/[^/]*$', ''), '/', '\\')) AS parent, (1 + len(string_split(ltrim(folder_path, '/'), '/')))::INTEGER AS ups FROM doc_files")(
     lambda s, d: _k(s, d).files.select(F.concat(F.lit("C:"), F.replace("folder_path", F.lit("/"), F.lit("\\"))).alias("p")).distinct().select("p", paths.depth(F.col("p")).alias("depth"), paths.parent(F.col("p")).alias("parent"), F.size(paths.ancestors(F.col("p"))).alias("ups")))
-query("u14_number_text", f"{W('derived')} SELECT derivative_id, source_id, (size_ratio)::VARCHAR AS ratio FROM derived WHERE size_ratio >= 0.001")(lambda s, d: _k(s, d).derived.select("derivative_id", "source_id", paths.number_text(F.col("size_ratio")).alias("ratio")))
+query("u14_number_text", f"{W('derived')} SELECT derivative_id, source_id, (size_ratio)::VARCHAR AS ratio FROM derived")(lambda s, d: _k(s, d).derived.select("derivative_id", "source_id", paths.number_text(F.col("size_ratio")).alias("ratio")))
 ISSUES_SQL = "SELECT event_id AS id, user_id % 3 AS scan_id, CASE WHEN event_id % 2 = 0 THEN 'walk' ELSE 'hash' END AS phase, floor(epoch(ts))::BIGINT AS created_at FROM events"
 
 
-def _overview(s: SparkSession, d: str) -> DataFrame:
-    """How many rows each part of the overview has."""
+def _parts(s: SparkSession, d: str) -> dict[str, DataFrame]:
+    """The parts of the overview of the document files."""
     files = _k(s, d).files.withColumns({c: F.col("content_hash") for c in ("partial_hash", "sample_hash", "full_hash")})
     issues = B.table(s, d, "events").select(F.col("event_id").alias("id"), (F.col("user_id") % 3).alias("scan_id"), F.when(F.col("event_id") % 2 == 0, "walk").otherwise("hash").alias("phase"), F.unix_timestamp("ts").alias("created_at"))
     sessions = issues.groupBy(F.col("scan_id").alias("id")).agg(F.max("created_at").alias("started_at"), F.count_if(F.col("phase") == "walk").alias("inaccessible_entries"))
-    parts = O.overview(files, sessions, issues, N, limit=40)
+    return O.overview(files, sessions, issues, N, limit=40)
+
+
+def _overview(s: SparkSession, d: str) -> DataFrame:
+    """How many rows each part of the overview has."""
     out = None
-    for name, part in parts.items():
+    for name, part in _parts(s, d).items():
         one = part.agg(F.lit(name).alias("part"), F.count(F.lit(1)).alias("rows"))
         out = one if out is None else out.union(one)
     return out
@@ -257,3 +264,52 @@ m AS (SELECT DISTINCT strftime(make_timestamp(modified_at * 1000000), '%Y-%m') A
 SELECT unnest(['session', 'largest_folders', 'largest_files', 'extensions', 'duplicate_groups', 'media', 'folder_media', 'timeline', 'ages', 'issue_counts']) AS part,
  unnest([1, least(40, (SELECT count(*) FROM up)), least(40, (SELECT count(*) FROM live WHERE size > 0)), least(40, (SELECT count(*) FROM (SELECT extension FROM live GROUP BY 1 HAVING sum(size) > 0))), least(40, (SELECT count(*) FROM (SELECT 1 FROM live WHERE size > 0 AND content_hash IS NOT NULL GROUP BY size, content_hash HAVING count(*) > 1))),
  (SELECT count(DISTINCT media_kind) FROM live), least(240, (SELECT count(*) FROM (SELECT DISTINCT folder_path, media_kind FROM live))), (SELECT count(*) FROM m WHERE b BETWEEN '2021-11' AND '2023-11'), (SELECT count(DISTINCT {BAND}) FROM live), 1])::BIGINT AS rows""")(_overview)
+
+
+PART = "SELECT '{}' AS part, {} AS key, {} AS n, {} AS bytes FROM ({})"
+_SUMS = "count(*) AS n, sum(size)::BIGINT AS b"
+query("t11_contents", f"""{W('live')}, up AS (SELECT unnest(CAST(list_transform(range(len(p), 0, -1), lambda i: '/' || array_to_string(p[1:i], '/')) AS VARCHAR[])) AS path, size FROM (SELECT string_split(ltrim(folder_path, '/'), '/') AS p, size FROM live))
+{" UNION ALL ".join(PART.format(*x) for x in (
+    ("largest_folders", "path", "n", "b", f"SELECT path, {_SUMS} FROM up GROUP BY 1 HAVING sum(size) > 0 ORDER BY b DESC, path LIMIT 40"),
+    ("largest_files", "path", "1", "size", "SELECT path, size FROM live WHERE size > 0 ORDER BY size DESC, file_id LIMIT 40"),
+    ("extensions", "extension", "n", "b", f"SELECT extension, {_SUMS} FROM live WHERE extension IS NOT NULL GROUP BY 1 HAVING sum(size) > 0 ORDER BY b DESC, extension LIMIT 40"),
+    ("duplicate_groups", "content_hash", "n", "size * (n - 1)", "SELECT size, content_hash, count(*) AS n FROM live WHERE size > 0 AND content_hash IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1 ORDER BY size * (n - 1) DESC, content_hash LIMIT 40"),
+    ("media", "media_kind", "n", "b", f"SELECT media_kind, {_SUMS} FROM live GROUP BY 1"),
+    ("folder_media", "concat(folder_path, '|', media_kind)", "n", "b", f"SELECT folder_path, media_kind, {_SUMS} FROM live GROUP BY 1, 2 ORDER BY b DESC, folder_path, media_kind LIMIT 240"),
+    ("timeline", "m", "n", "b", f"SELECT strftime(make_timestamp(modified_at * 1000000), '%Y-%m') AS m, {_SUMS} FROM live GROUP BY 1 HAVING m BETWEEN '2021-11' AND '2023-11'"),
+    ("ages", "band", "n", "b", f"SELECT {BAND} AS band, {_SUMS} FROM live GROUP BY 1"),
+))}""")(lambda s, d: _contents(s, d))
+
+
+def _contents(s: SparkSession, d: str) -> DataFrame:
+    """The rows of the overview's parts, not their counts."""
+    parts = _parts(s, d)
+    one = F.lit(1).cast("long")
+    shown = {
+        "largest_folders": ("path", "total_files", "total_bytes"), "largest_files": ("path", one, "size"), "extensions": ("extension", "file_count", "total_bytes"), "duplicate_groups": ("partial_hash", "members", "reclaimable_bytes"),
+        "media": ("media_kind", "file_count", "total_bytes"), "folder_media": (F.concat_ws("|", "folder_path", "media_kind"), "file_count", "total_bytes"), "timeline": ("bucket", "file_count", "total_bytes"), "ages": ("band", "file_count", "total_bytes"),
+    }
+    column = lambda c: F.col(c) if isinstance(c, str) else c
+    rows = [parts[name].select(F.lit(name).alias("part"), *[column(c).alias(n) for c, n in zip(of, ("key", "n", "bytes"), strict=True)]) for name, of in shown.items()]
+    out = rows[0]
+    for other in rows[1:]:
+        out = out.union(other)
+    return out
+
+
+def _log(s: SparkSession, d: str) -> DecisionLog:
+    """A log of pins: users are the files, some of their events pin and others unpin them."""
+    events = B.table(s, d, "events")
+    none = lambda t: F.lit(None).cast(t)
+    action = F.when(F.length("event_type") % 2 == 0, "pin").otherwise("unpin")
+    rows = events.select(action.alias("action"), F.col("user_id").alias("subject_id"), none("string").alias("predicate"), none("long").alias("object_id"), none("string").alias("key"), none("string").alias("value"),
+                         none("string").alias("discovery_id"), none("string").alias("reason"), F.col("event_id").alias("at"))
+    log = DecisionLog(s, f"{shared.root(s)}/decisions-{uuid.uuid4().hex}")
+    for part in range(3):  # in three batches, then compacted
+        log.append(rows.filter((F.col("at") > F.lit(part * 300)) & (F.col("at") <= F.lit(300 * (part + 1) if part < 2 else 1 << 60)) | (F.col("at") <= 0) & F.lit(part == 0)))
+    log.compact()
+    return log
+
+
+query("k8_pins_of_a_log", "SELECT user_id AS file_id, event_id AS pinned_at FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1 AND length(event_type) % 2 = 0")(
+    lambda s, d: _log(s, d).pinned().select("file_id", "pinned_at"))

@@ -1,6 +1,6 @@
 """The user's decisions as an append-only log.
 
-Every decision is an event with a number. Events are written in batches, one folder
+Every decision is an event with the number of its batch and its place there. Events are written in batches, one folder
 each; a batch counts once its mark is there, and a mark is never written over, so of two writers on
 one number one tries the next. What holds is what the last event of a target says, so a
 state is one scan and one aggregation, however many decisions there were: no
@@ -19,10 +19,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 EVENT = "action string, subject_id long, predicate string, object_id long, key string, value string, discovery_id string, reason string, at long"
-LOGGED = f"seq long, {EVENT}"
+LOGGED = f"batch long, seq long, {EVENT}"
 TARGET = ["subject_id", "predicate", "object_id", "key", "value", "discovery_id"]
-#: Events of one batch have numbers in a row from batch * BATCH on.
-BATCH = 1 << 32
+#: What orders events.
+ORDER = "struct(batch, seq)"
 
 
 @dataclass(frozen=True)
@@ -89,8 +89,7 @@ class DecisionLog:
             rows = rows.repartitionByRange("at", *TARGET).sortWithinPartitions("at", *TARGET)
         number = max(self.batches(), default=-1) + 1
         while True:
-            seq = F.monotonically_increasing_id()
-            numbered = rows.select((F.lit(number * BATCH) + F.shiftright(seq, 33) * (1 << 20) + seq % (1 << 33)).alias("seq"), *[c.split()[0] for c in EVENT.split(", ")])
+            numbered = rows.select(F.lit(number).cast("long").alias("batch"), F.monotonically_increasing_id().alias("seq"), *[c.split()[0] for c in EVENT.split(", ")])
             folder = f"{self.root}/batches/{number:012d}"
             try:
                 numbered.write.parquet(folder)
@@ -112,7 +111,7 @@ class DecisionLog:
         """The last event of each target among some actions."""
         some = self.events().filter(F.col("action").isin(*actions))
         rest = [c.split()[0] for c in LOGGED.split(", ") if c.split()[0] not in TARGET]
-        return some.groupBy(*TARGET).agg(F.max_by(F.struct(*rest), "seq").alias("e")).select(*TARGET, "e.*")
+        return some.groupBy(*TARGET).agg(F.max_by(F.struct(*rest), F.expr(ORDER)).alias("e")).select(*TARGET, "e.*")
 
     # What holds -------------------------------------------------------------------
 
@@ -128,12 +127,12 @@ class DecisionLog:
 
     def is_enabled(self) -> bool:
         """The switch; off if it was never set (K9)."""
-        row = self.events().filter("action IN ('enable', 'disable')").agg(F.max_by("action", "seq").alias("a")).first()
+        row = self.events().filter("action IN ('enable', 'disable')").agg(F.max_by("action", F.expr(ORDER)).alias("a")).first()
         return row["a"] == "enable"
 
     def statuses(self, discoveries: DataFrame) -> DataFrame:
         """Discoveries with the status that was decided first, else their own (K13, K14): a decided one is never decided anew."""
-        first = self.events().filter("action IN ('confirm', 'dismiss')").groupBy("discovery_id").agg(F.min_by("action", "seq").alias("a"))
+        first = self.events().filter("action IN ('confirm', 'dismiss')").groupBy("discovery_id").agg(F.min_by("action", F.expr(ORDER)).alias("a"))
         said = F.when(F.col("a") == "confirm", "confirmed").when(F.col("a") == "dismiss", "rejected")
         joined = discoveries.join(first.withColumnRenamed("discovery_id", "id"), "id", "left")
         pending = F.col("status") == "pending"
@@ -155,7 +154,7 @@ class DecisionLog:
         keep = self._last("reject", "allow").unionByName(self._last("pin", "unpin")).unionByName(self._last("enable", "disable").filter("action IS NOT NULL"))
         first = self.events().filter("action IN ('confirm', 'dismiss')")
         rest = [c.split()[0] for c in LOGGED.split(", ") if c.split()[0] not in TARGET]
-        keep = keep.unionByName(first.groupBy(*TARGET).agg(F.min_by(F.struct(*rest), "seq").alias("e")).select(*TARGET, "e.*"))
+        keep = keep.unionByName(first.groupBy(*TARGET).agg(F.min_by(F.struct(*rest), F.expr(ORDER)).alias("e")).select(*TARGET, "e.*"))
         number = old[-1] + 1
         keep.select(*[c.split()[0] for c in LOGGED.split(", ")]).write.parquet(f"{self.root}/batches/{number:012d}")
         if not self._claim(number, "base"):

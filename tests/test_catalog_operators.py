@@ -152,3 +152,9 @@ def test_overview_without_sessions(spark):
     issues = spark.createDataFrame([], "id long, scan_id long, phase string, path string")
     sessions = spark.createDataFrame([], "id long, started_at long, inaccessible_entries long")
     assert tuple(C.issue_counts(issues, sessions).first()) == (0, 0)
+
+
+def test_number_text_at_all_sizes(spark):
+    want = {0.5: "0.5", 1.0: "1.0", 0.001: "0.001", 0.000123: "0.000123", 0.0001: "0.0001", 0.00001: "0.00001", 0.000001: "1e-6", 1.25e-7: "1.25e-7", -0.00025: "-0.00025", 12345678.0: "12345678.0", 1e7: "10000000.0", 123456789.125: "123456789.125", 1e15: "1000000000000000.0", 1e16: "1e16", 1.5e300: "1.5e300", 0.0: "0.0", -2.0: "-2.0"}
+    rows = spark.createDataFrame([(v,) for v in want], "v double").select("v", paths.number_text(F.col("v")).alias("t")).collect()
+    assert {r.v: r.t for r in rows} == want
