@@ -91,7 +91,7 @@ class Snapshots:
 
     def read(self, number: int | None = None, buckets: list[int] | None = None) -> DataFrame | None:
         """The files of a version, or of some of its buckets; None if nothing was ever written."""
-        version = self.version(number)
+        version = self.version(number) if number is None or number >= 0 else Version(-1)
         if version.number < 0:
             return None
         some = version.buckets if buckets is None else {b: version.buckets[b] for b in buckets if b in version.buckets}
@@ -148,14 +148,32 @@ class Snapshots:
         self._commit(version)
         return version
 
+    def amend(self, new: DataFrame, note: dict | None = None) -> Version:
+        """The next version with some columns of some files replaced: ``new`` has path, folder_path and these columns."""
+        last, named = self.version(), [c for c in new.columns if c not in ("path", "folder_path")]
+        keyed = new.withColumn("bucket", self.bucket_of(F.col("folder_path")))
+        touched = [r["bucket"] for r in keyed.select("bucket").distinct().collect()]  # a row for each bucket
+        version = Version(last.number + 1, {**last.buckets, **dict.fromkeys(touched, last.number + 1)}, last.schema, (note or {}) | {"touched": len(touched)})
+        if touched:
+            old = self.read(buckets=touched)
+            joined = old.join(new.select("path", F.struct(*named).alias("_new")), "path", "left")
+            rows = joined.select([F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) if c in named else F.col(c) for c in old.columns])
+            self._write(rows.withColumn("bucket", self.bucket_of(F.col("folder_path"))), version.number, last.schema)
+        self._commit(version)
+        return version
+
     def changes(self, before: int, after: int) -> DataFrame:
         """Files that differ between two versions: path and the two rows (``old``, ``new``), null where it isn't live.
 
         Only buckets that differ are read.
         """
-        a, b = self.version(before), self.version(after)
+        a, b = self.version(before) if before >= 0 else Version(-1), self.version(after)
         differ = [k for k in {*a.buckets, *b.buckets} if a.buckets.get(k) != b.buckets.get(k)]
-        live = lambda n: catalog.live(self.read(n, differ)).select("path", F.struct("folder_path", "size", "extension").alias("row"))
+        def rows(n: int) -> DataFrame:
+            got = self.read(n, differ)
+            return got if got is not None else self.spark.createDataFrame([], b.schema)
+
+        live = lambda n: catalog.live(rows(n)).select("path", F.struct("folder_path", "size", "extension").alias("row"))
         joined = live(before).withColumnRenamed("row", "old").join(live(after).withColumnRenamed("row", "new"), "path", "full")
         return joined.filter(~F.col("old").eqNullSafe(F.col("new")))
 
