@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import paths
 from shelfmark.operators import facts as kb
+from shelfmark.operators import trees
+from shelfmark.sources import shared
 
 NEGATIVE = "subject_id long, predicate string, object_id long, key string, value string, reason string"
 #: What a confirmed kind of discovery becomes, and the role of its subject.
@@ -150,6 +152,17 @@ def shared_paths(groups: DataFrame, findings: DataFrame) -> DataFrame:
     return below.union(over).distinct()
 
 
+def shared_paths_by_tree(groups: DataFrame, findings: DataFrame) -> DataFrame:
+    """As :func:`shared_paths`, by intervals of the paths concerned: no path is exploded to its ancestors, and one that holds all others is no hot key."""
+    ends = shared.written(findings.select("id", F.explode(F.array("subject", "object")).alias("path")).filter("path <> ''").distinct(), "ends")
+    held = shared.written(groups.select("hash", "path").filter("path <> ''").distinct(), "held")
+    tree = shared.written(trees.intervals(ends.select("path").union(held.select("path")).distinct()), "tree")
+    of = lambda rows: tree.join(rows.select("path").distinct(), "path", "left_semi")
+    below = trees.containing(of(held), of(ends)).join(held, "path").join(ends.select("id", F.col("path").alias("above")), "above").select("hash", "id")
+    over = trees.containing(of(ends), of(held)).join(ends, "path").join(held.select("hash", F.col("path").alias("above")), "above").select("hash", "id")
+    return below.union(over).distinct()
+
+
 def board_edges(findings: DataFrame, hubs: DataFrame, pins: DataFrame, groups: DataFrame, removed: DataFrame, labels: DataFrame, drawn: DataFrame) -> DataFrame:
     """Edges (key, source, target, label, strong) of the findings board.
 
@@ -165,7 +178,7 @@ def board_edges(findings: DataFrame, hubs: DataFrame, pins: DataFrame, groups: D
     to_pin = over.join(pins.select("path"), "path").select(F.concat(card, F.lit("~"), "path").alias("key"), card.alias("source"), F.concat(F.lit("pin:"), "path").alias("target"), F.col("predicate").alias("label"), strong)
     to_hub = findings.join(hubs.select(F.col("path").alias("object")), "object").select(F.concat(card, F.lit("~source")), card, F.concat(F.lit("source:"), "object"), "predicate", strong)
     dup = F.concat(F.lit("dup:"), F.col("hash"))
-    shared = shared_paths(groups, findings).select(F.concat(dup, F.lit("~"), card), dup, card, F.lit("shares files"), F.lit(False))
-    found = to_pin.union(to_hub).union(shared).join(removed.select("key"), "key", "left_anti")
+    overlap = shared_paths(groups, findings).select(F.concat(dup, F.lit("~"), card), dup, card, F.lit("shares files"), F.lit(False))
+    found = to_pin.union(to_hub).union(overlap).join(removed.select("key"), "key", "left_anti")
     named = found.join(labels.select("key", F.col("label").alias("new")), "key", "left").withColumn("label", F.coalesce("new", "label")).drop("new")
     return named.union(drawn.select("key", "source", "target", "label", F.lit(True).alias("strong")))

@@ -72,13 +72,13 @@ def inside(rows: DataFrame, tree: DataFrame, folder: str) -> DataFrame:
     return rows.join(F.broadcast(edge), (F.col("pre") >= F.col("_lo")) & (F.col("pre") < F.col("_hi"))).drop("_lo", "_hi")  # one row
 
 
-def _open_at_edges(spread: DataFrame) -> DataFrame:
-    """(_range, path, pre, stop): folders of earlier ranges that are still open where a range begins."""
+def _open_at_edges(spread: DataFrame, outer: DataFrame | None = None) -> DataFrame:
+    """(_range, path, pre, stop): folders (of ``outer``, if given) of earlier ranges that are still open where a range begins."""
     edges = spread.groupBy("_range").agg(F.min("pre").alias("edge"))  # a row for each range
     at = [(r["_range"], r["edge"]) for r in sorted(edges.collect())]
     starts = F.array(*[F.struct(F.lit(n).alias("_range"), F.lit(e).cast("long").alias("edge")) for n, e in at])
     crossed = F.filter(starts, lambda s: (s["edge"] > F.col("pre")) & (s["edge"] < F.col("stop")))
-    return spread.filter("stop > pre + 1").select(F.explode(crossed).alias("s"), "path", "pre", "stop").select("s._range", "path", "pre", "stop")
+    return (spread if outer is None else outer).filter("stop > pre + 1").select(F.explode(crossed).alias("s"), "path", "pre", "stop").select("s._range", "path", "pre", "stop")
 
 
 def enclosing(some: DataFrame) -> DataFrame:
@@ -107,6 +107,35 @@ def enclosing(some: DataFrame) -> DataFrame:
     return rows.groupBy("_range").applyInPandas(walk, "path string, parent_path string")
 
 
+def containing(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """(path, above): for each of ``inner`` (path, pre) all of ``outer`` (path, pre, stop) that it is or lies below.
+
+    Both are of one tree, each path once. Ranges of the order are walked with the stack of open
+    folders, so a folder that holds everything is open in every range and no task's own.
+    """
+    import pandas as pd
+
+    marks = outer.select("path", "pre", "stop", F.lit(0).alias("role")).union(inner.select("path", "pre", F.lit(None).cast("long"), F.lit(1)))
+    spread = ordered.ranged(marks, ["pre"])
+    if not spread.limit(1).count():
+        return spread.select("path", F.col("path").alias("above"))
+    carried = _open_at_edges(spread, outer)
+    rows = spread.select("_range", "path", "pre", "stop", "role").union(carried.select("_range", "path", "pre", "stop", F.lit(0)))
+
+    def walk(part: pd.DataFrame) -> pd.DataFrame:
+        out, stack = [], []
+        for path, pre, stop, role in part.sort_values(["pre", "role"])[["path", "pre", "stop", "role"]].itertuples(index=False):
+            while stack and stack[-1][1] <= pre:
+                stack.pop()
+            if role:
+                out += [(path, above) for above, _ in stack]
+            else:
+                stack.append((path, stop))
+        return pd.DataFrame(out, columns=["path", "above"])
+
+    return rows.groupBy("_range").applyInPandas(walk, "path string, above string")
+
+
 def outermost(some: DataFrame) -> DataFrame:
     """Folders (path, pre, stop) that lie below no other of the set (F16)."""
     return enclosing(some).filter("parent_path IS NULL").select("path")

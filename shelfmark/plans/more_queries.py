@@ -109,6 +109,7 @@ def _dup_paths(s: SparkSession, d: str) -> DataFrame:
 UNDER = "({0} = {1} OR starts_with({0}, {1} || '/'))"
 ANY = " OR ".join(UNDER.format(a, b) for e in ("t.subject", "t.object") for a, b in (("g.path", e), (e, "g.path")))
 query("j23_path_overlap", f"{W('told')}, g AS ({DUPS}) SELECT DISTINCT g.hash, t.id FROM g JOIN told t ON {ANY}")(lambda s, d: Y.shared_paths(_dup_paths(s, d), _findings(s, d)))
+query("j23_tree_overlap", f"{W('told')}, g AS ({DUPS}) SELECT DISTINCT g.hash, t.id FROM g JOIN told t ON {ANY}")(lambda s, d: Y.shared_paths_by_tree(_dup_paths(s, d), _findings(s, d)))
 
 
 def _board(s: SparkSession, d: str) -> DataFrame:
@@ -278,10 +279,10 @@ query("t11_contents", f"""{W('live')}, up AS (SELECT unnest(CAST(list_transform(
     ("folder_media", "concat(folder_path, '|', media_kind)", "n", "b", f"SELECT folder_path, media_kind, {_SUMS} FROM live GROUP BY 1, 2 ORDER BY b DESC, folder_path, media_kind LIMIT 240"),
     ("timeline", "m", "n", "b", f"SELECT strftime(make_timestamp(modified_at * 1000000), '%Y-%m') AS m, {_SUMS} FROM live GROUP BY 1 HAVING m BETWEEN '2021-11' AND '2023-11'"),
     ("ages", "band", "n", "b", f"SELECT {BAND} AS band, {_SUMS} FROM live GROUP BY 1"),
-))}""")(lambda s, d: _contents(s, d))
+))}""")(lambda s, d: _overview_rows(s, d))
 
 
-def _contents(s: SparkSession, d: str) -> DataFrame:
+def _overview_rows(s: SparkSession, d: str) -> DataFrame:
     """The rows of the overview's parts, not their counts."""
     parts = _parts(s, d)
     one = F.lit(1).cast("long")

@@ -87,3 +87,23 @@ def test_a_hundred_levels_and_no_levels(spark):
     known = trees.with_ancestors(df.select(F.col("folder_path").alias("path")))
     plan = trees.intervals(spark.createDataFrame(known.collect(), "path string"), n=F.lit(1))._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan
+
+
+def test_all_that_contain(spark):
+    rng, paths = random.Random(7), random_tree(7)
+    tree = trees.intervals(spark.createDataFrame([(p,) for p in paths], "path string"))
+    outer, inner = rng.sample(paths, 60) + ["/r"], rng.sample(paths, 80)
+    some = lambda names: tree.filter(F.col("path").isin(names))
+    got = sorted(map(tuple, trees.containing(some(inner), some(outer)).collect()))
+    assert got == sorted((p, a) for p in set(inner) for a in set(outer) if below(a, p))
+    assert trees.containing(some([]), some([])).collect() == []
+
+
+def test_shared_paths_by_either_way(spark):
+    from shelfmark.operators import decisions
+
+    rng, paths = random.Random(8), random_tree(8)
+    groups = spark.createDataFrame([(f"h{i % 9}", rng.choice(paths)) for i in range(60)] + [("all", "/r")], "hash string, path string")
+    findings = spark.createDataFrame([(i, rng.choice(paths), rng.choice(paths)) for i in range(40)] + [(99, "/r", "C:/d")], "id long, subject string, object string")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(decisions.shared_paths_by_tree(groups, findings)) == rows(decisions.shared_paths(groups, findings)) != []
