@@ -9,7 +9,7 @@ gated recurrent layers read a window in both directions, an attention layer
 weighs the states, and a logistic unit scores the weighted sum. All overlapping
 windows of the whole text are scored; the text takes the largest score.
 
-Training is numpy with back-propagation through time, on a bounded sample of
+Training is numpy with back-propagation through time, in one task on a bounded sample of
 labelled rows: ``per_class`` documents of each class, chosen by hash, those of up
 to ``most_chars`` characters before longer ones. A longer text trains on PIECES_OF
 pieces at hash-chosen places over its whole length, ``most_chars`` in all. A training text's inputs come from counts that leave out its
@@ -28,6 +28,7 @@ Repeated rows give repeated results; extra columns pass through ``score``.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -335,10 +336,28 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most_cha
     start = lambda i: F.floor((i + F.pmod(F.xxhash64("doc_id", i), F.lit(1000)) / 1000) / PIECES_OF * (length - piece)).cast("int") + 1
     pieces = F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(PIECES_OF - 1)), lambda i: F.substring("text", start(i), F.lit(piece))))
     rows = docs.select("doc_id", F.when(length <= most_chars, F.col("text")).otherwise(pieces).alias("text")).join(F.broadcast(picked), "doc_id")  # 2 * per_class rows
-    got = [r for c in (0, 1) for r in rows.filter((F.col("toxic") == c) & F.col("text").isNotNull()).orderBy(h, "doc_id", "text").limit(per_class).collect()]
-    if got and (lost := [c for c in many if c not in {r["toxic"] for r in got}]):
+    known = rows.filter(F.col("text").isNotNull()).select("toxic", h.alias("h"), "doc_id", "text")
+    order = ("toxic", "h", "doc_id", "text")
+    first = [known.filter(F.col("toxic") == c).orderBy(*order).limit(per_class) for c in (0, 1)]
+    share = many.get(1, 0) / max(1, sum(many.values()))
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts: list[str] = []
+        labels: list[int] = []
+        for batch in batches:
+            texts += batch.column(3).to_pylist()
+            labels += batch.column(0).to_pylist()
+        model = train(texts, labels, share)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary()), pa.array([labels.count(0)]), pa.array([labels.count(1)])], names=["model", "clean", "toxic"])
+
+    # One task of the sample's bounded rows trains, so the driver holds neither texts nor windows.
+    sample = first[0].union(first[1]).repartition(1).sortWithinPartitions(*order)
+    got = sample.mapInArrow(learn, "model binary, clean long, toxic long").collect()
+    if not got or not got[0]["clean"] + got[0]["toxic"]:
+        return train([], [], share)
+    if lost := [c for c, n in ((0, got[0]["clean"]), (1, got[0]["toxic"])) if c in many and not n]:
         raise ValueError(f"no document of the labelled class {lost[0]}")
-    return train([r["text"] for r in got], [r["toxic"] for r in got], many.get(1, 0) / max(1, sum(many.values())))
+    return pickle.loads(got[0]["model"])
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
