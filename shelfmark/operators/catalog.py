@@ -7,6 +7,8 @@ DataFrames to a DataFrame and leaves joins and pushdown to the planner.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -165,11 +167,11 @@ def search(
 
 
 def jvm_pattern(files: DataFrame, regex: str) -> str | None:
-    """The expression as the JVM that runs it takes it; None if that finds it broken."""
-    pattern = regex.replace("(?P<", "(?<")
+    """The expression as Spark takes it, with named groups and references to them in its form; None if Spark finds it broken."""
+    pattern = re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", regex.replace("(?P<", "(?<"))
     try:
-        files.sparkSession._jvm.java.util.regex.Pattern.compile(pattern)
-    except (PySparkException, Exception):  # noqa: BLE001  the gateway wraps the JVM's error
+        files.sparkSession.range(1).select(F.lit("").rlike(pattern)).collect()  # one row
+    except PySparkException:
         return None
     return pattern
 

@@ -171,6 +171,7 @@ def board_edges(findings: DataFrame, hubs: DataFrame, pins: DataFrame, groups: D
     finding. ``removed`` (key) take edges away, ``labels`` (key, label) rename them,
     ``drawn`` are edges of the user's own.
     """
+    findings = shared.written(findings, "findings")  # three branches read them
     strong = (F.col("confidence") >= 0.85).alias("strong")
     ends = findings.select("*", F.explode(F.array("subject", "object")).alias("end"))
     over = ends.select("id", "predicate", "confidence", F.explode(paths.ancestors(F.col("end"))).alias("path")).distinct()

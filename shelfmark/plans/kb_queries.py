@@ -107,9 +107,9 @@ query("h3_h5_stems", f"{W('stems')} SELECT file_id, stem, bstem FROM stems")(lam
 query("h4_j18_backup_pairs", f"{W('backups')} SELECT backup_id, origin_id, size_ratio, confidence, bytes FROM backups")(lambda s, d: KB.backup_pairs(_files(s, d), _rule_facts(s, d)))
 query("h6_regenerable", f"{W('facts', 'relations')} SELECT DISTINCT entity_id, CAST(CAST(0.95 AS FLOAT) AS DOUBLE) AS confidence FROM facts WHERE key = 'role' AND value = 'derivative' AND entity_id IN (SELECT subject_id FROM relations WHERE predicate = 'derivedFrom')")(
     lambda s, d: KB.regenerable(_facts(s, d), _relations(s, d)).select("entity_id", "confidence"))
-INSTALLER = "SELECT *, concat('setup_', name) AS n2 FROM live WHERE file_id % 2 = 0"
+INSTALLER = "SELECT *, CASE WHEN file_id % 2 = 0 THEN concat('setup_', name) ELSE name END AS n2 FROM live"
 query("h7_redownloadable", f"{W('facts')}, i AS ({INSTALLER}) SELECT file_id AS entity_id, 'redownloadable' AS value FROM i WHERE regexp_matches(n2, '(?i)(setup|installer|install[_ .-]?)') AND file_id IN (SELECT entity_id FROM facts WHERE key = 'role' AND value = 'tool')")(
-    lambda s, d: KB.redownloadable(_files(s, d).filter("file_id % 2 = 0").withColumn("name", F.concat(F.lit("setup_"), "name")), _facts(s, d)).select("entity_id", "value"))
+    lambda s, d: KB.redownloadable(_files(s, d).withColumn("name", F.when(F.col("file_id") % 2 == 0, F.concat(F.lit("setup_"), "name")).otherwise(F.col("name"))), _facts(s, d)).select("entity_id", "value"))
 
 
 def _hashes(s: SparkSession, d: str) -> DataFrame:

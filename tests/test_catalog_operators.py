@@ -158,3 +158,9 @@ def test_number_text_at_all_sizes(spark):
     want = {0.5: "0.5", 1.0: "1.0", 0.001: "0.001", 0.000123: "0.000123", 0.0001: "0.0001", 0.00001: "0.00001", 0.000001: "1e-6", 1.25e-7: "1.25e-7", -0.00025: "-0.00025", 12345678.0: "12345678.0", 1e7: "10000000.0", 123456789.125: "123456789.125", 1e15: "1000000000000000.0", 1e16: "1e16", 1.5e300: "1.5e300", 0.0: "0.0", -2.0: "-2.0"}
     rows = spark.createDataFrame([(v,) for v in want], "v double").select("v", paths.number_text(F.col("v")).alias("t")).collect()
     assert {r.v: r.t for r in rows} == want
+
+
+def test_expressions_with_names(spark):
+    files = spark.createDataFrame([(1, "abab.txt", "/r/abab.txt", 5, 1, None), (2, "abba.txt", "/r/abba.txt", 4, 1, None)], "file_id long, name string, path string, size long, modified_at long, deleted_at long")
+    ids = lambda r: [x.file_id for x in C.search(files, regex=r).collect()]
+    assert ids(r"(?P<two>ab)(?P=two)") == [1] and ids(r"(?P<a>b)b") == [2] and ids("(") == [] and ids("[") == [] and ids("ab") == [1, 2]
