@@ -13,6 +13,8 @@ to 3 are outside the model.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,31 +30,40 @@ def key(path: Column) -> Column:
     return F.translate(path, "/\\", BELOW)
 
 
-def with_ancestors(folders: DataFrame) -> DataFrame:
-    """Distinct paths of ``folders`` (path) and of everything above them.
+def with_ancestors(folders: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Distinct paths of ``folders`` (path) and of everything above them; within each value of ``by``, if given.
 
     In sorted order a path adds only those of its ancestors that the path before it
     doesn't have, so all are named once but for a few at the edges of ranges.
     """
-    named = ordered.ranged(folders.select("path").filter("path <> ''").distinct().withColumn("_key", key(F.col("path"))), ["_key"])
-    last = F.lag("path").over(Window.partitionBy("_range").orderBy("_key"))
+    named = ordered.ranged(folders.select(*by, "path").filter("path <> ''").distinct().withColumn("_key", key(F.col("path"))), [*by, "_key"])
+    last = F.lag("path").over(Window.partitionBy("_range", *by).orderBy("_key"))
     seen = F.coalesce(F.col("last"), F.lit(""))
     new = F.filter(paths.ancestors(F.col("path")), lambda a: ~((a == seen) | seen.startswith(F.concat(a, F.lit("/"))) | seen.startswith(F.concat(a, F.lit("\\")))))
-    return named.withColumn("last", last).select(F.explode(new).alias("path")).distinct()
+    return named.withColumn("last", last).select(*by, F.explode(new).alias("path")).distinct()
 
 
-def intervals(folders: DataFrame, **values: Column) -> DataFrame:
+def intervals(folders: DataFrame, by: Sequence[str] = (), **values: Column) -> DataFrame:
     """(path, pre, stop) of distinct ``folders`` (path, ...), and for each value its total over the folder and all below it.
 
-    Folders above the given ones count if they are among them (see :func:`with_ancestors`).
+    With ``by`` there is a tree for each of its values. Folders above the given ones count if they are among them (see :func:`with_ancestors`).
     """
     zero = {n: F.lit(0).cast("long") for n in values}
-    own = folders.select("path", key(F.col("path")).alias("_key"), F.lit(1).cast("long").alias("_one"), *[F.coalesce(v.cast("long"), F.lit(0)).alias(n) for n, v in values.items()])
-    stop = folders.select("path", F.concat(key(F.col("path")), F.lit(AFTER)).alias("_key"), F.lit(0).cast("long").alias("_one"), *[v.alias(n) for n, v in zero.items()])
-    marks = own.union(stop).select("path", "_key", "_one", *values)
-    sums = ordered.before(marks.select("path", "_key", "_one", *[F.col(n).alias(f"_own_{n}") for n in values]), ["_key", "path", "_one"], {"place": F.col("_one"), **{n: F.col(f"_own_{n}") for n in values}})
+    own = folders.select(*by, "path", key(F.col("path")).alias("_key"), F.lit(1).cast("long").alias("_one"), *[F.coalesce(v.cast("long"), F.lit(0)).alias(n) for n, v in values.items()])
+    stop = folders.select(*by, "path", F.concat(key(F.col("path")), F.lit(AFTER)).alias("_key"), F.lit(0).cast("long").alias("_one"), *[v.alias(n) for n, v in zero.items()])
+    marks = own.union(stop).select(*by, "path", "_key", "_one", *[F.col(n).alias(f"_own_{n}") for n in values])
+    sums = ordered.before(marks, [*by, "_key", "path", "_one"], {"place": F.col("_one"), **{n: F.col(f"_own_{n}") for n in values}})
     at = lambda c, one: F.max(F.when(F.col("_one") == one, F.col(c)))
-    return sums.groupBy("path").agg(at("place", 1).alias("pre"), at("place", 0).alias("stop"), *[(at(n, 0) - at(n, 1)).alias(n) for n in values])
+    return sums.groupBy(*by, "path").agg(at("place", 1).alias("pre"), at("place", 0).alias("stop"), *[(at(n, 0) - at(n, 1)).alias(n) for n in values])
+
+
+def dominant(files: DataFrame, value: str) -> DataFrame:
+    """(path, value, bytes): per folder with all below it the value with most bytes; ties to the smallest."""
+    direct = files.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("value"), F.col("folder_path").alias("path")).agg(F.sum(F.greatest(F.lit(0), "size")).alias("b"))
+    rows = with_ancestors(direct, ["value"]).join(direct, ["value", "path"], "left")
+    sums = intervals(rows, ["value"], bytes=F.col("b"))
+    best = Window.partitionBy("path").orderBy(F.desc("bytes"), "value")
+    return sums.withColumn("r", F.row_number().over(best)).filter("r = 1").select("path", "value", "bytes")
 
 
 def totals(files: DataFrame, folders: DataFrame | None = None) -> DataFrame:

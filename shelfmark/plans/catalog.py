@@ -44,6 +44,13 @@ def _tree(spark: SparkSession, sf: str) -> DataFrame:
     return shared.written(T.intervals(known, total_files=F.col("n")), "tree")
 
 
+def _above(files: DataFrame) -> DataFrame:
+    """(folder_path, path): every folder of files with itself and all folders above it, by intervals."""
+    own = files.select(F.col("folder_path").alias("path")).distinct()
+    tree = shared.written(T.intervals(T.with_ancestors(own)), "tree")
+    return T.containing(tree.join(own, "path", "left_semi"), tree).select(F.col("path").alias("folder_path"), F.col("above").alias("path"))
+
+
 def _full_hashes(spark: SparkSession, sf: str) -> DataFrame:
     """Files whose bytes hash to the same XXH3: how many there are and the first of them."""
     files = B.table(spark, sf, "documents").filter("text IS NOT NULL").select(F.col("doc_id").alias("file_id"), F.col("text").cast("binary").alias("content"))
@@ -205,6 +212,10 @@ query("j22_l7_nearest_ancestor", f"""{B.with_tables('hier_files')}, t AS ({TOPF}
 query("j22_tree_parents", ORACLES["j22_l7_nearest_ancestor"])(
     lambda s, d: (lambda totals: T.enclosing(T.intervals(totals.orderBy(F.desc("total_bytes"), "path").limit(40).select("path"))))(C.rollup(B.hier_files(s, d))))
 query("a8_tree_totals", f"{B.with_tables('hier_files')} {ROLL}")(lambda s, d: T.totals(B.hier_files(s, d)))
+query("a12_tree_dominant", ORACLES["a12_dominant_value"])(lambda s, d: T.dominant(B.hier_files(s, d), "label"))
+query("f16_tree_outermost", ORACLES["f16_outermost_paths"])(lambda s, d: T.outermost(T.intervals(C.folders(_docs(s, d)).filter("path LIKE '/corpus/P%'").select("path"))))
+query("j20_tree_ancestors", ORACLES["j20_j21_ancestor_join"])(
+    lambda s, d: (lambda files: files.join(_above(files), "folder_path").select("file_id", "path"))(_docs(s, d).select("file_id", "folder_path")))
 query("f6_tree_range", f"{B.with_tables('hier_files')} SELECT path, total_files FROM ({ROLL}) WHERE path = '/ASIA' OR starts_with(path, '/ASIA/')")(
     lambda s, d: (lambda tree: T.inside(tree, tree, "/ASIA").select("path", "total_files"))(_tree(s, d)))
 query("l7_scope_children", f"{B.with_tables('hier_files')} SELECT path, regexp_extract(path, '[^/]*$') AS name, total_files, total_bytes, true AS has_children FROM ({ROLL}) WHERE regexp_matches(path, '^/ASIA/[^/]*$')")(

@@ -66,8 +66,9 @@ def test_intervals_are_containment(spark, seed):
 @pytest.mark.parametrize("seed", [3, 4])
 def test_same_as_by_ancestors(spark, seed):
     rng, paths = random.Random(seed), random_tree(seed)
-    files = [(i, rng.choice(paths), rng.randrange(100), None) for i in range(500)]
-    df = spark.createDataFrame(files, "file_id long, folder_path string, size long, deleted_at long")
+    files = [(i, rng.choice(paths), rng.randrange(-5, 100), None, rng.choice(["a", "b", "c", None])) for i in range(500)]
+    df = spark.createDataFrame(files, "file_id long, folder_path string, size long, deleted_at long, kind string")
+    assert sorted(map(tuple, trees.dominant(df, "kind").collect())) == sorted(map(tuple, catalog.dominant(df, "kind").collect()))
     assert sorted(map(tuple, trees.totals(df).collect())) == sorted(map(tuple, catalog.rollup(df).collect()))
     assert sorted(r.path for r in trees.with_ancestors(df.select(F.col("folder_path").alias("path"))).collect()) == sorted(r.path for r in catalog.folders(df).select("path").collect())
     tree = trees.intervals(trees.with_ancestors(df.select(F.col("folder_path").alias("path"))))
