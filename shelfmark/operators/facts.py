@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions import paths
-from shelfmark.operators import components
+from shelfmark.operators import components, hamming
 from shelfmark.sources import shared
 
 
@@ -55,6 +55,7 @@ RULES = [
 #: Bounds of the size ratio of a derived file, and of a backup.
 DERIVED_RATIO, BACKUP_RATIO = (0.05, 50.0), (0.5, 2.0)
 NEAR_DISTANCE = 10
+MET_COST = 32
 MEDIAN_FLOOR = 0.7
 
 
@@ -230,6 +231,15 @@ def near_classes(hashes: DataFrame) -> DataFrame:
     return hashes.select("id", "a", "b").join(named, ["a", "b"]).select("id", "class_id", "a", "b")
 
 
+def _named(hashes: DataFrame) -> DataFrame:
+    return shared.written(hashes.groupBy("a", "b").agg(F.min("id").alias("id")), "named")
+
+
+def _meets_all(edges: list[int]) -> bool:
+    """Whether a join on these bands of bits meets so many of all pairs that comparing every pair is less work: a met pair costs as much as MET_COST compared ones."""
+    return sum((1 + b - a) / 2.0 ** (b - a) for a, b in zip(edges, edges[1:], strict=False)) * MET_COST > 1
+
+
 def near_class_pairs(hashes: DataFrame, most: int = NEAR_DISTANCE, bits: int = 128) -> DataFrame:
     """Pairs (left_id, right_id, distance) of classes of equal hashes at most so many bits apart, by their smallest ids.
 
@@ -237,9 +247,12 @@ def near_class_pairs(hashes: DataFrame, most: int = NEAR_DISTANCE, bits: int = 1
     hashes so near differ by one bit at most in some band: the lesser one looks
     every band up as it is and with each bit of it turned, in an equal join that
     finds all; a bit count verifies. Class pairs are expanded to ids at the end.
+    Where bands are so narrow that they part little, :mod:`hamming` compares all pairs.
     """
     bands = most // 2 + 1
     edges = [bits * i // bands for i in range(bands + 1)]
+    if _meets_all(edges):
+        return hamming.pairs(_named(hashes), most)
     digits = F.concat(F.lpad(F.bin("a"), 64, "0"), F.lpad(F.bin("b"), 64, "0")) if bits > 64 else F.lpad(F.bin("a"), bits, "0")
     classes = hashes.select("a", "b").distinct().withColumn("digits", digits)
     value = lambda i: F.conv(F.substring("digits", edges[i] + 1, edges[i + 1] - edges[i]), 2, 10).cast("long")

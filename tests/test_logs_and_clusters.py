@@ -2,12 +2,13 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions.intent import intent
-from shelfmark.operators import catalog, facts
+from shelfmark.operators import catalog, facts, hamming
 from shelfmark.sources.decision_log import Decision, DecisionLog
 
 
@@ -142,3 +143,20 @@ def test_lines_that_ask():
         "(map)": ("stage", "treemap"), "my_map": ("search", "my_map"), "Stale, old": ("view", "finished-untouched"), "\tregen\n": ("view", "regenerable-large"), "large files": ("stage", "files"), "large-files": ("search", "large-files"), "???": ("search", "???"),
     }
     assert {line: intent(line, views) for line in want} == want and intent(" \n", views) is None
+
+
+def test_wide_distances_are_compared_by_chunks(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    monkeypatch.setattr(hamming, "LEAST", 100)
+    monkeypatch.setattr(hamming, "BLOCK_WORDS", 500)
+    for bits, most in ((62, 18), (128, 44)):
+        a = rng.integers(-(2**63), 2**63 - 1, 300) if bits > 64 else rng.integers(0, 2**62, 300)
+        b = rng.integers(-(2**63), 2**63 - 1, 300) if bits > 64 else np.zeros(300, np.int64)
+        rows = [(int(i), int(x), int(y)) for i, (x, y) in enumerate(zip(a, b, strict=True))]
+        df = spark.createDataFrame([(i + 1000, x, y) for i, x, y in rows[:20]] + rows, "id long, a long, b long")
+        found = facts.near_class_pairs(df, most, bits)
+        assert "MapInArrow" in found._jdf.queryExecution().toString()
+        apart = lambda p, q: ((p[1] ^ q[1]) & (2**64 - 1)).bit_count() + ((p[2] ^ q[2]) & (2**64 - 1)).bit_count()
+        want = sorted((p[0], q[0], d) for p in rows for q in rows if p[0] < q[0] and (d := apart(p, q)) <= most)
+        assert want and sorted(tuple(r) for r in found.collect()) == want
+    assert facts.near_class_pairs(df.limit(0), 18, 62).count() == 0
