@@ -240,6 +240,14 @@ def _meets_all(edges: list[int]) -> bool:
     return sum((1 + b - a) / 2.0 ** (b - a) for a, b in zip(edges, edges[1:], strict=False)) * MET_COST > 1
 
 
+def near_class_links(hashes: DataFrame, most: int = NEAR_DISTANCE, bits: int = 128) -> DataFrame:
+    """Enough of :func:`near_class_pairs` (left_id, right_id) to connect all that these connect."""
+    bands = most // 2 + 1
+    if _meets_all([bits * i // bands for i in range(bands + 1)]):
+        return hamming.pairs(_named(hashes), most, forest=True).select("left_id", "right_id")
+    return near_class_pairs(hashes, most, bits).select("left_id", "right_id")
+
+
 def near_class_pairs(hashes: DataFrame, most: int = NEAR_DISTANCE, bits: int = 128) -> DataFrame:
     """Pairs (left_id, right_id, distance) of classes of equal hashes at most so many bits apart, by their smallest ids.
 
@@ -279,7 +287,7 @@ def near_class_pairs(hashes: DataFrame, most: int = NEAR_DISTANCE, bits: int = 1
 def near_clusters(hashes: DataFrame, most: int = NEAR_DISTANCE, bits: int = 128) -> DataFrame:
     """(id, class_id, cluster_id) of every hash (id, a, b): its class of equal hashes, and the smallest id that near pairs lead to."""
     members = shared.written(near_classes(hashes), "classes")
-    found = components.components(near_class_pairs(members.filter("id = class_id"), most, bits).select(F.col("left_id").alias("src"), F.col("right_id").alias("dst")))
+    found = components.components(near_class_links(members.filter("id = class_id"), most, bits).select(F.col("left_id").alias("src"), F.col("right_id").alias("dst")))
     joined = members.join(found.withColumnRenamed("id", "class_id"), "class_id", "left")
     return joined.select("id", "class_id", F.coalesce("component", "class_id").alias("cluster_id"))
 

@@ -160,3 +160,10 @@ def test_wide_distances_are_compared_by_chunks(spark, monkeypatch):
         want = sorted((p[0], q[0], d) for p in rows for q in rows if p[0] < q[0] and (d := apart(p, q)) <= most)
         assert want and sorted(tuple(r) for r in found.collect()) == want
     assert facts.near_class_pairs(df.limit(0), 18, 62).count() == 0
+
+
+def test_links_of_clusters_follow_the_hashes(spark):
+    df = spark.range(2048).select("id", F.col("id").alias("a"), F.lit(0).cast("long").alias("b"))  # all are 11 bits apart at most
+    links = facts.near_class_links(df, 18, 62).count()
+    assert 2047 <= links <= 2 * 2048 * 3  # three meetings of two chunks, not 2 million pairs
+    assert facts.near_clusters(df, 18, 62).select("cluster_id").distinct().collect() == [(0,)]
