@@ -182,7 +182,7 @@ def _dealt(files: DataFrame, source: str, weight: Column) -> DataFrame:
     return contents.packed(files.select("file_id", source, "size"), F.coalesce(weight, F.lit(0))).select("file_id", source)
 
 
-def _hashed(rows: pd.DataFrame, source: str, work) -> list[tuple]:
+def _hashed(rows: pd.DataFrame | dict, source: str, work) -> list[tuple]:
     out = []
     for file_id, value in zip(rows["file_id"], rows[source], strict=True):
         try:
@@ -195,12 +195,29 @@ def _hashed(rows: pd.DataFrame, source: str, work) -> list[tuple]:
     return out
 
 
+def _of_content(files: DataFrame, work, kind: str) -> DataFrame:
+    """(file_id, what ``work`` finds, error) of files whose bytes are in ``content``.
+
+    A plain function gets a hundred rows at a time; Arrow would bring ten thousand whole files to a worker at once.
+    """
+
+    def run(value: bytes | None) -> tuple:
+        return _hashed({"file_id": [None], "content": [value]}, "content", work)[0][1:]
+
+    one = F.udf(run, f"found {kind}, error string", useArrow=False)
+    return files.select("file_id", one("content").alias("_h")).select("file_id", F.col("_h.found").alias("found"), F.col("_h.error").alias("error"))
+
+
 def staged_hashes(files: DataFrame, source: str = "path") -> DataFrame:
     """Sampling stage of files (D4, D5, D7): hashes, state and algorithm, or the error (an issue of the hash phase).
 
     ``source`` is ``path``, the uri of a file on a shared file system, of which only
     the planned chunks are read, or ``content``, its bytes.
     """
+    if source == "content":
+        kind = "struct<partial_hash: string, sample_hash: string, full_hash: string, hash_state: int, hash_algorithm: string>"
+        found = _of_content(files, staged, kind)
+        return found.select("file_id", *[f"found.{c}" for c in ("partial_hash", "sample_hash", "full_hash")], F.coalesce("found.hash_state", F.lit(0)).alias("hash_state"), "found.hash_algorithm", "error")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -212,6 +229,8 @@ def staged_hashes(files: DataFrame, source: str = "path") -> DataFrame:
 
 def full_hashes(files: DataFrame, source: str = "path") -> DataFrame:
     """XXH3-128 of whole files (D6), or the error."""
+    if source == "content":
+        return _of_content(files, whole_hash, "string").withColumnRenamed("found", "full_hash")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:

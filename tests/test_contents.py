@@ -143,3 +143,18 @@ def test_image_hashes(spark):
     rows = [(i, "Png", bytearray(d)) for i, d in data.items()] + [(90, "jpg", bytearray()), (91, "gif", None), (92, "txt", bytearray(b"x")), (93, None, bytearray(b"x"))]
     got = {r.id: (r.a, r.b) for r in X.image_hashes(spark.createDataFrame(rows, "file_id long, extension string, content binary")).collect()}
     assert got == {i: plain_hashes(d) for i, d in data.items()}
+
+
+def test_contents_go_to_python_row_by_row(spark):
+    data = [(1, b"a" * 10), (2, b"b" * (3 << 20)), (3, None), (4, b"")]
+    files = spark.createDataFrame(data, "file_id long, content binary")
+    of = lambda b: D.whole_hash(lambda at, n: b[at : at + n], len(b))
+    full = D.full_hashes(files, "content")
+    staged = D.staged_hashes(files, "content")
+    for df in (full, staged):  # Arrow would bring ten thousand whole files to a worker at once
+        plan = df._jdf.queryExecution().toString()
+        assert "BatchEvalPython" in plan and "MapInPandas" not in plan
+    assert [c.split()[0] for c in D.STAGED.split(", ")] == staged.columns
+    want = {i: (None if b is None else of(b), "no content" if b is None else None) for i, b in data}
+    assert {r.file_id: (r.full_hash, r.error) for r in full.collect()} == want
+    assert {r.file_id: (r.full_hash, r.hash_state, r.error) for r in staged.collect()} == {1: (of(b"a" * 10), 4, None), 2: (None, 2, None), 3: (None, 0, "no content"), 4: (of(b""), 4, None)}
