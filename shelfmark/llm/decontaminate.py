@@ -64,7 +64,7 @@ def _lowered(values: list) -> list:
 
 def _item_rows(width: int, threshold: float):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (p for b in batches for p in textops.pieces(b, 1)):
             ids = batch.column(0)
             for i, words in textops.doc_words(_lowered(batch.column(1).to_pylist()), textops.MARKS, False):
                 if len(words):
@@ -171,7 +171,7 @@ def scan(
 def _scan_local(rows: DataFrame, index) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = index.value
-        for batch in batches:
+        for batch in (p for b in batches for p in textops.pieces(b, 1)):
             ids, out = batch.column(0), []
             for i, words in textops.doc_words(_lowered(batch.column(1).to_pylist()), textops.MARKS, False):
                 out += [(ids[i].as_py(), own.ids[j], own.n[j], shared) for j, shared in own.links(words)]
@@ -210,7 +210,7 @@ def _scan_joined(rows: DataFrame, items: DataFrame, threshold: float) -> DataFra
 
     def tokens_of(filtered: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in (p for b in batches for p in textops.pieces(b, 2)):
                 ids, keys = batch.column(0), batch.column(1)
                 for i, words in textops.doc_words(_lowered(batch.column(2).to_pylist()), textops.MARKS, False):
                     for width in widths:
@@ -257,7 +257,7 @@ def remove_contaminated(
 
         def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = index.value
-            for batch in batches:
+            for batch in (p for b in batches for p in textops.pieces(b, at)):
                 clean = np.ones(batch.num_rows, bool)
                 for i, words in textops.doc_words(_lowered(batch.column(at).to_pylist()), textops.MARKS, False):
                     clean[i] = not own.links(words)

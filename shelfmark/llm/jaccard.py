@@ -55,7 +55,7 @@ WIDTH, THRESHOLD = 4, 0.85
 SKETCH_BITS, SLICES, SALTS = 19, 32, 512
 WORDS, MOST_WORDS = 16, 1_024  # 64-bit words of a bitmap: 1,024 to 65,536 bits
 #: Bitmap words that a step of a walk compares, and shingles that a step verifies.
-FANOUT, FRONTIER_WORDS, RUN_TOKENS = 8, 1 << 21, 1 << 20
+FANOUT, FRONTIER_WORDS, RUN_TOKENS = 8, 1 << 18, 1 << 18
 #: Bounds of a block that one task walks: classes, and shingles in all of them.
 BLOCK_ROWS, BLOCK_TOKENS = 2_000, 1 << 21
 #: A shingle with more than one in so many of all shingles is counted apart.
@@ -113,13 +113,13 @@ def _sketch(docs: DataFrame, width: int) -> np.ndarray:
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(size, np.int64)
-        for batch in batches:
+        for batch in (p for b in batches for p in textops.pieces(b, 0)):
             held, n = [], 0
             for _, words in textops.doc_words(batch.column(0).to_pylist()):
                 tokens = textops.shingles(words, width, distinct=False)  # repeats only shift the order
                 held.append(tokens)
                 n += len(tokens)
-                if n > 1 << 20:
+                if n > RUN_TOKENS:
                     counts += np.bincount((np.concatenate(held) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=size)
                     held, n = [], 0
             if held:
@@ -149,7 +149,7 @@ def _profiles(docs: DataFrame, width: int, threshold: float, sketch) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = sketch.value
         bound = weight.sum(dtype=np.int64) // HOT_SHARE
-        for batch in batches:
+        for batch in (p for b in batches for p in textops.pieces(b, 1)):
             keys, sizes, prefixes, hot, wide = [], [], [], [], []
             for _, tokens in textops.doc_shingles(batch.column(1).to_pylist(), width):
                 n = len(tokens)
@@ -201,9 +201,8 @@ def _sets(docs: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
             for s in (0, 21):
                 bit = (h >> s) & ((1 << BLOOM_BITS) - 1)
                 hit &= (filled[bit >> 5] >> (bit & 31) & 1).astype(bool)
-            texts = batch.column(0).filter(pa.array(hit))
-            for a in range(0, len(texts), 512):
-                found = [t for _, t in textops.doc_shingles(texts.slice(a, 512).to_pylist(), width) if len(t)]
+            for piece in textops.pieces(batch.filter(pa.array(hit)), 0):
+                found = [t for _, t in textops.doc_shingles(piece.column(0).to_pylist(), width) if len(t)]
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array([class_key(t) for t in found], pa.binary()), pa.array([t.tobytes() for t in found], pa.binary())], names=["key", "tokens"])
 

@@ -31,6 +31,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shelfmark.llm import textops
+
 UNDETERMINED = "und"
 DIM = 4096
 #: Texts of each language that are learnt from, and the most vectors of all together (two a text).
@@ -38,7 +40,7 @@ PER_LANG, MOST_VECTORS = 400, 24_576
 AMBIGUOUS_MARGIN = 0.05
 PAD = b"    "
 #: A task predicts texts in runs of about so many characters, and so many texts at most.
-RUN_CHARS, RUN_TEXTS = 1 << 19, 256
+RUN_CHARS, RUN_TEXTS = 1 << 17, 64
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -189,7 +191,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", ambiguous_
     shared, at = docs.sparkSession.sparkContext.broadcast(model), kept.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (p for b in batches for p in textops.pieces(b, at)):
             lang, score, vague = _named(shared.value, batch.column(at).to_pylist(), ambiguous_margin)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang), pa.array(score), pa.array(vague)], names=schema.names)
 
@@ -201,7 +203,7 @@ def keep_known(docs: DataFrame, model: Model | None, text: str = "text", ambiguo
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (p for b in batches for p in textops.pieces(b, at)):
             lang, _, vague = _named(shared.value, batch.column(at).to_pylist(), ambiguous_margin)
             yield batch.filter(pa.array([name != UNDETERMINED and not v for name, v in zip(lang, vague, strict=True)], pa.bool_()))
 

@@ -1,7 +1,7 @@
 """Words and word shingles of whole texts as 64-bit hashes, by numpy over a batch.
 
-A task walks an Arrow batch in runs of about a megabyte of text, so its memory
-follows the run (or one long text), not the batch.
+A task walks an Arrow batch in pieces of about a megabyte of text and hashes these in
+runs of a quarter of it, so its memory follows the piece (or one long text), not the batch.
 """
 
 from __future__ import annotations
@@ -10,12 +10,14 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 U = np.uint64
 #: Fixed constants of the splitmix64 finaliser.
 _M1, _M2, _GOLD = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0x9E3779B97F4A7C15)
 _PRIME = U(0x100000001B3)
-RUN_BYTES = 1 << 20
+PIECE_BYTES, RUN_BYTES = 1 << 20, 1 << 18
 
 #: Bytes that part words: space and 0x09 to 0x0D.
 SPACES = np.zeros(256, bool)
@@ -57,13 +59,23 @@ def word_hashes(buf: np.ndarray, seps: np.ndarray = SPACES, lower: bool = True)
     gap = seps[buf]
     edge = np.flatnonzero(np.diff(np.concatenate(([True], gap, [True])).view(np.int8)))
     starts, ends = edge[0::2], edge[1::2]
-    n = 1 << max(20, int(len(buf)).bit_length())
+    n = 1 << max(18, int(len(buf)).bit_length())
     up, down = _powers(n)
     sums = np.zeros(len(buf) + 1, U)
     np.cumsum(_tables()[0][buf] * up[: len(buf)], out=sums[1:])
     return starts, mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U) * _GOLD)
 
 
+def pieces(batch: pa.RecordBatch, column: int, piece_bytes: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about so many bytes of a text column, or of one text if it is longer."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    first = 0
+    while first < len(ends):
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + piece_bytes, "right")))
+        yield batch.slice(first, last - first)
+        first = last
+
+
 def _runs(texts: list[bytes]) -> Iterator[tuple[int, int]]:
     first, size = 0, 0
     for i, t in enumerate(texts):

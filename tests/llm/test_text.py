@@ -1,8 +1,10 @@
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -265,3 +267,18 @@ def test_large_groups_give_fewer_rows_than_they_hold(spark):
     assert 2_999 <= n < 10 * 3_000  # a forest for each of a few blocks; all pairs would be 4.5 million
     out = {r.doc_id: r.component_id for r in jaccard.classify(docs).collect()}
     assert all(out[i] == 0 for i in range(3_000)) and all(out[i] == i for i in range(3_000, 6_000))
+
+
+def test_memory_of_a_batch_follows_a_piece():
+    texts = [None, "", "w " * 1_500_000, *(f"word{i} " * 400 for i in range(5_000)), None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["i", "text"])
+    size = sum(len(t or "") for t in texts)
+    assert [i for p in textops.pieces(batch, 1) for i in p.column(0).to_pylist()] == list(range(len(texts)))
+    assert all(p.num_rows == 1 or sum(len(t or "") + 1 for t in p.column(1).to_pylist()) <= textops.PIECE_BYTES for p in textops.pieces(batch, 1))
+    assert list(textops.pieces(batch.slice(0, 0), 1)) == []
+    small = batch.slice(3)
+    tracemalloc.start()
+    got = sum(len(w) for p in textops.pieces(small, 1) for _, w in textops.doc_words(p.column(1).to_pylist()))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == 5_000 * 400 and peak < 24 << 20 < size * 2
