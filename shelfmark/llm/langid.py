@@ -10,8 +10,9 @@ closer than ``ambiguous_margin`` is flagged.
 
 Fitting uses a bounded sample (``per_lang`` texts of each language, chosen by
 hash, and a short piece of each, so that short texts are known too). Features of
-the sample are computed by tasks; the driver sees ``per_lang`` * languages * 2
-vectors. Prediction walks every whole text in tasks, without a shuffle.
+the sample are computed by tasks, and one task trains on its ``per_lang`` *
+languages * 2 vectors; the driver sees the model alone. Prediction walks every
+whole text in tasks, without a shuffle.
 
 Defined results: a null text or one without a letter is ``und`` with score 0;
 without any labelled text, every text is ``und``; with one language, it is
@@ -21,6 +22,7 @@ Repeated rows give repeated results; extra columns pass through ``predict``.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,6 +40,8 @@ DIM = 4096
 #: Texts of each language that are learnt from, and the most vectors of all together (two a text).
 PER_LANG, MOST_VECTORS = 400, 24_576
 AMBIGUOUS_MARGIN = 0.05
+#: Columns of the sample's vectors that are put in order at once.
+SORTED_COLUMNS = 256
 PAD = b"    "
 #: A task predicts texts in runs of about so many characters, and so many texts at most.
 RUN_CHARS, RUN_TEXTS = 1 << 17, 64
@@ -159,11 +163,24 @@ def fit(docs: DataFrame, lang: str = "lang", text: str = "text", per_lang: int =
     shares = docs.sparkSession.createDataFrame([(name, min(1.0, (1.5 * per_lang + 50) / max(1, n))) for name, n in counts.items()], "lang string, share double")
     picked = rows.join(F.broadcast(shares), "lang").withColumn("h", h).filter(F.pmod("h", F.lit(1 << 20)) < F.col("share") * (1 << 20))
     picked = picked.dropDuplicates(["lang", "h"]).withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= per_lang)
-    got = picked.select("lang", "text", F.pmod(F.hash("text"), F.lit(1 << 20)).cast("long").alias("spot")).mapInArrow(_featurised, "lang string, x binary").collect()
-    x = np.stack([np.frombuffer(r["x"], np.float16) for r in got]).astype(np.float32)
-    y = np.array([langs.index(r["lang"]) for r in got])
-    order = np.lexsort((x @ np.arange(DIM, dtype=np.float32), y))  # rows arrive in no set order
-    return train(x[order], y[order], langs)
+    vectors = picked.select("lang", "text", F.pmod(F.hash("text"), F.lit(1 << 20)).cast("long").alias("spot")).mapInArrow(_featurised, "lang string, x binary")
+    number = {name: i for i, name in enumerate(langs)}
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x, y = np.empty((2 * per_lang * len(langs), DIM), np.float32), []
+        for batch in batches:
+            for name, vector in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                x[len(y)] = np.frombuffer(vector.as_buffer(), np.float16)
+                y.append(number[name])
+        x, y = x[: len(y)], np.array(y)
+        order = np.lexsort((x @ np.arange(DIM, dtype=np.float32), y))  # rows arrive in no set order
+        for a in range(0, DIM, SORTED_COLUMNS):
+            x[:, a : a + SORTED_COLUMNS] = x[order, a : a + SORTED_COLUMNS]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(x, y[order], langs))], pa.binary())], names=["model"])
+
+    # One task of the sample's bounded rows trains, so the driver holds no vectors.
+    (trained,) = vectors.repartition(1).mapInArrow(learn, "model binary").collect()
+    return pickle.loads(trained["model"])
 
 
 def _named(model: Model | None, texts: list, ambiguous_margin: float) -> tuple[list[str], np.ndarray, np.ndarray]:

@@ -1,3 +1,4 @@
+import os
 import random
 import re
 
@@ -50,6 +51,22 @@ def test_language_messy(spark, messy, none):
     assert {(r.lang_pred, r.score) for r in langid.predict(labelled(spark, ("en",), 5), single).collect()} == {("en", 1.0)}
 
 
+def test_language_model_is_trained_in_a_task(spark, monkeypatch):
+    """The driver gets no vectors, and the model doesn't depend on how rows are dealt."""
+    train = langid.train
+
+    def told(x, y, langs):
+        model = train(x, y, langs)
+        model.process, model.sample = os.getpid(), (x.shape, np.bincount(y).tolist())
+        return model
+
+    monkeypatch.setattr(langid, "train", told)
+    docs = labelled(spark, n=20)
+    models = [langid.fit(d) for d in (docs.coalesce(1), docs.repartition(7))]
+    assert all(m.process != os.getpid() and m.sample == ((160, langid.DIM), [40] * 4) for m in models)
+    assert np.allclose(models[0].weights, models[1].weights, atol=1e-6) and np.array_equal(models[0].trust, models[1].trust)
+
+
 def test_many_languages_take_random_codes():
     code = langid.codewords(12)
     agree = code @ code.T
